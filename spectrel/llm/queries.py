@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectrel.llm import bpe, chat, langid, packing, quality, rules, token_counts
+from spectrel.llm import bpe, chat, fingerprint, jaccard, langid, packing, quality, rules, token_counts
 from spectrel.llm.base import fold, fresh_path, need, table
 
 
@@ -121,3 +121,45 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold("doc_id", 3) == 1
     model = langid.train(docs.where(~held_out))
     return langid.predict(docs, model, "doc_id", held_out.alias("held_out"))
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = need(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
+    rows = fingerprint.with_next(fingerprint.fingerprint(docs))
+    chars = F.length("text")
+    half = F.floor(chars / 2).cast("int")
+    edited = F.concat(F.col("text").substr(F.lit(1), chars - half), F.col("next_text").substr(F.lit(1), half))
+    rows = rows.select("doc_id", chars.cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", "next_fingerprint")
+    rows = fingerprint.fingerprint(rows, "edited", "edited_fingerprint").withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
+    rows = fingerprint.compare(rows, "fingerprint", "edited_fingerprint", "near_edited")
+    rows = fingerprint.compare(rows, "fingerprint", "next_fingerprint", "near_next")
+    return rows.select("doc_id", "n_chars", "edited_sha256", F.hex("fingerprint").alias("fingerprint"), F.hex("edited_fingerprint").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes, _ = jaccard.join(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+    return classes.select("doc_id", "n_shingles", "component_id")
+
+
+OP10_SQL = r"""
+with recursive w as materialized (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+), s as materialized (
+  select distinct doc_id, sh from (
+    select doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as sh from w where len(w) >= 3
+    union all select doc_id, array_to_string(w, ' ') from w where len(w) between 1 and 2)
+), n as materialized (select doc_id, count(*) as n from s group by doc_id),
+rare as materialized (
+  -- The shingles of a set by rarity: similar sets share one among the first n - ceil(0.9 n) + 1.
+  select doc_id, sh from (
+    select s.doc_id, s.sh, n.n, row_number() over (partition by s.doc_id order by f.f, s.sh) as r
+    from s join n using (doc_id) join (select sh, count(*) as f from s group by sh) f using (sh)) where r <= n - cast(ceil(0.9 * n) as bigint) + 1
+), c as materialized (select distinct a.doc_id as a, b.doc_id as b from rare a join rare b on a.sh = b.sh and a.doc_id < b.doc_id),
+p as materialized (
+  select a, b from (select c.a, c.b, count(*) as k from c join s x on x.doc_id = c.a join s y on y.doc_id = c.b and x.sh = y.sh group by c.a, c.b)
+  join n u on u.doc_id = a join n v on v.doc_id = b where 100 * k >= 90 * (u.n + v.n - k)
+), e as materialized (select a, b from p union all select b, a from p),
+t(doc_id, m) as (select doc_id, doc_id from documents union select t.doc_id, e.b from t join e on e.a = t.m)
+select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, min(t.m) as component_id
+from documents d left join n on n.doc_id = d.doc_id join t on t.doc_id = d.doc_id group by all
+"""
