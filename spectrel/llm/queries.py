@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectrel.llm import bpe, chat, fingerprint, jaccard, langid, packing, quality, rules, token_counts
+from spectrel.llm import bpe, chat, fingerprint, jaccard, langid, lm, packing, quality, rules, token_counts
 from spectrel.llm.base import fold, fresh_path, need, table
 
 
@@ -163,3 +163,11 @@ t(doc_id, m) as (select doc_id, doc_id from documents union select t.doc_id, e.b
 select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, min(t.m) as component_id
 from documents d left join n on n.doc_id = d.doc_id join t on t.doc_id = d.doc_id group by all
 """
+
+
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(need(table(spark, sf_dir, "documents"), "doc_id", "text"), fold("doc_id", 7) == 2)
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_token_counts, op4_quality, op5_language, op6_rules, op7_chat, op8_lm, op9_fingerprints, op10_jaccard)}
+SQL = {"op6_rules": OP6_SQL, "op7_chat": OP7_SQL, "op10_jaccard": OP10_SQL}

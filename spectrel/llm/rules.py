@@ -107,14 +107,16 @@ def base_counts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *keep
     # A window's words count up to the start of the next marked window, three at most.
     gaps = F.transform("_d", lambda i, k: F.least(F.lit(3), F.coalesce(F.get("_d", k + 1) - i, F.lit(3))))
     long = lambda c: c.cast("long")
-    return df.select(
-        F.col(doc_id), *[F.col(c) for c in keep], long(F.col("_n")).alias("n_words"),
+    counts = F.struct(
+        F.col(doc_id).alias(doc_id), *[F.col(c).alias(c) for c in keep], long(F.col("_n")).alias("n_words"),
         F.aggregate("_w", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("word_chars"),
         long(F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).alias("n_symbols"),
         long(F.length(text) - F.length(F.regexp_replace(text, CAPITALS, ""))).alias("n_capitals"),
         long(F.size("_lines") - F.size(F.array_distinct("_lines"))).alias("n_dup_lines"),
         F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_repeat_words"),
     )
+    # The generator keeps later filters from being pushed into the expressions above, where they would be made again for each word.
+    return df.select(F.inline(F.array(counts)))
 
 
 def _with(df: DataFrame, steps) -> DataFrame:
@@ -149,29 +151,44 @@ def estimate(stats: DataFrame, c_steps: int = 4) -> DataFrame:
     return found
 
 
+def with_stats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", *keep: str) -> DataFrame:
+    """Base counts, base_failed, the group's names k_lang and k_source, and the transformed statistics. Narrow."""
+    df = df.withColumn("k_lang", F.coalesce(F.concat(F.lit("="), F.col(lang)), F.lit("null"))).withColumn("k_source", F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null")))
+    stats = base_counts(df, doc_id, text, "k_lang", "k_source", *keep)
+    failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
+    return _with(stats.withColumn("base_failed", failed), [(s, f"case when n_words > 0 then {stat_sql(s)} else 0 end") for s in STATS])
+
+
+def by_group(found: DataFrame, min_group: int) -> DataFrame:
+    """The estimate that holds for each language and source: its own, the language's or that of all. A row per group."""
+    values = [c for c in found.columns if c not in (*GROUP, "n_docs")]
+    level = lambda n: found.where(F.col("level") == n)
+    own = level(2).select(F.col("g_lang").alias("k_lang"), F.col("g_source").alias("k_source"), F.col("n_docs").alias("n2"), *[F.col(c).alias(f"{c}_2") for c in values])
+    wide = level(1).select(F.col("g_lang").alias("k_lang"), F.col("n_docs").alias("n1"), *[F.col(c).alias(f"{c}_1") for c in values])
+    every = level(0).select(F.lit(0).alias("_0"), *[F.col(c).alias(f"{c}_0") for c in values])
+    joined = own.join(wide, "k_lang").withColumn("_0", F.lit(0)).join(every, "_0")
+    chosen = lambda c: F.when(F.col("n2") >= min_group, F.col(f"{c}_2")).when(F.col("n1") >= min_group, F.col(f"{c}_1")).otherwise(F.col(f"{c}_0"))
+    return joined.select("k_lang", "k_source", *[chosen(c).alias(c) for c in values])
+
+
+def verdict(stats: DataFrame, groups: DataFrame) -> DataFrame:
+    """Adds d2 (null without words) and kept."""
+    joined = _with(stats.join(groups, ["k_lang", "k_source"], "left"), distance_sql())
+    d2 = F.when(F.col("n_words") > 0, F.col("d2"))
+    return joined.withColumn("d2", d2).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(False)))
+
+
 def judge(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", c_steps: int = 4, min_group: int = 50) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, d2, kept: a row per document."""
-    df = need(df, doc_id, text, lang, source).toDF("doc_id", "text", "_lang", "_source")
-    stats = base_counts(df, "doc_id", "text", "_lang", "_source")
-    failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
-    stats = stats.withColumn("base_failed", failed).withColumn("k_lang", named("_lang")).withColumn("k_source", named("_source"))
-    stats = _with(stats, [(s, f"case when n_words > 0 then {stat_sql(s)} else 0 end") for s in STATS]).drop("_lang", "_source", "n_capitals")
-    stats = store(stats, "rules-stats")
-    found = estimate(stats.where("n_words > 0"), c_steps)
-    large = F.col("n_docs") >= min_group
-    own = found.where((F.col("level") == 2) & large).drop("level", "n_docs").withColumnsRenamed({"g_lang": "k_lang", "g_source": "k_source"})
-    # Documents of small groups take the wider estimates; each of these joins has one row on its small side for a key.
-    joined = stats.join(own, ["k_lang", "k_source"], "left")
-    done = joined.where("m1 is not null")
-    rest = stats.join(own.select("k_lang", "k_source"), ["k_lang", "k_source"], "left_anti")
-    by_lang = found.where((F.col("level") == 1) & large).drop("level", "n_docs", "g_source").withColumnRenamed("g_lang", "k_lang")
-    second = rest.join(by_lang, "k_lang", "left")
-    overall = found.where("level = 0").drop("level", "n_docs", "g_lang", "g_source")
-    third = rest.join(by_lang.select("k_lang"), "k_lang", "left_anti").withColumn("_one", F.lit(1)).join(overall.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
-    every = done.unionByName(second.where("m1 is not null")).unionByName(third)
-    every = _with(every, distance_sql())
-    return every.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        F.when(F.col("n_words") > 0, F.col("d2")).alias("d2"), (~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(False))).alias("kept"),
-    )
+    df = need(df, doc_id, text, lang, source).toDF("doc_id", "text", "lang", "source")
+    stats = store(with_stats(df), "rules-stats")
+    groups = by_group(estimate(stats.where("n_words > 0"), c_steps), min_group)
+    return verdict(stats, groups).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", "kept")
+
+
+def keep(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", c_steps: int = 4, min_group: int = 50) -> DataFrame:
+    """The rows of ``df`` that are kept, with all their columns. The statistics are made again beside the texts, so texts need no join by id."""
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
+    stats = store(with_stats(rows.withColumn("doc_id", F.lit(0))).select("k_lang", "k_source", "n_words", *STATS), "rules-stats")
+    groups = store(by_group(estimate(stats.where("n_words > 0"), c_steps), min_group), "rules-groups")
+    return verdict(with_stats(rows.withColumn("doc_id", F.lit(0)), "doc_id", "text", "lang", "source", "row"), groups).where("kept").select("row.*")
