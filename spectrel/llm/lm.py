@@ -32,12 +32,10 @@ from pyspark.sql import functions as F
 
 from spectrel.llm.base import need, small_batches, store, texts_of
 
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
 WEIGHT, DAMP = 0.6, 2.0
-CACHE_WORDS = 400_000
 END, BEGIN = 0, 1
 _U = np.uint64
-_HASHES: dict[bytes, int] = {}
 BLOCKS = "block long, payload binary"
 REQUESTS = "part int, block long, ord int, h binary, c binary"
 TOTALS = "block long, ord int, h binary, c binary, n long, v long"
@@ -78,25 +76,26 @@ class Block:
             for w in set(words):
                 if w not in local:
                     local[w] = len(local) + 2
-            ids.append(np.fromiter(map(local.__getitem__, words), np.int64, len(words)))
-        if len(_HASHES) > CACHE_WORDS:
-            _HASHES.clear()
+            ids.append(np.fromiter(map(local.__getitem__, words), np.int32, len(words)))
         hashes = np.empty(len(local) + 2, _U)
         hashes[END], hashes[BEGIN] = _U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F)
         for i, w in enumerate(local):
-            h = _HASHES.get(w)
-            if h is None:
-                h = _HASHES[w] = xxhash.xxh3_64_intdigest(w)
-            hashes[i + 2] = h
+            hashes[i + 2] = xxhash.xxh3_64_intdigest(w)
         self.hashes, self.width = hashes, len(hashes)
         self.lengths = np.array([len(x) + 1 for x in ids], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64)
-        self.tokens = np.concatenate([np.append(x, END) for x in ids]) if ids else np.empty(0, np.int64)
+        self.tokens = np.concatenate([np.append(x, np.int32(END)) for x in ids]).astype(np.int64) if ids else np.empty(0, np.int64)
+        del ids, local
         before = np.concatenate([[BEGIN], self.tokens[:-1]]) if len(self.tokens) else self.tokens
         before[self.starts] = BEGIN
         learns = np.repeat(train, self.lengths)
         self.word_counts = np.bincount(self.tokens[learns], minlength=self.width)
-        coded = np.sort((before * self.width + self.tokens) * 2 + learns)
+        coded = before * self.width
+        del before
+        coded += self.tokens
+        coded *= 2
+        coded += learns
+        coded.sort()
         keys = coded >> 1
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
         self.pairs = keys[first]
