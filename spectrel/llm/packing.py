@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectrel.llm.base import need, small_batches, texts_of
-from spectrel.llm.wordcache import loaded
+from spectrel.llm.base import need, small_batches
+from spectrel.llm.wordcache import gathered, loaded
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, bucket int"
 
@@ -44,16 +44,20 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 1, max_len: int = 204
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = loaded(data.value, leading=False)
-        for batch in batches:
+        for batch in gathered(batches, "text"):
+            ids, counts = encoder.encode_array(batch.column("text"))
             rows: list[list] = [[], [], [], [], [], []]
-            for key, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts_of(batch.column(1))), strict=True):
-                ids += end
-                total, start = len(ids) // 4, 0
-                for length in binary_lengths(total, max_len):
-                    for column, value in zip(rows, (key, start, length, ids[4 * start : 4 * (start + length)], total, length.bit_length() - 1), strict=True):
+            at = 0
+            for key, n in zip(batch.column("doc_id").to_pylist(), counts.tolist(), strict=True):
+                own, start = ids[at : at + n].tobytes() + end, 0
+                at += n
+                for length in binary_lengths(n + 1, max_len):
+                    for column, value in zip(rows, (key, start, length, own[4 * start : 4 * (start + length)], n + 1, length.bit_length() - 1), strict=True):
                         column.append(value)
                     start += length
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32()), strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32()), strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
+            for first in range(0, len(out), 1024):
+                yield out.slice(first, 1024)
 
     source = need(df, doc_id, text).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return source.mapInArrow(run, SCHEMA).withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))

@@ -20,11 +20,12 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectrel.llm.base import need, path_exists, small_batches, texts_of
-from spectrel.llm.wordcache import loaded
+from spectrel.llm.base import need, path_exists, small_batches
+from spectrel.llm.wordcache import gathered, loaded
 
 CACHE_SCHEMA = "version string, digest binary, n_bytes long, n_tokens long"
 
@@ -56,12 +57,10 @@ def count_tokens(df: DataFrame, tokenizer_path: str, cache_path: str, doc_id: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = loaded(data.value, leading=True, counts_only=True)
-        for batch in batches:
-            texts = texts_of(batch.column("text"))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([version] * len(texts)), batch.column("digest"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(encoder.encode(texts), pa.int64())],
-                names=["version", "digest", "n_bytes", "n_tokens"],
-            )
+        for batch in gathered(batches, "text"):
+            texts = batch.column("text")
+            _, n_tokens = encoder.encode_array(texts)
+            yield pa.RecordBatch.from_arrays([pa.array([version] * len(texts)), batch.column("digest"), pc.binary_length(texts).cast(pa.int64()), pa.array(n_tokens, pa.int64())], names=["version", "digest", "n_bytes", "n_tokens"])
 
     misses.mapInArrow(run, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     return source.select("doc_id", "digest").join(read_cache(df, cache_path, version), "digest", "left").select("doc_id", "digest", "n_bytes", "n_tokens")
