@@ -24,3 +24,12 @@ def ship(spark: SparkSession) -> None:
             out.write(path, path.relative_to(root.parent))
     sc.addPyFile(archive)
     _SHIPPED.add(sc.applicationId)
+
+
+def settled(df):
+    """Materialise in the shared checkpoint folder: rows keep their partitions, lineage is cut, lost executors cost nothing."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(found or os.path.join(tempfile.gettempdir(), f"spectrel-{os.getpid()}"))
+    return df.checkpoint(eager=True)
