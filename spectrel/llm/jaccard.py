@@ -10,7 +10,7 @@ insertion or deletion for two. By the pigeonhole principle sets that are similar
 segments get the one-deletion neighbourhood; m follows from that. A set writes all signatures of its own band, and in the
 band below as many of the fullest segments as its own H there asks for. Equal sets are reduced to one representative
 before. Signatures that meet are paired with the smallest document of theirs (a star, not all pairs), pairs are thinned by
-sizes and by the distance of 1024-bit parity sketches (a lower bound of the true distance), and what is left is verified
+sizes and by the distance of parity sketches (a lower bound of the true distance), and what is left is verified
 exactly on the texts. Pairs of a signature that its star does not settle, because its documents are still in different
 components, are searched in blocks of ``BLOCK`` by block inside tasks, by the same bound, then verified too. So no link
 between components is missed, at any group size.
@@ -23,6 +23,7 @@ document; a null doc_id gets the component of its equals, null if there are none
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,11 +35,12 @@ from pyspark.sql import functions as F
 
 from spectrel.llm.base import need, small_batches, store, texts_of
 
-SKETCH_BITS = 1024
+#: A sketch has as many bits as the set has tokens, rounded up to a power of two, within these.
+LEAST_BITS, MOST_BITS = 256, 1 << 17
 BLOCK = 512
 CACHE_WORDS = 400_000
 #: Chance that a token of one set is in another by accident, and documents that a segment's chance agreements cost.
-CHANCE, CROWD = 0.2, 1e5
+CHANCE, CROWD = 0.01, 1e5
 _U = np.uint64
 _WORDS: dict[bytes, int] = {}
 
@@ -81,6 +83,10 @@ def allocation(lo: int, hi: int, num: int, den: int) -> tuple[int, int]:
         m = max(1, most + 1 - e)
         held = lo / m
         cost = m + 2 * e * held + CROWD * ((m - e) * CHANCE**held + e * CHANCE ** max(0.0, held - 1))
+        # Empty segments agree by accident; they do no harm while so many need not be looked up.
+        empty = m * math.exp(-held)
+        spare = m + e - distance(hi, hi, num, den) - 1
+        cost += CROWD / 1000 * max(0.0, empty + 3 * math.sqrt(empty) - spare)
         if best is None or cost < best[0]:
             best = (cost, m, e)
     return best[1], best[2]
@@ -97,70 +103,99 @@ def band_of(size: int, num: int, den: int) -> tuple[int, int, int]:
         k, lo = k + 1, hi + 1
 
 
+INDEX, PROBE = 1, 2
+
+
 def signatures(tokens: np.ndarray, band: tuple[int, int, int], num: int, den: int, own: bool) -> np.ndarray:
-    """Signatures of a set in a band: all of them in its own, else those of enough of its fullest segments."""
+    """Signatures of a set in a band; the lowest two bits tell what each is for.
+
+    In its own band a set is indexed by all segments. It is looked up there, and in the band below, by as many of its
+    fullest segments as its own H with the band asks for, so that segments with few tokens, or none, meet no one.
+    """
     k, lo, hi = band
     m, e = allocation(lo, hi, num, den)
-    most = distance(len(tokens), hi * den // num if own else hi, num, den)
+    most = distance(len(tokens), hi, num, den)
     segment = ((tokens >> _U(20)) % _U(m)).astype(np.int64)
     content = mixed(tokens)
     # A segment's subset is known by the sum of its tokens' hashes; the band and segment number keep others apart.
     sums = np.zeros(m, _U)
     np.add.at(sums, segment, content)
     salt = mixed(np.arange(m, dtype=_U) + _U((k + 1) << 32))
-    if own:
-        use = np.ones(m, bool)
-    else:
-        fill = np.bincount(segment, minlength=m)
-        units = np.where(np.arange(m) < e, 2, 1)
-        order = np.argsort(-fill, kind="stable")
-        use = np.zeros(m, bool)
-        use[order[: int(np.searchsorted(np.cumsum(units[order]), most + 1)) + 1]] = True
-    out = [mixed(sums ^ salt)[use]]
+    fill = np.bincount(segment, minlength=m)
+    units = np.where(np.arange(m) < e, 2, 1)
+    order = np.argsort(-fill, kind="stable")
+    kind = np.full(m, INDEX if own else 0, _U)
+    kind[order[: int(np.searchsorted(np.cumsum(units[order]), most + 1)) + 1]] |= _U(PROBE)
+    use = kind > 0
+    out = [mixed(sums ^ salt)[use] & ~_U(3) | kind[use]]
     if e:
         near = (segment < e) & use[segment]
-        out.append(mixed((sums[segment[near]] - content[near]) ^ salt[segment[near]]))
+        out.append(mixed((sums[segment[near]] - content[near]) ^ salt[segment[near]]) & ~_U(3) | kind[segment[near]])
     return np.unique(np.concatenate(out))
 
 
-def sketch(tokens: np.ndarray) -> bytes:
-    """Parity of the tokens in each of SKETCH_BITS places."""
-    place = (mixed(tokens) >> _U(50)).astype(np.int64) % SKETCH_BITS
-    return np.packbits((np.bincount(place, minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parity of the tokens in each place, as words of 64 bits. Halves may be folded by exclusive or."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (len(tokens) - 1).bit_length()))
+    place = (mixed(tokens) & _U(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8)).view("<i8")
+
+
+def folded(words: np.ndarray, length: int) -> np.ndarray:
+    while len(words) > length:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
+SET_SCHEMA = "doc_id long, n_shingles long, set_hash binary, sketch array<long>"
+SIGN_SCHEMA = "doc_id long, set_hash binary, sigs array<long>"
 
 
-SET_SCHEMA = "doc_id long, n_shingles long, set_hash binary, sketch array<long>, own array<long>, below array<long>"
+def set_hash(tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-def sets(df: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """A row per document: size, hash and sketch of its set, signatures of its band and of the band below. Narrow."""
+def sets(df: DataFrame, n: int) -> DataFrame:
+    """A row per document: size, hash and sketch of its set. Narrow."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
-            for text in batch.column("text").to_pylist():
-                t = shingles(text, n)
-                own = below = np.empty(0, np.int64)
-                if len(t):
-                    band = band_of(len(t), num, den)
-                    own = signatures(t, band, num, den, True).astype(np.int64)
-                    if band[0] and band[2] and (band[1] - 1) * den >= len(t) * num:
-                        lower = band_of(band[1] - 1, num, den)
-                        below = signatures(t, lower, num, den, False).astype(np.int64)
-                for column, value in zip(rows, (len(t), hashlib.blake2b(t.tobytes(), digest_size=16).digest(), np.frombuffer(sketch(t), "<i8"), own, below), strict=True):
-                    column.append(value)
-            kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(rows, kinds, strict=True)]], names=["doc_id", "n_shingles", "set_hash", "sketch", "own", "below"])
+            found = [shingles(t, n) for t in batch.column("text").to_pylist()]
+            sketches = pa.array([sketch(t) for t in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, found), pa.int64()), pa.array([set_hash(t) for t in found], pa.binary()), sketches], names=["doc_id", "n_shingles", "set_hash", "sketch"])
 
     return df.mapInArrow(run, SET_SCHEMA)
 
 
+def signed(df: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """A row per document with words: its signatures in its own band and the one below. Narrow."""
+
+    def all_signatures(t: np.ndarray) -> np.ndarray:
+        band = band_of(len(t), num, den)
+        out = signatures(t, band, num, den, True)
+        if band[0] and (band[1] - 1) * den >= len(t) * num:
+            out = np.concatenate([out, signatures(t, band_of(band[1] - 1, num, den), num, den, False)])
+        return out.astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(k, t) for k, t in zip(batch.column("doc_id").to_pylist(), (shingles(x, n) for x in batch.column("text").to_pylist()), strict=True) if len(t) and k is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([set_hash(t) for _, t in found], pa.binary()), pa.array([all_signatures(t) for _, t in found], pa.list_(pa.int64()))], names=["doc_id", "set_hash", "sigs"])
+
+    return df.mapInArrow(run, SIGN_SCHEMA)
+
+
 def thin(pairs: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) that sizes and sketches do not rule out."""
     side = lambda x: sizes.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     both = pairs.join(side("a"), "a").join(side("b"), "b")
+    # Similar sizes differ by one power of two at most; sketches that differ by more are not compared.
+    half = lambda c, n: F.zip_with(F.slice(c, 1, n), F.slice(c, n + 1, n), lambda x, y: x.bitwiseXOR(y))
+    even = lambda c, d: F.when(F.size(c) == 2 * F.size(d), half(c, F.size(d))).otherwise(F.col(c))
+    both = both.withColumn("x", even("sketch_a", "sketch_b")).withColumn("y", even("sketch_b", "sketch_a"))
+    counted = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    apart = F.when(F.size("x") == F.size("y"), counted).otherwise(F.lit(0))
     close = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
     return both.where(close).where(apart <= F.floor((den - num) * (F.col("n_a") + F.col("n_b")) / (den + num))).select("a", "b")
 
@@ -208,29 +243,38 @@ def _unsettled(hits: DataFrame, parts: DataFrame, sizes: DataFrame, num: int, de
     named = hits.join(parts, hits["doc_id"] == parts["node"], "left").drop("node")
     named = named.withColumn("component", F.coalesce("component", "doc_id"))
     mixed_groups = named.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
-    rows = named.join(mixed_groups, "sig").join(sizes, "doc_id").select("sig", "doc_id", "own", "leader", "component", "n_shingles", "sketch")
+    rows = named.join(mixed_groups, "sig").join(sizes, "doc_id").select("sig", "doc_id", "kind", "leader", "component", "n_shingles", "sketch")
     place = Window.partitionBy("sig").orderBy("doc_id")
     rows = rows.withColumn("block", F.floor((F.row_number().over(place) - 1) / BLOCK)).withColumn("last", F.max("block").over(Window.partitionBy("sig")))
     # Block pair (i, j), i <= j: a row goes to the pairs that its block is part of.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
     rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    rows = rows.select("sig", "i", "j", "block", "doc_id", "own", "leader", "component", "n_shingles", "sketch")
+    rows = rows.select("sig", "i", "j", "block", "doc_id", "kind", "leader", "component", "n_shingles", "sketch")
     rows = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "block", "doc_id")
 
     def group(part: pa.Table) -> tuple[list[int], list[int]]:
-        doc, own, comp, size = (part.column(c).to_numpy() for c in ("doc_id", "own", "component", "n_shingles"))
+        doc, kind, comp, size = (part.column(c).to_numpy() for c in ("doc_id", "kind", "component", "n_shingles"))
         block, leader = part.column("block").to_numpy(), part.column("leader").to_numpy()[0]
-        bits = np.array(part.column("sketch").to_pylist(), np.int64).view(_U)
+        words = [np.array(x, np.int64) for x in part.column("sketch").to_pylist()]
+        lengths = np.array([len(x) for x in words])
+        none = {n: np.zeros(n, np.int64) for n in np.unique(lengths).tolist()}
+        bits = {n: np.stack([folded(x, n) if len(x) >= n else none[n] for x in words]).view(_U) for n in none}
         i, j = int(part.column("i")[0].as_py()), int(part.column("j")[0].as_py())
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         a_out, b_out = [], []
         for x in left.tolist():
             r = right[right > x] if i == j else right
-            r = r[(comp[r] != comp[x]) & (own[r] | own[x]) & (doc[r] != leader)]
+            meets = (kind[r] & INDEX > 0) & (kind[x] & PROBE > 0) | (kind[r] & PROBE > 0) & (kind[x] & INDEX > 0)
+            r = r[(comp[r] != comp[x]) & meets & (doc[r] != leader)]
             if doc[x] == leader or not len(r):
                 continue
             r = r[np.minimum(size[r], size[x]) * den >= np.maximum(size[r], size[x]) * num]
-            r = r[np.bitwise_count(bits[r] ^ bits[x]).sum(axis=1, dtype=np.int64) <= (den - num) * (size[r] + size[x]) // (den + num)]
+            shared = np.minimum(lengths[r], lengths[x])
+            apart = np.zeros(len(r), np.int64)
+            for n in np.unique(shared).tolist():
+                some = r[shared == n]
+                apart[shared == n] = np.bitwise_count(bits[n][some] ^ bits[n][x]).sum(axis=1, dtype=np.int64)
+            r = r[apart <= (den - num) * (size[r] + size[x]) // (den + num)]
             a_out += np.minimum(doc[r], doc[x]).tolist()
             b_out += np.maximum(doc[r], doc[x]).tolist()
         return a_out, b_out
@@ -264,17 +308,20 @@ def join(df: DataFrame, n: int = 3, num: int = 90, den: int = 100, doc_id: str =
     """(classes, links). classes: doc_id, n_shingles, representative, component_id, a row per document; links: a, b, the verified
     pairs of representatives that connect the components."""
     docs = need(df, doc_id, text).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = store(sets(docs, n, num, den), "jaccard-sets")
+    found = store(sets(docs, n), "jaccard-sets")
     filled = found.where("n_shingles > 0")
-    equal = filled.groupBy("set_hash").agg(F.min("doc_id").alias("representative"))
-    equal = store(equal, "jaccard-equal")
-    chosen = filled.join(equal.where("representative is not null"), "set_hash").where("doc_id = representative").dropDuplicates(["doc_id"])
-    chosen = store(chosen.drop("set_hash", "representative"), "jaccard-chosen")
-    sizes = chosen.select("doc_id", "n_shingles", "sketch")
-    signed = chosen.select("doc_id", F.explode("own").alias("sig"), F.lit(True).alias("own")).unionByName(chosen.select("doc_id", F.explode("below").alias("sig"), F.lit(False).alias("own")))
+    equal = store(filled.groupBy("set_hash").agg(F.min("doc_id").alias("representative")), "jaccard-equal")
+    sizes = store(filled.join(equal, "set_hash").where("doc_id = representative").select("doc_id", "n_shingles", "sketch").dropDuplicates(["doc_id"]), "jaccard-sizes")
+    # Equal sets are reduced to one before signatures move; that of the smallest id, as in ``equal``.
+    chosen = signed(docs, n, num, den).groupBy("set_hash").agg(F.min_by("sigs", "doc_id").alias("sigs"), F.min("doc_id").alias("doc_id"))
+    rows = chosen.select("doc_id", F.explode("sigs").alias("coded"))
+    rows = rows.select("doc_id", F.expr("coded & -4L").alias("sig"), F.expr("cast(coded & 3L as int)").alias("kind"))
     same = Window.partitionBy("sig")
-    hits = signed.withColumn("leader", F.min(F.when(F.col("own"), F.col("doc_id"))).over(same)).withColumn("group_size", F.count(F.lit(1)).over(same))
-    hits = store(hits.where("leader is not null and group_size > 1"), "jaccard-hits")
+    leader = F.min(F.when(F.col("kind").bitwiseAND(INDEX) > 0, F.col("doc_id"))).over(same)
+    probes = F.count(F.when(F.col("kind").bitwiseAND(PROBE) > 0, 1)).over(same)
+    hits = rows.select("doc_id", "sig", "kind", leader.alias("leader"), F.count(F.lit(1)).over(same).alias("group_size"), probes.alias("probes"))
+    hits = hits.where("leader is not null and group_size > 1 and probes > 0").drop("probes")
+    hits = store(hits, "jaccard-hits")
     star = hits.where("doc_id <> leader").select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct()
     links = store(verify(store(thin(star, sizes, num, den), "jaccard-pairs"), docs, n, num, den), "jaccard-links")
     parts = components(links)
