@@ -135,11 +135,12 @@ def compare(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     return df.mapInArrow(run, _extended(df, out, T.DoubleType()))
 
 
-def with_next(df: DataFrame, key: str = "doc_id", parts: int | None = None) -> DataFrame:
+def with_next(df: DataFrame, key: str = "doc_id", parts: int | None = None, keys: DataFrame | None = None) -> DataFrame:
     """Adds next_<column> for every column: the row after it in descending order of ``key`` (a whole number); after the last, the first.
 
     Rows are dealt into ranges of the key by quantiles, each range also gets the first row of the one after it, and each
-    task goes through its sorted ranges once. So rows move once, and no task has more than its ranges.
+    task goes through its sorted ranges once. So rows move once, and no task has more than its ranges. ``keys``: a table of
+    the same keys that is cheaper to read than ``df``, which is gone through twice before for the ranges.
     """
     spark = df.sparkSession
     small_batches(spark)
@@ -147,7 +148,8 @@ def with_next(df: DataFrame, key: str = "doc_id", parts: int | None = None) -> D
     least = -(1 << 63)
     number = F.coalesce(F.col(key).cast("long"), F.lit(least))
     steps = [i / parts for i in range(1, parts)]
-    found = df.agg(F.percentile_approx(number, steps, 10000).alias("q")).first()["q"] if steps else None
+    keys = (df if keys is None else keys).select(number.alias("key"))
+    found = keys.agg(F.percentile_approx("key", steps, 10000).alias("q")).first()["q"] if steps else None
     bounds = np.array(sorted(set(found or [])), np.int64)
 
     def ranges(values: pa.Array) -> np.ndarray:
@@ -158,7 +160,7 @@ def with_next(df: DataFrame, key: str = "doc_id", parts: int | None = None) -> D
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(ranges(b.column(0)), pa.int32()), b.column(0)], names=["part", "key"])
 
-    tops = sorted((r.part, r.key) for r in df.select(number.alias("key")).mapInArrow(firsts, "part int, key long").groupBy("part").agg(F.max("key").alias("key")).collect())  # one row per range
+    tops = sorted((r.part, r.key) for r in keys.mapInArrow(firsts, "part int, key long").groupBy("part").agg(F.max("key").alias("key")).collect())  # one row per range
     halo: dict[int, int] = {top: tops[i - 1][0] for i, (_, top) in enumerate(tops)}  # the key that also goes to the range before it
     tie = F.xxhash64(*[F.col(c) for c in df.columns])
     source = df.select(*df.columns, number.alias("__key"), tie.alias("__tie"))
@@ -167,9 +169,9 @@ def with_next(df: DataFrame, key: str = "doc_id", parts: int | None = None) -> D
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.name for f in dealt_schema.fields]
         for b in batches:
-            keys = b.column("__key")
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ranges(keys), pa.int32()), pa.array([0] * len(b), pa.int32())], names=names)
-            at = [i for i, k in enumerate(keys.to_pylist()) if k in halo]
+            own = b.column("__key")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ranges(own), pa.int32()), pa.array([0] * len(b), pa.int32())], names=names)
+            at = [i for i, k in enumerate(own.to_pylist()) if k in halo]
             if at:
                 some = b.take(pa.array(at))
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array([halo[k] for k in some.column("__key").to_pylist()], pa.int32()), pa.array([1] * len(at), pa.int32())], names=names)

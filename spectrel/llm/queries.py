@@ -125,7 +125,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = need(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    rows = fingerprint.with_next(fingerprint.fingerprint(docs))
+    rows = fingerprint.with_next(fingerprint.fingerprint(docs), keys=docs)
     chars = F.length("text")
     half = F.floor(chars / 2).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), chars - half), F.col("next_text").substr(F.lit(1), half))
