@@ -38,6 +38,8 @@ from spectrel.llm.base import need, small_batches, store, texts_of
 #: A sketch has as many bits as the set has tokens, rounded up to a power of two, within these.
 LEAST_BITS, MOST_BITS = 256, 1 << 17
 BLOCK = 512
+#: Links of one task and file in the rounds for the components.
+LINKS_A_TASK = 250_000
 CACHE_WORDS = 400_000
 #: Chance that a token of one set is in another by accident, and documents that a segment's chance agreements cost.
 CHANCE, CROWD = 0.01, 1e5
@@ -223,15 +225,20 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> Dat
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, component: the smallest node that each linked node reaches. Rounds of smallest neighbour and pointer jump."""
-    edges = store(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "jaccard-edges")
-    labels = store(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "jaccard-labels")
+    """node, component: the smallest node that each linked node reaches. Rounds of smallest neighbour and pointer jump.
+
+    Tables of the rounds have tasks and files by the number of links (counted from the footers of the stored links), so that
+    few links do not write a small file for each shuffle partition in every round.
+    """
+    tasks = max(1, -(-links.count() // LINKS_A_TASK))
+    edges = store(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(tasks), "jaccard-edges")
+    labels = store(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")).coalesce(tasks), "jaccard-labels")
     while True:
         seen = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("m"))
         step = labels.join(seen.withColumnRenamed("a", "node"), "node", "left").select("node", F.col("component").alias("old"), F.least("component", "m").alias("component"))
         # A component is a node, so its own label may be smaller still.
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        new = store(step.join(jump, "component", "left").select("node", "old", F.least("component", "further").alias("component")), "jaccard-labels")
+        new = store(step.join(jump, "component", "left").select("node", "old", F.least("component", "further").alias("component")).coalesce(tasks), "jaccard-labels")
         changed = not new.where("component <> old").isEmpty()
         labels = new.drop("old")
         if not changed:
