@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spectrel.functions.student import t_quantile
+
 
 def total(peaks: DataFrame, *by: str, value: str = "intensity", how: str = "sum") -> DataFrame:
     return peaks.groupBy(*by).agg(getattr(F, how)(value).alias("value"))
@@ -75,12 +77,21 @@ def unit_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[(F.col(c) / norms[c] if norms.get(c) else F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
-def mean_interval(df: DataFrame, column: str, t: float) -> DataFrame:
-    """mean, low, high: mean +- t * population deviation / sqrt(n)."""
+def mean_interval(df: DataFrame, column: str, t: float | None = None, level: float = 0.95) -> DataFrame:
+    """mean, low, high: mean +- t * population deviation / sqrt(n); t is Student's for the level unless it is given."""
+    if t is None:
+        t = t_quantile((1 + level) / 2, df.agg(F.count(column)).first()[0] - 1)
     e = df.agg(F.avg(column).alias("mean"), (t * F.stddev_pop(column) / F.sqrt(F.count(column))).alias("e"))
     return e.select("mean", (F.col("mean") - F.col("e")).alias("low"), (F.col("mean") + F.col("e")).alias("high"))
 
 
+def mean_by_label(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """label, v: mean vectors of (id, v) by the labels (id, label); combined before the shuffle by position."""
+    flat = rows.join(labels.select("id", "label"), "id").select("label", F.posexplode("v").alias("k", "x"))
+    means = flat.groupBy("label", "k").agg(F.avg("x").alias("x"))
+    return means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda e: e["x"]).alias("v"))
+
+
 def strided(df: DataFrame, row: str, col: str, height: int, width: int, target: int) -> DataFrame:
     """Every k-th row and column, so that about ``target`` pixels stay."""
     if target <= 0:
@@ -98,3 +109,14 @@ def blend(a: Column, b: Column, alpha: float, bounds: tuple[float, float, float,
 
 def rank_rows(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
+def cluster_image(labelled: DataFrame, n: int, value: str = "intensity", label: str = "cluster_label") -> DataFrame:
+    """x, y, value of the n-th (from 0) label in order: sums by pixel, null where the pixel has none of it. No rows give none."""
+    labels = [r[0] for r in labelled.select(label).distinct().orderBy(label).limit(n + 1).collect()]
+    if not labels:
+        return labelled.select("x", "y", F.col(value).alias("value"))
+    if n >= len(labels):
+        raise ValueError(f"there are only {len(labels)} labels")
+    own = F.when(F.col(label) == labels[n], F.col(value))
+    return labelled.groupBy("x", "y").agg(F.sum(own).alias("value"))

@@ -112,10 +112,20 @@ SOBEL_Y = {(-1, -1): -0.25, (-1, 0): -0.5, (-1, 1): -0.25, (1, -1): 0.25, (1, 0)
 SOBEL_X = {(dx, dy): v for (dy, dx), v in SOBEL_Y.items()}
 
 
-def sobel(pixels: DataFrame) -> DataFrame:
-    """y, x, value: sqrt((gx^2 + gy^2) / 2); beyond the border counts 0."""
-    gx = neighbours(pixels, SOBEL_X, "gx")
-    return gx.join(neighbours(pixels, SOBEL_Y, "gy"), ["y", "x"]).select("y", "x", F.sqrt((F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")) / 2).alias("value"))
+def reflected(pixels: DataFrame, height: int, width: int) -> DataFrame:
+    """The image (y, x, value) with a margin of one pixel that repeats its border."""
+    line = lambda c, n: F.explode(F.array_compact(F.array(F.col(c), F.when(F.col(c) == 0, F.col(c) - 1), F.when(F.col(c) == n - 1, F.col(c) + 1))))
+    return pixels.select("x", "value", line("y", height).alias("y")).select("y", "value", line("x", width).alias("x"))
+
+
+def sobel(pixels: DataFrame, height: int, width: int) -> DataFrame:
+    """y, x, value: sqrt((gx^2 + gy^2) / 2); the border is repeated outside; pixels that are not there count 0. One shuffle."""
+    padded = reflected(pixels, height, width)
+    cells = F.array(*[F.struct(F.lit(-dy).alias("dy"), F.lit(-dx).alias("dx"), F.lit(SOBEL_X.get((dy, dx), 0.0)).alias("kx"), F.lit(SOBEL_Y.get((dy, dx), 0.0)).alias("ky")) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx])
+    sent = padded.select("y", "x", "value", F.explode(cells).alias("o")).select((F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), (F.col("value") * F.col("o.kx")).alias("gx"), (F.col("value") * F.col("o.ky")).alias("gy"), F.lit(0).alias("there"))
+    own = pixels.select("y", "x", F.lit(0.0).alias("gx"), F.lit(0.0).alias("gy"), F.lit(1).alias("there"))
+    found = own.unionByName(sent).groupBy("y", "x").agg(F.sum("gx").alias("gx"), F.sum("gy").alias("gy"), F.max("there").alias("there"))
+    return found.where("there = 1").select("y", "x", F.sqrt((F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")) / 2).alias("value"))
 
 
 def morph(mask: DataFrame, offsets: list[tuple[int, int]], dilate: bool) -> DataFrame:

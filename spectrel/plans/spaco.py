@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spectrel.functions.imhof import imhof_cdf
+from spectrel.functions.student import t_quantile
+from spectrel.operators.peaks import numbered
 from spectrel.runtime import settled, ship
 
 
@@ -18,8 +20,23 @@ def _matrix(column) -> np.ndarray:
     return np.array(column.to_pylist(), float)
 
 
+def _summed(parts: DataFrame, *keys: str) -> DataFrame:
+    """Element-wise sums of arrays ``m`` by integer keys: one shuffle of what the tasks made, summed where it arrives."""
+    def run(batches):
+        total: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for k, m in zip(zip(*(batch.column(i).to_pylist() for i in range(len(keys))), strict=True), _matrix(batch.column(len(keys))) if len(batch) else [], strict=True):
+                total[k] = total[k] + m if k in total else m
+        if total:
+            columns = [pa.array(list(c), pa.int32()) for c in zip(*total, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(list(total.values()), pa.list_(pa.float64()))], names=[*keys, "m"])
+
+    return parts.repartition(*keys).mapInArrow(run, ", ".join([*(f"{k} int" for k in keys), "m array<double>"]))
+
+
 def gram(pairs: DataFrame, a: str = "a", b: str = "b") -> np.ndarray:
-    """Sum of outer products of two array columns; each task sends one p-by-q matrix."""
+    """Sum of outer products of two array columns. Tasks make one p-by-q matrix each; its rows are added up by number on the
+    executors, so the driver gets p rows however many tasks there are."""
     def run(batches):
         total = None
         for batch in batches:
@@ -27,12 +44,33 @@ def gram(pairs: DataFrame, a: str = "a", b: str = "b") -> np.ndarray:
                 part = _matrix(batch.column(0)).T @ _matrix(batch.column(1))
                 total = part if total is None else total + part
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64())), pa.array([total.shape[0]], pa.int32())], names=["m", "p"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "m"])
 
-    got = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).mapInArrow(run, "m array<double>, p int").collect()
+    got = _summed(pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).mapInArrow(run, "i int, m array<double>"), "i").collect()
     if not got:
         raise ValueError("no rows")
-    return sum(np.array(r.m).reshape(r.p, -1) for r in got)
+    return np.array([r.m for r in sorted(got, key=lambda r: r.i)])
+
+
+def permuted(k: np.ndarray, n: int, *key: int) -> np.ndarray:
+    """A keyed bijection of 0 to n - 1 applied to ``k``: a Feistel network on the next power of four, walked until inside.
+
+    Any task can permute any row by itself, so no replicate needs a shuffle or a table of n numbers.
+    """
+    half = np.uint64((max(n - 1, 1).bit_length() + 1) // 2)
+    mask = np.uint64((1 << int(half)) - 1)
+    keys = np.random.default_rng(list(key)).integers(0, 2**63, 8, dtype=np.uint64)
+    out = np.asarray(k).astype(np.uint64)
+    todo = np.arange(len(out))
+    while len(todo):
+        left, right = out[todo] >> half, out[todo] & mask
+        for salt in keys:
+            x = (right + salt) * np.uint64(0x9E3779B97F4A7C15)
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            left, right = right, left ^ ((x >> np.uint64(31)) & mask)
+        out[todo] = left << half | right
+        todo = todo[out[todo] >= n]
+    return out.astype(np.int64)
 
 
 def times(rows: DataFrame, m: np.ndarray, shift: np.ndarray | None = None, column: str = "v") -> DataFrame:
@@ -64,6 +102,7 @@ class Spaco:
 
     def __init__(self, rows: DataFrame, edges: DataFrame, keep: float = 0.95, cut: float | None = None):
         ship(rows.sparkSession)
+        self._ranked = None
         rows = rows.select("id", F.transform("v", lambda x: x.cast("double")).alias("v"))
         p = len(rows.first().v)
         stats = rows.select(F.posexplode("v").alias("k", "x")).groupBy("k").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).collect()
@@ -90,10 +129,18 @@ class Spaco:
         k = int((self.all_values >= cut).sum())
         self.values, self.loadings = self.all_values[:k], self.all_vectors[:, :k] / np.sqrt(np.maximum(self.all_values[:k], 1e-300))
 
-    def null_values(self, replicates: int, seed: int = 0, max_rows: int = 200_000) -> np.ndarray:
-        """Largest eigenvalues after the rows of the whitened table are permuted. Gathers that table, at most ``max_rows`` rows."""
-        if self.n > max_rows:
-            raise ValueError("the permutation test gathers the table; raise max_rows to allow it")
+    def null_values(self, replicates: int, seed: int = 0, max_bytes: int = 256 << 20, block: int = 10) -> np.ndarray:
+        """Largest eigenvalues after the rows of the whitened table are permuted.
+
+        Table and edges are sent to the tasks if both fit in ``max_bytes``. Beyond that nothing is gathered: edges take permuted
+        row numbers, ``block`` replicates at a time, and meet the rows in two joins. The permutations are the same either way.
+        """
+        r, m = self.whitener.shape[1], self.edges.count()
+        if 8 * (self.n * r + 3 * m) <= max_bytes:
+            return self._null_sent(replicates, seed)
+        return np.sort(np.concatenate([self._null_joined(range(i, min(i + block, replicates)), seed) for i in range(0, replicates, block)]))
+
+    def _null_sent(self, replicates: int, seed: int) -> np.ndarray:
         got = self.white.select("id", "v").toPandas().sort_values("id")
         place = {k: i for i, k in enumerate(got["id"])}
         w = np.stack(got["v"])
@@ -109,18 +156,53 @@ class Spaco:
             for pdf in batches:
                 out = []
                 for i in pdf["id"]:
-                    p = w[np.random.default_rng([seed, int(i)]).permutation(n)]
+                    p = w[permuted(np.arange(n), n, seed, int(i))]
                     out.append(float(np.linalg.eigvals(p.T @ p / n + p[a].T @ (p[b] * x[:, None])).real.max()))
                 yield pd.DataFrame({"value": out})
 
-        return np.array(sorted(r.value for r in spark.range(replicates).mapInPandas(run, "value double").collect()))
+        return np.array(sorted(row.value for row in spark.range(replicates).mapInPandas(run, "value double").collect()))
+
+    def _null_joined(self, numbers: range, seed: int) -> np.ndarray:
+        n, first, count = self.n, numbers.start, len(numbers)
+        if self._ranked is None:
+            rows = settled(numbered(self.white.select("id", "v"), [F.col("id")]))
+            at = lambda c: rows.select(F.col("id").alias(c), F.col("rn").alias(f"{c}_rn"))
+            edges = settled(self.edges.join(at("src"), "src").join(at("dst"), "dst").select("src_rn", "dst_rn", "w"))
+            self._ranked = rows.select("rn", "v"), edges, gram(rows, "v", "v") / n, edges.agg(F.sum(F.abs("w"))).first()[0]
+        rows, edges, own, s = self._ranked
+
+        def deal(batches):
+            for batch in batches:
+                a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+                for k in numbers:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), k - first, np.int32)), pa.array(permuted(a, n, seed, k)), pa.array(permuted(b, n, seed, k)), batch.column(2)], names=["rep", "a", "b", "w"])
+
+        def outer(batches):
+            total: dict[int, np.ndarray] = {}
+            for batch in batches:
+                if not len(batch):
+                    continue
+                rep, left = batch.column(0).to_numpy(), _matrix(batch.column(1)) * batch.column(3).to_numpy()[:, None]
+                right = _matrix(batch.column(2))
+                for k in np.unique(rep).tolist():
+                    part = left[rep == k].T @ right[rep == k]
+                    total[k] = total[k] + part if k in total else part
+            for k, m in total.items():
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(m), pa.int32()), pa.array(range(len(m)), pa.int32()), pa.array(list(m), pa.list_(pa.float64()))], names=["rep", "i", "m"])
+
+        pairs = edges.mapInArrow(deal, "rep int, a long, b long, w double")
+        met = pairs.join(rows.select(F.col("rn").alias("a"), F.col("v").alias("va")), "a").join(rows.select(F.col("rn").alias("b"), F.col("v").alias("vb")), "b")
+        got = _summed(met.select("rep", "va", "vb", "w").mapInArrow(outer, "rep int, i int, m array<double>"), "rep", "i").collect()
+        sums = np.zeros((count, *own.shape))
+        for row in got:
+            sums[row.rep, row.i] = row.m
+        return np.array([np.linalg.eigvals(own + m / s).real.max() for m in sums])
 
     def adaptive_cut(self, batch: int = 50, replicates: int = 100, rounds: int = 1000, seed: int = 0) -> float:
         """The cut from a confidence interval of the null's mean; batches are added while more than one eigenvalue lies in it."""
         found = self.null_values(replicates, seed)
         for k in range(rounds + 1):
-            t = 1.96 + 2.4 / max(len(found) - 1, 1)
-            half = t * found.std() / np.sqrt(len(found))
+            half = t_quantile(0.975, len(found) - 1) * found.std() / np.sqrt(len(found))
             lo, hi = found.mean() - half, found.mean() + half
             inside = self.all_values[(self.all_values >= lo) & (self.all_values <= hi)]
             if len(inside) < 2:
@@ -140,13 +222,26 @@ class Spaco:
         back = apply_l(scores.select("id", "v"), flipped, self.n).select("id", F.col("lv").alias("a"))
         return np.linalg.eigvalsh(gram(back.join(scores.select("id", F.col("lv").alias("b")), "id")))
 
-    def test(self) -> DataFrame:
-        """feature, stat, cdf, p_value for every kept column, with one edge join for all."""
+    def test(self, rows: DataFrame | None = None) -> DataFrame:
+        """feature, stat, cdf, p_value for every column, with one edge join for all.
+
+        The standardised columns that vary are tested, or the columns of ``rows`` (id, v) as they are, neither centred nor scaled.
+        A column whose form x' L x is 0 has no statistic: null, and so are its probabilities.
+        """
         spark = self.features.sparkSession
-        lx = settled(apply_l(self.features, self.edges, self.n))
+        tested = self.features if rows is None else rows.select("id", F.transform("v", lambda x: x.cast("double")).alias("v"))
+        lx = settled(apply_l(tested, self.edges, self.n))
         xlx = np.diag(gram(lx, "v", "lv"))
         vlx = gram(self.projection().withColumnRenamed("v", "a").join(lx.select("id", F.col("lv").alias("b")), "id"))
-        stat = (vlx**2).sum(axis=0) / xlx
-        weights = self.sigma()
-        rows = [(int(c), float(s), cdf := imhof_cdf(float(s), weights), 1 - cdf) for c, s in zip(self.columns, stat, strict=True)]
-        return spark.createDataFrame(rows, "feature int, stat double, cdf double, p_value double")
+        names = self.columns if rows is None else range(len(xlx))
+        weights, out = self.sigma(), []
+        for c, top, below in zip(names, (vlx**2).sum(axis=0), xlx, strict=True):
+            stat = float(top / below) if below else None
+            cdf = imhof_cdf(stat, weights) if below else None
+            out.append((int(c), stat, cdf, 1 - cdf if below else None))
+        return spark.createDataFrame(out, "feature int, stat double, cdf double, p_value double")
+
+
+def significant(tests: DataFrame, level: float = 0.05) -> DataFrame:
+    """The tested features below the level."""
+    return tests.where(F.col("p_value") < level)

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectrel.operators import features, geometry, graph, peaks
-from spectrel.plans.spaco import Spaco
+from spectrel.plans import clustering, registration
+from spectrel.plans.spaco import Spaco, significant
 from spectrel.runtime import ship
 
 QUERIES: dict = {}
@@ -49,8 +50,12 @@ g as (select *, count(*) over (partition by cluster_label) as k from f where clu
 """
 
 
-def clusters(spark: SparkSession, d: str) -> DataFrame:
-    return peaks.cluster(peak_table(spark, d), 5, 10, 30.0, ["pixel_id", "peak_idx", "intensity"])
+def clusters(spark: SparkSession, d: str, min_count: int = 10, tol: float = 30.0) -> DataFrame:
+    return peaks.cluster(peak_table(spark, d), 5, min_count, tol, ["pixel_id", "peak_idx", "intensity"])
+
+
+def cluster_stats(labelled: DataFrame) -> DataFrame:
+    return labelled.groupBy("cluster_label").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("intensity"), 4).alias("total"))
 
 
 @query(CLUSTERS + "select pixel_id, peak_idx, mz, intensity, cluster_label from g where k >= 10")
@@ -60,7 +65,7 @@ def peak_clusters(spark, d):
 
 @query(CLUSTERS + "select cluster_label, count(*) as n, round(sum(intensity), 4) as total from g where k >= 10 group by 1")
 def peak_cluster_stats(spark, d):
-    return clusters(spark, d).groupBy("cluster_label").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("intensity"), 4).alias("total"))
+    return cluster_stats(clusters(spark, d))
 
 
 @query("select l_orderkey as pixel_id, count(*) as n, min(l_extendedprice) as lo, max(l_extendedprice) as hi, sum(l_quantity) as total from lineitem where l_extendedprice between 20000 and 40000 group by 1")
@@ -89,6 +94,11 @@ def group_size_filter(spark, d):
     return peaks.by_size(t(spark, d, "events"), 10, "user_id").select("user_id", "event_id")
 
 
+@query(CLUSTERS + ", k as (select g.*, l_partkey x, l_suppkey y from g join lineitem on l_orderkey = pixel_id and l_linenumber = peak_idx and l_extendedprice = mz where k >= 10) select x, y, sum(case when cluster_label = (select min(cluster_label) from k) then intensity end) as value from k group by 1, 2")
+def cluster_ion_image(spark, d):
+    return features.cluster_image(clusters(spark, d), 0)
+
+
 def coo(spark, d):
     return peak_table(spark, d).select("x", "y", F.col("peak_idx").alias("feature"), F.col("intensity").alias("value"))
 
@@ -152,6 +162,10 @@ def pixels(spark, d):
     return e.select((F.col("event_id") / 100).cast("long").alias("y"), (F.col("event_id") % 100).alias("x"), (F.pmod(F.col("value"), F.lit(1.0))).alias("value"))
 
 
+def height(p: DataFrame) -> int:
+    return p.agg(F.max("y")).first()[0] + 1
+
+
 PX = "with p as (select event_id // 100 as y, event_id % 100 as x, value % 1.0 as value from events) "
 
 
@@ -182,11 +196,41 @@ def overlay_blend(spark, d):
     return p.select("y", "x", F.round(features.blend(F.col("value"), F.col("x"), 0.3, (lo, hi, 0.0, 99.0)), 9).alias("value"))
 
 
-@query(PX + """select a.y, a.x, round(sqrt((gx * gx + gy * gy) / 2), 9) as value from (
-  select a.y, a.x, sum(coalesce(b.value, 0) * case when b.y = a.y then 0.5 else 0.25 end * (b.x - a.x)) gx, sum(coalesce(b.value, 0) * case when b.x = a.x then 0.5 else 0.25 end * (b.y - a.y)) gy
-  from p a left join p b on b.y between a.y - 1 and a.y + 1 and b.x between a.x - 1 and a.x + 1 group by 1, 2) a""")
+@query(PX + """, b as (select max(y) h, 99 w from p), o as (select * from (values (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)) t(dy, dx)),
+n as (select p.y, p.x, dy, dx, least(greatest(p.y + dy, 0), h) as yy, least(greatest(p.x + dx, 0), w) as xx from p, o, b),
+g as (select n.y, n.x, sum(coalesce(q.value, 0) * dx * case when dy = 0 then 0.5 else 0.25 end) gx, sum(coalesce(q.value, 0) * dy * case when dx = 0 then 0.5 else 0.25 end) gy from n left join p q on q.y = yy and q.x = xx group by 1, 2)
+select y, x, round(sqrt((gx * gx + gy * gy) / 2), 9) as value from g""")
 def sobel(spark, d):
-    return geometry.sobel(pixels(spark, d)).select("y", "x", F.round("value", 9).alias("value"))
+    p = pixels(spark, d)
+    return geometry.sobel(p, height(p), 100).select("y", "x", F.round("value", 9).alias("value"))
+
+
+def _morph_sql() -> str:
+    out, last = PX + ", m0 as (select y, x, case when value > 0.5 then 1 else 0 end as value from p)", "m0"
+    for k, (offsets, best) in enumerate(((registration.ELLIPSE_5, "max"), (registration.ELLIPSE_5, "min"), (registration.ELLIPSE_3, "min"), (registration.ELLIPSE_3, "max")), 1):
+        out += f", m{k} as (select m.y, m.x, {best}(q.value) as value from {last} m cross join (values {', '.join(map(str, offsets))}) o(dy, dx) join {last} q on q.y = m.y + o.dy and q.x = m.x + o.dx group by 1, 2)"
+        last = f"m{k}"
+    return out + f" select y, x, value from {last}"
+
+
+@query(_morph_sql())
+def tissue_mask(spark, d):
+    return registration.tissue_mask(pixels(spark, d), 0.5)
+
+
+@query(PX + """, b as (select max(y) + 1 h from p), t as (select i // 60 as y, i % 60 as x from range(90 * 60) r(i)),
+s as (select y, x, least(greatest((y + 0.5::double) * (h / 90.0::double) - 0.5, 0), h - 1) sy, least(greatest((x + 0.5::double) * (100 / 60.0::double) - 0.5, 0), 99) sx from t, b),
+c as (select *, floor(sy) y0, floor(sx) x0 from s)
+select c.y, c.x, round(sum(coalesce(p.value, 0) * case when dy = 1 then sy - y0 else 1 - (sy - y0) end * case when dx = 1 then sx - x0 else 1 - (sx - x0) end), 6) as value
+from c cross join (values (0, 0), (0, 1), (1, 0), (1, 1)) o(dy, dx) left join p on p.y = y0 + dy and p.x = x0 + dx group by 1, 2""")
+def image_resize(spark, d):
+    p = pixels(spark, d)
+    return registration.resize(p, (height(p), 100), (90, 60)).select("y", "x", F.round("value", 6).alias("value"))
+
+
+@query(PX + "select y, x, cast(floor(value * 255) as integer) as value from p")
+def image_bytes(spark, d):
+    return registration.to_bytes(pixels(spark, d))
 
 
 @query(PX + ", m as (select y, x, case when value > 0.5 then 1 else 0 end as value from p) select a.y, a.x, max(b.value) as value from m a join m b on (b.y = a.y and abs(b.x - a.x) <= 1) or (b.x = a.x and abs(b.y - a.y) = 1) group by 1, 2")
@@ -241,6 +285,48 @@ def coordinate_map(spark, d):
     return mapped(spark, d).select("maldi_x", "maldi_y", F.round("he_x", 5).alias("he_x"), F.round("he_y", 5).alias("he_y"))
 
 
+def _marks(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, *map(float, a), *map(float, b)) for i, (a, b) in enumerate(zip(MARKS, SEEN, strict=True))], "landmark_id int, maldi_x double, maldi_y double, he_x double, he_y double")
+
+
+@query("select * from (values (0), (1), (2), (3), (4)) t(landmark_id) cross join (select 0.0::double as error)")
+def landmark_errors(spark, d):
+    """The spline meets its own landmarks, so each error is 0 up to rounding."""
+    return registration.landmark_errors(_marks(spark), AFFINE, MOVED, SPLINE).select("landmark_id", (F.floor(F.col("error") * 1e6) / 1e6).cast("double").alias("error"))
+
+
+def _field_sql() -> str:
+    body = _map_sql()
+    body = body[: body.index("from (select *,")]
+    inner = "(select i % 20 * (100 / 19.0::double) as maldi_x, i // 20 * (80 / 19.0::double) as maldi_y from range(400) r(i))"
+    num = lambda v: repr(float(v))
+    a = [f"{num(AFFINE[i, 0])}::double * maldi_x + {num(AFFINE[i, 1])}::double * maldi_y + {num(AFFINE[i, 2])}::double" for i in range(2)]
+    return f"select round(maldi_x, 6) as maldi_x, round(maldi_y, 6) as maldi_y, round(he_x - ax, 4) as dx, round(he_y - ay, 4) as dy from ({body.replace('round(', '(').replace(', 5) as', ') as')}, ax, ay from (select *, {a[0]} as ax, {a[1]} as ay from {inner}))"
+
+
+@query(_field_sql())
+def vector_field(spark, d):
+    return registration.vector_field(spark, 80, 100, AFFINE, MOVED, SPLINE).select(F.round("maldi_x", 6).alias("maldi_x"), F.round("maldi_y", 6).alias("maldi_y"), F.round("dx", 4).alias("dx"), F.round("dy", 4).alias("dy"))
+
+
+@query()
+def affine_warp(spark, d):
+    return registration.warp_affine(pixels(spark, d), AFFINE, 160, 160)
+
+
+@query()
+def spline_warp(spark, d):
+    return registration.warp_spline(pixels(spark, d), MOVED, SPLINE, 160, 160)
+
+
+@query()
+def registered_map(spark, d):
+    """Landmarks, refinement on the image itself and its mask, spline, and the map of all tissue pixels."""
+    p = pixels(spark, d)
+    size = (height(p), 100)
+    return registration.Registration(MARKS, MARKS + np.array([2.0, 1.0]), p, p, size, size, rounds=30).coordinate_map(p, threshold=0.5)
+
+
 @query()
 def inverse_map(spark, d):
     ship(spark)
@@ -324,3 +410,57 @@ def spaco_projection(spark, d):
 @query()
 def spaco_test(spark, d):
     return spaco(spark, d).test()
+
+
+@query()
+def spaco_test_raw(spark, d):
+    """Every column as it is, neither centred nor scaled."""
+    return spaco(spark, d).test(vectors(spark, d))
+
+
+@query()
+def significant_features(spark, d):
+    return significant(spaco(spark, d).test())
+
+
+@query()
+def adaptive_components(spark, d):
+    """Scores of the components above the cut that permutations give."""
+    s = spaco(spark, d)
+    s.set_cut(s.adaptive_cut(rounds=20))
+    return s.projection()
+
+
+@query()
+def feature_components(spark, d):
+    return clustering.feature_components(spaco(spark, d))
+
+
+@query()
+def feature_communities(spark, d):
+    return clustering.communities(clustering.similarity_graph(vectors(spark, d)))
+
+
+@query()
+def feature_layout(spark, d):
+    return clustering.planar_layout(clustering.feature_components(spaco(spark, d)))
+
+
+@query("select label, cast(k - 1 as integer) as k, round(avg(embedding[k]::double), 6) as x from embeddings, range(1, 65) r(k) group by label, k")
+def mean_by_label(spark, d):
+    rows = vectors(spark, d).select("id", F.transform("v", lambda x: x.cast("double")).alias("v"))
+    means = features.mean_by_label(rows, t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label"))
+    return means.select("label", F.posexplode("v").alias("k", "x")).select("label", "k", F.round("x", 6).alias("x"))
+
+
+@query()
+def mean_component_maps(spark, d):
+    """Component scores times the mean feature vector of each group of features."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    s = spaco(spark, d)
+    c = clustering.feature_components(s)
+    rows = c.select("id", "v", array_to_vector("v").alias("features"))
+    labels = KMeans(k=len(s.values), seed=42).fit(rows).transform(rows).select("id", F.col("prediction").alias("label"))
+    return clustering.mean_projection(s, features.mean_by_label(c, labels))
