@@ -44,6 +44,45 @@ def tile_median(coo: DataFrame, grid_size: int) -> DataFrame:
     return own.join(pixels, ["tile_x", "tile_y"]).select("tile_x", "tile_y", "feature", ((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias("value"))
 
 
+def tile_aggregate(coo: DataFrame, grid_size: int, how: str = "median") -> DataFrame:
+    """As ``tile_median``, by sum, mean, min or max; pixels without the feature count as 0 here too. Values must not be negative."""
+    if how == "median":
+        return tile_median(coo, grid_size)
+    if how not in ("sum", "mean", "min", "max"):
+        raise ValueError(f"unknown aggregate {how}")
+    top = coo.agg(F.max("x"), F.max("y")).first()
+    u = 1 if top[0] is None else tile_size(int(top[0]) + 1, int(top[1]) + 1, grid_size)
+    cell = coo.groupBy("x", "y", "feature").agg(F.sum("value").alias("value")).withColumn("tile_x", F.floor(F.col("x") / u)).withColumn("tile_y", F.floor(F.col("y") / u))
+    own = cell.groupBy("tile_x", "tile_y", "feature").agg(F.sum("value").alias("s"), F.max("value").alias("hi"), F.min("value").alias("lo"), F.count(F.lit(1)).alias("k"))
+    if how in ("sum", "max"):
+        return own.select("tile_x", "tile_y", "feature", F.col("s" if how == "sum" else "hi").alias("value"))
+    pixels = coo.select("x", "y").distinct().groupBy(F.floor(F.col("x") / u).alias("tile_x"), F.floor(F.col("y") / u).alias("tile_y")).agg(F.count(F.lit(1)).alias("n"))
+    value = F.col("s") / F.col("n") if how == "mean" else F.when(F.col("k") < F.col("n"), 0.0).otherwise(F.col("lo"))
+    return own.join(pixels, ["tile_x", "tile_y"]).select("tile_x", "tile_y", "feature", value.alias("value"))
+
+
+def to_vectors(tiles: DataFrame, labels: list) -> DataFrame:
+    """id, x, y, v: a row per tile with its values in the order of ``labels``, 0 where it has none. Ids count rows of tiles, x + y * 2^31."""
+    place = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("feature")) - 1
+    held = tiles.select("tile_x", "tile_y", place.cast("int").alias("k"), "value").where("k >= 0").groupBy("tile_x", "tile_y").agg(F.collect_list(F.struct("k", "value")).alias("e"))
+    p = len(labels)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            e = batch.column(2)
+            out = np.zeros((len(batch), p))
+            row = np.repeat(np.arange(len(batch)), np.diff(e.offsets.to_numpy()))
+            flat = e.flatten()
+            out[row, flat.field("k").to_numpy()] = flat.field("value").to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(out), pa.list_(pa.float64()))], names=["x", "y", "v"])
+
+    made = held.select(F.col("tile_x").cast("long"), F.col("tile_y").cast("long"), "e").mapInArrow(run, "x long, y long, v array<double>")
+    return made.select((F.col("x") + F.col("y") * (1 << 31)).alias("id"), "x", "y", "v")
+
+
 def sparsity(peaks: DataFrame, by: str, threshold: float | None = None) -> DataFrame:
     """feature, count, occupancy, sparsity, in order of the feature. Presence is strict: intensity > threshold."""
     spots = peaks.select("x", "y").distinct().agg(F.count(F.lit(1)).alias("n"))

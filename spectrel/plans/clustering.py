@@ -86,6 +86,9 @@ def _moves(g: _Graph, part: list[int], gamma: float, order: list[int], bounds: l
                 links[part[v]] = links.get(part[v], 0.0) + w
         gain = {c: w - gamma * k * (weight[c] - (k if c == own else 0.0)) / g.total for c, w in links.items()}
         best = max(gain, key=lambda c: (gain[c], -c))
+        if bounds is None and gain[best] < -1e-12 and size[own] > 1:  # alone is better, as negative weights can make it
+            best = max(weight) + 1
+            weight[best], size[best], gain[best] = 0.0, 0, 0.0
         if best == own or gain[best] <= gain[own] + 1e-12:
             continue
         weight[own] -= k
@@ -101,15 +104,14 @@ def _moves(g: _Graph, part: list[int], gamma: float, order: list[int], bounds: l
     return moved
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, seed: int = 42, max_edges: int = 1_000_000) -> DataFrame:
+def communities(edges: DataFrame, resolution: float = 1.0, seed: int = 42, max_edges: int = 1_000_000, passes: int = 4) -> DataFrame:
     """id, label of an undirected graph (a, b, w): modularity with a resolution, by moving, refining and folding in turn.
 
-    Refined groups are connected, and folding by them lets a group split again. Labels count from 0 by size, then smallest id.
-    At most ``max_edges`` edges are gathered, else an error; loops count; weights must not be negative.
+    The result is a local optimum; among negative weights the best can be well above it. Refined groups are connected, and folding by them lets a group split again. Labels count from 0 by size, then smallest id.
+    At most ``max_edges`` edges are gathered, else an error; loops count. Weights may be negative, as similarities can be; if they
+    add up to no more than 0 there is nothing to group by, and each node is its own group.
     """
     got = _gathered(edges.select("a", "b", "w").orderBy("a", "b"), max_edges, "edges")
-    if len(got) and got["w"].min() < 0:
-        raise ValueError("negative weight")
     ids = sorted(set(got["a"]) | set(got["b"]))
     place = {k: i for i, k in enumerate(ids)}
     near: list[dict[int, float]] = [{} for _ in ids]
@@ -120,28 +122,32 @@ def communities(edges: DataFrame, resolution: float = 1.0, seed: int = 42, max_e
         else:
             near[a][b] = near[a].get(b, 0.0) + w
             near[b][a] = near[b].get(a, 0.0) + w
-    g, rng = _Graph(near, loops), np.random.default_rng(seed)
-    home, part = list(range(len(ids))), list(range(len(ids)))
-    while True:
-        size = len(g.near)
-        moved = _moves(g, part, resolution, rng.permutation(size).tolist())
-        found = [part[h] for h in home]
-        if not moved or len(set(part)) == size:
-            break
-        fine = list(range(size))
-        _moves(g, fine, resolution, rng.permutation(size).tolist(), part)
-        if len(set(fine)) == size:
-            fine = part
-        first = {}
-        for f, c in zip(fine, part, strict=True):
-            first.setdefault(f, c)
-        g, to = g.folded(fine)
-        home = [to[h] for h in home]
-        coarse = list(first.values())
-        number = {c: i for i, c in enumerate(dict.fromkeys(coarse))}
-        part = [number[c] for c in coarse]
+    whole, rng = _Graph(near, loops), np.random.default_rng(seed)
+    found = list(range(len(ids)))
+    for _ in range(passes if got["w"].sum() > 0 else 0):
+        # Each pass starts from single nodes in the groups of the one before.
+        g, home, part, before = whole, list(range(len(ids))), list(found), found
+        while True:
+            size = len(g.near)
+            moved = _moves(g, part, resolution, rng.permutation(size).tolist())
+            found = [part[h] for h in home]
+            if not moved and len(home) != size or len(set(part)) == size:
+                break
+            fine = list(range(size))
+            _moves(g, fine, resolution, rng.permutation(size).tolist(), part)
+            if len(set(fine)) == size:
+                fine = part
+            first: dict[int, int] = {}
+            for f, c in zip(fine, part, strict=True):
+                first.setdefault(f, c)
+            g, to = g.folded(fine)
+            home = [to[h] for h in home]
+            number = {c: i for i, c in enumerate(dict.fromkeys(first.values()))}
+            part = [number[c] for c in first.values()]
+        if len(set(zip(before, found, strict=True))) == len(set(before)) == len(set(found)):
+            break  # the same groups
     groups: dict[int, list] = {}
-    for k, c in zip(ids, found if ids else [], strict=True):
+    for k, c in zip(ids, found, strict=True):
         groups.setdefault(c, []).append(k)
     ranked = sorted(groups.values(), key=lambda x: (-len(x), x[0]))
     return edges.sparkSession.createDataFrame([(int(k), i) for i, x in enumerate(ranked) for k in x], "id long, label int")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spectrel.operators import features, geometry, graph, peaks
 from spectrel.plans import clustering, registration
+from spectrel.plans.analysis import Analysis
 from spectrel.plans.spaco import Spaco, significant
 from spectrel.runtime import ship
 
@@ -123,6 +124,15 @@ def tile_median(spark, d):
     return features.tile_median(coo(spark, d), 400)
 
 
+@query("""
+with c as (select l_partkey x, l_suppkey y, l_linenumber feature, sum(l_quantity) v from lineitem group by all),
+u as (select cast(ceil(1 / sqrt(400.0 / ((max(x) + 1) * (max(y) + 1)))) as bigint) u from c),
+n as (select x // u tile_x, y // u tile_y, count(distinct (x, y)) n from c, u group by 1, 2)
+select tile_x, tile_y, feature, round(sum(v) / any_value(n), 9) as value from c, u join n on n.tile_x = x // u and n.tile_y = y // u group by 1, 2, 3""")
+def tile_mean(spark, d):
+    return features.tile_aggregate(coo(spark, d), 400, "mean").withColumn("value", F.round("value", 9))
+
+
 @query("with s as (select count(distinct (l_partkey, l_suppkey)) n from lineitem) select l_linenumber as feature, count(distinct (l_partkey, l_suppkey)) as count, round(count(distinct (l_partkey, l_suppkey)) / any_value(n), 9) as occupancy, round(1 - count(distinct (l_partkey, l_suppkey)) / any_value(n), 9) as sparsity from lineitem, s where l_quantity > 10 group by 1")
 def feature_sparsity(spark, d):
     return features.sparsity(peak_table(spark, d), "peak_idx", 10).select("feature", "count", F.round("occupancy", 9).alias("occupancy"), F.round("sparsity", 9).alias("sparsity"))
@@ -464,3 +474,19 @@ def mean_component_maps(spark, d):
     rows = c.select("id", "v", array_to_vector("v").alias("features"))
     labels = KMeans(k=len(s.values), seed=42).fit(rows).transform(rows).select("id", F.col("prediction").alias("label"))
     return clustering.mean_projection(s, features.mean_by_label(c, labels))
+
+
+def analysis(spark, d) -> Analysis:
+    """Fifty features over tiles of parts by suppliers; means, since most medians of these tables are 0."""
+    rows = t(spark, d, "lineitem").select(F.col("l_partkey").alias("x"), F.col("l_suppkey").alias("y"), F.col("l_quantity").cast("int").alias("feature"), F.col("l_extendedprice").alias("value"))
+    return Analysis(rows, 400, "mean", 30)
+
+
+@query()
+def peaks_to_tests(spark, d):
+    return analysis(spark, d).tests()
+
+
+@query()
+def peaks_to_communities(spark, d):
+    return analysis(spark, d).communities()
