@@ -90,9 +90,9 @@ def type_coercion(spark, d):
     return t(spark, d, "events").select("event_id", peaks.coerce("event_type").alias("a"), peaks.coerce("value").alias("b"))
 
 
-@query("select user_id, event_id from (select *, count(*) over (partition by user_id) k from events) where k >= 10")
+@query("select user_id, event_id from (select *, count(*) over (partition by user_id) k from events) where k >= 66")
 def group_size_filter(spark, d):
-    return peaks.by_size(t(spark, d, "events"), 10, "user_id").select("user_id", "event_id")
+    return peaks.by_size(t(spark, d, "events"), 66, "user_id").select("user_id", "event_id")
 
 
 @query(CLUSTERS + ", k as (select g.*, l_partkey x, l_suppkey y from g join lineitem on l_orderkey = pixel_id and l_linenumber = peak_idx and l_extendedprice = mz where k >= 10) select x, y, sum(case when cluster_label = (select min(cluster_label) from k) then intensity end) as value from k group by 1, 2")
