@@ -9,7 +9,8 @@ Two rules hold for the tokenizer files used here, and each gives chunks whose id
 
 Added tokens contain no white space, so they stay inside one chunk under either rule.
 
-A chunk of letters, or of letters and one mark of ``MARKS``, is one pre-token, or that and the mark's. Letter chunks that are
+A chunk of letters, or of letters and one mark of ``MARKS``, is one pre-token, or that and the mark's, if the letters are still
+letters once normalised (a few become a letter and a combining mark, which the mark after it joins). Letter chunks that are
 new are encoded many at a time in one text, whose ids are cut where a pre-token ends (``dropped``: the piece that carries
 the end-of-word suffix) or begins (``leading``: the piece that carries the blank); if the number of cuts is not that of the
 chunks, they are encoded one by one, as all other chunks are.
@@ -51,6 +52,7 @@ class Chunks:
 
     def __init__(self, data: bytes, leading: bool, counts_only: bool = False):
         self.tokenizer, self.leading, self.counts_only = load(data), leading, counts_only
+        self.normalizer = self.tokenizer.normalizer
         self.first: dict = {}
         self.rest: dict = {}
         self.stems: dict = {}
@@ -79,6 +81,10 @@ class Chunks:
         raw, cuts = ids.tobytes(), (cuts * 4).tolist()
         return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
+    def _plain(self, stem: str) -> bool:
+        """Whether these are letters, and still are once normalised."""
+        return stem.isalpha() and (stem.isascii() or self.normalizer is None or self.normalizer.normalize_str(stem).isalpha())
+
     def _fill(self, cache: dict, wanted: list[str], blank: str) -> dict:
         """Values of the wanted chunks. All but long ones go into the cache."""
         stems, out, parts, others = self.stems, {}, [], []
@@ -86,7 +92,7 @@ class Chunks:
         for chunk in wanted:
             mark = chunk[-1:] if chunk[-1:] in self.marks else ""
             stem = chunk[:-1] if mark else chunk
-            if stem.isalpha() and len(chunk) <= LONGEST and (blank or not self.leading):
+            if len(chunk) <= LONGEST and (blank or not self.leading) and self._plain(stem):
                 parts.append((chunk, stem, mark))
                 if stem not in stems:
                     new[stem] = None

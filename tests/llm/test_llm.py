@@ -50,6 +50,21 @@ def test_chunks_equal_library(name, leading):
     assert wordcache.Chunks(data, leading, True).encode(texts) == [len(w) for w in want]
 
 
+@pytest.mark.parametrize(("name", "leading"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_letters_that_normalise_to_marks_equal_library(name, leading):
+    from tokenizers import Tokenizer
+
+    odd = [0x130, *range(0x958, 0x960), 0x9DC, 0x9DD, 0x9DF, 0xFB1D, *range(0xFB2A, 0xFB4F)]
+    stems = [s for c in map(chr, odd) if c.isalpha() for s in (f"ka{c}", f"{c}ka", f"K{c}{c}", f"k{c}a")] + ["café", "ΟΔΟΣ", "STRASSE"]
+    texts = [f"x {s}{m} y" for s in stems for m in ("", *wordcache.MARKS)]
+    want = [e.ids for e in Tokenizer.from_file(P.path(name)).encode_batch(texts, add_special_tokens=False)]
+    data = open(P.path(name), "rb").read()
+    for given in (texts, [" ".join(texts)]):
+        whole = want if given is texts else [Tokenizer.from_file(P.path(name)).encode(given[0], add_special_tokens=False).ids]
+        assert [np.frombuffer(x, "<u4").tolist() for x in wordcache.Chunks(data, leading).encode(given)] == whole
+        assert wordcache.Chunks(data, leading, True).encode(given) == [len(w) for w in whole]
+
+
 def test_packing_covers_each_id_once(spark, docs):
     from tokenizers import Tokenizer
 
