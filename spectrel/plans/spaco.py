@@ -121,7 +121,8 @@ class Spaco:
         r = int(np.searchsorted(np.cumsum(values) / values.sum(), keep)) + 1
         self.whitener = vectors[:, :r] / np.sqrt(values[:r])
         self.white = settled(apply_l(times(self.features, self.whitener), edges, self.n))
-        lam, self.all_vectors = np.linalg.eigh(gram(self.white, "v", "lv"))
+        self.form = gram(self.white, "v", "lv")
+        lam, self.all_vectors = np.linalg.eigh(self.form)
         self.all_values, self.all_vectors = lam[::-1], self.all_vectors[:, ::-1]
         self.set_cut(float(np.median(self.all_values)) if cut is None else cut)
 
@@ -215,9 +216,29 @@ class Spaco:
         """(id, v): the component scores V_k."""
         return times(self.white.select("id", "v"), self.loadings)
 
+    def orthonormal(self, tol: float = float(np.sqrt(np.finfo(float).eps))) -> np.ndarray:
+        """Loadings whose scores are L-orthonormal: Gram-Schmidt over the kept components in their order, from their L-Gram alone.
+
+        Near-null components are skipped; none left, or a negative form (no norm), is an error. The scores V_k are L-orthonormal
+        already if the edges are symmetric, but not if they are directed.
+        """
+        g = self.loadings.T @ self.form @ self.loadings
+        basis: list[np.ndarray] = []
+        for v in np.eye(len(g)):
+            for q in basis:
+                v = v - (q @ g @ v) * q
+            square = float(v @ g @ v)
+            if square < -(tol**2):
+                raise ValueError("a component has a negative form under L, so it has no L-norm")
+            if square >= tol**2:
+                basis.append(v / np.sqrt(square))
+        if not basis:
+            raise ValueError("all components are null or near-null under L")
+        return self.loadings @ np.stack(basis, axis=1)
+
     def sigma(self) -> np.ndarray:
-        """Eigenvalues of S' L L S for the kept components."""
-        scores = settled(apply_l(self.projection(), self.edges, self.n))
+        """Eigenvalues of S' L L S for S, the L-orthonormal scores of the kept components."""
+        scores = settled(apply_l(times(self.white.select("id", "v"), self.orthonormal()), self.edges, self.n))
         flipped = self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
         back = apply_l(scores.select("id", "v"), flipped, self.n).select("id", F.col("lv").alias("a"))
         return np.linalg.eigvalsh(gram(back.join(scores.select("id", F.col("lv").alias("b")), "id")))

@@ -77,6 +77,44 @@ def test_spaco_is_l_orthonormal(spark, sf):
     assert len(s.values) <= few
 
 
+def directed(spark):
+    """Components over a directed graph, the table, and the dense L, scores and standardised features, made without Spark's sums."""
+    from spectrel.operators import graph
+    from spectrel.plans.spaco import Spaco
+
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(90, 6)) + np.arange(90)[:, None] * [0.05, 0.03, 0, 0, 0, 0]
+    made = spark.createDataFrame([(i, float(i % 10), float(i // 10), [*map(float, v[i]), 1.0]) for i in range(90)], "id long, x double, y double, v array<double>")
+    edges = graph.knn(made.select("id", "x", "y"), 5)
+    s = Spaco(made.select("id", "v"), edges, keep=0.9)
+    a = np.zeros((90, 90))
+    for e in edges.collect():
+        a[e.src, e.dst] = e.w
+    assert not np.allclose(a, a.T)
+    lap, z = np.eye(90) / 90 + a / np.abs(a).sum(), (v - v.mean(axis=0)) / v.std(axis=0)
+    return s, made.select("id", "v"), lap, z @ s.whitener @ s.loadings, z
+
+
+def test_sigma_of_a_directed_graph(spark):
+    s, _, lap, vk, _ = directed(spark)
+    assert vk.shape[1] >= 3 and np.abs(vk.T @ lap @ vk - np.eye(vk.shape[1])).max() > 1e-3
+    basis = []
+    for v in vk.T:
+        for q in basis:
+            v = v - (q @ lap @ v) * q
+        basis.append(v / np.sqrt(v @ lap @ v))
+    q = np.stack(basis, axis=1)
+    want, raw = (np.linalg.eigvalsh(m.T @ lap @ lap @ m) for m in (q, vk))
+    assert np.allclose(s.sigma(), want, rtol=1e-9) and not np.allclose(want, raw, rtol=1e-4)
+    for r in s.test().collect():
+        assert r.p_value == pytest.approx(1 - imhof_cdf(r.stat, want), abs=1e-6)
+    s.loadings = np.column_stack([s.loadings[:, 0], s.loadings[:, 0], s.loadings[:, 1]])
+    assert s.orthonormal().shape[1] == 2
+    s.loadings = s.loadings[:, :1] * 0
+    with pytest.raises(ValueError):
+        s.orthonormal()
+
+
 def test_imzml_round_trip(spark, tmp_path):
     spectra = [(1, 1, [1.0, 2.0], [5.0, 6.0]), (2, 1, [3.0], [7.0])]
     data, items = b"\0" * 16, ""
