@@ -216,6 +216,11 @@ class Spaco:
         """(id, v): the component scores V_k."""
         return times(self.white.select("id", "v"), self.loadings)
 
+    def projected(self) -> DataFrame:
+        """(id, v): the standardised columns that vary, projected onto the components: V_k (V_k' (L F)), by one k-by-p matrix."""
+        lf = apply_l(self.features, self.edges, self.n).select("id", F.col("lv").alias("b"))
+        return times(self.projection(), gram(self.projection().withColumnRenamed("v", "a").join(lf, "id")))
+
     def orthonormal(self, tol: float = float(np.sqrt(np.finfo(float).eps))) -> np.ndarray:
         """Loadings whose scores are L-orthonormal: Gram-Schmidt over the kept components in their order, from their L-Gram alone.
 

@@ -417,6 +417,19 @@ def spaco_projection(spark, d):
     return spaco(spark, d).projection()
 
 
+@query()
+def spaco_projected_features(spark, d):
+    """The standardised features projected onto the kept components."""
+    return spaco(spark, d).projected()
+
+
+@query()
+def spaco_loadings(spark, d):
+    """A row per whitened direction: its loadings on the kept components."""
+    rows = [(i, list(map(float, r))) for i, r in enumerate(spaco(spark, d).loadings)]
+    return spark.createDataFrame(rows, "direction int, v array<double>")
+
+
 @query()
 def spaco_test(spark, d):
     return spaco(spark, d).test()

@@ -115,6 +115,17 @@ def test_sigma_of_a_directed_graph(spark):
         s.orthonormal()
 
 
+def test_projected_features_equal_dense(spark, sf):
+    s, _, lap, vk, z = directed(spark)
+    got = np.array([r.v for r in s.projected().orderBy("id").collect()])
+    assert got.shape == (90, 6) and np.allclose(got, vk @ vk.T @ lap @ z)
+    n = len(queries.t(spark, sf, "embeddings").select("vec_id").collect())
+    rows = queries.QUERIES["spaco_projected_features"](spark, sf).collect()
+    assert len({r.id for r in rows}) == n and {len(r.v) for r in rows} == {64}
+    s, loadings = queries.spaco(spark, sf), queries.QUERIES["spaco_loadings"](spark, sf).orderBy("direction").collect()
+    assert np.allclose(np.abs([r.v for r in loadings]), np.abs(s.loadings), atol=1e-6)
+
+
 def test_imzml_round_trip(spark, tmp_path):
     spectra = [(1, 1, [1.0, 2.0], [5.0, 6.0]), (2, 1, [3.0], [7.0])]
     data, items = b"\0" * 16, ""
