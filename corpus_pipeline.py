@@ -31,14 +31,26 @@ def keep_regular(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of five-word shingles at a similarity of 0.8: the one with the smallest id.
+    """One document of each component of five-word shingles at a similarity of 0.8: the one with the smallest id, null last.
 
-    Documents without words stay. Of rows that repeat an id one stays; rows with null ids stay as one row.
+    Documents without words stay. Only rows that agree in both id and text count as one document: where an id is null or
+    repeated, the join gets row numbers of a stored copy instead of ids, so rows with other texts are told apart.
     """
     docs = docs.select(COLUMNS)
-    classes, _ = jaccard.join(docs, n=5, num=80, den=100)
-    stay = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi").dropDuplicates(["doc_id"])
+    if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        classes, _ = jaccard.join(docs, n=5, num=80, den=100)
+        stay = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_stay"))
+        return docs.join(stay, F.col("doc_id") == F.col("_stay"), "left_semi")
+    docs = store(docs.withColumn("_row", F.monotonically_increasing_id()), "distinct-rows")
+    classes, _ = jaccard.join(docs, n=5, num=80, den=100, doc_id="_row")
+    # Texts without words alone are needed beside the ids, so that no other text is shuffled.
+    blank = F.when(~F.col("text").rlike(r"[^\x09-\x0d ]"), F.col("text")).alias("_blank")
+    classes = classes.select(F.col("doc_id").alias("_row"), "component_id", (F.col("n_shingles") > 0).alias("_words"))
+    found = docs.select("_row", "doc_id", blank).join(classes, "_row")
+    alone = [F.when(~F.col("_words"), F.col(c)) for c in ("doc_id", "_blank")]
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"]
+    stay = found.groupBy(F.when(F.col("_words"), F.col("component_id")), *alone).agg(first.alias("_stay")).select("_stay")
+    return docs.join(stay, F.col("_row") == F.col("_stay"), "left_semi").select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -113,6 +113,17 @@ def test_stages_on_odd_tables(spark, folder):
     assert Counter(r.doc_id for r in left) == {0: 1, 1: 1, 96: 1}
 
 
+def test_distinct_keeps_other_texts_of_null_and_repeated_ids(spark):
+    a, b, c, e = TEXTS[0], TEXTS[1], TEXTS[2], TEXTS[3]
+    near = a.replace(a.split(" ")[30], "edited", 1) if len(a.split()) > 100 else a + " edited"
+    given = [(None, a), (None, b), (None, b), (7, c), (7, e), (7, e), (3, near), (None, ""), (None, ""), (None, None), (8, ""), (8, ""), (9, "")]
+    docs = spark.createDataFrame([(k, t, "en", "web", None, "clash", -1, "clash", "clash") for k, t in given], SCHEMA)
+    left = corpus_pipeline.keep_distinct(spark, docs, "")
+    assert left.columns == corpus_pipeline.COLUMNS
+    want = [(3, near), (None, b), (7, c), (7, e), (None, ""), (None, None), (8, ""), (9, "")]
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter(want)
+
+
 def test_whole_pipeline_on_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "labels"):
         table(spark, folder, name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
