@@ -450,7 +450,7 @@ def significant_features(spark, d):
 def adaptive_components(spark, d):
     """Scores of the components above the cut that permutations give."""
     s = spaco(spark, d)
-    s.set_cut(s.adaptive_cut(rounds=20))
+    s.set_cut(s.adaptive_cut())
     return s.projection()
 
 

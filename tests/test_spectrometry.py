@@ -126,6 +126,30 @@ def test_projected_features_equal_dense(spark, sf):
     assert np.allclose(np.abs([r.v for r in loadings]), np.abs(s.loadings), atol=1e-6)
 
 
+def given_to(monkeypatch, owner, name):
+    """What each call of a function gets, defaults included."""
+    import inspect
+
+    real, seen = getattr(owner, name), []
+
+    def call(*a, **k):
+        bound = inspect.signature(real).bind(*a, **k)
+        bound.apply_defaults()
+        seen.append(bound.arguments)
+        return real(*a, **k)
+
+    monkeypatch.setattr(owner, name, call)
+    return seen
+
+
+def test_adaptive_query_runs_all_rounds(spark, sf, monkeypatch):
+    from spectrel.plans.spaco import Spaco
+
+    seen = given_to(monkeypatch, Spaco, "adaptive_cut")
+    queries.QUERIES["adaptive_components"](spark, sf)
+    assert [s["rounds"] for s in seen] == [1000]
+
+
 def test_imzml_round_trip(spark, tmp_path):
     spectra = [(1, 1, [1.0, 2.0], [5.0, 6.0]), (2, 1, [3.0], [7.0])]
     data, items = b"\0" * 16, ""
