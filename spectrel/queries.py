@@ -334,7 +334,7 @@ def registered_map(spark, d):
     """Landmarks, refinement on the image itself and its mask, spline, and the map of all tissue pixels."""
     p = pixels(spark, d)
     size = (height(p), 100)
-    return registration.Registration(MARKS, MARKS + np.array([2.0, 1.0]), p, p, size, size, rounds=30).coordinate_map(p, threshold=0.5)
+    return registration.Registration(MARKS, MARKS + np.array([2.0, 1.0]), p, p, size, size).coordinate_map(p, threshold=0.5)
 
 
 @query()

@@ -150,6 +150,14 @@ def test_adaptive_query_runs_all_rounds(spark, sf, monkeypatch):
     assert [s["rounds"] for s in seen] == [1000]
 
 
+def test_map_query_runs_all_rounds(spark, sf, monkeypatch):
+    from spectrel.plans import registration
+
+    seen = given_to(monkeypatch, registration, "simplex_search")
+    queries.QUERIES["registered_map"](spark, sf)
+    assert [s["rounds"] for s in seen] == [100]
+
+
 def test_imzml_round_trip(spark, tmp_path):
     spectra = [(1, 1, [1.0, 2.0], [5.0, 6.0]), (2, 1, [3.0], [7.0])]
     data, items = b"\0" * 16, ""
