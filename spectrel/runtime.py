@@ -26,10 +26,20 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``. Unset, it is a temporary folder on ``local[*]`` and an error elsewhere, as executors don't share theirs."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = os.path.join(tempfile.gettempdir(), f"spectrel-{os.getpid()}")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(found)
+    return found
+
+
 def settled(df):
     """Materialise in the shared checkpoint folder: rows keep their partitions, lineage is cut, lost executors cost nothing."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(found or os.path.join(tempfile.gettempdir(), f"spectrel-{os.getpid()}"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
