@@ -2,27 +2,21 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectrel.runtime import ship
+from spectrel.runtime import shared_folder, ship
 
 #: Rows in one Arrow batch. Texts can be long, so that batches are kept far below Spark's default of 10,000 rows.
 BATCH_ROWS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = os.path.join(tempfile.gettempdir(), f"spectrel-{os.getpid()}")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or on ``local[*]`` a temporary one where that is unset."""
+    return shared_folder(spark).rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -35,7 +29,17 @@ def store(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete the tables of ``store`` from which nothing will be read any more: what was made of them is written already."""
+    for df in stored:
+        spark, path = df.sparkSession, df._stored_at
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectrel.llm import bpe, chat, fingerprint, jaccard, langid, lm, packing, quality, rules, token_counts
+from spectrel.llm import bpe, chat, fingerprint, jaccard, langid, lm, packing, quality, rules, rules_sql, token_counts
 from spectrel.llm.base import fold, fresh_path, need, table
 
 
@@ -60,54 +60,7 @@ def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents")).drop("d2")
 
 
-def _nested(source: str, steps) -> str:
-    """SQL that adds each column in turn, so that it may use those before it."""
-    sql = f"select * from {source}"
-    for name, expression in steps:
-        sql = f"select *, {expression} as {name} from ({sql})"
-    return sql
-
-
-def _op6_sql(c_steps: int = 4, min_group: int = 50) -> str:
-    group = "level, g_lang, g_source"
-    keep = ", ".join([group, "n_docs", *[f"m{i}" for i in range(1, rules.P + 1)], *[n for n, _ in rules.cholesky_sql()]])
-    stats = ", ".join(rules.STATS)
-    parts = [
-        r"""w as materialized (select row_number() over () as rid, doc_id, coalesce(text, '') as text, lang, source,
-          list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents)""",
-        "p as (select rid, unnest(range(len(w) - 2)) as i, w from w where len(w) >= 3)",
-        "g as materialized (select rid, i, w[i + 1] as a, w[i + 2] as b, w[i + 3] as c from p)",
-        "d as (select rid, i from (select rid, i, count(*) over (partition by rid, a, b, c) as k from g) where k > 1)",
-        "q as (select rid, count(distinct i + j) as n_repeat_words from d, (select unnest([0, 1, 2]) as j) group by rid)",
-        r"""b as materialized (select rid, doc_id, coalesce('=' || lang, 'null') as k_lang, coalesce('=' || source, 'null') as k_source, cast(len(w) as bigint) as n_words,
-          cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars,
-          cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
-          cast(length(text) - length(regexp_replace(text, '[A-ZÀ-ÖØ-Þ]', '', 'g')) as bigint) as n_capitals,
-          cast(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) as bigint) as n_dup_lines,
-          cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words from w left join q using (rid))""",
-        "s as materialized (select *, " + ", ".join(f"case when n_words > 0 then {rules.stat_sql(x)} else 0 end as {x}" for x in rules.STATS) + " from b)",
-        f"r as materialized (select 2 as level, k_lang as g_lang, k_source as g_source, {stats} from s where n_words > 0 union all select 1, k_lang, '', {stats} from s where n_words > 0 union all select 0, '', '', {stats} from s where n_words > 0)",
-        f"start as (select {group}, count(*) as n_docs, " + ", ".join(f"quantile_cont(cast({x} as double), 0.5) as m{i}" for i, x in enumerate(rules.STATS, 1)) + f" from r group by {group})",
-        f"e0 as materialized (select {keep} from (" + _nested("start", [*rules.start_sql().items(), *rules.cholesky_sql()]) + "))",
-    ]
-    for k in range(1, c_steps + 1):
-        parts += [
-            f"b{k} as materialized (select {group}, n_docs, {stats}, {rules.BIN_SQL} as bin from (" + _nested(f"(select r.*, e.* exclude ({group}) from r join e{k - 1} e using ({group}))", rules.distance_sql()) + "))",
-            f"h{k} as (select {group}, quantile_disc(bin, 0.5) as half from b{k} group by {group})",
-            f"t{k} as (select {group}, cast(count(*) as double) as n, min(n_docs) as n_docs, " + ", ".join([f"cast(sum(s{i}) as double) as t{i}" for i in range(1, rules.P + 1)] + [f"cast(sum(s{i} * s{j}) as double) as t{i}{j}" for i, j in rules.pairs()]) + f" from b{k} join h{k} using ({group}) where bin <= half group by {group})",
-            f"e{k} as materialized (select {keep} from (" + _nested(f"t{k}", [*rules.moment_sql().items(), *rules.cholesky_sql()]) + "))",
-        ]
-    parts += [
-        f"v as materialized (select s.*, case when o.n_docs >= {min_group} then 2 when l.n_docs >= {min_group} then 1 else 0 end as level from s left join e{c_steps} o on o.level = 2 and o.g_lang = k_lang and o.g_source = k_source left join e{c_steps} l on l.level = 1 and l.g_lang = k_lang)",
-        f"x as (select v.*, e.* exclude ({group}) from v left join e{c_steps} e on e.level = v.level and e.g_lang = case when v.level > 0 then k_lang else '' end and e.g_source = case when v.level = 2 then k_source else '' end)",
-        "y as (" + _nested("x", rules.distance_sql()) + ")",
-    ]
-    return "with " + ",\n".join(parts) + f"""
-        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
-          not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and coalesce(d2 <= {rules.CUTOFF}, false) as kept from y"""
-
-
-OP6_SQL = _op6_sql()
+OP6_SQL = rules_sql.op6()
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
