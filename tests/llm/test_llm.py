@@ -138,21 +138,59 @@ def test_reply_tree(spark):
     assert chat.format_trees(df.limit(0)).count() == 0
 
 
-def test_lm_equals_counts(spark, docs):
-    rows = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    got = {r.doc_id: r for r in lm.score(rows, fold("doc_id", 7) == 2).collect()}
-    split = [(r.doc_id, (r.text or "").encode().lower().split() + [1]) for r in rows.collect()]
-    out = lambda k: zlib.crc32(str(k).encode()) % 7 == 2
-    c = Counter(w for k, t in split if not out(k) for w in t)
-    b = Counter(p for k, t in split if not out(k) for p in zip([0, *t[:-1]], t, strict=True))
-    n, v, c[0] = sum(c.values()), len(c), c[1]
-    for k, t in split:
-        want = 0.0
-        for u, w in zip([0, *t[:-1]], t, strict=True):
-            a = 0.6 * c[u] / (c[u] + 2)
-            want += math.log10((a * b[u, w] / c[u] if c[u] else 0) + (1 - a) * (c[w] + 1) / (n + v + 1))
-        assert got[k].score == pytest.approx(want) and got[k].train_tokens == n and got[k].n_tokens == len(t)
+def lm_by_counts(split, trains, order):
+    """Scores from plain counts of tuples, word by word."""
+    counts, begin, end = Counter(), "<begin>", "<end>"
+    padded = [[begin, *words, end] for words in split]
+    for words, train in zip(padded, trains, strict=True):
+        if train:
+            for k in range(1, order + 1):
+                counts.update(tuple(words[i : i + k]) for i in range(len(words) - k + 1) if words[i : i + k] != [begin])
+    counts[begin,] = counts[end,]
+    n = sum(c for g, c in counts.items() if len(g) == 1 and g != (begin,))
+    v = sum(c > 0 for g, c in counts.items() if len(g) == 1 and g != (begin,))
+
+    def p(history, w):
+        if not history:
+            return (counts[w,] + 1) / (n + v + 1)
+        c = counts[history]
+        x = max(0.0, c - lm.HELD)
+        a = lm.WEIGHT * x / (x + lm.DAMP)
+        return (a * counts[*history, w] / c if c else 0) + (1 - a) * p(history[1:], w)
+
+    return n, [sum(math.log10(p(tuple(words[max(0, i - order + 1) : i]), words[i])) for i in range(1, len(words))) for words in padded]
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_equals_counts(spark, docs, order, monkeypatch):
+    monkeypatch.setattr(lm, "SEGMENT", 7)
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 2000)  # several blocks and ranges
+    more = spark.createDataFrame([(100 + i, " ".join(f"w{(i * j * j) % 9}" for j in range(i * 5))) for i in range(12)], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").unionByName(more).repartition(4)
+    out = lambda k: zlib.crc32(("" if k is None else str(k)).encode()) % 7 == 2
+    given = [(r.doc_id, (r.text or "").encode().lower().split()) for r in rows.collect()]
+    n, want = lm_by_counts([t for _, t in given], [not out(k) for k, _ in given], order)
+    got = lm.score(rows, fold("doc_id", 7) == 2, order).collect()
+    assert {r.train_tokens for r in got} == {n} and len(got) == len(given)  # the row that repeats counts twice
+    tell = lambda k, m, s: (-1 if k is None else k, m, round(s, 6))
+    assert sorted(tell(r.doc_id, r.n_tokens, r.score) for r in got) == sorted(tell(k, len(t) + 1, s) for (k, t), s in zip(given, want, strict=True))
+
+
+def test_lm_edges(spark, docs):
     assert lm.score(docs.limit(0), F.lit(False)).count() == 0
+    assert {(r.train_tokens, r.base_score, r.score) for r in lm.score(docs, F.lit(True)).collect()} == {(0, 0.0, 0.0)}
+    with pytest.raises(ValueError):
+        lm.score(docs, F.lit(False), 0)
+
+
+def test_lm_requests_grow_as_the_blocks(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 20_000)
+    many = lambda n: spark.range(n).select(F.col("id").alias("doc_id"), F.lit(False).alias("held_out"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(400)), lambda i: F.hash("id", i).cast("string"))).alias("text")).coalesce(1)
+    small, large = lm.blocks(many(64)), lm.blocks(many(128))
+    a, b = small.count(), large.count()
+    assert (a, b) == (2, 4) and lm.requests(large, 5, 3).count() == 5 * b and lm.requests(small, 5, 3).count() == 5 * a
+    grams = 64 * 401 * 3
+    assert lm.requests(small, 100_000, 3).count() <= grams  # no row is empty
 
 
 def test_fingerprint_is_a_multiset(spark, docs):
