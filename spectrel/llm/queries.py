@@ -31,7 +31,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "</s>[INST] ok [/INST]"
     turns = need(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(own).alias("text"))
-    read = chat.read_back(chat.format_trees(chat.chain(turns.unionByName(extra)), top_k=1))
+    read = chat.read_back(chat.format_trees(chat.chain(turns.unionByName(extra)), top_k=1, no_repeats=True))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"),

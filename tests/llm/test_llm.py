@@ -131,13 +131,48 @@ def test_reply_tree(spark):
     assert [(t.role, t.text) for t in got["c", 4].turns] == [("user", "hi & <|end|>\n"), ("assistant", "better"), ("user", "")]
     assert got["c", 4].branch_rank == 1 and got["c", 2].loss_text == "a|[b]" and got[None, 1].loss_text == ""
     ring = spark.createDataFrame([("r", 1, 2, "u", "", 0.0), ("r", 2, 1, "u", "", 0.0)], df.schema)
-    chat.MAX_DOUBLINGS, old = 4, chat.MAX_DOUBLINGS
     with pytest.raises(ValueError):
-        chat.paths(ring)
-    chat.MAX_DOUBLINGS = old
+        chat.format_trees(ring)
     assert chat.format_trees(df.limit(0)).count() == 0
 
 
+def test_reply_trees_equal_walk(spark):
+    """Random trees with ties, missing parents, repeated rows, extra columns, and one long trunk with a leaf at each message."""
+    import random
+
+    rng, rows = random.Random(5), []
+    for c in range(6):
+        for node in range(rng.randrange(1, 40)):
+            rows.append((f"c{c}", node, rng.choice([None, 999, *range(node)]) if node else None, rng.choice(["user", "assistant"]), f"t{node}", float(rng.randrange(3)), "x"))
+    trunk = 150
+    for k in range(trunk):
+        rows += [("trunk", 2 * k, 2 * k - 2 if k else None, "user", f"m{k}", 0.0, "x"), ("trunk", 2 * k + 1, 2 * k, "assistant", f"l{k}", float(k % 7), "x")]
+    rows += [rows[3], ("c1", None, None, "user", "no node", 9.0, "x"), (rows[5][0], rows[5][1], 10**6, "zz", "other", 9.0, "y")]
+    df = spark.createDataFrame(rows, "conv_id string, node_id long, parent_id long, role string, text string, score double, _c string")
+    nodes = {}
+    for c, node, parent, role, text, score, _ in rows:
+        if node is not None:
+            low = lambda r: tuple((x is not None, x) for x in r)
+            nodes[c, node] = min(nodes.get((c, node), (parent, role, text, score)), (parent, role, text, score), key=low)
+    want = {}
+    for c in {c for c, _ in nodes}:
+        own = {n: v for (k, n), v in nodes.items() if k == c}
+        inner, best = {v[0] for v in own.values()}, []
+        for leaf in sorted(set(own) - inner):
+            path, at = [], leaf
+            while at in own:
+                path.insert(0, at)
+                at = own[at][0]
+            best.append((-sum(own[n][3] for n in path), leaf, path))
+        for rank, (score, leaf, path) in enumerate(sorted(best)[:3], 1):
+            want[c, leaf] = (rank, -score, [own[n][1:3] for n in path])
+    found = chat.read_back(chat.format_trees(df, top_k=3)).collect()
+    assert {(r.conv_id, r.leaf_id): (r.branch_rank, r.branch_score, [(t.role, t.text) for t in r.turns]) for r in found} == want and len(found) == len(want)
+    tops, steps = chat.climb(chat.single(df.drop("_c")))
+    chosen = tops.where("leaf and conv_id = 'trunk' and depth = 150").select("conv_id", F.col("node_id").alias("leaf_id"))
+    assert chat.paths(chosen, steps).count() == 151  # rows of the chosen path alone
+
+
 def lm_by_counts(split, trains, order):
     """Scores from plain counts of tuples, word by word."""
     counts, begin, end = Counter(), "<begin>", "<end>"
