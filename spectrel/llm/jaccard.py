@@ -9,15 +9,18 @@ insertion or deletion for two. By the pigeonhole principle sets that are similar
 ``allocation`` chooses for each band, by cost (signatures written, and chance agreements of short segments), how many
 segments get the one-deletion neighbourhood; m follows from that. A set writes all signatures of its own band, and in the
 band below as many of the fullest segments as its own H there asks for. Equal sets are reduced to one representative
-before. Signatures that meet are paired with the smallest document of theirs (a star, not all pairs), pairs are thinned by
-sizes and by the distance of parity sketches (a lower bound of the true distance), and what is left is verified
-exactly on the texts. Pairs of a signature that its star does not settle, because its documents are still in different
-components, are searched in blocks of ``BLOCK`` by block inside tasks, by the same bound, then verified too. So no link
-between components is missed, at any group size.
+before. Signatures that occur once are left out by a count that is combined before the shuffle. Documents of the others are
+paired with the smallest document of their signature (a star, not all pairs), pairs are thinned by sizes and by the distance of
+parity sketches (a lower bound of the true distance), and what is left is verified exactly on the texts. Pairs of a signature
+that its star does not settle, because its documents are still in different components, are searched block by block inside tasks,
+by the same bound, then verified too; a signature has blocks of about ``BLOCK`` documents, dealt by a hash. So no link between
+components is missed, at any group size, and no task holds all documents of a signature: those meet their group's figures
+in joins, whose hot keys Spark splits.
 
 Defined cases: a document without words or with null text has the empty set, is linked with nothing and is its own
-component; with fewer than n words the whole sequence is its one shingle; rows that repeat a doc_id count as one
-document; a null doc_id gets the component of its equals, null if there are none; an empty table gives an empty result.
+component; with fewer than n words the whole sequence is its one shingle; rows that repeat a doc_id are one document that has
+each of their sets, and links by any of them; a null doc_id gets the component of its equals, null if there are none; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,10 +33,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectrel.llm.base import need, small_batches, store, texts_of
+from spectrel.llm.base import discard, need, small_batches, store
 
 #: A sketch has as many bits as the set has tokens, rounded up to a power of two, within these.
 LEAST_BITS, MOST_BITS = 256, 1 << 17
@@ -199,13 +202,13 @@ def thin(pairs: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
     counted = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     apart = F.when(F.size("x") == F.size("y"), counted).otherwise(F.lit(0))
     close = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
-    return both.where(close).where(apart <= F.floor((den - num) * (F.col("n_a") + F.col("n_b")) / (den + num))).select("a", "b")
+    return both.where(close).where(apart <= F.floor((den - num) * (F.col("n_a") + F.col("n_b")) / (den + num))).select("a", "b").distinct()
 
 
 def verify(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs whose sets are similar, by their texts."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = docs.join(wanted, "doc_id", "left_semi").distinct()
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = both.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
@@ -213,15 +216,15 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> Dat
         last, found = None, np.empty(0, _U)
         for batch in batches:
             keep = []
-            for a, ta, tb in zip(batch.column("a").to_pylist(), batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
-                if a != last:
-                    last, found = a, shingles(ta, n)
+            for ta, tb in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
+                if ta != last:
+                    last, found = ta, shingles(ta, n)
                 other = shingles(tb, n)
                 common = len(np.intersect1d(found, other, assume_unique=True))
                 keep.append(den * common >= num * (len(found) + len(other) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -232,7 +235,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     tasks = max(1, -(-links.count() // LINKS_A_TASK))
     edges = store(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(tasks), "jaccard-edges")
-    labels = store(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")).coalesce(tasks), "jaccard-labels")
+    labels = held = store(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")).coalesce(tasks), "jaccard-labels")
     while True:
         seen = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("m"))
         step = labels.join(seen.withColumnRenamed("a", "node"), "node", "left").select("node", F.col("component").alias("old"), F.least("component", "m").alias("component"))
@@ -240,8 +243,10 @@ def components(links: DataFrame) -> DataFrame:
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
         new = store(step.join(jump, "component", "left").select("node", "old", F.least("component", "further").alias("component")).coalesce(tasks), "jaccard-labels")
         changed = not new.where("component <> old").isEmpty()
-        labels = new.drop("old")
+        discard(held)
+        labels, held = new.drop("old"), new
         if not changed:
+            discard(edges)
             return labels
 
 
@@ -249,10 +254,10 @@ def _unsettled(hits: DataFrame, parts: DataFrame, sizes: DataFrame, num: int, de
     """Pairs that share a signature, are in different components and were in no star; searched block by block."""
     named = hits.join(parts, hits["doc_id"] == parts["node"], "left").drop("node")
     named = named.withColumn("component", F.coalesce("component", "doc_id"))
-    mixed_groups = named.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
-    rows = named.join(mixed_groups, "sig").join(sizes, "doc_id").select("sig", "doc_id", "kind", "leader", "component", "n_shingles", "sketch")
-    place = Window.partitionBy("sig").orderBy("doc_id")
-    rows = rows.withColumn("block", F.floor((F.row_number().over(place) - 1) / BLOCK)).withColumn("last", F.max("block").over(Window.partitionBy("sig")))
+    mixed_groups = named.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size"))
+    mixed_groups = mixed_groups.where("x <> y").select("sig", F.floor((F.col("size") - 1) / BLOCK).alias("last"))
+    rows = named.join(mixed_groups, "sig").join(sizes, "doc_id").select("sig", "last", "doc_id", "kind", "leader", "component", "n_shingles", "sketch")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "sig"), F.col("last") + 1))
     # Block pair (i, j), i <= j: a row goes to the pairs that its block is part of.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
     rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
@@ -318,17 +323,21 @@ def join(df: DataFrame, n: int = 3, num: int = 90, den: int = 100, doc_id: str =
     found = store(sets(docs, n), "jaccard-sets")
     filled = found.where("n_shingles > 0")
     equal = store(filled.groupBy("set_hash").agg(F.min("doc_id").alias("representative")), "jaccard-equal")
-    sizes = store(filled.join(equal, "set_hash").where("doc_id = representative").select("doc_id", "n_shingles", "sketch").dropDuplicates(["doc_id"]), "jaccard-sizes")
+    sizes = filled.join(equal, "set_hash").where("doc_id = representative").dropDuplicates(["doc_id", "set_hash"])
+    sizes = store(sizes.select("doc_id", "n_shingles", "sketch"), "jaccard-sizes")
     # Equal sets are reduced to one before signatures move; that of the smallest id, as in ``equal``.
     chosen = signed(docs, n, num, den).groupBy("set_hash").agg(F.min_by("sigs", "doc_id").alias("sigs"), F.min("doc_id").alias("doc_id"))
+    chosen = store(chosen.select("doc_id", "sigs"), "jaccard-signatures")
     rows = chosen.select("doc_id", F.explode("sigs").alias("coded"))
     rows = rows.select("doc_id", F.expr("coded & -4L").alias("sig"), F.expr("cast(coded & 3L as int)").alias("kind"))
-    same = Window.partitionBy("sig")
-    leader = F.min(F.when(F.col("kind").bitwiseAND(INDEX) > 0, F.col("doc_id"))).over(same)
-    probes = F.count(F.when(F.col("kind").bitwiseAND(PROBE) > 0, 1)).over(same)
-    hits = rows.select("doc_id", "sig", "kind", leader.alias("leader"), F.count(F.lit(1)).over(same).alias("group_size"), probes.alias("probes"))
-    hits = hits.where("leader is not null and group_size > 1 and probes > 0").drop("probes")
-    hits = store(hits, "jaccard-hits")
+    # Nearly all signatures occur once; the others are known before rows move.
+    again = store(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("sig"), "jaccard-again")
+    met = store(rows.join(again, "sig"), "jaccard-met")
+    discard(chosen, again)
+    leader = F.min(F.when(F.col("kind").bitwiseAND(INDEX) > 0, F.col("doc_id")))
+    groups = met.groupBy("sig").agg(leader.alias("leader"), F.count(F.lit(1)).alias("group_size"), F.count_if(F.col("kind").bitwiseAND(PROBE) > 0).alias("probes"))
+    hits = store(met.join(groups.where("leader is not null and probes > 0").drop("probes"), "sig"), "jaccard-hits")
+    discard(met)
     star = hits.where("doc_id <> leader").select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct()
     links = store(verify(store(thin(star, sizes, num, den), "jaccard-pairs"), docs, n, num, den), "jaccard-links")
     parts = components(links)

@@ -266,3 +266,21 @@ def test_jaccard_equals_all_pairs(spark, n, num):
     got = {r.doc_id: r.component_id for r in classes.collect()}
     jaccard.BLOCK = old
     assert [got[i] for i in range(len(s))] == root and len(set(root)) < len(root)
+
+
+def test_jaccard_repeated_ids_and_hot_groups(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    base = [f"w{i}" for i in range(40)]
+    near = [(100 + i, " ".join([*base[:-1], f"x{i}"])) for i in range(60)]  # one hot group of near copies
+    chain = [(300 + i, " ".join(f"c{j}" for j in range(i, i + 60))) for i in range(40)]  # each links to its neighbours alone
+    rows = [(1, "one two three four"), (1, "five six seven eight"), (2, "FIVE six  seven eight"), (3, "one two three four"), (None, "five six seven eight"), (None, "alone here now"), (7, ""), (8, None), *near, *chain, near[0]]
+    classes, links = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100)
+    got = {}
+    for r in classes.collect():
+        got.setdefault(r.doc_id, []).append(r.component_id)
+    assert got[1] == [1, 1] and got[2] == [1] and got[3] == [1] and got[7] == [7] and got[8] == [8]
+    assert sorted(got[None], key=str) == [1, None]
+    assert {c for i, _ in near for c in got[i]} == {100} and len(got[100]) == 2
+    assert {c for i, _ in chain for c in got[i]} == {300}
+    assert links.count() >= 59 + 39
+    assert jaccard.join(spark.createDataFrame([], "doc_id long, text string"))[0].count() == 0
