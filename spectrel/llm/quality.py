@@ -9,7 +9,7 @@ The model is fitted on at most ``sample_rows`` rated rows (those of the smallest
 driver, as a fixed number of passes over sparse arrays; prediction is narrow and takes one model of ``DIM`` floats.
 
 Defined cases: null and empty texts have no features, so the thresholds decide alone; a rating whose document lacks, a null
-grade or a grade outside the range is ignored; without ratings every document gets the best grade (nothing can be
+grade or a grade outside the range is ignored; of rows that repeat a rated doc_id the smallest text teaches; without ratings every document gets the best grade (nothing can be
 rejected); repeated rows get equal results; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -142,8 +142,10 @@ def fit(df: DataFrame, ratings: DataFrame, n_grades: int, sample_rows: int = 800
     spark = df.sparkSession
     small_batches(spark)
     rated = need(ratings, doc_id, grade).toDF("doc_id", "grade").where(F.col("doc_id").isNotNull() & F.col("grade").between(0, n_grades - 1))
-    chosen = rated.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "grade").limit(sample_rows)  # this bounds what is broadcast and collected
+    chosen = rated.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "grade").limit(sample_rows)  # this bounds what is broadcast
     rows = need(df, doc_id, text).toDF("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # One text of each rating, however often its id repeats, so no more than ``sample_rows`` are collected.
+    rows = rows.groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
