@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spectrel.llm.base import need, small_batches
-from spectrel.llm.wordcache import gathered, loaded
+from spectrel.llm.wordcache import gathered, loaded, takes_leading_blank
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, bucket int"
 
@@ -39,11 +39,12 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 1, max_len: int = 204
     small_batches(spark)
     binary_lengths(0, max_len)
     with open(tokenizer_path, "rb") as f:
-        data = spark.sparkContext.broadcast(f.read())  # bounded by the vocabulary
+        raw = f.read()
+    leading, data = takes_leading_blank(raw), spark.sparkContext.broadcast(raw)  # bounded by the vocabulary
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = loaded(data.value, leading=False)
+        encoder = loaded(data.value, leading)
         for batch in gathered(batches, "text"):
             ids, counts = encoder.encode_array(batch.column("text"))
             rows: list[list] = [[], [], [], [], [], []]

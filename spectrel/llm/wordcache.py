@@ -9,11 +9,14 @@ Two rules hold for the tokenizer files used here, and each gives chunks whose id
 
 Added tokens contain no white space, so they stay inside one chunk under either rule.
 
+``takes_leading_blank`` tells from a file's normaliser and splitting rule which of the two holds, and refuses other files.
+
 A chunk of letters, or of letters and one mark of ``MARKS``, is one pre-token, or that and the mark's, if the letters are still
 letters once normalised (a few become a letter and a combining mark, which the mark after it joins). Letter chunks that are
 new are encoded many at a time in one text, whose ids are cut where a pre-token ends (``dropped``: the piece that carries
-the end-of-word suffix) or begins (``leading``: the piece that carries the blank); if the number of cuts is not that of the
-chunks, they are encoded one by one, as all other chunks are.
+the end-of-word suffix) or begins (``leading``: the piece that carries the blank). A chunk of letters has one such piece at most,
+as it is one pre-token, so if there are as many as chunks, each has one and the cuts are right; else (a letter may be
+unknown) these chunks are encoded one by one, as all other chunks are.
 
 A cache holds about ``CACHE_CHUNKS`` chunks and is emptied when full; results do not depend on it.
 """
@@ -21,6 +24,7 @@ A cache holds about ``CACHE_CHUNKS`` chunks and is emptied when full; results do
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 
@@ -32,11 +36,34 @@ CACHE_CHUNKS = 1_200_000
 #: Longer chunks are encoded each time, so that the cache's memory is bounded too.
 LONGEST = 100
 MARKS = ".,!?;:"
+#: Normaliser, splitter and end-of-word suffix of the two kinds of files.
+LEADING = (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, None)
+DROPPED = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "</w>",
+)
 #: A blank after other white space (for Arrow's expressions), and the blanks before which a text may be cut.
 _BEFORE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] "
 _CUT = re.compile(r"(?<!\s) ")
 
 
+def takes_leading_blank(data: bytes) -> bool:
+    """Whether a tokenizer file follows the rule ``leading`` (else ``dropped``); ValueError if it follows neither."""
+    found = json.loads(data)
+    if (found.get("model") or {}).get("type") == "BPE":
+        rules = found.get("normalizer"), found.get("pre_tokenizer"), found["model"].get("end_of_word_suffix")
+        if rules in (LEADING, DROPPED):
+            return rules == LEADING
+    raise ValueError("chunks between blanks are not known to be independent under this tokenizer's rules")
+
+
 def load(data: bytes):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
     from tokenizers import Tokenizer
