@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,7 @@ from spectrel.llm.base import small_batches, texts_of
 
 STRONG, LANES = 8, 256
 CACHE_WORDS = 400_000
+RANGE_BYTES = 64_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _WORDS: dict[str, int] = {}
 
@@ -135,21 +136,26 @@ def compare(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     return df.mapInArrow(run, _extended(df, out, T.DoubleType()))
 
 
-def with_next(df: DataFrame, key: str = "doc_id", parts: int | None = None, keys: DataFrame | None = None) -> DataFrame:
+def with_next(df: DataFrame, key: str = "doc_id", parts: int | None = None, keys: DataFrame | None = None, size: Column | None = None) -> DataFrame:
     """Adds next_<column> for every column: the row after it in descending order of ``key`` (a whole number); after the last, the first.
 
     Rows are dealt into ranges of the key by quantiles, each range also gets the first row of the one after it, and each
     task goes through its sorted ranges once. So rows move once, and no task has more than its ranges. ``keys``: a table of
-    the same keys that is cheaper to read than ``df``, which is gone through twice before for the ranges.
+    the same keys that is cheaper to read than ``df``, which is gone through before for the ranges. ``size``: the bytes of a row, by the
+    columns of ``keys``; there are so many ranges that one has about ``RANGE_BYTES``, or as many as shuffle partitions if that is more.
     """
     spark = df.sparkSession
     small_batches(spark)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if clash := {f"next_{c}" for c in df.columns} & set(df.columns):
+        raise ValueError(f"columns exist: {', '.join(sorted(clash))}")
+    if not parts:
+        total = 0 if size is None else (df if keys is None else keys).agg(F.sum(size)).first()[0]
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // RANGE_BYTES))
     least = -(1 << 63)
     number = F.coalesce(F.col(key).cast("long"), F.lit(least))
     steps = [i / parts for i in range(1, parts)]
     keys = (df if keys is None else keys).select(number.alias("key"))
-    found = keys.agg(F.percentile_approx("key", steps, 10000).alias("q")).first()["q"] if steps else None
+    found = keys.agg(F.percentile_approx("key", steps, max(10_000, 10 * parts)).alias("q")).first()["q"] if steps else None
     bounds = np.array(sorted(set(found or [])), np.int64)
 
     def ranges(values: pa.Array) -> np.ndarray:

@@ -10,6 +10,9 @@ from spectrel.llm import bpe, chat, fingerprint, jaccard, langid, lm, packing, q
 from spectrel.llm.base import fold, fresh_path, need, table
 
 
+CACHE_AT = "spark.spectrel.tokenCounts.cache"
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     ids = bpe.encode(need(table(spark, sf_dir, "documents"), "doc_id", "text"), path, pattern).select("doc_id", "ids")
@@ -23,7 +26,9 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), fresh_path(spark, "token-counts"))
+    """The cache lasts where the session names a folder for it in ``CACHE_AT``; else it is a new one, so that every text is counted."""
+    cache = spark.conf.get(CACHE_AT, None) or fresh_path(spark, "token-counts")
+    counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache)
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
@@ -78,7 +83,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = need(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    rows = fingerprint.with_next(fingerprint.fingerprint(docs), keys=docs)
+    rows = fingerprint.with_next(fingerprint.fingerprint(docs), keys=docs, size=F.octet_length("text") + 2000)
     chars = F.length("text")
     half = F.floor(chars / 2).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), chars - half), F.col("next_text").substr(F.lit(1), half))

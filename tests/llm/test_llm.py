@@ -65,27 +65,80 @@ def test_letters_that_normalise_to_marks_equal_library(name, leading):
         assert wordcache.Chunks(data, leading, True).encode(given) == [len(w) for w in whole]
 
 
+@pytest.mark.parametrize(("name", "leading"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_every_letter_beside_every_mark_equals_library(name, leading, monkeypatch):
+    """Each alphabetic code point with each mark before and after, as texts between blanks."""
+    data = open(P.path(name), "rb").read()
+    assert wordcache.takes_leading_blank(data) is leading
+    encoder = wordcache.Chunks(data, leading)
+    monkeypatch.setenv("TOKENIZERS_PARALLELISM", "true")
+    letters = [c for c in map(chr, range(0x110000)) if c.isalpha()]
+    for mark in wordcache.MARKS:
+        texts = [x for c in letters for x in (f"a {c}{mark}", f"b {mark}{c}")]
+        want = [np.asarray(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        assert encoder.encode(texts) == want
+        encoder.rest.clear(), encoder.stems.clear()
+
+
+def test_long_chunks_and_other_files():
+    from tokenizers import Tokenizer
+
+    for name, leading in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
+        data = open(P.path(name), "rb").read()
+        texts = [f"x {'ab' * (n // 2)}{c}{m} y" for n in (90, 98, 100, 102, 400) for c in "a\u0130\u0958" for m in ("", ".")]
+        want = [e.ids for e in Tokenizer.from_str(data.decode()).encode_batch(texts, add_special_tokens=False)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in wordcache.Chunks(data, leading).encode(texts)] == want
+        with pytest.raises(ValueError):
+            wordcache.takes_leading_blank(data.replace(b"ByteLevel", b"Metaspace"))
+
+
 def test_packing_covers_each_id_once(spark, docs):
     from tokenizers import Tokenizer
 
-    rows = packing.pack(docs.where("doc_id <> 4 and doc_id is not null"), P.path("word_bpe_49k.json"), 1, 64).collect()
+    rows = packing.pack(docs, P.path("word_bpe_49k.json"), 1, 64).collect()
     tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    for k in {r.doc_id for r in rows}:
-        own = sorted((r for r in rows if r.doc_id == k), key=lambda r: r.start)
-        assert np.frombuffer(b"".join(bytes(r.ids) for r in own), "<u4").tolist() == [*tok.encode(TEXTS[k] or "", add_special_tokens=False).ids, 1]
-        assert all(r.length & (r.length - 1) == 0 and r.length <= 64 and r.offset == 0 for r in own)
     assert len({r.sequence_id for r in rows}) == len(rows)
-
-
-def test_counts_cache(spark, docs):
+    assert all(r.length & (r.length - 1) == 0 and r.length <= 64 and r.offset == 0 and len(r.ids) == 4 * r.length for r in rows)
+    pieces = Counter((r.doc_id, r.start, r.length, bytes(r.ids)) for r in rows)
+    want = Counter()
+    for r in docs.collect():  # with a null id, and a row that repeats
+        ids = [*tok.encode(r.text or "", add_special_tokens=False).ids, 1]
+        at = 0
+        for length in packing.binary_lengths(len(ids), 64):
+            want[r.doc_id, at, length, np.asarray(ids[at : at + length], "<u4").tobytes()] += 1
+            at += length
+        assert at == len(ids)
+    assert pieces == want
+    assert packing.pack(docs.limit(0), P.path("word_bpe_49k.json")).count() == 0
+
+
+def test_counts_cache(spark, docs, monkeypatch):
     from tokenizers import Tokenizer
 
     cache, path = fresh_path(spark, "test-cache"), P.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    for _ in range(2):  # the second run finds every text in the cache
-        for r in token_counts.count_tokens(docs, path, cache).join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
-            assert (r.n_bytes, r.n_tokens) == (len((r.text or "").encode()), len(tok.encode(r.text or "", add_special_tokens=False).ids))
-    assert spark.read.parquet(cache).count() == len({t or "" for t in TEXTS} | {"null id"})
+    half, every = docs.where("doc_id < 5"), docs
+    for given, stored in ((docs.limit(0), None), (half, 4), (every, 11), (every, 11)):  # distinct texts
+        got = token_counts.count_tokens(given, path, cache)
+        texts = given.select("text").collect()
+        want = Counter((len((r.text or "").encode()), len(tok.encode(r.text or "", add_special_tokens=False).ids)) for r in texts)
+        assert Counter((r.n_bytes, r.n_tokens) for r in got.collect()) == want
+        if stored:
+            assert token_counts.read_cache(spark, cache, token_counts.tokenizer_version(open(path, "rb").read())).count() == stored  # misses alone are appended
+    assert stored == len({t or "" for t in TEXTS} | {"null id"})
+
+
+def test_counts_query_encodes_nothing_twice(spark, sf, monkeypatch):
+    cache = fresh_path(spark, "test-query-cache")
+    spark.conf.set(queries.CACHE_AT, cache)
+    try:
+        first = sorted(queries.op3_token_counts(spark, sf).collect())
+        rows = spark.read.parquet(cache).count()
+        monkeypatch.setattr(token_counts, "loaded", None)  # would fail where a text is encoded
+        monkeypatch.setattr(token_counts, "gathered", None)
+        assert sorted(queries.op3_token_counts(spark, sf).collect()) == first and spark.read.parquet(cache).count() == rows == len({r.digest for r in spark.read.parquet(cache).collect()})
+    finally:
+        spark.conf.unset(queries.CACHE_AT)
 
 
 def test_quality_separates_grades(spark, docs):
