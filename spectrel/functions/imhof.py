@@ -5,20 +5,27 @@ from __future__ import annotations
 import numpy as np
 
 
-def imhof_cdf(q: float, weights, limit: float = 400.0, panels: int = 1000) -> float:
-    """P(sum w_i chi2_1 <= q): composite 16-point Gauss-Legendre in u / max |w|, clipped to [0, 1]."""
+def imhof_cdf(q: float, weights, limit: float = 400.0, panels: int = 1000, dfs=None, ncs=None, sigma: float = 0.0) -> float:
+    """P(sum w_i chi2(dfs_i, ncs_i) + normal part <= q): composite 16-point Gauss-Legendre in u / scale, clipped to [0, 1].
+
+    Degrees of freedom are 1 and non-centralities 0 unless given. The normal part enters the integrand as exp(-sigma^2 u^2 / 2), as in
+    the formula to match; in Imhof's variable that is a standard deviation of 2 sigma.
+    """
     w = np.asarray(weights, float)
-    w = w[w != 0]
-    if not len(w):
+    h, c = np.ones(len(w)) if dfs is None else np.asarray(dfs, float), np.zeros(len(w)) if ncs is None else np.asarray(ncs, float)
+    if not len(w) == len(h) == len(c):
+        raise ValueError("weights, dfs and ncs differ in number")
+    w, h, c = w[w != 0], h[w != 0], c[w != 0]
+    scale = max(np.abs(w).max(initial=0.0), abs(sigma))
+    if not scale:
         return float(q >= 0)
-    scale = np.abs(w).max()
-    w, q = w / scale, q / scale
+    w, q, normal = w / scale, q / scale, sigma / scale
     x, g = np.polynomial.legendre.leggauss(16)
     edges = np.linspace(0, limit, panels + 1)
     half = (edges[1] - edges[0]) / 2
     u = (edges[:-1, None] + half + half * x[None]).ravel()
-    theta, log_rho = -0.5 * q * u, np.zeros_like(u)
-    for v in w:
-        theta += 0.5 * np.arctan(v * u)
-        log_rho += 0.25 * np.log1p((v * u) ** 2)
-    return float(np.clip(0.5 - (np.sin(theta) / (u * np.exp(log_rho)) * np.tile(g, panels)).sum() * half / np.pi, 0, 1))
+    theta, log_rho = -0.5 * q * u, 0.5 * (normal * u) ** 2
+    for v, n, m in zip(w, h, c, strict=True):
+        theta += 0.5 * (n * np.arctan(v * u) + m * v * u / (1 + (v * u) ** 2))
+        log_rho += 0.25 * n * np.log1p((v * u) ** 2) + 0.5 * m * (v * u) ** 2 / (1 + (v * u) ** 2)
+    return float(np.clip(0.5 - (np.sin(theta) / u * np.exp(-log_rho) * np.tile(g, panels)).sum() * half / np.pi, 0, 1))

@@ -3,15 +3,27 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spectrel.functions.student import t_quantile
+from spectrel.operators.peaks import long_form
 
 
-def total(peaks: DataFrame, *by: str, value: str = "intensity", how: str = "sum") -> DataFrame:
-    return peaks.groupBy(*by).agg(getattr(F, how)(value).alias("value"))
+def total(peaks: DataFrame, *by: str, value: str = "intensity", how: str | Callable = "sum") -> DataFrame:
+    """The values of each group by a named aggregate, or by a function of the group's values (a pandas Series), which then meet."""
+    if not callable(how):
+        return peaks.groupBy(*by).agg(getattr(F, how)(value).alias("value"))
+
+    def run(keys, pdf):
+        import pandas as pd
+
+        return pd.DataFrame([[*keys, float(how(pdf[value]))]], columns=[*by, "value"])
+
+    fields = [f.simpleString() for f in peaks.select(*by).schema.fields]
+    return peaks.select(*by, value).groupBy(*by).applyInPandas(run, ", ".join([*(f.replace(":", " ", 1) for f in fields), "value double"]))
 
 
 def pivot(peaks: DataFrame, keys: list[str], feature: str, labels: list, value: str = "intensity") -> DataFrame:
@@ -26,39 +38,67 @@ def tile_size(width: int, height: int, grid_size: int) -> int:
     return math.ceil(1 / k)
 
 
+def _tiles(coo: DataFrame, grid_size: int) -> tuple[int, DataFrame]:
+    """The side of a tile and the number n of pixels in each. Pixels are those of ``coo``."""
+    top = coo.agg(F.max("x"), F.max("y")).first()
+    u = 1 if top[0] is None else tile_size(int(top[0]) + 1, int(top[1]) + 1, grid_size)
+    pixels = coo.select("x", "y").distinct().groupBy(F.floor(F.col("x") / u).alias("tile_x"), F.floor(F.col("y") / u).alias("tile_y"))
+    return u, pixels.agg(F.count(F.lit(1)).alias("n"))
+
+
 def tile_median(coo: DataFrame, grid_size: int) -> DataFrame:
     """tile_x, tile_y, feature, value: exact medians in which pixels without the feature count as 0.
 
     The matrix is not filled: a tile's median follows from its sorted positive values and its number of pixels.
     Values must not be negative; pixels are those of ``coo``; features of a tile without a value are absent (median 0).
     """
-    top = coo.agg(F.max("x"), F.max("y")).first()
-    if top[0] is None:
-        return coo.select(F.lit(0).cast("long").alias("tile_x"), F.lit(0).cast("long").alias("tile_y"), "feature", "value").limit(0)
-    u = tile_size(int(top[0]) + 1, int(top[1]) + 1, grid_size)
-    tiled = coo.select(F.floor(F.col("x") / u).alias("tile_x"), F.floor(F.col("y") / u).alias("tile_y"), "x", "y", "feature", "value")
-    pixels = tiled.select("tile_x", "tile_y", "x", "y").distinct().groupBy("tile_x", "tile_y").agg(F.count(F.lit(1)).alias("n"))
-    own = tiled.groupBy("tile_x", "tile_y", "feature", "x", "y").agg(F.sum("value").alias("value")).groupBy("tile_x", "tile_y", "feature").agg(F.array_sort(F.collect_list("value")).alias("v"))
-    zeros = F.col("n") - F.size("v")
-    at = lambda i: F.when(i < zeros, 0.0).otherwise(F.get("v", (i - zeros).cast("int")))
-    return own.join(pixels, ["tile_x", "tile_y"]).select("tile_x", "tile_y", "feature", ((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias("value"))
-
-
-def tile_aggregate(coo: DataFrame, grid_size: int, how: str = "median") -> DataFrame:
-    """As ``tile_median``, by sum, mean, min or max; pixels without the feature count as 0 here too. Values must not be negative."""
-    if how == "median":
-        return tile_median(coo, grid_size)
-    if how not in ("sum", "mean", "min", "max"):
+    return tile_aggregate(coo, grid_size, "median")
+
+
+def tile_aggregate(coo: DataFrame, grid_size: int, how: str | Callable | dict = "median") -> DataFrame:
+    """As ``tile_median``, by median, sum, mean, min, max, a function of the tile's values (a pandas Series, zeros included), or
+    a dict from feature to one of these, which leaves out other features. Pixels without the feature count as 0 in all of them."""
+    u, pixels = _tiles(coo, grid_size)
+    if not isinstance(how, dict):
+        return _tile_values(coo, u, pixels, how)
+    out = None
+    for feature, one in how.items():
+        part = _tile_values(coo.where(F.col("feature") == feature), u, pixels, one)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no aggregate is given")
+    return out
+
+
+def _tile_values(coo: DataFrame, u: int, pixels: DataFrame, how: str | Callable) -> DataFrame:
+    if not callable(how) and how not in ("median", "sum", "mean", "min", "max"):
         raise ValueError(f"unknown aggregate {how}")
-    top = coo.agg(F.max("x"), F.max("y")).first()
-    u = 1 if top[0] is None else tile_size(int(top[0]) + 1, int(top[1]) + 1, grid_size)
     cell = coo.groupBy("x", "y", "feature").agg(F.sum("value").alias("value")).withColumn("tile_x", F.floor(F.col("x") / u)).withColumn("tile_y", F.floor(F.col("y") / u))
-    own = cell.groupBy("tile_x", "tile_y", "feature").agg(F.sum("value").alias("s"), F.max("value").alias("hi"), F.min("value").alias("lo"), F.count(F.lit(1)).alias("k"))
+    of_tile = cell.groupBy("tile_x", "tile_y", "feature")
+    key = ["tile_x", "tile_y"]
+    if how == "median":
+        own = of_tile.agg(F.array_sort(F.collect_list("value")).alias("v"))
+        zeros = F.col("n") - F.size("v")
+        at = lambda i: F.when(i < zeros, 0.0).otherwise(F.get("v", (i - zeros).cast("int")))
+        return own.join(pixels, key).select(*key, "feature", ((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias("value"))
+    if callable(how):
+        full = of_tile.agg(F.collect_list(F.col("value").cast("double")).alias("v")).join(pixels, key).select(*key, "feature", "v", "n")
+
+        def run(frames):
+            import numpy as np
+            import pandas as pd
+
+            for pdf in frames:
+                values = [float(how(pd.Series(np.concatenate([v, np.zeros(n - len(v))])))) for v, n in zip(pdf["v"], pdf["n"], strict=True)]
+                yield pdf[[*key, "feature"]].assign(value=values)
+
+        kind = dict(coo.dtypes)["feature"]
+        return full.mapInPandas(run, f"tile_x long, tile_y long, feature {kind}, value double")
+    own = of_tile.agg(F.sum("value").alias("s"), F.max("value").alias("hi"), F.min("value").alias("lo"), F.count(F.lit(1)).alias("k"))
     if how in ("sum", "max"):
-        return own.select("tile_x", "tile_y", "feature", F.col("s" if how == "sum" else "hi").alias("value"))
-    pixels = coo.select("x", "y").distinct().groupBy(F.floor(F.col("x") / u).alias("tile_x"), F.floor(F.col("y") / u).alias("tile_y")).agg(F.count(F.lit(1)).alias("n"))
+        return own.select(*key, "feature", F.col("s" if how == "sum" else "hi").alias("value"))
     value = F.col("s") / F.col("n") if how == "mean" else F.when(F.col("k") < F.col("n"), 0.0).otherwise(F.col("lo"))
-    return own.join(pixels, ["tile_x", "tile_y"]).select("tile_x", "tile_y", "feature", value.alias("value"))
+    return own.join(pixels, key).select(*key, "feature", value.alias("value"))
 
 
 def to_vectors(tiles: DataFrame, labels: list) -> DataFrame:
@@ -83,8 +123,9 @@ def to_vectors(tiles: DataFrame, labels: list) -> DataFrame:
     return made.select((F.col("x") + F.col("y") * (1 << 31)).alias("id"), "x", "y", "v")
 
 
-def sparsity(peaks: DataFrame, by: str, threshold: float | None = None) -> DataFrame:
-    """feature, count, occupancy, sparsity, in order of the feature. Presence is strict: intensity > threshold."""
+def sparsity(data: DataFrame, by: str, threshold: float | None = None) -> DataFrame:
+    """feature, count, occupancy, sparsity, in order of the feature. Presence is strict: intensity > threshold. Takes spectra or peaks."""
+    peaks, by = long_form(data), "mz" if by == "mzs" else by
     spots = peaks.select("x", "y").distinct().agg(F.count(F.lit(1)).alias("n"))
     there = peaks if threshold is None else peaks.where(F.col("intensity") > threshold)
     counted = there.select(F.col(by).alias("feature"), "x", "y").distinct().groupBy("feature").agg(F.count(F.lit(1)).alias("count"))
@@ -146,16 +187,45 @@ def blend(a: Column, b: Column, alpha: float, bounds: tuple[float, float, float,
     return alpha * (a - a0) / (a1 - a0 + 1e-8) + (1 - alpha) * (b - b0) / (b1 - b0 + 1e-8)
 
 
-def rank_rows(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+def covariance(df: DataFrame, columns: list[str]) -> DataFrame:
+    """a, b, covariance (of the sample), correlation of each pair of columns, in one pass."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    got = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.covar_samp(a, b).alias("covariance"), F.corr(a, b).alias("correlation")) for a, b in pairs])
+    return df.agg(got.alias("p")).select(F.inline("p"))
+
+
+def coverage(df: DataFrame, column: str, threshold: float) -> DataFrame:
+    """One row, coverage: the percentage of values above the threshold."""
+    return df.agg((100.0 * F.count_if(F.col(column) > threshold) / F.count(F.lit(1))).alias("coverage"))
 
 
-def cluster_image(labelled: DataFrame, n: int, value: str = "intensity", label: str = "cluster_label") -> DataFrame:
-    """x, y, value of the n-th (from 0) label in order: sums by pixel, null where the pixel has none of it. No rows give none."""
+def drawn(df: DataFrame, n: int, *by: str, seed: int = 0, strict: bool = False) -> DataFrame:
+    """A sample of ``n`` rows: those of the smallest MD5 of seed and the columns ``by`` (ties by these columns), the same on every run.
+
+    Fewer rows are all taken, or an error if ``strict``. Only ``n`` rows of a task go on.
+    """
+    if strict and df.limit(n).count() < n:
+        raise ValueError(f"there are fewer than {n} rows")
+    names = by or tuple(df.columns)
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names]))
+    return df.orderBy(key, *names).limit(n)
+
+
+def feature_sample(coo: DataFrame, n: int = 100, seed: int = 0, feature: str = "feature") -> DataFrame:
+    """``n`` distinct features; an error if there are fewer."""
+    return drawn(coo.select(feature).distinct(), n, feature, seed=seed, strict=True)
+
+
+def cluster_image(labelled: DataFrame, n: int, value: str = "intensity", label: str = "cluster_label", single: bool = False) -> DataFrame:
+    """x, y, value of the n-th (from 0) label in order: sums by pixel, null where the pixel has none of it. No rows give none.
+
+    With ``single`` a pixel with two values of the label is an error, as in a table that has been aggregated by pixel.
+    """
     labels = [r[0] for r in labelled.select(label).distinct().orderBy(label).limit(n + 1).collect()]
     if not labels:
         return labelled.select("x", "y", F.col(value).alias("value"))
     if n >= len(labels):
         raise ValueError(f"there are only {len(labels)} labels")
     own = F.when(F.col(label) == labels[n], F.col(value))
-    return labelled.groupBy("x", "y").agg(F.sum(own).alias("value"))
+    one = F.when(F.count(own) > 1, F.raise_error(F.lit("a pixel has two values of the label")).cast("double")).otherwise(F.sum(own))
+    return labelled.groupBy("x", "y").agg((one if single else F.sum(own)).alias("value"))

@@ -153,6 +153,15 @@ def nearest(points: DataFrame, x: float, y: float, zoom: float) -> DataFrame:
     return best.select(F.when(F.col("b.d") < 100.0 / zoom, F.col("b.seq")).otherwise(F.col("last")).alias("seq"))
 
 
+def undo(points: DataFrame, x: float, y: float, zoom: float) -> DataFrame:
+    """The points without the one that ``nearest`` names."""
+    return points.join(F.broadcast(nearest(points, x, y, zoom)), "seq", "left_anti")  # one row
+
+
+def crop(pixels: DataFrame, x0: int, x1: int, y0: int, y1: int) -> DataFrame:
+    """The rows with x0 <= x < x1 and y0 <= y < y1."""
+    return pixels.where((F.col("x") >= x0) & (F.col("x") < x1) & (F.col("y") >= y0) & (F.col("y") < y1))
+
 
 def screen_to_pixel(c: Column, offset: float, zoom: float, size: int) -> Column:
     """Truncated and clamped to the image."""

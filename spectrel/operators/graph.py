@@ -7,46 +7,69 @@ from pyspark.sql import functions as F
 
 from spectrel.runtime import settled
 
+#: Cells are halved, so often at most, while one has more than so many times the neighbours that are wanted.
+HALVINGS, CROWD = 24, 8
+
 
 def knn(points: DataFrame, k: int, with_self: bool = True) -> DataFrame:
     """src, dst, w: the k nearest points in the plane (id, x, y), ties by id. Exact.
 
-    Points fall into square cells of about k points; each meets the points of the cells around it; it is done when its k-th
-    distance is no more than the width that these cells surely cover, and else tries again with a ring twice as wide.
+    Points fall into square cells so small that none has many; each meets the points of the cells around its own, and is done when
+    its k-th distance is no more than the side, which these cells surely cover. The others, in sparse parts, try again with cells
+    twice as wide. So a dense spot is searched in small cells, whatever the rest looks like.
     """
     box = points.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
     if not box.n:
         return points.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("w"))
     span = max(box.x1 - box.x0, box.y1 - box.y0) or 1.0
-    side = span / max(1.0, (box.n / k) ** 0.5)
-    cell = lambda c, least: F.floor((F.col(c) - least) / side)
-    placed = settled(points.select("id", F.col("x").cast("double"), F.col("y").cast("double")).withColumn("cx", cell("x", box.x0)).withColumn("cy", cell("y", box.y0)))
-    there = placed.select(F.col("id").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2"), "cx", "cy")
-    wanted, ring, done = k if with_self else k + 1, 1, None
-    todo, most = placed, int(span / side) + 2
+    wanted = k if with_self else k + 1
+    at = settled(points.select("id", F.col("x").cast("double"), F.col("y").cast("double")))
+    cell = lambda c, least, side: F.floor((F.col(c) - least) / side).cast("long")
+    placed = lambda df, side: df.withColumn("cx", cell("x", box.x0, side)).withColumn("cy", cell("y", box.y0, side))
+    side = span / max(1.0, (box.n / wanted) ** 0.5)
+    fullest = box.n + 1
+    for _ in range(HALVINGS):
+        now = placed(at, side).groupBy("cx", "cy").count().agg(F.max("count")).first()[0]
+        if now <= CROWD * wanted or now >= fullest:  # few enough, or equal points that no side tells apart
+            break
+        fullest, side = now, side / 2
+    todo, done = at, None
+    around = F.sequence(F.lit(-1).cast("long"), F.lit(1).cast("long"))
     while True:
-        around = F.sequence(F.lit(-ring).cast("long"), F.lit(ring).cast("long"))
-        asked = todo.withColumn("ox", F.explode(around)).withColumn("oy", F.explode(around)).select("id", "x", "y", (F.col("cx") + F.col("ox")).alias("cx"), (F.col("cy") + F.col("oy")).alias("cy"))
+        there = placed(at, side).select(F.col("id").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2"), "cx", "cy")
+        asked = placed(todo, side).withColumn("ox", F.explode(around)).withColumn("oy", F.explode(around)).select("id", "x", "y", (F.col("cx") + F.col("ox")).alias("cx"), (F.col("cy") + F.col("oy")).alias("cy"))
         near = asked.join(there, ["cx", "cy"]).withColumn("w", F.sqrt((F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")) + (F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2"))))
         if not with_self:
             near = near.where("id <> dst")
         ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("w", "dst"))).where(F.col("r") <= k)
         ranked = settled(ranked.select(F.col("id").alias("src"), "dst", "w", "r"))
         reach = ranked.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("far"))
-        sure = reach.where((F.col("n") >= k) & (F.col("far") < ring * side)) if ring < most else reach
+        last = side > span  # all points lie in two by two cells
+        sure = reach if last else reach.where((F.col("n") >= k) & (F.col("far") < side))
         found = ranked.join(sure.select("src"), "src", "left_semi").select("src", "dst", "w")
         done = found if done is None else done.unionByName(found)
+        if last:
+            return done
         todo = settled(todo.join(sure.select(F.col("src").alias("id")), "id", "left_anti"))
-        if ring >= most or todo.isEmpty():
+        if todo.isEmpty():
             return done
-        ring *= 2
+        side *= 2
+
+
+def check_nodes(edges: DataFrame, nodes: DataFrame) -> None:
+    """An error if an edge names a node (id) that is not there, so that the matrix would not be square."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    if lost := ends.join(nodes.select("id"), "id", "left_anti").limit(3).collect():
+        raise ValueError(f"edges to nodes that are not there: {', '.join(str(r.id) for r in lost)}")
 
 
-def knn_vectors(vectors: DataFrame, k: int, metric: str = "euclid", blocks: int = 8) -> DataFrame:
+def knn_vectors(vectors: DataFrame, k: int, metric: str = "euclid", blocks: int | None = None) -> DataFrame:
     """src, dst, w of (id, v): exact k nearest by Euclidean (itself included) or cosine distance (itself not), ties by id.
 
-    For features, of which there are hundreds: every block of rows meets every block, each block pair is its own key.
+    For features, of which there are hundreds: every block of some 2000 rows meets every block, each block pair is its own key, and
+    only the k nearest of a row in a task go on.
     """
+    blocks = blocks or max(8, -(-vectors.count() // 2000))
     v = vectors.withColumn("v", F.transform("v", lambda a: a.cast("double")))
     if metric == "cosine":
         norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, a: s + a * a))

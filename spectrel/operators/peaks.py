@@ -22,11 +22,29 @@ def explode(spectra: DataFrame, mzs: str = "mzs", intensities: str = "intensitie
     return spectra.select(*others, F.posexplode_outer(same).alias("peak_idx", "p")).select(*others, "peak_idx", F.col("p.mz").alias("mz"), F.col("p.intensity").alias("intensity"))
 
 
-def is_wide(df: DataFrame, mzs: str = "mzs") -> bool:
-    """Whether the frame holds spectra (arrays) rather than peaks; a missing column is an error."""
-    if mzs not in df.columns:
-        raise ValueError(f"missing column {mzs}")
-    return dict(df.dtypes)[mzs].startswith("array")
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+
+
+def is_wide(df: DataFrame) -> bool:
+    """Whether the frame holds spectra (arrays mzs and intensities) rather than peaks (numbers mz and intensity), at pixels x, y.
+
+    A missing column is a ValueError, a column of another type a TypeError.
+    """
+    kinds = dict(df.dtypes)
+    wide = "mzs" in kinds
+    names = ("mzs", "intensities") if wide else ("mz", "intensity")
+    if missing := [c for c in (*names, "x", "y") if c not in kinds]:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    number = lambda kind: kind.split("(")[0] in NUMBERS
+    right = lambda c: number(kinds[c].removeprefix("array<").removesuffix(">")) and kinds[c].startswith("array<") == (wide and c in names)
+    if wrong := [c for c in (*names, "x", "y") if not right(c)]:
+        raise TypeError("; ".join(f"{c} is {kinds[c]}" for c in wrong))
+    return wide
+
+
+def long_form(df: DataFrame) -> DataFrame:
+    """Peaks of a frame of spectra or of peaks."""
+    return explode(df).where("mz is not null") if is_wide(df) else df
 
 
 def coerce(c: Column | str) -> Column:
@@ -64,10 +82,7 @@ def cluster(peaks: DataFrame, min_intensity: float, min_count: int, tol: float,
         raise ValueError("min_count must not be negative")
     strong = peaks.where(F.col("intensity") > min_intensity)
     order = [F.col("mz"), *[F.col(c) for c in tiebreak]]
-    ranked = settled(numbered(strong, order))
-    n = ranked.count()
-    if n < min_count:
-        raise ValueError("fewer rows than min_count")
+    ranked = numbered(strong, order)
     step = max(chunk, min_count + 2)
     k, r = F.floor(F.col("rn") / step), F.col("rn") % step
     copies = F.array_compact(F.array(F.struct(k.alias("c"), F.lit(True).alias("core")), F.when((r < min_count) & (k > 0), F.struct((k - 1).alias("c"), F.lit(False).alias("core"))), F.when(r >= step - 2, F.struct((k + 1).alias("c"), F.lit(False).alias("core")))))
@@ -77,18 +92,23 @@ def cluster(peaks: DataFrame, min_intensity: float, min_count: int, tol: float,
     dense = F.when(F.coalesce(ahead - F.col("mz"), F.lit(0.0)) < tol, 1).otherwise(0)
     # Beyond the end of the table a look-ahead counts 0; inside it never leaves the chunk and its halo.
     rows = rows.withColumn("d", dense).withColumn("before", F.lag("d").over(w))
-    rows = rows.withColumn("rise", F.greatest(F.col("d") - F.coalesce("before", "d"), F.lit(0)))
-    rows = rows.where("core")
-    base = rows.groupBy("c").agg(F.sum("rise").alias("s"))
+    rows = rows.withColumn("rise", F.when(F.col("core"), F.greatest(F.col("d") - F.coalesce("before", "d"), F.lit(0))).otherwise(0))
+    rows = rows.withColumn("local", F.sum("rise").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("core")
+    # What follows reads this table several times, without its windows.
+    rows = settled(rows.select(*peaks.columns, "c", "d", "before", "rise", "local"))
+    base = rows.groupBy("c").agg(F.sum("rise").alias("s"), F.count(F.lit(1)).alias("n"))
+    if (base.agg(F.sum("n")).first()[0] or 0) < min_count:
+        raise ValueError("fewer rows than min_count")
     base = base.withColumn("b", F.coalesce(F.sum("s").over(Window.orderBy("c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("c", "b")
-    rows = rows.withColumn("local", F.sum("rise").over(w.rowsBetween(Window.unboundedPreceding, 0))).join(base, "c")
     # The rise of a row that follows a dense row is 0, so its own running number is that of the row before.
     label = F.when(F.col("before").isNull(), F.col("d")).otherwise(F.col("before") * (F.col("b") + F.col("local"))).cast("long")
-    labelled = rows.withColumn("cluster_label", label).where("cluster_label <> 0")
+    labelled = rows.join(base, "c").withColumn("cluster_label", label).where("cluster_label <> 0")
     return by_size(labelled.select(*peaks.columns, "cluster_label"), min_count, "cluster_label")
 
 
-def ion_image(peaks: DataFrame, mz: float, tol: float) -> DataFrame:
-    """x, y, value: the intensity within mz +- tol of every pixel, 0 where there is none."""
+def ion_image(peaks: DataFrame, mz: float, tol: float, z: int | None = None) -> DataFrame:
+    """x, y, value: the intensity within mz +- tol of every pixel, 0 where there is none; with ``z`` of that layer alone."""
+    if z is not None:
+        peaks = peaks.where(F.col("z") == z)
     near = F.when(F.abs(F.col("mz") - mz) <= tol, F.col("intensity")).otherwise(0.0)
     return peaks.groupBy("x", "y").agg(F.sum(near).alias("value"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from spectrel.functions.imhof import imhof_cdf
 from spectrel.functions.student import t_quantile
+from spectrel.operators.graph import check_nodes
 from spectrel.operators.peaks import numbered
 from spectrel.runtime import settled, ship
 
@@ -104,6 +105,7 @@ class Spaco:
         ship(rows.sparkSession)
         self._ranked = None
         rows = rows.select("id", F.transform("v", lambda x: x.cast("double")).alias("v"))
+        check_nodes(edges, rows)
         p = len(rows.first().v)
         stats = rows.select(F.posexplode("v").alias("k", "x")).groupBy("k").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).collect()
         mean, deviation = np.zeros(p), np.zeros(p)

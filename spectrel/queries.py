@@ -85,6 +85,11 @@ def ion_image(spark, d):
     return peaks.ion_image(peak_table(spark, d), 30000, 5000)
 
 
+@query("select x, y, sum(case when abs(mz - 30000) <= 5000 then i else 0 end) as value from (select l_partkey x, l_suppkey y, l_extendedprice mz, l_quantity i from lineitem where l_linenumber = 2) group by x, y")
+def ion_image_layer(spark, d):
+    return peaks.ion_image(peak_table(spark, d).withColumn("z", F.col("peak_idx")), 30000, 5000, z=2)
+
+
 @query("select event_id, try_cast(event_type as double) as a, try_cast(cast(value as varchar) as double) as b from events")
 def type_coercion(spark, d):
     return t(spark, d, "events").select("event_id", peaks.coerce("event_type").alias("a"), peaks.coerce("value").alias("b"))
@@ -133,6 +138,23 @@ def tile_mean(spark, d):
     return features.tile_aggregate(coo(spark, d), 400, "mean").withColumn("value", F.round("value", 9))
 
 
+@query("""
+with c as (select l_partkey x, l_suppkey y, l_linenumber feature, sum(l_quantity) v from lineitem where l_linenumber in (1, 2, 3) group by all),
+u as (select cast(ceil(1 / sqrt(400.0 / ((max(l_partkey) + 1) * (max(l_suppkey) + 1)))) as bigint) u from lineitem),
+p as (select distinct l_partkey x, l_suppkey y from lineitem), f as (select distinct x // u tx, y // u ty, feature from c, u),
+m as (select p.x // u tile_x, p.y // u tile_y, f.feature, coalesce(c.v, 0) v from p, u join f on f.tx = p.x // u and f.ty = p.y // u left join c on c.x = p.x and c.y = p.y and c.feature = f.feature)
+select tile_x, tile_y, feature, round(case feature when 1 then quantile_cont(v, 0.75) when 2 then max(v) else avg(v) end, 6) as value from m group by tile_x, tile_y, feature""")
+def tile_by_feature(spark, d):
+    """A function of its own for each of three features."""
+    how = {1: lambda s: s.quantile(0.75), 2: "max", 3: "mean"}
+    return features.tile_aggregate(coo(spark, d), 400, how).withColumn("value", F.round("value", 6))
+
+
+@query("select l_linenumber feature, round(quantile_cont(l_quantity, 0.5), 6) as value from lineitem group by 1")
+def feature_function(spark, d):
+    return features.total(peak_table(spark, d), "peak_idx", how=lambda s: s.median()).select(F.col("peak_idx").alias("feature"), F.round("value", 6).alias("value"))
+
+
 @query("with s as (select count(distinct (l_partkey, l_suppkey)) n from lineitem) select l_linenumber as feature, count(distinct (l_partkey, l_suppkey)) as count, round(count(distinct (l_partkey, l_suppkey)) / any_value(n), 9) as occupancy, round(1 - count(distinct (l_partkey, l_suppkey)) / any_value(n), 9) as sparsity from lineitem, s where l_quantity > 10 group by 1")
 def feature_sparsity(spark, d):
     return features.sparsity(peak_table(spark, d), "peak_idx", 10).select("feature", "count", F.round("occupancy", 9).alias("occupancy"), F.round("sparsity", 9).alias("sparsity"))
@@ -156,14 +178,35 @@ def unit_columns(spark, d):
     return features.unit_columns(t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), ["l_quantity"]).select(F.round("l_quantity", 9).alias("q"), "l_orderkey", "l_linenumber")
 
 
-@query("select round(corr(l_quantity, l_extendedprice), 9) as r, round(covar_samp(l_quantity, l_extendedprice) / 1000, 6) as c from lineitem")
+def _pairs_sql() -> str:
+    one = "select '{a}' as a, '{b}' as b, round(corr({a}, {b}), 9) as r, round(covar_samp({a}, {b}) / 1000, 6) as c from lineitem"
+    return " union all ".join(one.format(a=x, b=y) for i, x in enumerate(STATS) for y in STATS[i + 1 :])
+
+
+@query(_pairs_sql())
 def pearson_covariance(spark, d):
-    return t(spark, d, "lineitem").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 9).alias("r"), F.round(F.covar_samp("l_quantity", "l_extendedprice") / 1000, 6).alias("c"))
+    return features.covariance(t(spark, d, "lineitem"), STATS).select("a", "b", F.round("correlation", 9).alias("r"), F.round(F.col("covariance") / 1000, 6).alias("c"))
 
 
-@query("select round(avg(value), 6) as mean, round(avg(value) - 1.96 * stddev_pop(value) / sqrt(count(value)), 6) as low, round(avg(value) + 1.96 * stddev_pop(value) / sqrt(count(value)), 6) as high from events")
+#: Student's quantile from the normal one by its expansion in the degrees of freedom.
+Z = "1.959963984540054::double"
+
+
+@query(f"""with s as (select avg(value) m, stddev_pop(value) s, count(value) n, count(value) - 1.0::double v from events),
+q as (select *, {Z} + ({Z} ** 3 + {Z}) / (4 * v) + (5 * {Z} ** 5 + 16 * {Z} ** 3 + 3 * {Z}) / (96 * v * v) + (3 * {Z} ** 7 + 19 * {Z} ** 5 + 17 * {Z} ** 3 - 15 * {Z}) / (384 * v * v * v) as t from s)
+select round(m, 6) as mean, round(m - t * s / sqrt(n), 6) as low, round(m + t * s / sqrt(n), 6) as high from q""")
 def mean_interval(spark, d):
-    return features.mean_interval(t(spark, d, "events"), "value", 1.96).select(*[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
+    return features.mean_interval(t(spark, d, "events"), "value").select(*[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
+
+
+@query("select distinct l_partkey as feature from lineitem qualify dense_rank() over (order by md5('7|' || l_partkey), l_partkey) <= 100")
+def feature_sample(spark, d):
+    return features.feature_sample(t(spark, d, "lineitem").select(F.col("l_partkey").alias("feature")), 100, seed=7)
+
+
+@query("select event_id, value from events order by md5('0|' || event_id), event_id limit 250")
+def row_sample(spark, d):
+    return features.drawn(t(spark, d, "events").select("event_id", "value"), 250, "event_id")
 
 
 def pixels(spark, d):
@@ -181,7 +224,9 @@ PX = "with p as (select event_id // 100 as y, event_id % 100 as x, value % 1.0 a
 
 @query(PX + "select y, x, value from p where y % 3 = 0 and x % 3 = 0")
 def strided_sample(spark, d):
-    return pixels(spark, d).where((F.pmod("y", F.lit(3)) == 0) & (F.pmod("x", F.lit(3)) == 0))
+    p = pixels(spark, d)
+    h = height(p)
+    return features.strided(p, "y", "x", h, 100, h * 100 // 9)
 
 
 @query(PX + "select x, y from (select *, row_number() over (order by y, x) - 1 as rn from p where value > 0.5) where rn % 7 = 0")
@@ -191,12 +236,12 @@ def tissue_grid(spark, d):
 
 @query(PX + "select round(100.0 * count(*) filter (where value > 0.1) / count(*), 9) as coverage from p")
 def tissue_coverage(spark, d):
-    return pixels(spark, d).agg(F.round(100.0 * F.count_if(F.col("value") > 0.1) / F.count(F.lit(1)), 9).alias("coverage"))
+    return features.coverage(pixels(spark, d), "value", 0.1).select(F.round("coverage", 9).alias("coverage"))
 
 
 @query(PX + "select y, x, value from p where x >= 10 and x < 30 and y >= 5 and y < 25")
 def viewport_crop(spark, d):
-    return pixels(spark, d).where("x >= 10 and x < 30 and y >= 5 and y < 25")
+    return geometry.crop(pixels(spark, d), 10, 30, 5, 25)
 
 
 @query(PX + "select y, x, round(0.3 * (value - lo) / (hi - lo + 1e-8) + 0.7 * (x - 0.0) / (99.0 - 0.0 + 1e-8), 9) as value from p, (select min(value) lo, max(value) hi from p)")
@@ -273,15 +318,24 @@ MOVED = MARKS @ AFFINE[:2, :2].T + AFFINE[:2, 2]
 SPLINE = geometry.fit_tps(MOVED, SEEN - MOVED)
 
 
-def _map_sql() -> str:
-    a = [f"{AFFINE[i, 0]!r} * x + {AFFINE[i, 1]!r} * y + {AFFINE[i, 2]!r}".replace("np.float64(", "").replace(")", "") for i in range(2)]
-    num = lambda v: repr(float(v))
-    d2 = [f"((ax - {num(p[0])}) * (ax - {num(p[0])}) + (ay - {num(p[1])}) * (ay - {num(p[1])}))" for p in MOVED]
-    s = ["ax" if k == 0 else "ay" for k in range(2)]
-    for k in range(2):
-        w = SPLINE[:, k]
-        s[k] += f" + {num(w[-3])} + {num(w[-2])} * ax + {num(w[-1])} * ay" + "".join(f" + {num(c)} * case when {d} > 0 then 0.5 * {d} * ln(case when {d} > 0 then {d} else 1 end) else 0 end" for c, d in zip(w[:-3], d2, strict=True))
-    return f"select maldi_x, maldi_y, round({s[0]}, 5) as he_x, round({s[1]}, 5) as he_y from (select *, {a[0]} as ax, {a[1]} as ay from (select event_id % 100 + 0.0 as maldi_x, event_id // 100 + 0.0 as maldi_y, event_id % 100 * 1.0 as x, event_id // 100 * 1.0 as y from events))"
+def num(v) -> str:
+    return f"({float(v)!r}::double)"
+
+
+def _affine_sql(m: np.ndarray, x: str, y: str) -> list[str]:
+    return [f"{num(m[i, 0])} * {x} + {num(m[i, 1])} * {y} + {num(m[i, 2])}" for i in range(2)]
+
+
+def _tps_sql(x: str, y: str) -> list[str]:
+    """The spline's displacements."""
+    d2 = [f"(({x} - {num(p[0])}) * ({x} - {num(p[0])}) + ({y} - {num(p[1])}) * ({y} - {num(p[1])}))" for p in MOVED]
+    return [f"({num(w[-3])} + {num(w[-2])} * {x} + {num(w[-1])} * {y}" + "".join(f" + {num(c)} * case when {d} > 0 then 0.5::double * {d} * ln(case when {d} > 0 then {d} else 1 end) else 0 end" for c, d in zip(w[:-3], d2, strict=True)) + ")" for w in SPLINE.T]
+
+
+def _forward_sql(source: str) -> str:
+    """Columns of ``source`` with ax, ay, dx, dy of its maldi_x, maldi_y."""
+    a, s = _affine_sql(AFFINE, "maldi_x", "maldi_y"), _tps_sql("ax", "ay")
+    return f"(select *, {s[0]} as dx, {s[1]} as dy from (select *, {a[0]} as ax, {a[1]} as ay from {source}))"
 
 
 def mapped(spark, d):
@@ -290,43 +344,44 @@ def mapped(spark, d):
     return p.select("maldi_x", "maldi_y", x.alias("he_x"), y.alias("he_y"))
 
 
-@query(_map_sql().replace("+ 0.0 as maldi_x", "* 1.0::double as maldi_x").replace("+ 0.0 as maldi_y", "* 1.0::double as maldi_y").replace("* 1.0 as x", "* 1.0::double as x").replace("* 1.0 as y", "* 1.0::double as y"))
+@query("select maldi_x, maldi_y, round(ax + dx, 5) as he_x, round(ay + dy, 5) as he_y from " + _forward_sql("(select event_id % 100 * 1.0::double as maldi_x, event_id // 100 * 1.0::double as maldi_y from events)"))
 def coordinate_map(spark, d):
     return mapped(spark, d).select("maldi_x", "maldi_y", F.round("he_x", 5).alias("he_x"), F.round("he_y", 5).alias("he_y"))
 
 
-def _marks(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, *map(float, a), *map(float, b)) for i, (a, b) in enumerate(zip(MARKS, SEEN, strict=True))], "landmark_id int, maldi_x double, maldi_y double, he_x double, he_y double")
+#: Landmarks that the spline was not made of.
+OTHERS = np.array([[20.0, 20.0], [60.0, 10.0], [70.0, 75.0], [30.0, 60.0], [50.0, 40.0]])
+OTHERS_SEEN = np.array([[36.0, 35.0], [97.0, 22.0], [112.0, 120.0], [47.0, 98.0], [80.0, 66.0]])
 
 
-@query("select * from (values (0), (1), (2), (3), (4)) t(landmark_id) cross join (select 0.0::double as error)")
+@query(f"select landmark_id, round(sqrt((ax + dx - he_x) ** 2 + (ay + dy - he_y) ** 2), 5) as error from " + _forward_sql("(values " + ", ".join(f"({i}, {num(a[0])}, {num(a[1])}, {num(b[0])}, {num(b[1])})" for i, (a, b) in enumerate(zip(OTHERS, OTHERS_SEEN, strict=True))) + ") t(landmark_id, maldi_x, maldi_y, he_x, he_y)"))
 def landmark_errors(spark, d):
-    """The spline meets its own landmarks, so each error is 0 up to rounding."""
-    return registration.landmark_errors(_marks(spark), AFFINE, MOVED, SPLINE).select("landmark_id", (F.floor(F.col("error") * 1e6) / 1e6).cast("double").alias("error"))
-
+    rows = [(i, *map(float, a), *map(float, b)) for i, (a, b) in enumerate(zip(OTHERS, OTHERS_SEEN, strict=True))]
+    marks = spark.createDataFrame(rows, "landmark_id int, maldi_x double, maldi_y double, he_x double, he_y double")
+    return registration.landmark_errors(marks, AFFINE, MOVED, SPLINE).select("landmark_id", F.round("error", 5).alias("error"))
 
-def _field_sql() -> str:
-    body = _map_sql()
-    body = body[: body.index("from (select *,")]
-    inner = "(select i % 20 * (100 / 19.0::double) as maldi_x, i // 20 * (80 / 19.0::double) as maldi_y from range(400) r(i))"
-    num = lambda v: repr(float(v))
-    a = [f"{num(AFFINE[i, 0])}::double * maldi_x + {num(AFFINE[i, 1])}::double * maldi_y + {num(AFFINE[i, 2])}::double" for i in range(2)]
-    return f"select round(maldi_x, 6) as maldi_x, round(maldi_y, 6) as maldi_y, round(he_x - ax, 4) as dx, round(he_y - ay, 4) as dy from ({body.replace('round(', '(').replace(', 5) as', ') as')}, ax, ay from (select *, {a[0]} as ax, {a[1]} as ay from {inner}))"
 
-
-@query(_field_sql())
+@query("select round(maldi_x, 6) as maldi_x, round(maldi_y, 6) as maldi_y, round(dx, 4) as dx, round(dy, 4) as dy from " + _forward_sql("(select i % 20 * (100 / 19.0::double) as maldi_x, i // 20 * (80 / 19.0::double) as maldi_y from range(400) r(i))"))
 def vector_field(spark, d):
     return registration.vector_field(spark, 80, 100, AFFINE, MOVED, SPLINE).select(F.round("maldi_x", 6).alias("maldi_x"), F.round("maldi_y", 6).alias("maldi_y"), F.round("dx", 4).alias("dx"), F.round("dy", 4).alias("dy"))
 
 
-@query()
+def _warp_sql(sx: str, sy: str) -> str:
+    """Bilinear samples of the image on a grid of 160 by 160."""
+    return PX + f""", t as (select i // 160 as y, i % 160 as x from range(25600) r(i)), s as (select y, x, {sx} as sx, {sy} as sy from t),
+c as (select *, cast(floor(sy) as bigint) y0, cast(floor(sx) as bigint) x0 from s)
+select c.y, c.x, round(sum(coalesce(p.value, 0) * case when dy = 1 then sy - y0 else 1 - (sy - y0) end * case when dx = 1 then sx - x0 else 1 - (sx - x0) end), 6) as value
+from c cross join (values (0, 0), (0, 1), (1, 0), (1, 1)) o(dy, dx) left join p on p.y = y0 + dy and p.x = x0 + dx group by 1, 2"""
+
+
+@query(_warp_sql(*_affine_sql(np.linalg.inv(AFFINE), "x", "y")))
 def affine_warp(spark, d):
-    return registration.warp_affine(pixels(spark, d), AFFINE, 160, 160)
+    return registration.warp_affine(pixels(spark, d), AFFINE, 160, 160).select("y", "x", F.round("value", 6).alias("value"))
 
 
-@query()
+@query(_warp_sql(*(f"{c} - {e}" for c, e in zip("xy", _tps_sql("x", "y"), strict=True))))
 def spline_warp(spark, d):
-    return registration.warp_spline(pixels(spark, d), MOVED, SPLINE, 160, 160)
+    return registration.warp_spline(pixels(spark, d), MOVED, SPLINE, 160, 160).select("y", "x", F.round("value", 6).alias("value"))
 
 
 @query()
@@ -343,9 +398,30 @@ def inverse_map(spark, d):
     return geometry.inverse(mapped(spark, d), "he_x", "he_y", AFFINE, MOVED, SPLINE)
 
 
-@query("select seq from (select event_id seq, sqrt((x - 50.0) * (x - 50.0) + (y - 5.0) * (y - 5.0)) dist from (select event_id, event_id % 100 as x, event_id // 100 as y from events)) order by dist, seq limit 1")
+def annotations(spark, d):
+    return t(spark, d, "events").select(F.col("event_id").alias("seq"), (F.col("event_id") % 100).alias("x"), (F.col("event_id") / 100).cast("long").alias("y"))
+
+
+def _nearest_sql(x: float, y: float, zoom: float) -> str:
+    """The nearest point if it lies within the radius, else the last."""
+    return f"""(select case when min(dist) < 100.0 / {zoom} then arg_min(seq, (dist, seq)) else max(seq) end as seq from (
+      select seq, sqrt((x - {x}) * (x - {x}) + (y - {y}) * (y - {y})) as dist from (select event_id as seq, event_id % 100 as x, event_id // 100 as y from events)))"""
+
+
+@query("select seq from " + _nearest_sql(50.0, 5.0, 1.0))
 def nearest_annotation(spark, d):
-    return geometry.nearest(t(spark, d, "events").select(F.col("event_id").alias("seq"), (F.col("event_id") % 100).alias("x"), (F.col("event_id") / 100).cast("long").alias("y")), 50.0, 5.0, 1.0)
+    return geometry.nearest(annotations(spark, d), 50.0, 5.0, 1.0)
+
+
+@query("select seq from " + _nearest_sql(50.3, 5.4, 500.0))
+def nearest_annotation_beyond(spark, d):
+    """No point is within the radius, so the last one is named."""
+    return geometry.nearest(annotations(spark, d), 50.3, 5.4, 500.0)
+
+
+@query("select event_id as seq, event_id % 100 as x, event_id // 100 as y from events where event_id <> " + _nearest_sql(50.3, 5.4, 20.0))
+def undo_annotation(spark, d):
+    return geometry.undo(annotations(spark, d), 50.3, 5.4, 20.0)
 
 
 @query("select event_id, cast(least(greatest(cast(trunc(event_id / 1.25 + 7.0) as integer), 0), 639) as integer) as px from events")
@@ -443,7 +519,10 @@ def spaco_test_raw(spark, d):
 
 @query()
 def significant_features(spark, d):
-    return significant(spaco(spark, d).test())
+    """The vectors' columns and sixteen columns of noise about 0 that the components were not made of; few of these are below the level."""
+    noise = F.transform(F.sequence(F.lit(1), F.lit(16)), lambda k: (F.pmod(F.xxhash64("id", k), F.lit(10007)) / 10007 - 0.5).cast("double"))
+    rows = vectors(spark, d).select("id", F.concat(F.transform("v", lambda x: x.cast("double")), noise).alias("v"))
+    return significant(spaco(spark, d).test(rows))
 
 
 @query()

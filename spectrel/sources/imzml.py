@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from spectrel.operators import graph
+
 SCHEMA = "pixel_id bigint, x int, y int, z int, mzs array<double>, intensities array<double>"
 #: Accessions of the public controlled vocabulary (fixed values).
 POSITION_X, POSITION_Y, POSITION_Z = "IMS:1000050", "IMS:1000051", "IMS:1000052"
@@ -90,14 +92,15 @@ def read_imzml(spark: SparkSession, path: str, partitions: int = 8) -> DataFrame
     return spark.read.format("imzml").option("path", path).option("partitions", partitions).load()
 
 
-def read_image(spark: SparkSession, path: str, swap: bool = True) -> DataFrame:
-    """y, x, r, g, b of images in a folder or file; ``swap`` turns the stored BGR order into RGB."""
+def read_image(spark: SparkSession, path: str, swap: bool = True, alpha: bool = False) -> DataFrame:
+    """y, x, r, g, b of images in a folder or file; ``swap`` turns the stored BGR order into RGB. With ``alpha`` also a, null where
+    the image has no fourth channel."""
     image = spark.read.format("image").load(path).select("image.origin", "image.width", "image.nChannels", "image.data")
     px = F.explode(F.sequence(F.lit(0), (F.length("data") / F.col("nChannels")).cast("int") - 1))
     byte = lambda k: F.conv(F.hex(F.col("data").substr(F.col("i") * F.col("nChannels") + 1 + F.least(F.lit(k), F.col("nChannels") - 1), F.lit(1))), 16, 10).cast("int")
     rows = image.withColumn("i", px)
     r, g, b = (byte(2), byte(1), byte(0)) if swap else (byte(0), byte(1), byte(2))
-    return rows.select("origin", F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), (F.col("i") % F.col("width")).alias("x"), r.alias("r"), g.alias("g"), b.alias("b"))
+    return rows.select("origin", F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), (F.col("i") % F.col("width")).alias("x"), r.alias("r"), g.alias("g"), b.alias("b"), *([F.when(F.col("nChannels") == 4, byte(3)).alias("a")] if alpha else []))
 
 
 def first_image(folder: str, stem: str) -> str | None:
@@ -117,6 +120,11 @@ def sample_data(spark: SparkSession, n_samples: int = 80, n_features: int = 100,
     return spark.range(n_samples).mapInPandas(run, "id long, v array<double>, x double, y double")
 
 
+def sample_edges(samples: DataFrame, k: int = 4) -> DataFrame:
+    """src, dst, w: the symmetric adjacency of the samples' k nearest others, weight 1, no loops."""
+    return graph.symmetric(graph.knn(samples.select("id", "x", "y"), k, with_self=False))
+
+
 def write_map(df: DataFrame, path: str, single: bool = False) -> DataFrame:
     """CSV with a header; gives the frame back."""
     (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).csv(path)

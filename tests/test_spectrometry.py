@@ -2,6 +2,8 @@
 
 import os
 import struct
+import zlib
+from types import SimpleNamespace as N
 
 import duckdb
 import numpy as np
@@ -10,8 +12,9 @@ from pyspark.sql import functions as F
 
 from spectrel import queries
 from spectrel.functions.imhof import imhof_cdf
-from spectrel.operators import features, geometry, peaks
-from spectrel.sources.imzml import read_imzml
+from spectrel.operators import features, geometry, graph, peaks
+from spectrel.runtime import shared_folder
+from spectrel.sources.imzml import read_image, read_imzml, sample_data, sample_edges
 
 
 def rows_of(frame, columns):
@@ -379,3 +382,99 @@ def test_vectors_and_analysis(spark):
     found = {made.labels[r.feature]: r.stat for r in made.tests().collect()}
     assert len(found) == 6 and min(found[0], found[1]) > max(found[f] for f in (2, 3, 4, 5))
     assert {r.id for r in made.communities(4).collect()} == set(range(6))
+
+
+def test_input_is_checked(spark):
+    wide = spark.createDataFrame([(1, 1, [1.0, 2.0], [5.0, 0.0]), (2, 1, [1.0], [3.0]), (3, 1, [], [])], "x int, y int, mzs array<double>, intensities array<double>")
+    long = peaks.explode(wide).where("mz is not null")
+    assert peaks.is_wide(wide) and not peaks.is_wide(long)
+    same = [sorted(map(tuple, features.sparsity(d, "mzs", 0.5).collect())) for d in (wide.where("x < 3"), long)]
+    assert same[0] == same[1] == [(1.0, 2, 1.0, 0.0)]
+    with pytest.raises(ValueError):
+        peaks.is_wide(wide.drop("intensities"))
+    with pytest.raises(TypeError):
+        peaks.is_wide(wide.withColumn("intensities", F.lit("no")))
+    with pytest.raises(TypeError):
+        peaks.is_wide(long.withColumn("x", F.lit("a")))
+
+
+def test_samples_and_single_values(spark):
+    df = spark.range(50).select(F.col("id").alias("feature"))
+    assert features.feature_sample(df, 20).count() == 20 and features.drawn(df, 80).count() == 50
+    assert sorted(features.drawn(df, 5).collect()) == sorted(features.drawn(df.repartition(7), 5).collect())
+    with pytest.raises(ValueError):
+        features.feature_sample(df, 51)
+    rows = spark.createDataFrame([(0, 0, 1, 2.0), (0, 0, 2, 3.0), (1, 0, 1, 4.0)], "x int, y int, cluster_label int, intensity double")
+    assert {(r.x, r.value) for r in features.cluster_image(rows, 0, single=True).collect()} == {(0, 2.0), (1, 4.0)}
+    with pytest.raises(Exception, match="two values"):
+        features.cluster_image(rows.unionByName(rows), 0, single=True).collect()
+
+
+def test_aggregates_by_function_and_dict(spark):
+    coo = spark.createDataFrame([(x, y, f, float(x + 2 * y + f)) for x in range(8) for y in range(8) for f in (1, 2, 3) if (x + y + f) % 3], "x int, y int, feature int, value double")
+    tell = lambda df: {(r.tile_x, r.tile_y, r.feature): round(r.value, 9) for r in df.collect()}
+    for name, function in (("median", lambda s: s.median()), ("mean", lambda s: s.mean()), ("max", lambda s: s.max()), ("min", lambda s: s.min()), ("sum", lambda s: s.sum())):
+        assert tell(features.tile_aggregate(coo, 16, name)) == tell(features.tile_aggregate(coo, 16, function))
+    some = tell(features.tile_aggregate(coo, 16, {1: "median", 3: lambda s: s.sum()}))
+    median, total = tell(features.tile_aggregate(coo, 16, "median")), tell(features.tile_aggregate(coo, 16, "sum"))
+    assert some == {k: (median if k[2] == 1 else total)[k] for k in median if k[2] != 2}
+    with pytest.raises(ValueError):
+        features.tile_aggregate(coo, 16, "mode")
+    with pytest.raises(ValueError):
+        features.tile_aggregate(coo, 16, {})
+
+
+def test_neighbours_of_a_dense_spot_and_of_equal_points(spark):
+    rng = np.random.default_rng(0)
+    at = np.vstack([rng.random((60, 2)) * 1000, rng.random((300, 2)) * 0.01 + 500, np.full((40, 2), 7.0)])
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(at)], "id long, x double, y double")
+    d = np.sqrt(((at[:, None] - at[None]) ** 2).sum(2))
+    for own in (True, False):
+        want = set()
+        for i in range(len(at)):
+            order = sorted((j for j in range(len(at)) if own or j != i), key=lambda j: (d[i, j], j))[:5]
+            want |= {(i, j) for j in order}
+        assert {(r.src, r.dst) for r in graph.knn(df, 5, with_self=own).collect()} == want
+
+
+def test_edges_need_their_nodes(spark):
+    made = sample_data(spark, 30, 3).persist()
+    edges = sample_edges(made, 4).persist()
+    graph.check_nodes(edges, made)
+    pairs = {(r.src, r.dst) for r in edges.collect()}
+    assert pairs == {(b, a) for a, b in pairs} and all(a != b for a, b in pairs) and len(pairs) >= 120
+    with pytest.raises(ValueError):
+        graph.check_nodes(edges, made.where("id <> 3"))
+
+
+def test_imhof_with_all_its_arguments():
+    rng = np.random.default_rng(0)
+    w, dfs, ncs, sigma = [1.0, 0.5, -0.3], [1, 3, 2], [0.0, 1.5, 0.7], 0.4
+    draws = sum(c * rng.noncentral_chisquare(h, max(m, 1e-12), 400_000) for c, h, m in zip(w, dfs, ncs, strict=True))
+    for q in (0.5, 2.0, 5.0):
+        assert imhof_cdf(q, w, dfs=dfs, ncs=ncs) == pytest.approx((draws <= q).mean(), abs=0.004)
+        assert imhof_cdf(q, w, dfs=dfs, ncs=ncs, sigma=sigma) == pytest.approx((draws + 2 * sigma * rng.normal(size=len(draws)) <= q).mean(), abs=0.004)
+    assert imhof_cdf(2 * 1.2815515, [], sigma=1.0) == pytest.approx(0.9, abs=1e-6) and imhof_cdf(1.0, []) == 1.0
+    assert imhof_cdf(5.991465, [1.0], dfs=[2]) == pytest.approx(0.95, abs=1e-5)
+    with pytest.raises(ValueError):
+        imhof_cdf(1.0, [1.0, 2.0], dfs=[1])
+
+
+def test_noise_is_not_significant(spark, sf):
+    found = {r.feature for r in queries.significant_features(spark, sf).collect()}
+    assert len(found & set(range(64))) > 50 and len(found & set(range(64, 80))) <= 5
+
+
+def test_image_with_alpha(spark, tmp_path):
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    pixels = [(10, 20, 30, 40), (50, 60, 70, 255)]
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 2, 1, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0" + b"".join(map(bytes, pixels)))) + chunk(b"IEND", b"")
+    (tmp_path / "a.png").write_bytes(png)
+    got = read_image(spark, str(tmp_path / "a.png"), alpha=True).orderBy("x").collect()
+    assert [(r.r, r.g, r.b, r.a) for r in got] == pixels
+
+
+def test_no_local_folder_off_local_masters(spark):
+    sc = N(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError):
+        shared_folder(N(sparkContext=sc, conf=N(get=lambda k, d: None)))
