@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from spectrel.llm.base import need, small_batches, store, texts_of
 
 ORDER = 3
-BLOCK_BYTES = 10_000_000
+BLOCK_BYTES = 8_000_000
 #: Blocks whose n-grams make one range, which is gone through in as many slices.
 RANGE_BLOCKS = 4
 SEGMENT = 512
@@ -300,7 +300,7 @@ def totals(blocks_: DataFrame, parts: int, order: int) -> DataFrame:
         kinds = (pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.int64(), pa.int64())
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], names=["block", "part", "more", "n", "v"])
 
-    return requests(blocks_, parts, order).groupBy("part").applyInArrow(added, TOTALS)
+    return requests(blocks_, parts, order).repartition(2 * parts, "part").groupBy("part").applyInArrow(added, TOTALS)
 
 
 def _counts(block: Block, model: pa.Table) -> dict[int, np.ndarray]:
@@ -325,7 +325,8 @@ def score(df: DataFrame, held_out: Column, order: int = ORDER, doc_id: str = "do
     need(df, doc_id, text)
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
     held = store(blocks(rows), "lm-blocks")
-    parts = max(1, -(-held.count() // RANGE_BLOCKS))
+    n_blocks = max(1, held.count())
+    parts = -(-n_blocks // RANGE_BLOCKS)
     model = store(totals(held, parts, order), "lm-totals")
     n, v = model.where("block = -1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
 
@@ -344,4 +345,6 @@ def score(df: DataFrame, held_out: Column, order: int = ORDER, doc_id: str = "do
         kinds = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
         return pa.concat_tables(out) if out else kinds.empty_table()
 
-    return held.groupBy("block").cogroup(model.where("block >= 0").groupBy("block")).applyInArrow(scored, SCORES)
+    # As many tasks as there are blocks: neither the ranges above nor these grow with the input.
+    dealt = lambda df: df.repartition(n_blocks, "block").groupBy("block")
+    return dealt(held).cogroup(dealt(model.where("block >= 0"))).applyInArrow(scored, SCORES)

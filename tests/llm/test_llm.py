@@ -177,6 +177,174 @@ def test_rules_edges(spark, docs):
     assert set(rules.keep(docs).columns) == set(docs.columns)
 
 
+def fast_mcd(z, starts=300):
+    """Centre and covariance of the half with the smallest determinant, by sorted distances from random starts, then reweighted."""
+    rng, best = np.random.default_rng(1), None
+    h = (len(z) + 5) // 2
+    for _ in range(starts):
+        rows = z[rng.choice(len(z), 6, replace=False)]
+        m, c = rows.mean(0), np.cov(rows.T, bias=True) + np.eye(4) * 1e-6
+        for _ in range(60):
+            d = np.einsum("ij,jk,ik->i", z - m, np.linalg.inv(c), z - m)
+            half = z[np.argsort(d, kind="stable")[:h]]
+            m, old, c = half.mean(0), c, np.cov(half.T, bias=True)
+            if np.allclose(c, old, rtol=1e-9):
+                break
+        if best is None or np.linalg.det(c) < best[0]:
+            best = np.linalg.det(c), m, c
+    _, m, c = best
+    c = c * 2.109 + np.eye(4) * 900
+    near = z[np.einsum("ij,jk,ik->i", z - m, np.linalg.inv(c), z - m) <= 11.143]
+    return near.mean(0), np.cov(near.T, bias=True) * 1.0645 + np.eye(4) * 900
+
+
+def test_rules_find_the_minimum_covariance_determinant(spark):
+    """Against an own estimate; without steps, or without the estimated covariance, verdicts differ. Small groups take the language's."""
+    rng = np.random.default_rng(3)
+    mix = np.array([[20, 0, 0, 0], [12, 16, 0, 0], [-9, 4, 12, 0], [5, -8, 6, 14]], float)
+
+    def rows(source, n, bad, shift):
+        clean = rng.normal(size=(n, 4)) @ mix.T + [140, 80, 1600, 400] + shift
+        far = rng.normal(size=(bad, 4)) * 6 + [210, 110, 1560, 460]  # a tight group that drags medians and moments along
+        s = np.floor(np.vstack([clean, far]) + 0.5).clip(0).astype(int)
+        return [("=en", source, 400, False, *map(int, x)) for x in s]
+
+    data = rows("=a", 600, 280, 0) + rows("=b", 150, 40, 6)
+    stats = spark.createDataFrame(data, "k_lang string, k_source string, n_words long, base_failed boolean, s1 long, s2 long, s3 long, s4 long")
+    stats = stats.selectExpr("*", "monotonically_increasing_id() as i").persist()
+    judged = lambda **o: {r.i: (r.k_source, r.d2) for r in rules.verdict(stats, rules.groups(stats, 200, **o)).collect()}
+    got, s = judged(), {r.i: r for r in stats.collect()}
+
+    def expected(of, keys):
+        raw = np.array([[s[i].s1, s[i].s2, s[i].s3, s[i].s4] for i in of], float)
+        middle = np.median(raw, axis=0)
+        m, c = fast_mcd(np.floor((raw - middle) * 20 + 0.5))
+        x = np.floor((np.array([[s[i].s1, s[i].s2, s[i].s3, s[i].s4] for i in keys], float) - middle) * 20 + 0.5) - m
+        return np.einsum("ij,jk,ik->i", x, np.linalg.inv(c), x)
+
+    a = [i for i in s if s[i].k_source == "=a"]
+    b = [i for i in s if s[i].k_source == "=b"]
+    for keys, of in ((a, a), (b, a + b)):  # b has fewer than 200 documents
+        want, own = expected(of, keys), np.array([got[i][1] for i in keys])
+        assert np.abs(own - want).max() <= 0.1 * want.max() and np.abs(np.sqrt(own) - np.sqrt(want)).mean() < 0.05
+        assert ((own <= rules.CUTOFF) == (want <= rules.CUTOFF)).mean() > 0.995
+    kept = np.array([got[i][1] <= rules.CUTOFF for i in a])
+    assert kept[:600].mean() > 0.99 and not kept[600:].any()
+    plain = judged(max_steps=0, starts=1, reweight=False)
+    assert sum((plain[i][1] <= rules.CUTOFF) != k for i, k in zip(a, kept, strict=True)) > 100
+    raw = np.array([[s[i].s1, s[i].s2, s[i].s3, s[i].s4] for i in a], float)
+    ridge_alone = (((raw - np.median(raw, axis=0)) * 20 / rules.RIDGE) ** 2).sum(axis=1) <= rules.CUTOFF
+    assert (ridge_alone != kept).sum() > 100
+    assert rules.judge(spark.createDataFrame([(1, "x y")], "doc_id long, text string").selectExpr("*", "string(null) as lang", "'s' as source")).first().kept is False
+
+
+def test_quality_reaches_the_optimum():
+    """The penalised likelihood of two thresholds and one weight against a grid."""
+    rng = np.random.default_rng(0)
+    x = rng.random(60).round(1)
+    grades = np.clip((x * 3 + rng.normal(0, 0.7, 60)).astype(int), 0, 2)
+    rows = [(np.array([5], np.int32), np.array([v], np.float32)) for v in x]
+
+    def loss(w, t0, t1):
+        up = 1 / (1 + np.exp(-(np.array([t0, t1, np.inf])[grades] - w * x)))
+        low = 1 / (1 + np.exp(-(np.array([-np.inf, t0, t1])[grades] - w * x)))
+        return -np.log(up - low).mean() + 2e-3 / 20 * w * w
+
+    model = quality.fit_arrays(rows, grades, 3, passes=6000, rate=0.02)
+    own = loss(model.weights[5], *model.thresholds)
+    grid = min(loss(w, a, a + g) for w in np.arange(-2, 12, 0.25) for a in np.arange(-4, 8, 0.25) for g in np.arange(0.1, 6, 0.2))
+    assert own <= grid + 1e-4
+    short = quality.fit_arrays(rows, grades, 3)
+    assert (np.diff(short.thresholds) > 0).all() and loss(short.weights[5], *short.thresholds) < loss(0.0, *np.sort(short.thresholds)) + 0.05
+    assert model.tails(np.array([0.3]))[0, 0] == pytest.approx(1 / (1 + math.exp(model.thresholds[0] - 0.3)))
+
+
+def test_quality_gathers_no_more_than_the_bound(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit_arrays", lambda rows, grades, n: seen.append(len(rows)))
+    df = spark.createDataFrame([(i % 5, f"text {i}") for i in range(250)], "doc_id long, text string")
+    ratings = spark.createDataFrame([(i % 5, i % 3) for i in range(60)], "doc_id long, grade int")
+    quality.fit(df, ratings, 3, sample_rows=1)
+    quality.fit(df, ratings, 3, sample_rows=7)
+    assert seen[0] == 1 and 1 <= seen[1] <= 7
+
+
+def test_language_mixture_equals_search(spark):
+    """Three languages: the query's words mixture by plain loops, and the chosen set against all seven sets."""
+    import itertools
+    import random
+
+    rng = random.Random(2)
+    words = {"aa": ["bako", "latu", "nimo", "sare", "tolu"], "bb": ["sch", "ung", "keit", "ver", "lich"], "cc": ["qwix", "zyph", "vexo", "jazz", "myrrh"]}
+    say = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    model = langid.train(spark.createDataFrame([(say(k, 60), k) for k in words for _ in range(20)] + [(None, "aa"), ("x", None)], "text string, lang string"))
+    assert model.names == ["aa", "bb", "cc"]
+    for shares in ({"aa": 40}, {"aa": 30, "bb": 10}, {"bb": 10, "cc": 10}, {"aa": 15, "bb": 30, "cc": 12}, {"cc": 1}):
+        text = " ".join(say(k, n) for k, n in shares.items())
+        lang, score, chosen = model.predict(text)
+        grams = Counter(langid.trigrams(text).tolist())
+        total = sum(grams.values())
+
+        def fitted(of, grams=grams, total=total):
+            share = {k: 1 / len(of) for k in of}
+            p = {k: {g: math.exp(model.log_p[model.names.index(k), g]) for g in grams} for k in of}
+            for _ in range(langid.ROUNDS):
+                mix = {g: sum(share[k] * p[k][g] for k in of) for g in grams}
+                share = {k: sum(n * share[k] * p[k][g] / mix[g] for g, n in grams.items()) / total for k in of}
+            return share, sum(n * math.log(sum(share[k] * p[k][g] for k in of)) for g, n in grams.items())
+
+        sets = [c for n in (1, 2, 3) for c in itertools.combinations(model.names, n)]
+        value = {c: fitted(c)[1] - (len(c) - 1) * langid.PENALTY * math.log(total + 1) for c in sets}
+        best = max(sets, key=lambda c: value[c])
+        assert {k for k, _ in chosen} == set(best) == set(shares)
+        share, _ = fitted(best)
+        assert lang == max(sorted(share), key=lambda k: share[k]) and score == pytest.approx(max(share.values()), abs=1e-4)
+        assert all(s == pytest.approx(share[k], abs=1e-4) and abs(s - shares[k] / sum(shares.values())) < 0.15 for k, s in chosen)
+    twins = langid.Languages(["one", "two"], np.log(np.full((2, langid.BUCKETS), 1 / langid.BUCKETS)))
+    assert twins.predict("word")[0] == "one" and twins.predict("12 .")[0] == "und" and langid.Languages([], np.zeros((0, langid.BUCKETS))).predict("word")[0] == "und"
+    assert langid.predict(spark.createDataFrame([], "doc_id long, text string"), model, "doc_id").count() == 0
+
+
+def test_likeness_near_the_exact_cosine():
+    """The sketch of 256 lanes is off by one sixteenth at one standard deviation."""
+    import random
+
+    rng, off = random.Random(4), []
+    for _ in range(60):
+        a = [" ".join(f"w{rng.randrange(60)}" for _ in range(40)) for _ in range(8)]
+        b = [p if rng.random() < 0.6 else " ".join(f"w{rng.randrange(60)}" for _ in range(40)) for p in a]
+        pairs = [Counter(x for p in t for x in zip(p.split(), [*p.split()[1:], None], strict=True)) for t in (a, b)]
+        cosine = sum(n * pairs[1][x] for x, n in pairs[0].items()) / math.sqrt(math.prod(sum(n * n for n in c.values()) for c in pairs))
+        off.append(fingerprint.likeness(fingerprint.fingerprint_text("\n".join(a)), fingerprint.fingerprint_text("\n".join(b))) - cosine)
+    assert np.abs(off).max() < 0.25 and np.sqrt(np.mean(np.square(off))) < 0.08 and abs(np.mean(off)) < 0.03
+
+
+def test_fingerprint_query_equals_loop(spark, sf):
+    import hashlib
+
+    rows = sorted(((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()), reverse=True)
+    got = {r.doc_id: r for r in queries.op9_fingerprints(spark, sf).collect()}
+    assert len(got) == len(rows)
+    for (k, text), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        prints = [fingerprint.fingerprint_text(t) for t in (text, edited, after)]
+        r = got[k]
+        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r.fingerprint, r.edited_fingerprint) == (prints[0].hex().upper(), prints[1].hex().upper())
+        assert (r.near_edited, r.near_next) == (pytest.approx(fingerprint.likeness(prints[0], prints[1])), pytest.approx(fingerprint.likeness(prints[0], prints[2])))
+
+
+def test_next_row_edges(spark, docs):
+    rows = docs.select("doc_id", "text")
+    assert fingerprint.with_next(rows.limit(0)).count() == 0
+    one = fingerprint.with_next(rows.where("doc_id = 4").limit(1)).collect()
+    assert len(one) == 1 and one[0].next_doc_id == 4
+    assert fingerprint.with_next(rows, size=F.lit(30_000_000)).count() == len(TEXTS) + 2  # several ranges by their bytes
+    with pytest.raises(ValueError):
+        fingerprint.with_next(rows.withColumn("next_text", F.lit("")))
+
+
 def test_reply_tree(spark):
     rows = [("c", 1, None, "user", "hi & <|end|>\n", 0.0), ("c", 2, 1, "assistant", "a|[b]", 1.0), ("c", 3, 1, "assistant", "better", 5.0), ("c", 4, 3, "user", None, None), (None, 1, None, None, "x", 0.0)]
     df = spark.createDataFrame(rows, "conv_id string, node_id long, parent_id long, role string, text string, score double")
