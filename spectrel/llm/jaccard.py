@@ -255,7 +255,8 @@ def _unsettled(hits: DataFrame, parts: DataFrame, sizes: DataFrame, num: int, de
     named = hits.join(parts, hits["doc_id"] == parts["node"], "left").drop("node")
     named = named.withColumn("component", F.coalesce("component", "doc_id"))
     mixed_groups = named.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size"))
-    mixed_groups = mixed_groups.where("x <> y").select("sig", F.floor((F.col("size") - 1) / BLOCK).alias("last"))
+    # Stored, so that Spark knows its size before it moves rows to meet it.
+    mixed_groups = store(mixed_groups.where("x <> y").select("sig", F.floor((F.col("size") - 1) / BLOCK).alias("last")), "jaccard-mixed")
     rows = named.join(mixed_groups, "sig").join(sizes, "doc_id").select("sig", "last", "doc_id", "kind", "leader", "component", "n_shingles", "sketch")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "sig"), F.col("last") + 1))
     # Block pair (i, j), i <= j: a row goes to the pairs that its block is part of.
@@ -336,8 +337,9 @@ def join(df: DataFrame, n: int = 3, num: int = 90, den: int = 100, doc_id: str =
     discard(chosen, again)
     leader = F.min(F.when(F.col("kind").bitwiseAND(INDEX) > 0, F.col("doc_id")))
     groups = met.groupBy("sig").agg(leader.alias("leader"), F.count(F.lit(1)).alias("group_size"), F.count_if(F.col("kind").bitwiseAND(PROBE) > 0).alias("probes"))
-    hits = store(met.join(groups.where("leader is not null and probes > 0").drop("probes"), "sig"), "jaccard-hits")
-    discard(met)
+    groups = store(groups.where("leader is not null and probes > 0").drop("probes"), "jaccard-groups")
+    hits = store(met.join(groups, "sig"), "jaccard-hits")
+    discard(met, groups)
     star = hits.where("doc_id <> leader").select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct()
     links = store(verify(store(thin(star, sizes, num, den), "jaccard-pairs"), docs, n, num, den), "jaccard-links")
     parts = components(links)
