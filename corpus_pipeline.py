@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectrel.llm import jaccard, packing, quality, rules
-from spectrel.llm.base import store, table
+from spectrel.llm.base import discard, store, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -64,7 +64,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, held = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = store(stage(spark, docs, sf_dir), name)
+        discard(*held)  # what this stage was made of
+        held = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
