@@ -50,7 +50,8 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of texts small, and see that the workers have this package."""
+    """Keep Arrow batches of texts small, and see that the workers have this package. The batch size is the session's and stays lowered,
+    as plans read it when they run; results do not depend on it."""
     ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -7,7 +7,8 @@ Nothing is trained. Texts are cut by the pre-token pattern, distinct pre-tokens
 of the byte mapping.
 
 Defined cases: a null text counts as empty and has no ids; decoding null ids gives null; rows that repeat are encoded
-each; other columns pass through untouched, and a column that clashes with an output name is an error.
+each; an empty table gives an empty result; other columns pass through untouched, and a column that clashes with an output
+name is an error.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from spectrel.llm.base import small_batches, texts_of
 
 BYTE_BASE = 0x100
 CACHE_PIECES = 400_000
+#: Longer pre-tokens are forgotten after their batch, so that the cache is bounded in bytes too.
+LONGEST = 100
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -112,7 +115,11 @@ class ByteBPE:
         for at in range(0, len(missing), 20_000):
             part = missing[at : at + 20_000]
             cache.update(zip(part, self._encode_pieces(part), strict=True))
-        return [b"".join(map(cache.__getitem__, pieces)) for pieces in cut]
+        out = [b"".join(map(cache.__getitem__, pieces)) for pieces in cut]
+        for p in missing:
+            if len(p) > LONGEST:
+                del cache[p]
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.table.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))

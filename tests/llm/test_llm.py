@@ -37,6 +37,9 @@ def test_bpe_equals_tiktoken(spark, docs):
         assert bytes(r.decoded).decode() == (r.text or "")
     with pytest.raises(ValueError):
         bpe.encode(docs, path, P.PATTERN)
+    assert bpe.encode(docs.drop("ids").limit(0), path, P.PATTERN).count() == 0
+    own = bpe.ByteBPE(bpe.serialise_model(bpe.read_ranks(path)), P.PATTERN)
+    assert own.decode(own.encode(["q" * 4000 + " word"])[0]).decode() == "q" * 4000 + " word" and max(map(len, own.cache)) <= bpe.LONGEST
 
 
 @pytest.mark.parametrize(("name", "leading"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
