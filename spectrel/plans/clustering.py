@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spectrel.operators import graph
+from spectrel.operators.peaks import numbered
 from spectrel.plans.spaco import Spaco, apply_l, gram, times
+from spectrel.runtime import settled
 
 
 def feature_components(s: Spaco) -> DataFrame:
@@ -104,13 +106,53 @@ def _moves(g: _Graph, part: list[int], gamma: float, order: list[int], bounds: l
     return moved
 
 
+def _folded(edges: DataFrame, gamma: float, max_edges: int, rounds: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(edges between groups, home: id, label) with at most ``max_edges`` edges. In each round half of the nodes, by a hash, go to
+    the neighbouring group where the quality gains most; groups become nodes, and so on."""
+    edges, home = settled(graph.undirected(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w"))), None
+    count = edges.count()
+    while count > max_edges:
+        both = edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))  # a loop counts twice
+        part = settled(both.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k")).withColumn("label", F.col("id")))
+        total = part.agg(F.sum("k")).first()[0]
+        if total <= 0:
+            raise ValueError(f"more than {max_edges} edges whose weights add up to nothing to group by")
+        for t in range(rounds):
+            weight = part.groupBy("label").agg(F.sum("k").alias("all"))
+            links = both.where("a <> b").join(part.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id"), "label").agg(F.sum("w").alias("links"))
+            links = links.unionByName(part.select("id", "label", F.lit(0.0).alias("links"))).groupBy("id", "label").agg(F.sum("links").alias("links"))
+            own = part.select("id", "k", F.col("label").alias("own"))
+            asked = links.join(own, "id").join(weight, "label")
+            gain = F.col("links") - gamma * F.col("k") * (F.col("all") - F.when(F.col("label") == F.col("own"), F.col("k")).otherwise(0.0)) / total
+            best = asked.groupBy("id", "k", "own").agg(F.max(F.struct(gain.alias("gain"), (-F.col("label")).alias("to"))).alias("best"), F.max(F.when(F.col("label") == F.col("own"), gain)).alias("stay"))
+            goes = (F.col("best.gain") > F.col("stay") + 1e-12) & (F.pmod(F.xxhash64("id", F.lit(t)), F.lit(2)) == 0)
+            part = settled(best.select("id", "k", F.when(goes, -F.col("best.to")).otherwise(F.col("own")).alias("label")))
+        at = lambda c: part.select(F.col("id").alias(c), F.col("label").alias(f"to_{c}"))
+        named = edges.join(at("a"), "a").join(at("b"), "b").select(F.col("to_a").alias("src"), F.col("to_b").alias("dst"), "w")
+        new = settled(graph.undirected(named))
+        step = part.select("id", "label")
+        home = settled(step if home is None else home.join(step.select(F.col("id").alias("label"), F.col("label").alias("to")), "label").select("id", F.col("to").alias("label")))
+        if (fewer := new.count()) >= count:
+            raise ValueError(f"more than {max_edges} edges that no moves make fewer")
+        edges, count = new, fewer
+    return edges, home
+
+
 def communities(edges: DataFrame, resolution: float = 1.0, seed: int = 42, max_edges: int = 1_000_000, passes: int = 4) -> DataFrame:
     """id, label of an undirected graph (a, b, w): modularity with a resolution, by moving, refining and folding in turn.
 
     The result is a local optimum; among negative weights the best can be well above it. Refined groups are connected, and folding by them lets a group split again. Labels count from 0 by size, then smallest id.
-    At most ``max_edges`` edges are gathered, else an error; loops count. Weights may be negative, as similarities can be; if they
-    add up to no more than 0 there is nothing to group by, and each node is its own group.
+    Up to ``max_edges`` edges are gathered; a larger graph is folded on the executors first, by moves of many nodes at once. Loops count.
+    Weights may be negative, as similarities can be; if they add up to no more than 0 there is nothing to group by, and each node
+    is its own group.
     """
+    if edges.count() > max_edges:
+        folded, home = _folded(edges, resolution, max_edges)
+        found = communities(folded, resolution, seed, max_edges, passes).select(F.col("id").alias("label"), F.col("label").alias("group"))
+        joined = settled(home.join(found, "label").select("id", "group"))
+        ranked = joined.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+        numbers = numbered(ranked, [F.desc("n"), F.col("first")]).select("group", F.col("rn").cast("int").alias("label"))
+        return joined.join(numbers, "group").select("id", "label")
     got = _gathered(edges.select("a", "b", "w").orderBy("a", "b"), max_edges, "edges")
     ids = sorted(set(got["a"]) | set(got["b"]))
     place = {k: i for i, k in enumerate(ids)}

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectrel.operators import geometry
+from spectrel.runtime import settled
 
 #: Structuring elements as (dy, dx): a 3 x 3 and a 5 x 5 ellipse (fixed values).
 ELLIPSE_3 = [(0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)]
@@ -59,9 +60,7 @@ def to_bytes(pixels: DataFrame) -> DataFrame:
     return pixels.withColumn("value", F.floor(F.col("value") * 255).cast("int"))
 
 
-def _dense(pixels: DataFrame, height: int, width: int, max_pixels: int) -> np.ndarray:
-    if height * width > max_pixels:
-        raise ValueError(f"the image has more than {max_pixels} pixels; refine on a smaller one")
+def _dense(pixels: DataFrame, height: int, width: int) -> np.ndarray:
     rows = pixels.where((F.col("y") >= 0) & (F.col("y") < height) & (F.col("x") >= 0) & (F.col("x") < width)).select("y", "x", "value").toPandas()
     out = np.zeros((height, width))
     out[rows["y"].to_numpy(int), rows["x"].to_numpy(int)] = rows["value"]
@@ -119,22 +118,48 @@ def simplex_search(cost, start: np.ndarray, rounds: int = 100, near: float = 1e-
     return ranked[0][1], ranked[0][0]
 
 
+def _correlation_gathered(fixed: DataFrame, moving: DataFrame, fixed_size: tuple[int, int], moving_size: tuple[int, int]):
+    gray, mask = _dense(fixed, *fixed_size), _dense(tissue_mask(fixed), *fixed_size)
+    there, other = _edges(gray * mask).ravel(), _dense(tissue_mask(moving), *moving_size)
+
+    def correlation(m: np.ndarray) -> float:
+        seen = _edges(_sampled(other, m, *fixed_size)).ravel()
+        return float(np.corrcoef(there, seen)[0, 1]) if there.std() and seen.std() else 0.0
+
+    return correlation
+
+
+def _correlation_distributed(fixed: DataFrame, moving: DataFrame, fixed_size: tuple[int, int]):
+    """The same figure by one Spark job for each map, so that no image is gathered."""
+    inside = tissue_mask(fixed).select("y", "x", F.col("value").alias("m")).join(fixed.select("y", "x", "value"), ["y", "x"])
+    image = grid(fixed.sparkSession, *fixed_size).join(inside.select("y", "x", (F.col("m") * F.col("value")).alias("value")), ["y", "x"], "left")
+    there = settled(geometry.sobel(image.select("y", "x", F.coalesce("value", F.lit(0.0)).alias("value")), *fixed_size).withColumnRenamed("value", "a"))
+    other = settled(tissue_mask(moving).select("y", "x", F.col("value").cast("double").alias("value")))
+
+    def correlation(m: np.ndarray) -> float:
+        seen = geometry.sobel(warp_affine(other, m, *fixed_size), *fixed_size)
+        found = there.join(seen, ["y", "x"]).agg(F.corr("a", "value")).first()[0]
+        return 0.0 if found is None or np.isnan(found) else float(found)
+
+    return correlation
+
+
 def refine(fixed: DataFrame, moving: DataFrame, m: np.ndarray, fixed_size: tuple[int, int], moving_size: tuple[int, int], rounds: int = 100, max_pixels: int = 16_000_000) -> tuple[np.ndarray, float]:
     """The affine map (3 x 3) whose warped mask of ``moving`` has edges that correlate best with those of ``fixed``, and that correlation.
 
     The edges of ``fixed`` are those of its gray values within its mask. Without edges on either side the map stays, with correlation 0.
+    Images of up to ``max_pixels`` are gathered; for larger ones each map that the search tries is a Spark job, with the same figures.
     """
-    gray, mask = _dense(fixed, *fixed_size, max_pixels), _dense(tissue_mask(fixed), *fixed_size, max_pixels)
-    there, other = _edges(gray * mask).ravel(), _dense(tissue_mask(moving), *moving_size, max_pixels)
+    if max(a * b for a, b in (fixed_size, moving_size)) <= max_pixels:
+        correlation = _correlation_gathered(fixed, moving, fixed_size, moving_size)
+    else:
+        correlation = _correlation_distributed(fixed, moving, fixed_size)
 
     def full(p: np.ndarray) -> np.ndarray:
         return np.array([[p[0], p[1], p[4]], [p[2], p[3], p[5]], [0, 0, 1]])
 
     def cost(p: np.ndarray) -> float:
-        if abs(np.linalg.det(full(p))) < 1e-12:
-            return 0.0
-        seen = _edges(_sampled(other, full(p), *fixed_size)).ravel()
-        return -float(np.corrcoef(there, seen)[0, 1]) if there.std() and seen.std() else 0.0
+        return 0.0 if abs(np.linalg.det(full(p))) < 1e-12 else -correlation(full(p))
 
     p, value = simplex_search(cost, np.array([m[0, 0], m[0, 1], m[1, 0], m[1, 1], m[0, 2], m[1, 2]]), rounds)
     return full(p), -value

@@ -478,3 +478,26 @@ def test_no_local_folder_off_local_masters(spark):
     sc = N(master="spark://host:7077", getCheckpointDir=lambda: None)
     with pytest.raises(RuntimeError):
         shared_folder(N(sparkContext=sc, conf=N(get=lambda k, d: None)))
+
+
+def test_communities_of_a_graph_that_is_not_gathered(spark):
+    from spectrel.plans import clustering
+
+    rng = np.random.default_rng(1)
+    pairs = {(i, j) for i in range(60) for j in range(i) if rng.random() < (0.6 if i // 20 == j // 20 else 0.02)}
+    edges = spark.createDataFrame([(int(a), int(b), 1.0) for a, b in sorted(pairs)], "a long, b long, w double")
+    found = {r.id: r.label for r in clustering.communities(edges, max_edges=60).collect()}
+    assert len(found) == 60 and len({(i // 20, found[i]) for i in found}) == len(set(found.values())) == 3
+    sizes = [list(found.values()).count(k) for k in range(3)]
+    assert sizes == sorted(sizes, reverse=True)
+
+
+def test_refinement_without_gathering(spark):
+    from spectrel.plans import registration
+
+    at = [(y, x, 1.0 if 6 <= y < 16 and 5 <= x < 19 else 0.05 * ((y * x) % 3)) for y in range(24) for x in range(24)]
+    image = spark.createDataFrame(at, "y long, x long, value double").persist()
+    start = np.array([[1.0, 0.0, 1.0], [0.0, 1.0, -1.0], [0, 0, 1]])
+    gathered = registration.refine(image, image, start, (24, 24), (24, 24), rounds=3)
+    apart = registration.refine(image, image, start, (24, 24), (24, 24), rounds=3, max_pixels=100)
+    assert np.allclose(gathered[0], apart[0], atol=1e-6) and gathered[1] == pytest.approx(apart[1], abs=1e-9)
