@@ -10,7 +10,7 @@ The estimate is that of fast MCD. Each group has ``STARTS`` starts: the medians
 and mean and covariance of six rows each that are drawn by a hash of their values. Every start takes concentration steps
 (distances of the group's rows, mean and covariance of the nearest half) until it comes to rest, ``max_steps`` at most. The
 smallest determinant wins, and is reweighted once: mean and covariance of the rows within the 0.975 quantile. Covariances get the
-consistency factor of the normal distribution. ``RIDGE`` is added to each standard deviation's square, below one hundredth of the
+consistency factor of the normal distribution. ``RIDGE`` is added to each standard deviation's square, one hundredth of the
 variance that a share of one in ten has, so that a group of copies has a distance too.
 
 Distances are dealt into bins of 1/256 in the log of 1 + d2, and the bin in which the half ends counts in part. So a step
