@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectrel.llm import bpe, chat, fingerprint, jaccard, langid, lm, packing, quality, rules, rules_sql, token_counts
+from spectrel.llm import bpe, chat, fingerprint, jaccard, langid, lm, packing, pii, pii_sql, quality, repair, repair_sql, rules, rules_sql, token_counts
 from spectrel.llm.base import fold, fresh_path, need, table
 
 
@@ -127,5 +127,16 @@ def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(need(table(spark, sf_dir, "documents"), "doc_id", "text"), fold("doc_id", 7) == 2)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_token_counts, op4_quality, op5_language, op6_rules, op7_chat, op8_lm, op9_fingerprints, op10_jaccard)}
-SQL = {"op6_rules": OP6_SQL, "op7_chat": OP7_SQL, "op10_jaccard": OP10_SQL}
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts are those of the rules, as the digest is; ``spans`` has the spans of the contexts too."""
+    return pii.report(pii.find(table(spark, sf_dir, "documents")))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repair.repair(repair.damage(table(spark, sf_dir, "conversations")), present="present")
+    said = F.array_join(F.transform("repaired", lambda x: F.concat(x["role"], F.lit(":"), x["text"])), "\n")
+    return found.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(said, 256).alias("repaired_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_token_counts, op4_quality, op5_language, op6_rules, op7_chat, op8_lm, op9_fingerprints, op10_jaccard, op11_pii, op12_repair)}
+SQL = {"op6_rules": OP6_SQL, "op7_chat": OP7_SQL, "op10_jaccard": OP10_SQL, "op11_pii": pii_sql.op11(), "op12_repair": repair_sql.op12()}
