@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spectrel.runtime import settled
+from spectrel.operators import blocks
+from spectrel.runtime import settled, ship
 
 #: Cells are halved, so often at most, while one has more than so many times the neighbours that are wanted.
 HALVINGS, CROWD = 24, 8
@@ -63,26 +66,150 @@ def check_nodes(edges: DataFrame, nodes: DataFrame) -> None:
         raise ValueError(f"edges to nodes that are not there: {', '.join(str(r.id) for r in lost)}")
 
 
-def knn_vectors(vectors: DataFrame, k: int, metric: str = "euclid", blocks: int | None = None) -> DataFrame:
+#: Rows of a block of vectors, pivots at most, blocks that one task meets in a row, and candidates beside the k nearest.
+VECTOR_ROWS, PIVOTS, CHUNK, SPARE = 1024, 256, 64, 6
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, norm, out=x.copy(), where=norm > 0)
+
+
+def _apart(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of vectors that stand opposite each other, by their differences."""
+    if metric == "cosine":
+        return 1 - (a * b).sum(axis=-1)
+    d = a - b
+    return np.sqrt((d * d).sum(axis=-1))
+
+
+class _Nearest:
+    """The k nearest of each row of a block among the blocks it has met: by distance to nine digits, then id."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int, metric: str):
+        self.ids, self.x, self.k, self.metric = ids, x, k, metric
+        self.w, self.dst = np.full((len(x), k), np.inf), np.full((len(x), k), np.iinfo(np.int64).max)
+        self.squares = (x * x).sum(axis=1)
+
+    def reach(self) -> float:
+        """No vector farther than this from a row of the block can be among the k nearest of one."""
+        return float(self.w[:, -1].max()) + 2e-9
+
+    def meet(self, ids: np.ndarray, y: np.ndarray) -> None:
+        rough = -(self.x @ y.T) if self.metric == "cosine" else self.squares[:, None] + (y * y).sum(axis=1) - 2 * (self.x @ y.T)
+        if self.metric == "cosine":
+            rough[self.ids[:, None] == ids] = np.inf
+        m = min(len(ids), self.k + SPARE)
+        near = np.argpartition(rough, m - 1, axis=1)[:, :m] if m < len(ids) else np.broadcast_to(np.arange(m), (len(self.x), m))
+        self._take(slice(None), ids, y, near)
+        if m < len(ids):
+            # Rows for which one that was left out may be as near as the last that is kept, as equal vectors can be.
+            cut = np.take_along_axis(rough, near, 1).max(axis=1)
+            last = self.w[:, -1] - 1 if self.metric == "cosine" else self.w[:, -1] ** 2
+            slack = 1e-8 * (1 + self.squares + (y * y).sum(axis=1).max())
+            for i in np.flatnonzero(cut <= last + slack):
+                self._take(slice(i, i + 1), ids, y, np.flatnonzero(rough[i] <= last[i] + slack[i])[None])
+
+    def _take(self, rows: slice, ids: np.ndarray, y: np.ndarray, near: np.ndarray) -> None:
+        w, dst = _apart(self.x[rows][:, None], y[near], self.metric), ids[near]
+        if self.metric == "cosine":
+            w = np.where(dst == self.ids[rows][:, None], np.inf, w)
+        known = (dst[:, :, None] == self.dst[rows][:, None]).any(axis=2)  # by the same block, met once more
+        w, dst = np.concatenate([self.w[rows], np.where(known, np.inf, w)], axis=1), np.concatenate([self.dst[rows], dst], axis=1)
+        by = np.lexsort((dst, np.round(w, 9)), axis=1)[:, : self.k]
+        self.w[rows], self.dst[rows] = np.take_along_axis(w, by, 1), np.take_along_axis(dst, by, 1)
+
+
+def vector_blocks(vectors: DataFrame, k: int, metric: str, rows: int = VECTOR_ROWS) -> DataFrame:
+    """Blocks of vectors (unit vectors for cosine) that lie together, with their centre, radius and reach: the largest distance of a row
+    to its k-th nearest inside the block, in Euclidean terms.
+
+    Vectors go to the nearest of ``PIVOTS`` of them at most, drawn by a hash; a pivot with more than ``rows`` deals its vectors by a hash.
+    """
+    ship(vectors.sparkSession)
+    v = vectors.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
+    n = v.count()
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    size = max(1, min(rows, max(128, -(-n // cores))))
+    drawn = v.orderBy(F.xxhash64("id"), "id").limit(max(1, min(PIVOTS, -(-n // size)))).collect()
+    pivots = np.array([r.v for r in drawn], float) if drawn else np.zeros((1, 1))
+    pivots = _unit(pivots) if metric == "cosine" else pivots
+
+    def assign(batches):
+        for batch in batches:
+            if len(batch):
+                x = blocks.vectors_of(batch.column(1), len(batch))
+                x = _unit(x) if metric == "cosine" else x
+                at = ((pivots * pivots).sum(axis=1) - 2 * (x @ pivots.T)).argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))], names=["pivot", "id", "v"])
+
+    dealt = settled(v.mapInArrow(assign, "pivot int, id long, v array<double>"))
+    counts = {r.pivot: -(-r["count"] // size) for r in dealt.groupBy("pivot").count().collect()}  # PIVOTS rows at most
+    first = dict(zip(counts, np.cumsum([0, *counts.values()]).tolist(), strict=False))
+    parts = F.create_map(*[F.lit(x) for p, c in counts.items() for x in (p, c)]) if counts else F.create_map(F.lit(0), F.lit(1))
+    start = F.create_map(*[F.lit(x) for p, c in first.items() for x in (p, c)]) if counts else F.create_map(F.lit(0), F.lit(0))
+    block = start[F.col("pivot")] + F.pmod(F.xxhash64("id"), parts[F.col("pivot")]).cast("int")
+    made = blocks.pack(dealt.select(block.alias("block"), "id", "v"))
+
+    def measured(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                x, ids = blocks.floats(row["m"], row["n"]), np.frombuffer(row["ids"], "<i8")
+                own = _Nearest(ids, x, k, metric)
+                own.meet(ids, x)
+                centre, reach = x.mean(axis=0), own.reach()
+                radius = float(np.sqrt(((x - centre) ** 2).sum(axis=1).max()))
+                more = {"centre": centre.tolist(), "radius": radius, "reach": float(np.sqrt(2 * reach)) if metric == "cosine" else reach}
+                yield pa.RecordBatch.from_pylist([row | more], schema=pa.schema([*batch.schema, ("centre", pa.list_(pa.float64())), ("radius", pa.float64()), ("reach", pa.float64())]))
+
+    return settled(made.mapInArrow(measured, blocks.SCHEMA + ", centre array<double>, radius double, reach double"))
+
+
+def block_pairs(made: DataFrame) -> DataFrame:
+    """a, b, least: the pairs of blocks that may hold neighbours of a's rows in b, with the least distance that their centres and radii allow.
+    A pair stands for a product of two matrices of a block's rows, so pairs are few beside the work they stand for."""
+    side = lambda c: made.select(F.col("block").alias(c), F.col("centre").alias(f"{c}_centre"), F.col("radius").alias(f"{c}_radius"), F.col("reach").alias(f"{c}_reach"))
+    gap = F.sqrt(F.aggregate(F.zip_with("a_centre", "b_centre", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    least = F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.greatest(F.lit(0.0), gap - F.col("a_radius") - F.col("b_radius") - 1e-9 * (1 + gap)))
+    return side("a").crossJoin(side("b")).withColumn("least", least).where(F.col("least") <= F.col("a_reach")).select("a", "b", "least")
+
+
+def knn_vectors(vectors: DataFrame, k: int, metric: str = "euclid", rows: int = VECTOR_ROWS) -> DataFrame:
     """src, dst, w of (id, v): exact k nearest by Euclidean (itself included) or cosine distance (itself not), ties by id.
 
-    For features, of which there are hundreds: every block of some 2000 rows meets every block, each block pair is its own key, and
-    only the k nearest of a row in a task go on.
+    Vectors are packed into blocks; a task takes a block and meets other blocks one by one, nearest first, by matrix products, holding the
+    k best of each row. Pairs of blocks are left out where centres and radii tell that nothing in them can be near enough. Candidates of
+    a product get their distance again from differences. A block's others are dealt in runs of ``CHUNK``, merged at the end. The
+    result is settled, so that it is made once. Vectors of unequal lengths are an error; a zero vector has cosine distance 1 to all.
     """
-    blocks = blocks or max(8, -(-vectors.count() // 2000))
-    v = vectors.withColumn("v", F.transform("v", lambda a: a.cast("double")))
-    if metric == "cosine":
-        norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, a: s + a * a))
-        v = v.withColumn("v", F.transform("v", lambda a: F.when(norm > 0, a / norm).otherwise(a)))
-    b = F.pmod(F.xxhash64("id"), F.lit(blocks))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = v.select(F.col("id").alias("src"), F.col("v").alias("a"), b.alias("i"), every.alias("j"))
-    right = v.select(F.col("id").alias("dst"), F.col("v").alias("b"), b.alias("j"), every.alias("i"))
-    total = lambda f: F.aggregate(F.zip_with("a", "b", f), F.lit(0.0), lambda s, x: s + x)
-    w = F.sqrt(total(lambda x, y: (x - y) * (x - y))) if metric == "euclid" else 1 - total(lambda x, y: x * y)
-    pairs = left.join(right, ["i", "j"])
-    pairs = (pairs if metric == "euclid" else pairs.where("src <> dst")).select("src", "dst", w.alias("w"))
-    return pairs.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy(F.round("w", 9), "dst"))).where(F.col("r") <= k).select("src", "dst", "w")
+    made = vector_blocks(vectors, k, metric, rows)
+    pairs = settled(block_pairs(made).withColumn("run", F.floor(F.row_number().over(Window.partitionBy("a").orderBy("least", "b")) / (CHUNK + 1)).cast("int")))
+    heads = pairs.select("a", F.col("a").alias("b"), F.lit(-1.0).alias("least"), "run").distinct()
+    met = pairs.unionByName(heads).join(made.select(F.col("block").alias("b"), "n", "ids", "m"), "b")
+    met = met.repartition("a", "run").sortWithinPartitions("a", "run", "least", "b").select("least", "n", "ids", "m")
+
+    def run(batches):
+        best = None
+
+        def give():
+            src, on = np.repeat(best.ids, k), np.isfinite(best.w).ravel()
+            return pa.RecordBatch.from_arrays([pa.array(src[on]), pa.array(best.dst.ravel()[on]), pa.array(best.w.ravel()[on])], names=["src", "dst", "w"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, x = np.frombuffer(row["ids"], "<i8"), blocks.floats(row["m"], row["n"])
+                if row["least"] < 0:
+                    if best:
+                        yield give()
+                    best = _Nearest(ids, x, k, metric)
+                elif (row["least"] ** 2 / 2 if metric == "cosine" else row["least"]) <= best.reach():
+                    best.meet(ids, x)
+        if best:
+            yield give()
+
+    found = met.mapInArrow(run, "src long, dst long, w double")
+    last = Window.partitionBy("src").orderBy(F.round("w", 9), "dst")
+    return settled(found.withColumn("_r", F.row_number().over(last)).where(F.col("_r") <= k).drop("_r"))
 
 
 def symmetric(edges: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from spectrel.operators import features, graph
+from spectrel.operators import blocks, features, graph
 from spectrel.plans import clustering
 from spectrel.plans.spaco import Spaco, significant
 from spectrel.runtime import settled
@@ -21,7 +21,7 @@ class Analysis:
         self.labels = [r[0] for r in tiles.select("feature").distinct().orderBy("feature").collect()]
         self.rows = settled(features.to_vectors(tiles, self.labels))
         edges = graph.knn(self.rows.select("id", "x", "y"), k)
-        self.spaco = Spaco(self.rows.select("id", "v"), settled(graph.symmetric(edges) if binary else edges), keep, cut)
+        self.spaco = Spaco(self.rows.select("id", "x", "y", "v"), graph.symmetric(edges) if binary else edges, keep, cut, blocks.interleaved("x", "y"))
 
     def tests(self) -> DataFrame:
         """feature (its place in ``labels``), stat, cdf, p_value of the raw columns."""

@@ -11,16 +11,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectrel.operators import graph
+from spectrel.operators import blocks, graph
 from spectrel.operators.peaks import numbered
-from spectrel.plans.spaco import Spaco, apply_l, gram, times
+from spectrel.plans.spaco import Spaco
 from spectrel.runtime import settled
 
 
 def feature_components(s: Spaco) -> DataFrame:
     """id, v: a row per tested feature, its form X' L V with the component scores; each component over its norm (0 stays)."""
-    scores = apply_l(s.projection(), s.edges, s.n).select("id", F.col("lv").alias("b"))
-    c = gram(s.features.withColumnRenamed("v", "a").join(scores, "id"))
+    both = s.packed.select("block", "n", "m").join(s.white_packed.select("block", "lm"), "block")
+    c = blocks.summed(both, ["m", "lm"], lambda a, b: a.T @ b) @ s.loadings
     norm = np.sqrt((c**2).sum(axis=0))
     c = c / np.where(norm > 0, norm, 1)
     return s.features.sparkSession.createDataFrame([(int(i), r.tolist()) for i, r in zip(s.columns, c, strict=True)], "id long, v array<double>")
@@ -29,7 +29,7 @@ def feature_components(s: Spaco) -> DataFrame:
 def mean_projection(s: Spaco, means: DataFrame) -> DataFrame:
     """id, v: the component scores times the mean vector of each label, in order of the labels (label, v)."""
     m = np.array([r.v for r in means.orderBy("label").collect()])
-    return times(s.projection(), m.T)
+    return s.project(s.loadings @ m.T)
 
 
 def similarity_graph(vectors: DataFrame, k: int = 10) -> DataFrame:
@@ -146,6 +146,7 @@ def communities(edges: DataFrame, resolution: float = 1.0, seed: int = 42, max_e
     Weights may be negative, as similarities can be; if they add up to no more than 0 there is nothing to group by, and each node
     is its own group.
     """
+    edges = settled(edges)  # it is counted, then gathered or folded
     if edges.count() > max_edges:
         folded, home = _folded(edges, resolution, max_edges)
         found = communities(folded, resolution, seed, max_edges, passes).select(F.col("id").alias("label"), F.col("label").alias("group"))

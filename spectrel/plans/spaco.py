@@ -7,12 +7,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spectrel.functions.imhof import imhof_cdf
 from spectrel.functions.student import t_quantile
-from spectrel.operators.graph import check_nodes
+from spectrel.operators import blocks
+from spectrel.operators.blocks import BlockedGraph
 from spectrel.operators.peaks import numbered
 from spectrel.runtime import settled, ship
 
@@ -88,42 +89,41 @@ def times(rows: DataFrame, m: np.ndarray, shift: np.ndarray | None = None, colum
     return rows.select("id", F.col(column).alias("v")).mapInArrow(run, "id long, v array<double>")
 
 
-def apply_l(rows: DataFrame, edges: DataFrame, n: int) -> DataFrame:
-    """(id, v, lv): each row with its row of L V, by one edge join on distributed sums of arrays."""
-    s = edges.agg(F.sum(F.abs("w"))).first()[0]
-    moved = edges.join(rows, edges["dst"] == rows["id"]).select("src", F.posexplode(F.transform("v", lambda x: x * F.col("w") / s)).alias("k", "x"))
-    summed = moved.groupBy("src", "k").agg(F.sum("x").alias("x")).groupBy("src").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("l"))
-    own = F.transform("v", lambda x: x / n)
-    both = rows.join(summed, rows["id"] == summed["src"], "left")
-    return both.select("id", "v", F.when(F.col("l").isNull(), own).otherwise(F.zip_with(own, F.transform("l", lambda e: e["x"]), lambda x, y: x + y)).alias("lv"))
+def apply_l(rows: DataFrame, edges: DataFrame | BlockedGraph) -> DataFrame:
+    """(id, v, lv): each row with its row of L V, by one product of blocks."""
+    graph = edges if isinstance(edges, BlockedGraph) else BlockedGraph(edges, rows.select("id"))
+    return blocks.unpack(graph.product(graph.pack(rows)), v="m", lv="lm")
 
 
 class Spaco:
-    """Whitening, spectral filter, projection and test. ``keep`` is the share of variance, ``cut`` the smallest eigenvalue."""
+    """Whitening, spectral filter, projection and test. ``keep`` is the share of variance, ``cut`` the smallest eigenvalue.
 
-    def __init__(self, rows: DataFrame, edges: DataFrame, keep: float = 0.95, cut: float | None = None):
+    Edges are stored once as cells of a blocked graph and rows as blocks; ``order`` places nodes whose edges are near each other in one block.
+    """
+
+    def __init__(self, rows: DataFrame, edges: DataFrame, keep: float = 0.95, cut: float | None = None, order: Column | None = None):
         ship(rows.sparkSession)
-        self._ranked = None
-        rows = rows.select("id", F.transform("v", lambda x: x.cast("double")).alias("v"))
-        check_nodes(edges, rows)
-        p = len(rows.first().v)
-        stats = rows.select(F.posexplode("v").alias("k", "x")).groupBy("k").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).collect()
-        mean, deviation = np.zeros(p), np.zeros(p)
-        for r in stats:
-            mean[r.k], deviation[r.k] = r.m, r.s
-        self.columns = np.flatnonzero(deviation > 0)
+        self._ranked = self._back = None
+        self.graph = BlockedGraph(edges, rows, order)
+        self.edges, self.n = self.graph.edges, self.graph.n
+        given = settled(self.graph.pack(rows))
+        ones = lambda m: m.sum(axis=0)[None]
+        mean = blocks.summed(given, ["m"], ones)[0] / self.n
+        deviation = np.sqrt(blocks.summed(given, ["m"], lambda m: ((m - mean) ** 2).sum(axis=0)[None])[0] / self.n)
+        # What a constant column's mean lacks in precision is no deviation.
+        self.columns = np.flatnonzero(deviation > 1e-14 * np.abs(mean))
         if not len(self.columns):
             raise ValueError("no column varies")
-        scale = np.zeros((p, len(self.columns)))
-        scale[self.columns, np.arange(len(self.columns))] = 1 / deviation[self.columns]
-        self.features = settled(times(rows, scale, mean))
-        self.n, self.edges = self.features.count(), edges
-        values, vectors = np.linalg.eigh(gram(self.features.select(F.col("v").alias("a"), F.col("v").alias("b"))) / (self.n - 1))
+        columns, mean, deviation = self.columns, mean[self.columns], deviation[self.columns]
+        self.packed = blocks.mapped(given, lambda m: (m[:, columns] - mean) / deviation)
+        self.features = blocks.unpack(self.packed)
+        values, vectors = np.linalg.eigh(blocks.summed(self.packed, ["m"], lambda m: m.T @ m) / (self.n - 1))
         values, vectors = values[::-1], vectors[:, ::-1]
         r = int(np.searchsorted(np.cumsum(values) / values.sum(), keep)) + 1
-        self.whitener = vectors[:, :r] / np.sqrt(values[:r])
-        self.white = settled(apply_l(times(self.features, self.whitener), edges, self.n))
-        self.form = gram(self.white, "v", "lv")
+        self.whitener = whitener = vectors[:, :r] / np.sqrt(values[:r])
+        self.white_packed = settled(self.graph.product(blocks.mapped(self.packed, lambda m: m @ whitener)))
+        self.white = blocks.unpack(self.white_packed, v="m", lv="lm")
+        self.form = blocks.summed(self.white_packed, ["m", "lm"], lambda a, b: a.T @ b)
         lam, self.all_vectors = np.linalg.eigh(self.form)
         self.all_values, self.all_vectors = lam[::-1], self.all_vectors[:, ::-1]
         self.set_cut(float(np.median(self.all_values)) if cut is None else cut)
@@ -138,17 +138,15 @@ class Spaco:
         Table and edges are sent to the tasks if both fit in ``max_bytes``. Beyond that nothing is gathered: edges take permuted
         row numbers, ``block`` replicates at a time, and meet the rows in two joins. The permutations are the same either way.
         """
-        r, m = self.whitener.shape[1], self.edges.count()
+        r, m = self.whitener.shape[1], self.graph.n_edges
         if 8 * (self.n * r + 3 * m) <= max_bytes:
             return self._null_sent(replicates, seed)
         return np.sort(np.concatenate([self._null_joined(range(i, min(i + block, replicates)), seed) for i in range(0, replicates, block)]))
 
     def _null_sent(self, replicates: int, seed: int) -> np.ndarray:
-        got = self.white.select("id", "v").toPandas().sort_values("id")
-        place = {k: i for i, k in enumerate(got["id"])}
-        w = np.stack(got["v"])
-        e = self.edges.toPandas()
-        a, b, x = e["src"].map(place).to_numpy(), e["dst"].map(place).to_numpy(), e["w"].to_numpy() / e["w"].abs().sum()
+        # Packed rows: a block or a cell each, so nothing larger than the numbers themselves is made of them.
+        ids, w = self._gathered(self.white_packed.select("n", "ids", "m"))
+        a, b, x = self._gathered_edges(ids)
         n, spark = self.n, self.white.sparkSession
         sent = spark.sparkContext.broadcast((w, a, b, x))
 
@@ -165,6 +163,22 @@ class Spaco:
 
         return np.array(sorted(row.value for row in spark.range(replicates).mapInPandas(run, "value double").collect()))
 
+    def _gathered(self, packed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Ids in order and their rows."""
+        got = packed.collect()
+        ids = np.concatenate([np.frombuffer(r.ids, "<i8") for r in got])
+        by = np.argsort(ids)
+        return ids[by], np.concatenate([blocks.floats(r.m, r.n) for r in got])[by]
+
+    def _gathered_edges(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row numbers of the ends and weights over their sum."""
+        ends = {r.block: np.frombuffer(r.ids, "<i8") for r in self.white_packed.select("block", "ids").collect()}
+        got = self.graph.cells.collect()
+        at = lambda block, slots: np.searchsorted(ids, ends[block][np.frombuffer(slots, "<i4")])
+        parts = [(at(r.s, r.a), at(r.t, r.b), np.frombuffer(r.w, "<f8")) for r in got]
+        a, b, x = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        return a, b, x / (self.graph.total or 1.0)
+
     def _null_joined(self, numbers: range, seed: int) -> np.ndarray:
         n, first, count = self.n, numbers.start, len(numbers)
         if self._ranked is None:
@@ -216,12 +230,20 @@ class Spaco:
 
     def projection(self) -> DataFrame:
         """(id, v): the component scores V_k."""
-        return times(self.white.select("id", "v"), self.loadings)
+        return self.project(self.loadings)
+
+    def project(self, m: np.ndarray) -> DataFrame:
+        """(id, v): the whitened rows times m."""
+        return blocks.unpack(blocks.mapped(self.white_packed, lambda x: x @ m))
+
+    def against(self, product: DataFrame) -> np.ndarray:
+        """W' L X of the whitened rows W, for blocks with their product (lm)."""
+        both = self.white_packed.select("block", "n", F.col("m").alias("w")).join(product.select("block", "lm"), "block")
+        return blocks.summed(both, ["w", "lm"], lambda a, b: a.T @ b)
 
     def projected(self) -> DataFrame:
         """(id, v): the standardised columns that vary, projected onto the components: V_k (V_k' (L F)), by one k-by-p matrix."""
-        lf = apply_l(self.features, self.edges, self.n).select("id", F.col("lv").alias("b"))
-        return times(self.projection(), gram(self.projection().withColumnRenamed("v", "a").join(lf, "id")))
+        return self.project(self.loadings @ self.loadings.T @ self.against(self.graph.product(self.packed)))
 
     def orthonormal(self, tol: float = float(np.sqrt(np.finfo(float).eps))) -> np.ndarray:
         """Loadings whose scores are L-orthonormal: Gram-Schmidt over the kept components in their order, from their L-Gram alone.
@@ -245,22 +267,22 @@ class Spaco:
 
     def sigma(self) -> np.ndarray:
         """Eigenvalues of S' L L S for S, the L-orthonormal scores of the kept components."""
-        scores = settled(apply_l(times(self.white.select("id", "v"), self.orthonormal()), self.edges, self.n))
-        flipped = self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
-        back = apply_l(scores.select("id", "v"), flipped, self.n).select("id", F.col("lv").alias("a"))
-        return np.linalg.eigvalsh(gram(back.join(scores.select("id", F.col("lv").alias("b")), "id")))
+        if self._back is None:  # (L' W)' (L W), of which every S is made
+            back = self.graph.product(self.white_packed.select("block", "n", "ids", "m"), transpose=True).select("block", F.col("lm").alias("back"))
+            self._back = blocks.summed(self.white_packed.select("block", "n", "lm").join(back, "block"), ["back", "lm"], lambda a, b: a.T @ b)
+        basis = self.orthonormal()
+        return np.linalg.eigvalsh(basis.T @ self._back @ basis)
 
     def test(self, rows: DataFrame | None = None) -> DataFrame:
-        """feature, stat, cdf, p_value for every column, with one edge join for all.
+        """feature, stat, cdf, p_value for every column, with one product for all.
 
         The standardised columns that vary are tested, or the columns of ``rows`` (id, v) as they are, neither centred nor scaled.
         A column whose form x' L x is 0 has no statistic: null, and so are its probabilities.
         """
         spark = self.features.sparkSession
-        tested = self.features if rows is None else rows.select("id", F.transform("v", lambda x: x.cast("double")).alias("v"))
-        lx = settled(apply_l(tested, self.edges, self.n))
-        xlx = np.diag(gram(lx, "v", "lv"))
-        vlx = gram(self.projection().withColumnRenamed("v", "a").join(lx.select("id", F.col("lv").alias("b")), "id"))
+        lx = settled(self.graph.product(self.packed if rows is None else self.graph.pack(rows)))
+        xlx = blocks.summed(lx, ["m", "lm"], lambda a, b: (a * b).sum(axis=0)[None])[0]
+        vlx = self.loadings.T @ self.against(lx)
         names = self.columns if rows is None else range(len(xlx))
         weights, out = self.sigma(), []
         for c, top, below in zip(names, (vlx**2).sum(axis=0), xlx, strict=True):

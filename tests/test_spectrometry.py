@@ -73,7 +73,7 @@ def test_spaco_is_l_orthonormal(spark, sf):
     from spectrel.plans.spaco import apply_l, gram
 
     s = queries.spaco(spark, sf)
-    scores = apply_l(s.projection(), s.edges, s.n)
+    scores = apply_l(s.projection(), s.graph)
     assert np.allclose(gram(scores, "v", "lv"), np.eye(len(s.values)), atol=1e-6)
     few = len(s.values)
     s.set_cut(float(s.values[0]))
@@ -499,3 +499,66 @@ def test_refinement_without_gathering(spark):
     gathered = registration.refine(image, image, start, (24, 24), (24, 24), rounds=3)
     apart = registration.refine(image, image, start, (24, 24), (24, 24), rounds=3, max_pixels=100)
     assert np.allclose(gathered[0], apart[0], atol=1e-6) and gathered[1] == pytest.approx(apart[1], abs=1e-9)
+
+
+def test_blocked_product_of_a_directed_graph(spark):
+    """Against dense matrices, both ways, over several blocks; as many rows are shuffled as cells, whatever the number of features."""
+    from spectrel.operators import blocks
+
+    rng = np.random.default_rng(7)
+    n = 230
+    ids = rng.permutation(5000)[:n]
+    a = np.where(rng.random((n, n)) < 0.03, rng.normal(size=(n, n)), 0)
+    edges = spark.createDataFrame([(int(ids[i]), int(ids[j]), float(a[i, j])) for i, j in zip(*np.nonzero(a), strict=True)], "src long, dst long, w double")
+    lap = np.eye(n) / n + a / np.abs(a).sum()
+    for p in (1, 70):
+        x = rng.normal(size=(n, p))
+        rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "id long, v array<double>")
+        g = blocks.BlockedGraph(edges, rows, rows=50)
+        assert g.n == n and g.cells.count() <= 25 and g.cells.agg(F.sum("k")).first()[0] == np.count_nonzero(a)
+        for transpose, m in ((False, lap), (True, lap.T)):
+            made = g.product(g.pack(rows), transpose)
+            got = {r.id: r.lv for r in blocks.unpack(made, lv="lm").collect()}
+            assert np.allclose([got[int(i)] for i in ids], m @ x) and made.count() == 5
+        assert "explode" not in made._jdf.queryExecution().toString().lower()
+    with pytest.raises(ValueError):
+        blocks.BlockedGraph(edges, rows.where(F.col("id") != int(ids[0])))
+    order = spark.range(64).select(F.col("id").alias("k"), (F.col("id") % 8).alias("x"), F.floor(F.col("id") / 8).alias("y")).select("x", "y", blocks.interleaved("x", "y").alias("z")).collect()
+    assert sorted(r.z for r in order) == list(range(64)) and all(r.z == sum((r.x >> b & 1) << 2 * b | (r.y >> b & 1) << 2 * b + 1 for b in range(3)) for r in order)
+
+
+def brute_neighbours(ids, x, k, metric):
+    if metric == "cosine":
+        norm = np.sqrt((x * x).sum(1, keepdims=True))
+        u = x / np.where(norm > 0, norm, 1)
+        w = 1 - u @ u.T
+        w[ids[:, None] == ids] = np.inf
+    else:
+        w = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    near = {int(i): np.lexsort((ids, np.round(d, 9)))[:k] for i, d in zip(ids, w, strict=True)}
+    return {i: [(int(ids[j]), round(float(d[j]), 6)) for j in near[i] if np.isfinite(d[j])] for (i, d) in zip(near, w, strict=True)}
+
+
+@pytest.mark.parametrize("metric", ["euclid", "cosine"])
+@pytest.mark.parametrize("case", ["groups", "equal", "few"])
+def test_vector_neighbours_equal_brute_force(spark, metric, case):
+    rng = np.random.default_rng(0)
+    x = {"groups": rng.normal(size=(300, 7)) + 40 * np.eye(7)[rng.integers(0, 7, 300)], "equal": np.repeat(rng.integers(0, 3, (5, 4)).astype(float), 40, axis=0), "few": np.concatenate([np.zeros((3, 2)), rng.normal(size=(4, 2))])}[case]
+    ids = rng.permutation(1000)[: len(x)]
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "id long, v array<double>")
+    for k in (1, 12):
+        got = {}
+        for r in graph.knn_vectors(df, k, metric, rows=32).collect():
+            got.setdefault(r.src, []).append((round(r.w, 9), r.dst, round(r.w, 6)))
+        assert {i: [(d, w) for _, d, w in sorted(v)] for i, v in got.items()} == brute_neighbours(ids, x, k, metric)
+    if case == "groups":
+        made = graph.vector_blocks(df, 3, metric, 32)
+        assert graph.block_pairs(made).count() < 0.6 * made.count() ** 2  # pairs of far groups are left out
+
+
+def test_vector_neighbours_are_searched_once(spark, sf, monkeypatch):
+    seen = given_to(monkeypatch, graph, "vector_blocks")
+    s = queries.spaco(spark, sf)
+    assert s.test().count() > 0 and s.projection().count() > 0 and len(s.sigma()) > 0 and len(seen) == 1
+    assert "MapInArrow" not in s.edges._jdf.queryExecution().toString()
+    assert graph.knn_vectors(spark.createDataFrame([], "id long, v array<double>"), 3).count() == 0
