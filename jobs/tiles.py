@@ -3,7 +3,7 @@
     python -m jobs.tiles --peaks DIR --output DIR [--config FILE]
 
 Peaks (pixel_id, peak_idx, x, y, mz, intensity) above ``min_intensity`` are grouped along the mass axis into features of at least
-``min_count`` peaks closer than ``tolerance``; a feature's catalogue row has its masses, its number of peaks and the share of pixels that
+``min_count`` peaks closer than ``tolerance`` (null: ``look_ahead`` times the mean distance of so many peaks); a feature's catalogue row has its masses, its number of peaks and the share of pixels that
 have it; its tiles have the median intensity over their pixels, pixels without the feature counting as 0. ``output`` gets two
 Parquet tables, ``tiles`` and ``catalogue``, partitioned by mass band (the feature's least mass over ``band``, whole part). Features are named
 by their number in order of mass.
@@ -20,13 +20,21 @@ from jobs.base import LOG, command_line, defaults_of, own_folder
 from spectrel.operators import features, peaks
 from spectrel.runtime import settled
 
+#: The tables that are written.
+CATALOGUE = "feature long, mz_low double, mz_high double, n_peaks long, n_pixels long, occupancy double, band int"
+TILES = "tile_x long, tile_y long, feature long, value double, band int"
 COLUMNS = ["pixel_id", "peak_idx", "x", "y", "mz", "intensity"]
 
 
 def run_on(spark: SparkSession, rows: DataFrame, output: str, config: dict) -> None:
     """The job on a frame of peaks."""
     rows = rows.select(*COLUMNS).where("x is not null and y is not null and mz is not null")
-    clustered = peaks.cluster(rows, config["min_intensity"], config["min_count"], config["tolerance"], ["pixel_id", "peak_idx", "intensity"])
+    tolerance = config["tolerance"]
+    if tolerance is None:
+        all_ = rows.where(F.col("intensity") > config["min_intensity"]).agg(F.min("mz").alias("lo"), F.max("mz").alias("hi"), F.count(F.lit(1)).alias("n")).first()
+        tolerance = (all_.hi - all_.lo) / all_.n * config["min_count"] * config["look_ahead"] if all_.n else 0.0
+        LOG.info("the tolerance is %g", tolerance)
+    clustered = peaks.cluster(rows, config["min_intensity"], config["min_count"], tolerance, ["pixel_id", "peak_idx", "intensity"])
     found = settled(clustered.withColumnRenamed("cluster_label", "feature"))
     LOG.info("found %d peaks of features", found.count())
     masses = found.groupBy("feature").agg(F.min("mz").alias("mz_low"), F.max("mz").alias("mz_high"), F.count(F.lit(1)).alias("n_peaks"))
@@ -37,7 +45,7 @@ def run_on(spark: SparkSession, rows: DataFrame, output: str, config: dict) -> N
         # A band's features are spread over files, so that a band with most of them is no single task.
         dealt = table.repartition("band", F.pmod(F.xxhash64("feature"), F.lit(8)))
         dealt.write.mode("overwrite").partitionBy("band").parquet(f"{output}/{name}")
-        LOG.info("wrote %d rows to %s/%s", spark.read.parquet(f"{output}/{name}").count(), output, name)
+        LOG.info("wrote %d rows to %s/%s", spark.read.schema(table.schema).parquet(f"{output}/{name}").count(), output, name)
 
 
 def run(spark: SparkSession, peaks: str, output: str, config: dict | None = None) -> None:
@@ -49,8 +57,8 @@ def run(spark: SparkSession, peaks: str, output: str, config: dict | None = None
 
 def result(spark: SparkSession, output: str) -> DataFrame:
     """Each tile's row with what the catalogue says of its feature."""
-    catalogue = spark.read.parquet(f"{output}/catalogue").drop("band")
-    return spark.read.parquet(f"{output}/tiles").join(catalogue, "feature").select("band", "feature", "tile_x", "tile_y", "value", "mz_low", "mz_high", "n_peaks", "n_pixels", F.round("occupancy", 9).alias("occupancy"))
+    catalogue = spark.read.schema(CATALOGUE).parquet(f"{output}/catalogue").drop("band")
+    return spark.read.schema(TILES).parquet(f"{output}/tiles").join(catalogue, "feature").select("band", "feature", "tile_x", "tile_y", "value", "mz_low", "mz_high", "n_peaks", "n_pixels", F.round("occupancy", 9).alias("occupancy"))
 
 
 def job1_mass_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +75,8 @@ def job1_mass_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = """
 with s as (select l_orderkey pixel_id, l_linenumber peak_idx, l_partkey x, l_suppkey y, l_extendedprice mz, l_quantity intensity from lineitem where l_quantity > 5),
-a as (select *, row_number() over w as rn, coalesce(lead(mz, 10) over w - mz, 0) as delta from s window w as (order by mz, pixel_id, peak_idx, intensity)),
-b as (select *, case when delta < 30 then 1 else 0 end as d from a),
+a as (select *, row_number() over w as rn, coalesce(lead(mz, 10) over w - mz, 0) as delta, (max(mz) over () - min(mz) over ()) / count(*) over () * 10 * 1.5 as tol from s window w as (order by mz, pixel_id, peak_idx, intensity)),
+b as (select *, case when delta < tol then 1 else 0 end as d from a),
 c as (select *, lag(d) over (order by rn) as before from b),
 e as (select *, sum(greatest(d - coalesce(before, d), 0)) over (order by rn) as r from c),
 f as (select *, cast(case when before is null then d else before * r end as bigint) as feature from e),

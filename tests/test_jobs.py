@@ -92,6 +92,8 @@ def test_tiles_replace_what_was_there(spark, sf, tmp_path):
     assert 0 < fewer.count() < len(first) and fewer.agg(F.max("mz_high")).first()[0] < 40000
     tiles.run_on(spark, rows, out, config)
     assert sorted(tiles.result(spark, out).collect()) == first
+    tiles.run_on(spark, rows, str(tmp_path / "none"), config | {"min_intensity": 49, "tolerance": 1e9})  # all is dense, so there is no feature
+    assert tiles.result(spark, str(tmp_path / "none")).count() == 0
     bands = {p.name for p in Path(out, "tiles").glob("band=*")}
     assert bands == {p.name for p in Path(out, "catalogue").glob("band=*")} == {f"band={r.band}" for r in first} and len(bands) > 2
 
