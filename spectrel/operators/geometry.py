@@ -1,4 +1,4 @@
-"""Coordinates and rasters: transforms as column expressions, neighbourhoods as offset aggregates."""
+"""Coordinates and rasters: transforms as column expressions, neighbourhoods on tiles."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spectrel.operators import raster
+
 
 def rotate(x: str, y: str) -> tuple[Column, Column]:
     """(x, y) -> (y, -x)."""
@@ -98,42 +100,15 @@ def strided_list(mask: DataFrame, spacing: int) -> DataFrame:
     return numbered(mask, [F.col("y"), F.col("x")]).where(F.col("rn") % spacing == 0).select("x", "y")
 
 
-def neighbours(pixels: DataFrame, kernel: dict[tuple[int, int], float], out: str = "value") -> DataFrame:
-    """Weighted sum over offsets (dy, dx); missing pixels count 0. One shuffle: each pixel sends itself to its neighbours."""
-    cells = F.array(*[F.struct(F.lit(-dy).alias("dy"), F.lit(-dx).alias("dx"), F.lit(float(k)).alias("k")) for (dy, dx), k in kernel.items()])
-    sent = pixels.select("y", "x", "value", F.explode(cells).alias("o"))
-    own = pixels.select("y", "x", F.lit(0.0).alias("part"), F.lit(1).alias("there"))
-    parts = sent.select((F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), (F.col("value") * F.col("o.k")).alias("part"), F.lit(0).alias("there"))
-    return own.unionByName(parts).groupBy("y", "x").agg(F.sum("part").alias(out), F.max("there").alias("there")).where("there = 1").drop("there")
-
-
-#: Quarter-weighted derivative masks (fixed values).
-SOBEL_Y = {(-1, -1): -0.25, (-1, 0): -0.5, (-1, 1): -0.25, (1, -1): 0.25, (1, 0): 0.5, (1, 1): 0.25}
-SOBEL_X = {(dx, dy): v for (dy, dx), v in SOBEL_Y.items()}
-
-
-def reflected(pixels: DataFrame, height: int, width: int) -> DataFrame:
-    """The image (y, x, value) with a margin of one pixel that repeats its border."""
-    line = lambda c, n: F.explode(F.array_compact(F.array(F.col(c), F.when(F.col(c) == 0, F.col(c) - 1), F.when(F.col(c) == n - 1, F.col(c) + 1))))
-    return pixels.select("x", "value", line("y", height).alias("y")).select("y", "value", line("x", width).alias("x"))
-
-
 def sobel(pixels: DataFrame, height: int, width: int) -> DataFrame:
-    """y, x, value: sqrt((gx^2 + gy^2) / 2); the border is repeated outside; pixels that are not there count 0. One shuffle."""
-    padded = reflected(pixels, height, width)
-    cells = F.array(*[F.struct(F.lit(-dy).alias("dy"), F.lit(-dx).alias("dx"), F.lit(SOBEL_X.get((dy, dx), 0.0)).alias("kx"), F.lit(SOBEL_Y.get((dy, dx), 0.0)).alias("ky")) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx])
-    sent = padded.select("y", "x", "value", F.explode(cells).alias("o")).select((F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), (F.col("value") * F.col("o.kx")).alias("gx"), (F.col("value") * F.col("o.ky")).alias("gy"), F.lit(0).alias("there"))
-    own = pixels.select("y", "x", F.lit(0.0).alias("gx"), F.lit(0.0).alias("gy"), F.lit(1).alias("there"))
-    found = own.unionByName(sent).groupBy("y", "x").agg(F.sum("gx").alias("gx"), F.sum("gy").alias("gy"), F.max("there").alias("there"))
-    return found.where("there = 1").select("y", "x", F.sqrt((F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")) / 2).alias("value"))
+    """y, x, value: sqrt((gx^2 + gy^2) / 2); the border is repeated outside; pixels that are not there count 0. One exchange of rims."""
+    return raster.to_pixels(raster.around(raster.to_tiles(pixels), 1, raster.edges(height, width)))
 
 
 def morph(mask: DataFrame, offsets: list[tuple[int, int]], dilate: bool) -> DataFrame:
-    """Dilate (largest) or erode (smallest) a 0/1 value over offsets; pixels beyond the border are ignored."""
-    cells = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in offsets])
-    sent = mask.select("y", "x", "value", F.explode(cells).alias("o")).select((F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), "value", F.lit(0).alias("there"))
-    best = F.max if dilate else F.min
-    return mask.select("y", "x", "value", F.lit(1).alias("there")).unionByName(sent).groupBy("y", "x").agg(best("value").alias("value"), F.max("there").alias("there")).where("there = 1").drop("there")
+    """Dilate (largest) or erode (smallest) a value over offsets, a pixel's own among them; pixels beyond the border are ignored."""
+    r, f = raster.shapes([([(0, 0), *offsets], dilate)])
+    return raster.to_pixels(raster.around(raster.to_tiles(mask), r, f), dict(mask.dtypes)["value"])
 
 
 def warp(pixels: DataFrame, targets: DataFrame) -> DataFrame:

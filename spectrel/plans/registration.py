@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectrel.operators import geometry
+from spectrel.operators import geometry, raster
 from spectrel.runtime import settled
 
 #: Structuring elements as (dy, dx): a 3 x 3 and a 5 x 5 ellipse (fixed values).
@@ -18,12 +18,20 @@ ELLIPSE_3 = [(0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)]
 ELLIPSE_5 = [(-2, 0), *[(dy, dx) for dy in (-1, 0, 1) for dx in (-2, -1, 0, 1, 2)], (2, 0)]
 
 
+#: A mask is closed by the larger ellipse, then opened by the smaller.
+CLOSE_AND_OPEN = [(ELLIPSE_5, True), (ELLIPSE_5, False), (ELLIPSE_3, False), (ELLIPSE_3, True)]
+
+
+def mask_tiles(tiles: DataFrame, threshold: float = 0.1) -> DataFrame:
+    """Tiles of 0 or 1: gray > threshold, closed and opened, with one exchange of rims for the four steps."""
+    r, f = raster.shapes(CLOSE_AND_OPEN)
+    above = lambda wide: np.where(np.isnan(wide), np.nan, wide > threshold)
+    return raster.around(tiles, r, lambda wide, y0, x0: f(above(wide), y0, x0))
+
+
 def tissue_mask(gray: DataFrame, threshold: float = 0.1) -> DataFrame:
-    """y, x, value 0 or 1: gray > threshold, closed by the larger ellipse, then opened by the smaller."""
-    mask = gray.select("y", "x", F.when(F.col("value") > threshold, 1).otherwise(0).alias("value"))
-    for offsets, dilate in ((ELLIPSE_5, True), (ELLIPSE_5, False), (ELLIPSE_3, False), (ELLIPSE_3, True)):
-        mask = geometry.morph(mask, offsets, dilate)
-    return mask
+    """y, x, value 0 or 1, as ``mask_tiles``."""
+    return raster.to_pixels(mask_tiles(raster.to_tiles(gray), threshold), "int")
 
 
 def grid(spark: SparkSession, height: int, width: int, spacing: int = 1) -> DataFrame:
@@ -35,24 +43,17 @@ def grid(spark: SparkSession, height: int, width: int, spacing: int = 1) -> Data
 
 def warp_affine(pixels: DataFrame, m: np.ndarray, height: int, width: int) -> DataFrame:
     """The image under the map ``m``, bilinear, 0 outside: each target pixel looks up its origin."""
-    sx, sy = geometry.affine(F.col("x"), F.col("y"), np.linalg.inv(m))
-    return geometry.warp(pixels, grid(pixels.sparkSession, height, width).select("y", "x", sy.alias("sy"), sx.alias("sx")))
+    return raster.to_pixels(raster.sampled(raster.to_tiles(pixels), raster.affine_origin(m), height, width))
 
 
 def warp_spline(pixels: DataFrame, points: np.ndarray, w: np.ndarray, height: int, width: int) -> DataFrame:
     """The image sampled at each pixel less its spline displacement."""
-    dx, dy = (geometry.tps(F.col("x"), F.col("y"), points, w[:, k]) for k in range(2))
-    return geometry.warp(pixels, grid(pixels.sparkSession, height, width).select("y", "x", (F.col("y") - dy).alias("sy"), (F.col("x") - dx).alias("sx")))
+    return raster.to_pixels(raster.sampled(raster.to_tiles(pixels), raster.spline_origin(points, w), height, width))
 
 
 def resize(pixels: DataFrame, old: tuple[int, int], new: tuple[int, int], nearest: bool = False) -> DataFrame:
     """y, x, value of the image at another size (height, width): linear between pixel centres, clamped at the border, or nearest."""
-    def back(c: str, was: int, now: int):
-        at = F.col(c) * (was / now) if nearest else (F.col(c) + 0.5) * (was / now) - 0.5
-        return F.least(F.greatest(F.floor(at) if nearest else at, F.lit(0.0)), F.lit(was - 1.0))
-
-    rows = grid(pixels.sparkSession, *new).select("y", "x", back("y", old[0], new[0]).alias("sy"), back("x", old[1], new[1]).alias("sx"))
-    return geometry.warp(pixels, rows)
+    return raster.to_pixels(raster.sampled(raster.to_tiles(pixels), raster.resize_origin(old, new, nearest), *new))
 
 
 def to_bytes(pixels: DataFrame) -> DataFrame:
@@ -61,10 +62,7 @@ def to_bytes(pixels: DataFrame) -> DataFrame:
 
 
 def _dense(pixels: DataFrame, height: int, width: int) -> np.ndarray:
-    rows = pixels.where((F.col("y") >= 0) & (F.col("y") < height) & (F.col("x") >= 0) & (F.col("x") < width)).select("y", "x", "value").toPandas()
-    out = np.zeros((height, width))
-    out[rows["y"].to_numpy(int), rows["x"].to_numpy(int)] = rows["value"]
-    return out
+    return raster.gathered(raster.to_tiles(pixels), height, width)
 
 
 def _sampled(image: np.ndarray, m: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -119,8 +117,8 @@ def simplex_search(cost, start: np.ndarray, rounds: int = 100, near: float = 1e-
 
 
 def _correlation_gathered(fixed: DataFrame, moving: DataFrame, fixed_size: tuple[int, int], moving_size: tuple[int, int]):
-    gray, mask = _dense(fixed, *fixed_size), _dense(tissue_mask(fixed), *fixed_size)
-    there, other = _edges(gray * mask).ravel(), _dense(tissue_mask(moving), *moving_size)
+    gray, mask = raster.gathered(fixed, *fixed_size), raster.gathered(mask_tiles(fixed), *fixed_size)
+    there, other = _edges(gray * mask).ravel(), raster.gathered(mask_tiles(moving), *moving_size)
 
     def correlation(m: np.ndarray) -> float:
         seen = _edges(_sampled(other, m, *fixed_size)).ravel()
@@ -130,16 +128,16 @@ def _correlation_gathered(fixed: DataFrame, moving: DataFrame, fixed_size: tuple
 
 
 def _correlation_distributed(fixed: DataFrame, moving: DataFrame, fixed_size: tuple[int, int]):
-    """The same figure by one Spark job for each map, so that no image is gathered."""
-    inside = tissue_mask(fixed).select("y", "x", F.col("value").alias("m")).join(fixed.select("y", "x", "value"), ["y", "x"])
-    image = grid(fixed.sparkSession, *fixed_size).join(inside.select("y", "x", (F.col("m") * F.col("value")).alias("value")), ["y", "x"], "left")
-    there = settled(geometry.sobel(image.select("y", "x", F.coalesce("value", F.lit(0.0)).alias("value")), *fixed_size).withColumnRenamed("value", "a"))
-    other = settled(tissue_mask(moving).select("y", "x", F.col("value").cast("double").alias("value")))
+    """The same figure by one Spark job for each map, so that no image is gathered. Pixels that are not there count 0."""
+    height, width = fixed_size
+    r, f = raster.shapes(CLOSE_AND_OPEN)
+    inside = raster.around(fixed, r, lambda wide, y0, x0: wide[r:-r, r:-r] * f(np.where(np.isnan(wide), np.nan, wide > 0.1), y0, x0))
+    whole = raster.sampled(inside, lambda x, y: (x, y), height, width)
+    there = settled(raster.around(whole, 1, raster.edges(height, width)))
+    other = settled(mask_tiles(moving))
 
     def correlation(m: np.ndarray) -> float:
-        seen = geometry.sobel(warp_affine(other, m, *fixed_size), *fixed_size)
-        found = there.join(seen, ["y", "x"]).agg(F.corr("a", "value")).first()[0]
-        return 0.0 if found is None or np.isnan(found) else float(found)
+        return raster.correlation(there, raster.around(raster.sampled(other, raster.affine_origin(m), height, width), 1, raster.edges(height, width)))
 
     return correlation
 
@@ -150,6 +148,7 @@ def refine(fixed: DataFrame, moving: DataFrame, m: np.ndarray, fixed_size: tuple
     The edges of ``fixed`` are those of its gray values within its mask. Without edges on either side the map stays, with correlation 0.
     Images of up to ``max_pixels`` are gathered; for larger ones each map that the search tries is a Spark job, with the same figures.
     """
+    fixed, moving = (settled(raster.to_tiles(image)) for image in (fixed, moving))
     if max(a * b for a, b in (fixed_size, moving_size)) <= max_pixels:
         correlation = _correlation_gathered(fixed, moving, fixed_size, moving_size)
     else:

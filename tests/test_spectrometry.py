@@ -562,3 +562,55 @@ def test_vector_neighbours_are_searched_once(spark, sf, monkeypatch):
     assert s.test().count() > 0 and s.projection().count() > 0 and len(s.sigma()) > 0 and len(seen) == 1
     assert "MapInArrow" not in s.edges._jdf.queryExecution().toString()
     assert graph.knn_vectors(spark.createDataFrame([], "id long, v array<double>"), 3).count() == 0
+
+
+def dense_morph(image, offsets, dilate):
+    there, out = ~np.isnan(image), np.full(image.shape, np.nan)
+    for y, x in zip(*np.nonzero(there), strict=True):
+        seen = [image[y - dy, x - dx] for dy, dx in offsets if 0 <= y - dy < image.shape[0] and 0 <= x - dx < image.shape[1] and there[y - dy, x - dx]]
+        out[y, x] = (max if dilate else min)(seen)
+    return out
+
+
+def test_tiles_equal_dense_images(spark):
+    """Small tiles, an image of an odd size with holes: masks, edges, warps and their correlation against dense arrays."""
+    from spectrel.operators import raster
+    from spectrel.plans import registration as reg
+
+    rng = np.random.default_rng(2)
+    h, w, side = 37, 53, 16
+    image = rng.random((h, w))
+    holes = image.copy()
+    holes[rng.random((h, w)) < 0.1] = np.nan
+    holes[16:32, 16:32] = np.nan  # a whole tile
+    df = lambda a: spark.createDataFrame([(int(y), int(x), float(a[y, x])) for y, x in zip(*np.nonzero(~np.isnan(a)), strict=True)], "y long, x long, value double")
+
+    def dense(tiles, h=h, w=w):
+        out = np.full((h, w), np.nan)
+        for r in raster.to_pixels(tiles, side=side).collect():
+            out[r.y, r.x] = r.value
+        return out
+
+    for a in (image, holes):
+        tiles = raster.to_tiles(df(a), side)
+        assert np.array_equal(dense(tiles), a, equal_nan=True) and np.array_equal(raster.gathered(tiles, h, w, side), np.nan_to_num(a))
+        r, f = raster.shapes(reg.CLOSE_AND_OPEN)
+        want = np.where(np.isnan(a), np.nan, a > 0.4)
+        made = raster.around(raster.to_tiles(df(want), side), r, f, side)
+        for offsets, dilate in reg.CLOSE_AND_OPEN:
+            want = dense_morph(want, offsets, dilate)
+        assert r == 6 and np.array_equal(dense(made), want, equal_nan=True)
+        assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2  # pixels to tiles, and rims
+        edges = raster.around(tiles, 1, raster.edges(h, w), side)
+        assert np.allclose(dense(edges), np.where(np.isnan(a), np.nan, reg._edges(np.nan_to_num(a))), equal_nan=True)
+        m = np.array([[0.9, 0.2, -3.3], [-0.15, 1.1, 4.0], [0, 0, 1]])
+        warped = raster.sampled(tiles, raster.affine_origin(m), 41, 30, side)
+        assert np.allclose(dense(warped, 41, 30), reg._sampled(np.nan_to_num(a), m, 41, 30))
+        small = raster.sampled(tiles, raster.resize_origin((h, w), (5, 4)), 5, 4, side)
+        assert np.allclose(dense(small, 5, 4), reg._sampled(np.nan_to_num(a), np.linalg.inv(np.array([[w / 4, 0, 0.5 * w / 4 - 0.5], [0, h / 5, 0.5 * h / 5 - 0.5], [0, 0, 1]])), 5, 4))
+        both = ~np.isnan(a)
+        assert raster.correlation(tiles, edges, side) == pytest.approx(np.corrcoef(a[both], dense(edges)[both])[0, 1])
+    assert raster.correlation(tiles, raster.sampled(tiles, lambda x, y: (x + 1000, y), h, w, side), side) == 0
+    with pytest.raises(Exception, match="twice"):
+        raster.to_tiles(df(image).unionAll(df(image)), side).count()
+    assert raster.to_tiles(df(image).limit(0), side).count() == 0
