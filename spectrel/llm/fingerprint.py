@@ -140,47 +140,57 @@ def with_next(df: DataFrame, key: str = "doc_id", parts: int | None = None, keys
     """Adds next_<column> for every column: the row after it in descending order of ``key`` (a whole number); after the last, the first.
 
     Rows are dealt into ranges of the key by quantiles, each range also gets the first row of the one after it, and each
-    task goes through its sorted ranges once. So rows move once, and no task has more than its ranges. ``keys``: a table of
-    the same keys that is cheaper to read than ``df``, which is gone through before for the ranges. ``size``: the bytes of a row, by the
-    columns of ``keys``; there are so many ranges that one has about ``RANGE_BYTES``, or as many as shuffle partitions if that is more.
+    task goes through its sorted ranges once. So rows move once, and no task has more than its ranges. A key that many rows have, or
+    null, takes several ranges, by a hash of the row, which orders equal keys. ``keys``: a table of
+    the same rows that is cheaper to read than ``df``, which is gone through before for the ranges; the hash is that of its columns. ``size``: the
+    bytes of a row, by the columns of ``keys``; there are so many ranges that one has about ``RANGE_BYTES``, or as many as shuffle partitions if that is more.
     """
     spark = df.sparkSession
     small_batches(spark)
     if clash := {f"next_{c}" for c in df.columns} & set(df.columns):
         raise ValueError(f"columns exist: {', '.join(sorted(clash))}")
+    keys = df if keys is None else keys
     if not parts:
-        total = 0 if size is None else (df if keys is None else keys).agg(F.sum(size)).first()[0]
+        total = 0 if size is None else keys.agg(F.sum(size)).first()[0]
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // RANGE_BYTES))
     least = -(1 << 63)
-    number = F.coalesce(F.col(key).cast("long"), F.lit(least))
+    number, tie = F.coalesce(F.col(key).cast("long"), F.lit(least)), F.xxhash64(*[F.col(c) for c in keys.columns])
     steps = [i / parts for i in range(1, parts)]
-    keys = (df if keys is None else keys).select(number.alias("key"))
+    keys = keys.select(number.alias("key"), tie.alias("tie"))
     found = keys.agg(F.percentile_approx("key", steps, max(10_000, 10 * parts)).alias("q")).first()["q"] if steps else None
-    bounds = np.array(sorted(set(found or [])), np.int64)
+    bounds, often = np.unique(np.array(found or [], np.int64), return_counts=True)
+    # In descending order: the keys above the last bound, that bound, the keys below it, and so on; a bound takes as many ranges as it has quantiles.
+    shares = np.ones(2 * len(bounds) + 1, np.int64)
+    shares[1::2] = often[::-1]
+    first = np.concatenate([[0], np.cumsum(shares)])
 
-    def ranges(values: pa.Array) -> np.ndarray:
+    def ranges(values: pa.Array, ties: pa.Array) -> np.ndarray:
         """0 for the largest keys."""
-        return len(bounds) - np.searchsorted(bounds, values.to_numpy(zero_copy_only=False), side="left")
+        v, t = values.to_numpy(zero_copy_only=False), ties.to_numpy(zero_copy_only=False)
+        below = np.searchsorted(bounds, v, side="left")
+        place = 2 * (len(bounds) - below) - np.isin(v, bounds)
+        within = np.minimum(((t / 2.0**64 + 0.5) * shares[place]).astype(np.int64), shares[place] - 1)
+        return first[place] + within
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(ranges(b.column(0)), pa.int32()), b.column(0)], names=["part", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(ranges(b.column(0), b.column(1)), pa.int32()), *b.columns], names=["part", "key", "tie"])
 
-    tops = sorted((r.part, r.key) for r in keys.mapInArrow(firsts, "part int, key long").groupBy("part").agg(F.max("key").alias("key")).collect())  # one row per range
-    halo: dict[int, int] = {top: tops[i - 1][0] for i, (_, top) in enumerate(tops)}  # the key that also goes to the range before it
-    tie = F.xxhash64(*[F.col(c) for c in df.columns])
+    of_part = keys.mapInArrow(firsts, "part int, key long, tie long").groupBy("part").agg(F.max(F.struct("key", F.bitwise_not("tie").alias("t"))).alias("top"))
+    tops = sorted((r.part, r.top.key, ~r.top.t) for r in of_part.collect())  # one row per range
+    halo: dict[tuple[int, int], int] = {tuple(top): tops[i - 1][0] for i, (_, *top) in enumerate(tops)}  # the row that also goes to the range before it
     source = df.select(*df.columns, number.alias("__key"), tie.alias("__tie"))
     dealt_schema = T.StructType([*source.schema.fields, T.StructField("__part", T.IntegerType()), T.StructField("__halo", T.IntegerType())])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.name for f in dealt_schema.fields]
+        names, sent = [f.name for f in dealt_schema.fields], set()
         for b in batches:
             own = b.column("__key")
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ranges(own), pa.int32()), pa.array([0] * len(b), pa.int32())], names=names)
-            at = [i for i, k in enumerate(own.to_pylist()) if k in halo]
-            if at:
-                some = b.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array([halo[k] for k in some.column("__key").to_pylist()], pa.int32()), pa.array([1] * len(at), pa.int32())], names=names)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ranges(own, b.column("__tie")), pa.int32()), pa.array([0] * len(b), pa.int32())], names=names)
+            for i, row in enumerate(zip(own.to_pylist(), b.column("__tie").to_pylist(), strict=True)):
+                if row in halo and row not in sent:  # equal rows: one of them will do
+                    sent.add(row)
+                    yield pa.RecordBatch.from_arrays([*b.slice(i, 1).columns, pa.array([halo[row]], pa.int32()), pa.array([1], pa.int32())], names=names)
 
     dealt = source.mapInArrow(deal, dealt_schema).repartition(parts, "__part").sortWithinPartitions("__part", "__halo", F.desc("__key"), "__tie")
     out_schema = T.StructType([*df.schema.fields, *[T.StructField(f"next_{f.name}", f.dataType) for f in df.schema.fields]])

@@ -7,7 +7,8 @@ taken in order of proportion while the penalised likelihood rises (a language co
 proportions of its own; the language with the largest proportion of the chosen set is the prediction, and that
 proportion its score.
 
-Training counts are added up within each task before the shuffle.
+Training counts are added up within each task before the shuffle. A language that fewer than ``LEAST_SHARE`` of the rows with one have is not
+learned, so the model is bounded even where the column holds other things than languages.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, and so is every text if nothing was learned;
 rows without language or text teach nothing; ties go to the language that sorts first; repeated rows count each; an empty
@@ -24,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectrel.llm.base import need, small_batches
+from spectrel.llm.base import discard, need, small_batches, store
 
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
 PENALTY = 3.0
 ROUNDS = 12
+#: Of the rows with a language: what one must have to be learned. It bounds the number of languages.
+LEAST_SHARE = 1 / 512
 
 _LETTER = None
 
@@ -89,11 +92,22 @@ class Languages:
         return ranked[0][1], min(1.0, -ranked[0][0]), [(name, -s) for s, name in ranked]
 
 
-def train(df: DataFrame, text: str = "text", lang: str = "lang") -> Languages:
-    """Counts by language of all rows given. What reaches the driver is bounded by languages x BUCKETS counts."""
+def train(df: DataFrame, text: str = "text", lang: str = "lang", least_share: float = LEAST_SHARE) -> Languages:
+    """Counts by language of all rows of the languages that at least ``least_share`` of the rows with one have.
+
+    So there are 1 / ``least_share`` languages at most, whatever a dirty column holds: that bounds what a task adds up and what reaches the
+    driver (``BUCKETS`` numbers a language, one language at a time).
+    """
     spark = df.sparkSession
     small_batches(spark)
-    rows = need(df, text, lang).toDF("text", "lang").where("text is not null and lang is not null")
+    named = need(df, text, lang).toDF("text", "lang").where("lang is not null")
+    counts = store(named.groupBy("lang").count(), "langid-counts")
+    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    names = sorted(r.lang for r in counts.where(F.col("count") >= least_share * total).select("lang").collect())
+    discard(counts)
+    if not names:
+        return Languages([], np.zeros((0, BUCKETS), np.float32))
+    rows = named.where(F.col("text").isNotNull() & F.col("lang").isin(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -106,13 +120,14 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang") -> Languages:
             some = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(c[some], pa.int64())], names=["lang", "bucket", "n"])
 
-    got = rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    names = sorted(set(got["lang"]))
-    counts = np.zeros((len(names), BUCKETS))
-    for k, name in enumerate(names):
-        part = got[got["lang"] == name]
-        counts[k, part["bucket"].to_numpy()] = part["n"].to_numpy()
-    return Languages(names, np.log((counts + SMOOTHING) / (counts.sum(axis=1, keepdims=True) + SMOOTHING * BUCKETS)).astype(np.float32))
+    summed = rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    found: dict[str, np.ndarray] = {}
+    for r in summed.groupBy("lang").agg(F.collect_list("bucket").alias("bucket"), F.collect_list("n").alias("n")).toLocalIterator():
+        own = np.zeros(BUCKETS)
+        own[np.array(r.bucket)] = r.n
+        found[r.lang] = np.log((own + SMOOTHING) / (own.sum() + SMOOTHING * BUCKETS)).astype(np.float32)
+    names = sorted(found)
+    return Languages(names, np.stack([found[k] for k in names]) if names else np.zeros((0, BUCKETS), np.float32))
 
 
 def predict(df: DataFrame, model: Languages, *keep: Column | str, text: str = "text") -> DataFrame:

@@ -161,6 +161,8 @@ def test_language(spark, docs):
     got = {r.text: r for r in langid.predict(docs, model, "doc_id", F.col("text").alias("text")).collect()}
     assert got["the cat sat on the mat"].lang_pred == "en" and got[None].lang_pred == got["\n\n"].lang_pred == "und" and got[""].score == 0
     assert langid.train(docs.limit(0).select("text", "lang")).names == []
+    many = spark.range(12_000).selectExpr("concat('text number ', id) as text", "case when id % 6 = 0 then concat('odd ', id) when id % 6 < 4 then 'en' else 'de' end as lang")
+    assert langid.train(many).names == ["de", "en"]  # two thousand names of one row each are none of the languages
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
@@ -338,6 +340,43 @@ def test_fingerprint_query_equals_loop(spark, sf):
         assert (r.near_edited, r.near_next) == (pytest.approx(fingerprint.likeness(prints[0], prints[1])), pytest.approx(fingerprint.likeness(prints[0], prints[2])))
 
 
+def test_strong_lanes_are_sums_of_extendable_hashes():
+    import hashlib
+
+    text = "one two\nthree\n\none two\n\ud7ff é"
+    lanes = [0] * fingerprint.STRONG
+    for p in text.split("\n"):
+        raw = hashlib.shake_128(p.encode()).digest(8 * fingerprint.STRONG)
+        lanes = [(x + int.from_bytes(raw[8 * i : 8 * i + 8], "little")) % 2**64 for i, x in enumerate(lanes)]
+    made = fingerprint.fingerprint_text(text)
+    assert [int.from_bytes(made[8 * i : 8 * i + 8], "little") for i in range(fingerprint.STRONG)] == lanes
+
+
+def test_next_of_hot_keys(spark):
+    """Most rows share an id or have none: they take several ranges, and each row still has one after it, in one ring."""
+    rows = [(7, f"t{i}") for i in range(5000)] + [(None, f"n{i}") for i in range(3000)] + [(i, "x") for i in range(100, 600)] + [(7, "t1")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = fingerprint.with_next(df, parts=16).withColumn("p", F.spark_partition_id()).collect()
+    assert len(got) == len(rows) and max(Counter(r.p for r in got).values()) < len(rows) / 4
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((r.next_doc_id, r.next_text) for r in got) == Counter(rows)
+    order = lambda k: -(1 << 63) if k is None else k
+    assert sum(order(r.next_doc_id) > order(r.doc_id) for r in got) == 1
+    after = {(r.doc_id, r.text): (r.next_doc_id, r.next_text) for r in got if (r.doc_id, r.text) != (r.next_doc_id, r.next_text)}
+    at, seen = (599, "x"), set()
+    while at not in seen:
+        seen.add(at)
+        at = after[at]
+    assert len(seen) == len(set(rows))
+
+
+def test_fingerprint_query_of_null_and_repeated_ids(spark, docs, tmp_path):
+    docs.select("doc_id", "text").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op9_fingerprints(spark, str(tmp_path)).collect()
+    texts = [*TEXTS, "null id", TEXTS[4]]
+    assert Counter((r.doc_id, r.n_chars) for r in got) == Counter((i if i < len(TEXTS) else (None, 4)[i - len(TEXTS)], len(t or "")) for i, t in enumerate(texts))
+    assert {r.fingerprint for r in got if r.doc_id == 4} == {fingerprint.fingerprint_text(TEXTS[4]).hex().upper()}
+
+
 def test_next_row_edges(spark, docs):
     rows = docs.select("doc_id", "text")
     assert fingerprint.with_next(rows.limit(0)).count() == 0
