@@ -127,7 +127,7 @@ def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint") ->
 def compare(df: DataFrame, *pairs: tuple[str, str, str]) -> DataFrame:
     """Adds the likeness of two fingerprint columns, null if one is null, for each (a, b, name of the new column), in one go. Narrow."""
     small_batches(df.sparkSession)
-    schema = T.StructType(df.schema.fields)
+    schema = T.StructType([*df.schema.fields])
     for _, _, out in pairs:
         if out in schema.names:
             raise ValueError(f"column {out} exists")
