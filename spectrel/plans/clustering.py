@@ -5,14 +5,12 @@ There are hundreds of features, so what is made per feature is gathered, behind
 
 from __future__ import annotations
 
-from collections import deque
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spectrel.operators import blocks, graph
-from spectrel.operators.peaks import numbered
+from spectrel.plans.communities import communities  # noqa: F401
 from spectrel.plans.spaco import Spaco
 from spectrel.runtime import settled
 
@@ -45,157 +43,6 @@ def _gathered(df: DataFrame, max_rows: int, what: str):
     return got
 
 
-class _Graph:
-    """Weighted neighbours of each node, loops kept apart; ``strength`` counts a loop twice."""
-
-    def __init__(self, near: list[dict[int, float]], loops: list[float]):
-        self.near, self.loops = near, loops
-        self.strength = [sum(d.values()) + 2 * x for d, x in zip(near, loops, strict=True)]
-        self.total = sum(self.strength) or 1.0
-
-    def folded(self, part: list[int]) -> tuple[_Graph, list[int]]:
-        number = {c: i for i, c in enumerate(dict.fromkeys(part))}
-        to = [number[c] for c in part]
-        near: list[dict[int, float]] = [{} for _ in number]
-        loops = [0.0] * len(number)
-        for u, d in enumerate(self.near):
-            loops[to[u]] += self.loops[u]
-            for v, w in d.items():
-                if to[u] == to[v]:
-                    loops[to[u]] += w / 2
-                else:
-                    near[to[u]][to[v]] = near[to[u]].get(to[v], 0.0) + w
-        return _Graph(near, loops), to
-
-
-def _moves(g: _Graph, part: list[int], gamma: float, order: list[int], bounds: list[int] | None = None) -> bool:
-    """Nodes go where the quality gains most until none gains. Within ``bounds``, only lone nodes join, each within its bound."""
-    weight: dict[int, float] = {}
-    size: dict[int, int] = {}
-    for u, c in enumerate(part):
-        weight[c] = weight.get(c, 0.0) + g.strength[u]
-        size[c] = size.get(c, 0) + 1
-    queue, waiting, moved = deque(order), set(order), False
-    while queue:
-        u = queue.popleft()
-        waiting.discard(u)
-        own, k = part[u], g.strength[u]
-        if bounds is not None and size[own] > 1:
-            continue
-        links: dict[int, float] = {own: 0.0}
-        for v, w in g.near[u].items():
-            if bounds is None or bounds[v] == bounds[u]:
-                links[part[v]] = links.get(part[v], 0.0) + w
-        gain = {c: w - gamma * k * (weight[c] - (k if c == own else 0.0)) / g.total for c, w in links.items()}
-        best = max(gain, key=lambda c: (gain[c], -c))
-        if bounds is None and gain[best] < -1e-12 and size[own] > 1:  # alone is better, as negative weights can make it
-            best = max(weight) + 1
-            weight[best], size[best], gain[best] = 0.0, 0, 0.0
-        if best == own or gain[best] <= gain[own] + 1e-12:
-            continue
-        weight[own] -= k
-        weight[best] += k
-        size[own] -= 1
-        size[best] += 1
-        part[u], moved = best, True
-        if bounds is None:
-            for v in g.near[u]:
-                if part[v] != best and v not in waiting:
-                    queue.append(v)
-                    waiting.add(v)
-    return moved
-
-
-def _folded(edges: DataFrame, gamma: float, max_edges: int, rounds: int = 8) -> tuple[DataFrame, DataFrame]:
-    """(edges between groups, home: id, label) with at most ``max_edges`` edges. In each round half of the nodes, by a hash, go to
-    the neighbouring group where the quality gains most; groups become nodes, and so on."""
-    edges, home = settled(graph.undirected(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w"))), None
-    count = edges.count()
-    while count > max_edges:
-        both = edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))  # a loop counts twice
-        part = settled(both.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k")).withColumn("label", F.col("id")))
-        total = part.agg(F.sum("k")).first()[0]
-        if total <= 0:
-            raise ValueError(f"more than {max_edges} edges whose weights add up to nothing to group by")
-        for t in range(rounds):
-            weight = part.groupBy("label").agg(F.sum("k").alias("all"))
-            links = both.where("a <> b").join(part.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id"), "label").agg(F.sum("w").alias("links"))
-            links = links.unionByName(part.select("id", "label", F.lit(0.0).alias("links"))).groupBy("id", "label").agg(F.sum("links").alias("links"))
-            own = part.select("id", "k", F.col("label").alias("own"))
-            asked = links.join(own, "id").join(weight, "label")
-            gain = F.col("links") - gamma * F.col("k") * (F.col("all") - F.when(F.col("label") == F.col("own"), F.col("k")).otherwise(0.0)) / total
-            best = asked.groupBy("id", "k", "own").agg(F.max(F.struct(gain.alias("gain"), (-F.col("label")).alias("to"))).alias("best"), F.max(F.when(F.col("label") == F.col("own"), gain)).alias("stay"))
-            goes = (F.col("best.gain") > F.col("stay") + 1e-12) & (F.pmod(F.xxhash64("id", F.lit(t)), F.lit(2)) == 0)
-            part = settled(best.select("id", "k", F.when(goes, -F.col("best.to")).otherwise(F.col("own")).alias("label")))
-        at = lambda c: part.select(F.col("id").alias(c), F.col("label").alias(f"to_{c}"))
-        named = edges.join(at("a"), "a").join(at("b"), "b").select(F.col("to_a").alias("src"), F.col("to_b").alias("dst"), "w")
-        new = settled(graph.undirected(named))
-        step = part.select("id", "label")
-        home = settled(step if home is None else home.join(step.select(F.col("id").alias("label"), F.col("label").alias("to")), "label").select("id", F.col("to").alias("label")))
-        if (fewer := new.count()) >= count:
-            raise ValueError(f"more than {max_edges} edges that no moves make fewer")
-        edges, count = new, fewer
-    return edges, home
-
-
-def communities(edges: DataFrame, resolution: float = 1.0, seed: int = 42, max_edges: int = 1_000_000, passes: int = 4) -> DataFrame:
-    """id, label of an undirected graph (a, b, w): modularity with a resolution, by moving, refining and folding in turn.
-
-    The result is a local optimum; among negative weights the best can be well above it. Refined groups are connected, and folding by them lets a group split again. Labels count from 0 by size, then smallest id.
-    Up to ``max_edges`` edges are gathered; a larger graph is folded on the executors first, by moves of many nodes at once. Loops count.
-    Weights may be negative, as similarities can be; if they add up to no more than 0 there is nothing to group by, and each node
-    is its own group.
-    """
-    edges = settled(edges)  # it is counted, then gathered or folded
-    if edges.count() > max_edges:
-        folded, home = _folded(edges, resolution, max_edges)
-        found = communities(folded, resolution, seed, max_edges, passes).select(F.col("id").alias("label"), F.col("label").alias("group"))
-        joined = settled(home.join(found, "label").select("id", "group"))
-        ranked = joined.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-        numbers = numbered(ranked, [F.desc("n"), F.col("first")]).select("group", F.col("rn").cast("int").alias("label"))
-        return joined.join(numbers, "group").select("id", "label")
-    got = _gathered(edges.select("a", "b", "w").orderBy("a", "b"), max_edges, "edges")
-    ids = sorted(set(got["a"]) | set(got["b"]))
-    place = {k: i for i, k in enumerate(ids)}
-    near: list[dict[int, float]] = [{} for _ in ids]
-    loops = [0.0] * len(ids)
-    for a, b, w in zip(got["a"].map(place), got["b"].map(place), got["w"], strict=True):
-        if a == b:
-            loops[a] += w
-        else:
-            near[a][b] = near[a].get(b, 0.0) + w
-            near[b][a] = near[b].get(a, 0.0) + w
-    whole, rng = _Graph(near, loops), np.random.default_rng(seed)
-    found = list(range(len(ids)))
-    for _ in range(passes if got["w"].sum() > 0 else 0):
-        # Each pass starts from single nodes in the groups of the one before.
-        g, home, part, before = whole, list(range(len(ids))), list(found), found
-        while True:
-            size = len(g.near)
-            moved = _moves(g, part, resolution, rng.permutation(size).tolist())
-            found = [part[h] for h in home]
-            if not moved and len(home) != size or len(set(part)) == size:
-                break
-            fine = list(range(size))
-            _moves(g, fine, resolution, rng.permutation(size).tolist(), part)
-            if len(set(fine)) == size:
-                fine = part
-            first: dict[int, int] = {}
-            for f, c in zip(fine, part, strict=True):
-                first.setdefault(f, c)
-            g, to = g.folded(fine)
-            home = [to[h] for h in home]
-            number = {c: i for i, c in enumerate(dict.fromkeys(first.values()))}
-            part = [number[c] for c in first.values()]
-        if len(set(zip(before, found, strict=True))) == len(set(before)) == len(set(found)):
-            break  # the same groups
-    groups: dict[int, list] = {}
-    for k, c in zip(ids, found, strict=True):
-        groups.setdefault(c, []).append(k)
-    ranked = sorted(groups.values(), key=lambda x: (-len(x), x[0]))
-    return edges.sparkSession.createDataFrame([(int(k), i) for i, x in enumerate(ranked) for k in x], "id long, label int")
-
-
 def _curve(min_dist: float) -> tuple[float, float]:
     """a, b so that 1 / (1 + a x^2b) is near 1 below ``min_dist`` and near exp(min_dist - x) beyond: damped least squares."""
     x = np.linspace(0, 3, 300)[1:]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -43,3 +44,12 @@ def settled(df):
     """Materialise in the shared checkpoint folder: rows keep their partitions, lineage is cut, lost executors cost nothing."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df):
+    """As ``settled``, by a Parquet table in the shared folder. For rounds that build on each other: what Spark knows of a checkpoint's
+    columns goes on from plan to plan and makes these slower to optimise, whereas a table starts anew, with its true size."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/spectrel/{spark.sparkContext.applicationId}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -228,8 +228,6 @@ def test_communities(spark):
     assert sorted(got) == sorted({k for e in ring for k in e[:2]}) and len(set(got.values())) == 5
     assert all(got[10 * c] == got[10 * c + i] for c in range(4) for i in range(5)) and got[99] == 4
     assert communities(df.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        communities(df, max_edges=3)
     none = communities(df.withColumn("w", -F.col("w"))).collect()
     assert len({r.label for r in none}) == len(none) == len(got)
 
@@ -478,16 +476,34 @@ def test_no_local_folder_off_local_masters(spark):
         shared_folder(N(sparkContext=sc, conf=N(get=lambda k, d: None)))
 
 
-def test_communities_of_a_graph_that_is_not_gathered(spark):
-    from spectrel.plans import clustering
+def test_communities_of_many_parts(spark):
+    """Planted groups are found however the graph is dealt into parts, and no step lowers the quality."""
+    from spectrel.plans import communities as c
 
     rng = np.random.default_rng(1)
-    pairs = {(i, j) for i in range(60) for j in range(i) if rng.random() < (0.6 if i // 20 == j // 20 else 0.02)}
+    pairs = {(i, j) for i in range(120) for j in range(i) if rng.random() < (0.5 if i // 30 == j // 30 else 0.02)}
     edges = spark.createDataFrame([(int(a), int(b), 1.0) for a, b in sorted(pairs)], "a long, b long, w double")
-    found = {r.id: r.label for r in clustering.communities(edges, max_edges=60).collect()}
-    assert len(found) == 60 and len({(i // 20, found[i]) for i in found}) == len(set(found.values())) == 3
-    sizes = [list(found.values()).count(k) for k in range(3)]
-    assert sizes == sorted(sizes, reverse=True)
+
+    def quality(label):
+        k, inside = np.zeros(120), 0
+        for a, b in pairs:
+            k[[a, b]] += 1
+            inside += 2 * (label[a] == label[b])
+        groups = {}
+        for u, x in enumerate(k):
+            groups[label[u]] = groups.get(label[u], 0) + x
+        return inside / k.sum() - sum(x * x for x in groups.values()) / k.sum() ** 2
+
+    whole = {r.id: r.label for r in c.communities(edges).collect()}
+    dealt = {r.id: r.label for r in c.communities(edges, part=700).collect()}
+    for found in (whole, dealt):
+        assert len(found) == 120 and len({(i // 30, found[i]) for i in found}) == len(set(found.values())) == 4
+    assert quality(dealt) >= 0.99 * quality(whole)
+    both = edges.selectExpr("a as src", "b as dst", "w").union(edges.selectExpr("b", "a", "w"))
+    level = c._Level(both.groupBy("src").agg(F.sum("w").alias("k")).selectExpr("src as id", "k", "2 * src as label"), both, 2.0 * len(pairs), 1.0, 400)
+    assert level.parts > 3
+    nodes, moved = level.moved(3)
+    assert moved and level.quality(nodes) > level.quality(level.nodes)
 
 
 def test_refinement_without_gathering(spark):
