@@ -30,6 +30,9 @@ class Analysis:
     def significant(self, level: float = 0.05) -> DataFrame:
         return significant(self.tests(), level)
 
+    def groups(self, method: str = "kmeans", **options) -> DataFrame:
+        """id (the feature's place), label: groups of the features' components, as ``clustering.groups`` makes them."""
+        return clustering.groups(clustering.feature_components(self.spaco), method, **options)
+
     def communities(self, neighbours: int = 10, resolution: float = 1.0) -> DataFrame:
-        """id (the feature's place), label."""
-        return clustering.communities(clustering.similarity_graph(clustering.feature_components(self.spaco), neighbours), resolution)
+        return self.groups("communities", neighbours=neighbours, resolution=resolution)

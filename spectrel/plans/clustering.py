@@ -6,11 +6,12 @@ There are hundreds of features, so what is made per feature is gathered, behind
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spectrel.operators import blocks, graph
-from spectrel.plans.communities import communities  # noqa: F401
+from spectrel.plans.communities import communities
 from spectrel.plans.spaco import Spaco
 from spectrel.runtime import settled
 
@@ -36,6 +37,42 @@ def similarity_graph(vectors: DataFrame, k: int = 10) -> DataFrame:
     return graph.undirected(near.withColumn("w", 1 - F.col("w")))
 
 
+def kmeans(vectors: DataFrame, k: int, seed: int = 42, tries: int = 3, rounds: int = 50) -> DataFrame:
+    """id, label of (id, v): the best of ``tries`` runs by the sum of squared distances, each from a scalable plus-plus start.
+
+    Labels count from 0 by size, then smallest id, so they do not depend on the order in which centres were found. With fewer different vectors than
+    ``k`` there are fewer groups. No rows, or ``k`` below 1, are an error, and so are vectors of unequal lengths.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    if k < 1:
+        raise ValueError("there must be at least one group")
+    rows = settled(vectors.select("id", array_to_vector(F.transform("v", lambda x: x.cast("double"))).alias("features")))
+    shapes = rows.agg(F.min(F.size(vector_to_array("features"))), F.max(F.size(vector_to_array("features")))).first()
+    if shapes[0] is None or shapes[0] != shapes[1]:
+        raise ValueError("vectors of one length are needed")
+    if k == 1:
+        return rows.select("id", F.lit(0).alias("label"))
+    models = [KMeans(k=k, seed=seed + i, maxIter=rounds, tol=1e-6).fit(rows) for i in range(tries)]
+    best = min(models, key=lambda m: m.summary.trainingCost)
+    found = settled(best.transform(rows).select("id", F.col("prediction").alias("_l")))
+    sizes = found.groupBy("_l").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).collect()  # k rows at most
+    number = {r["_l"]: i for i, r in enumerate(sorted(sizes, key=lambda r: (-r.n, r.first)))}
+    named = F.create_map(*[F.lit(x) for pair in number.items() for x in pair])
+    return found.select("id", named[F.col("_l")].alias("label"))
+
+
+def groups(vectors: DataFrame, method: str = "kmeans", k: int | None = None, neighbours: int = 10, resolution: float = 1.0, seed: int = 42) -> DataFrame:
+    """id, label of features (id, v) by the chosen method: "kmeans" into ``k`` groups (as many as a vector has numbers unless given), or "communities" of
+    their cosine neighbours."""
+    if method == "kmeans":
+        return kmeans(vectors, k or len(vectors.first().v), seed)
+    if method == "communities":
+        return communities(similarity_graph(vectors, neighbours), resolution, seed)
+    raise ValueError(f"unknown method {method}")
+
+
 def _gathered(df: DataFrame, max_rows: int, what: str):
     got = df.limit(max_rows + 1).toPandas()
     if len(got) > max_rows:

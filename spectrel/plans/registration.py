@@ -171,15 +171,20 @@ def landmark_errors(marks: DataFrame, m: np.ndarray, points: np.ndarray, w: np.n
     return marks.select("landmark_id", "he_x", "he_y", F.sqrt(dx * dx + dy * dy).alias("error"))
 
 
-def vector_field(spark: SparkSession, height: int, width: int, m: np.ndarray, points: np.ndarray, w: np.ndarray, n: int = 20, least: float = 1.0) -> DataFrame:
-    """maldi_x, maldi_y, affine_x, affine_y, dx, dy, size, drawn: the spline's part of the map on n by n points, ends included."""
-    k = spark.range(n * n).select((F.col("id") % n * (width / (n - 1))).alias("maldi_x"), (F.floor(F.col("id") / n) * (height / (n - 1))).alias("maldi_y"))
+def displacements(rows: DataFrame, m: np.ndarray, points: np.ndarray, w: np.ndarray, least: float = 1.0) -> DataFrame:
+    """Adds affine_x, affine_y, dx, dy, size, drawn to rows of maldi_x, maldi_y: the spline's part of the map."""
     ax, ay = geometry.affine(F.col("maldi_x"), F.col("maldi_y"), m)
-    k = k.select("*", ax.alias("affine_x"), ay.alias("affine_y"))
+    rows = rows.select("*", ax.alias("affine_x"), ay.alias("affine_y"))
     dx, dy = (geometry.tps(F.col("affine_x"), F.col("affine_y"), points, w[:, i]) for i in range(2))
-    k = k.select("*", dx.alias("dx"), dy.alias("dy"))
+    rows = rows.select("*", dx.alias("dx"), dy.alias("dy"))
     size = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
-    return k.select("*", size.alias("size"), (size > least).alias("drawn"))
+    return rows.select("*", size.alias("size"), (size > least).alias("drawn"))
+
+
+def vector_field(spark: SparkSession, height: int, width: int, m: np.ndarray, points: np.ndarray, w: np.ndarray, n: int = 20, least: float = 1.0) -> DataFrame:
+    """``displacements`` on n by n points, ends included."""
+    k = spark.range(n * n).select((F.col("id") % n * (width / (n - 1))).alias("maldi_x"), (F.floor(F.col("id") / n) * (height / (n - 1))).alias("maldi_y"))
+    return displacements(k, m, points, w, least)
 
 
 class Registration:

@@ -318,6 +318,31 @@ MOVED = MARKS @ AFFINE[:2, :2].T + AFFINE[:2, 2]
 SPLINE = geometry.fit_tps(MOVED, SEEN - MOVED)
 
 
+def _similarity_by_products() -> np.ndarray:
+    """The similarity map as SQL has it, by complex numbers: w = a z + b with a = sum(conj(z) w) / sum(|z|^2) of the centred points."""
+    z, w = (p[:, 0] + 1j * p[:, 1] for p in (MARKS, SEEN))
+    a = ((z - z.mean()).conj() * (w - w.mean())).sum() / (abs(z - z.mean()) ** 2).sum()
+    b = w.mean() - a * z.mean()
+    return np.array([[a.real, -a.imag, b.real], [a.imag, a.real, b.imag], [0, 0, 1]])
+
+
+SQL_AFFINE = _similarity_by_products()
+SQL_MOVED = np.array([[SQL_AFFINE[i, 0] * x + SQL_AFFINE[i, 1] * y + SQL_AFFINE[i, 2] for i in range(2)] for x, y in MARKS])
+
+
+def _spline_by_null_space() -> np.ndarray:
+    """The spline as SQL has it: weights in the space where they leave planes alone, then the plane of what remains."""
+    d = np.hypot(*(SQL_MOVED[:, None] - SQL_MOVED).transpose(2, 0, 1))
+    k = np.array([[r * r * np.log(r) if r else 0.0 for r in row] for row in d])
+    q, r = np.linalg.qr(np.column_stack([np.ones(len(d)), SQL_MOVED]), mode="complete")
+    v, null = SEEN - SQL_MOVED, q[:, 3:]
+    weights = null @ np.linalg.solve(null.T @ k @ null, null.T @ v)
+    return np.vstack([weights, np.linalg.solve(r[:3], q[:, :3].T @ (v - k @ weights))])
+
+
+SQL_SPLINE = _spline_by_null_space()
+
+
 def num(v) -> str:
     return f"({float(v)!r}::double)"
 
@@ -328,13 +353,13 @@ def _affine_sql(m: np.ndarray, x: str, y: str) -> list[str]:
 
 def _tps_sql(x: str, y: str) -> list[str]:
     """The spline's displacements."""
-    d2 = [f"(({x} - {num(p[0])}) * ({x} - {num(p[0])}) + ({y} - {num(p[1])}) * ({y} - {num(p[1])}))" for p in MOVED]
-    return [f"({num(w[-3])} + {num(w[-2])} * {x} + {num(w[-1])} * {y}" + "".join(f" + {num(c)} * case when {d} > 0 then 0.5::double * {d} * ln(case when {d} > 0 then {d} else 1 end) else 0 end" for c, d in zip(w[:-3], d2, strict=True)) + ")" for w in SPLINE.T]
+    d2 = [f"(({x} - {num(p[0])}) * ({x} - {num(p[0])}) + ({y} - {num(p[1])}) * ({y} - {num(p[1])}))" for p in SQL_MOVED]
+    return [f"({num(w[-3])} + {num(w[-2])} * {x} + {num(w[-1])} * {y}" + "".join(f" + {num(c)} * case when {d} > 0 then 0.5::double * {d} * ln(case when {d} > 0 then {d} else 1 end) else 0 end" for c, d in zip(w[:-3], d2, strict=True)) + ")" for w in SQL_SPLINE.T]
 
 
 def _forward_sql(source: str) -> str:
     """Columns of ``source`` with ax, ay, dx, dy of its maldi_x, maldi_y."""
-    a, s = _affine_sql(AFFINE, "maldi_x", "maldi_y"), _tps_sql("ax", "ay")
+    a, s = _affine_sql(SQL_AFFINE, "maldi_x", "maldi_y"), _tps_sql("ax", "ay")
     return f"(select *, {s[0]} as dx, {s[1]} as dy from (select *, {a[0]} as ax, {a[1]} as ay from {source}))"
 
 
@@ -349,21 +374,21 @@ def coordinate_map(spark, d):
     return mapped(spark, d).select("maldi_x", "maldi_y", F.round("he_x", 5).alias("he_x"), F.round("he_y", 5).alias("he_y"))
 
 
-#: Landmarks that the spline was not made of.
-OTHERS = np.array([[20.0, 20.0], [60.0, 10.0], [70.0, 75.0], [30.0, 60.0], [50.0, 40.0]])
-OTHERS_SEEN = np.array([[36.0, 35.0], [97.0, 22.0], [112.0, 120.0], [47.0, 98.0], [80.0, 66.0]])
+#: The parts as landmarks that the spline was not made of: where a part is, and where it was seen.
+PART_MARKS = "p_partkey as landmark_id, p_partkey % 97 * 1.0D as maldi_x, p_size * 1.5D as maldi_y, p_partkey % 97 * 1.6D + p_retailprice % 5 as he_x, p_size * 2.3D + p_retailprice % 3 as he_y"
 
 
-@query(f"select landmark_id, round(sqrt((ax + dx - he_x) ** 2 + (ay + dy - he_y) ** 2), 5) as error from " + _forward_sql("(values " + ", ".join(f"({i}, {num(a[0])}, {num(a[1])}, {num(b[0])}, {num(b[1])})" for i, (a, b) in enumerate(zip(OTHERS, OTHERS_SEEN, strict=True))) + ") t(landmark_id, maldi_x, maldi_y, he_x, he_y)"))
+@query("select landmark_id, round(sqrt((ax + dx - he_x) ** 2 + (ay + dy - he_y) ** 2), 5) as error from " + _forward_sql("(select " + PART_MARKS.replace("D ", "::double ") + " from part)"))
 def landmark_errors(spark, d):
-    rows = [(i, *map(float, a), *map(float, b)) for i, (a, b) in enumerate(zip(OTHERS, OTHERS_SEEN, strict=True))]
-    marks = spark.createDataFrame(rows, "landmark_id int, maldi_x double, maldi_y double, he_x double, he_y double")
+    marks = t(spark, d, "part").selectExpr(*PART_MARKS.split(", "))
     return registration.landmark_errors(marks, AFFINE, MOVED, SPLINE).select("landmark_id", F.round("error", 5).alias("error"))
 
 
-@query("select round(maldi_x, 6) as maldi_x, round(maldi_y, 6) as maldi_y, round(dx, 4) as dx, round(dy, 4) as dy from " + _forward_sql("(select i % 20 * (100 / 19.0::double) as maldi_x, i // 20 * (80 / 19.0::double) as maldi_y from range(400) r(i))"))
+@query("select maldi_x, maldi_y, round(dx, 4) as dx, round(dy, 4) as dy, sqrt(dx * dx + dy * dy) > 1 as drawn from " + _forward_sql("(select event_id % 100 * 1.0::double as maldi_x, event_id // 100 * 1.0::double as maldi_y from events)"))
 def vector_field(spark, d):
-    return registration.vector_field(spark, 80, 100, AFFINE, MOVED, SPLINE).select(F.round("maldi_x", 6).alias("maldi_x"), F.round("maldi_y", 6).alias("maldi_y"), F.round("dx", 4).alias("dx"), F.round("dy", 4).alias("dy"))
+    """At all pixels of the image."""
+    rows = pixels(spark, d).select(F.col("x").cast("double").alias("maldi_x"), F.col("y").cast("double").alias("maldi_y"))
+    return registration.displacements(rows, AFFINE, MOVED, SPLINE).select("maldi_x", "maldi_y", F.round("dx", 4).alias("dx"), F.round("dy", 4).alias("dy"), "drawn")
 
 
 def _warp_sql(sx: str, sy: str) -> str:
@@ -374,7 +399,7 @@ select c.y, c.x, round(sum(coalesce(p.value, 0) * case when dy = 1 then sy - y0
 from c cross join (values (0, 0), (0, 1), (1, 0), (1, 1)) o(dy, dx) left join p on p.y = y0 + dy and p.x = x0 + dx group by 1, 2"""
 
 
-@query(_warp_sql(*_affine_sql(np.linalg.inv(AFFINE), "x", "y")))
+@query(_warp_sql(*_affine_sql(np.linalg.inv(SQL_AFFINE), "x", "y")))
 def affine_warp(spark, d):
     return registration.warp_affine(pixels(spark, d), AFFINE, 160, 160).select("y", "x", F.round("value", 6).alias("value"))
 
@@ -476,11 +501,7 @@ def knn_cosine(spark, d):
 
 @query()
 def kmeans_features(spark, d):
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    rows = vectors(spark, d).select("id", array_to_vector(F.transform("v", lambda x: x.cast("double"))).alias("features"))
-    return KMeans(k=8, seed=42).fit(rows).transform(rows).select("id", F.col("prediction").alias("label"))
+    return clustering.kmeans(vectors(spark, d), 8)
 
 
 def spaco(spark, d) -> Spaco:
@@ -558,13 +579,9 @@ def mean_by_label(spark, d):
 @query()
 def mean_component_maps(spark, d):
     """Component scores times the mean feature vector of each group of features."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
     s = spaco(spark, d)
     c = clustering.feature_components(s)
-    rows = c.select("id", "v", array_to_vector("v").alias("features"))
-    labels = KMeans(k=len(s.values), seed=42).fit(rows).transform(rows).select("id", F.col("prediction").alias("label"))
+    labels = clustering.groups(c, "kmeans", k=len(s.values))
     return clustering.mean_projection(s, features.mean_by_label(c, labels))
 
 

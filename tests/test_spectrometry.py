@@ -630,3 +630,40 @@ def test_tiles_equal_dense_images(spark):
     with pytest.raises(Exception, match="twice"):
         raster.to_tiles(df(image).unionAll(df(image)), side).count()
     assert raster.to_tiles(df(image).limit(0), side).count() == 0
+
+
+def test_groups_by_method(spark):
+    """Planted groups by either method; k-means is no worse than the planted centres, and every vector is with its nearest centre."""
+    from spectrel.plans import clustering
+
+    rng = np.random.default_rng(4)
+    x = 8 * np.eye(4)[rng.integers(0, 4, 120)] + rng.normal(size=(120, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    cost = lambda label: sum(((x[label == c] - x[label == c].mean(0)) ** 2).sum() for c in np.unique(label))
+    planted = x.argmax(1)
+    for method in ("kmeans", "communities"):
+        found = np.array([r.label for r in clustering.groups(df, method).orderBy("id").collect()])
+        sizes = np.bincount(found)
+        assert list(sizes) == sorted(sizes, reverse=True) and len({*zip(planted, found, strict=True)}) == len(sizes) == 4
+    found = np.array([r.label for r in clustering.kmeans(df, 7).orderBy("id").collect()])
+    assert cost(found) < cost(planted)
+    centres = np.stack([x[found == c].mean(0) for c in range(7)])
+    assert (((x[:, None] - centres) ** 2).sum(2).argmin(1) == found).all()
+    assert {r.label for r in clustering.kmeans(df, 1).collect()} == {0}
+    for wrong in (lambda: clustering.kmeans(df, 0), lambda: clustering.kmeans(df.limit(0), 2), lambda: clustering.groups(df, "other")):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_feature_components_and_maps_equal_dense(spark):
+    from spectrel.plans import clustering
+
+    s, _, lap, vk, z = directed(spark)
+    c = z.T @ lap @ vk
+    c = c / np.sqrt((c**2).sum(axis=0))
+    got = np.array([r.v for r in clustering.feature_components(s).orderBy("id").collect()])
+    assert np.allclose(got, c)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "id long, label int")
+    maps = clustering.mean_projection(s, features.mean_by_label(clustering.feature_components(s), labels))
+    want = vk @ np.stack([c[::2].mean(0), c[1::2].mean(0)], axis=1)
+    assert np.allclose([r.v for r in maps.orderBy("id").collect()], want)
