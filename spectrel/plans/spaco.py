@@ -273,8 +273,8 @@ class Spaco:
         basis = self.orthonormal()
         return np.linalg.eigvalsh(basis.T @ self._back @ basis)
 
-    def test(self, rows: DataFrame | None = None) -> DataFrame:
-        """feature, stat, cdf, p_value for every column, with one product for all.
+    def test(self, rows: DataFrame | None = None, acc: float = 1e-6) -> DataFrame:
+        """feature, stat, cdf, p_value for every column, with one product for all; probabilities to ``acc``, made in tasks.
 
         The standardised columns that vary are tested, or the columns of ``rows`` (id, v) as they are, neither centred nor scaled.
         A column whose form x' L x is 0 has no statistic: null, and so are its probabilities.
@@ -284,12 +284,17 @@ class Spaco:
         xlx = blocks.summed(lx, ["m", "lm"], lambda a, b: (a * b).sum(axis=0)[None])[0]
         vlx = self.loadings.T @ self.against(lx)
         names = self.columns if rows is None else range(len(xlx))
-        weights, out = self.sigma(), []
-        for c, top, below in zip(names, (vlx**2).sum(axis=0), xlx, strict=True):
-            stat = float(top / below) if below else None
-            cdf = imhof_cdf(stat, weights) if below else None
-            out.append((int(c), stat, cdf, 1 - cdf if below else None))
-        return spark.createDataFrame(out, "feature int, stat double, cdf double, p_value double")
+        found = [(int(c), float(top / below) if below else None) for c, top, below in zip(names, (vlx**2).sum(axis=0), xlx, strict=True)]
+        weights = self.sigma()
+
+        def run(batches):
+            for pdf in batches:
+                pdf["cdf"] = [None if np.isnan(x) else imhof_cdf(x, weights, acc=acc) for x in pdf["stat"].astype(float)]
+                pdf["p_value"] = 1 - pdf["cdf"].astype(float)
+                yield pdf
+
+        stats = spark.createDataFrame(found, "feature int, stat double").repartition(spark.sparkContext.defaultParallelism)
+        return settled(stats.mapInPandas(run, "feature int, stat double, cdf double, p_value double"))
 
 
 def significant(tests: DataFrame, level: float = 0.05) -> DataFrame:

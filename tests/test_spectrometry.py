@@ -667,3 +667,24 @@ def test_feature_components_and_maps_equal_dense(spark):
     maps = clustering.mean_projection(s, features.mean_by_label(clustering.feature_components(s), labels))
     want = vk @ np.stack([c[::2].mean(0), c[1::2].mean(0)], axis=1)
     assert np.allclose([r.v for r in maps.orderBy("id").collect()], want)
+
+
+def test_imhof_keeps_its_accuracy():
+    """Chi-square distributions in closed form: few and many degrees, tiny and mixed weights, far quantiles, and the case of one degree."""
+    from math import erf, exp, factorial, sqrt
+
+    even = lambda x, k: 1 - exp(-x / 2) * sum((x / 2) ** i / factorial(i) for i in range(k // 2))
+    n = 40_000
+    for acc in (1e-4, 1e-6, 1e-8):
+        for x in (2.0, 15.0, 20.0, 31.41, 80.0):
+            assert abs(imhof_cdf(2 / n * x, np.full(20, 2 / n), acc=acc) - even(x, 20)) <= acc
+        assert abs(imhof_cdf(5.0, [1.0], dfs=[2], acc=acc) - even(5.0, 2)) <= acc
+        # The difference of two exponentials of one scale is Laplace's distribution.
+        for x in (-3.0, 0.5, 4.0):
+            laplace = 0.5 * exp(x / 2) if x < 0 else 1 - 0.5 * exp(-x / 2)
+            assert abs(imhof_cdf(x, [1.0, -1.0], dfs=[2, 2], acc=acc) - laplace) <= acc
+    for x in (0.1, 1.0, 3.841459, 10.0):
+        assert abs(imhof_cdf(x, [1.0], acc=1e-5) - erf(sqrt(x / 2))) <= 1e-5
+    assert imhof_cdf(0.5, [3.0, 1e-9, 0.0], dfs=[4, 1, 1]) == pytest.approx(even(0.5 / 3, 4), abs=2e-6)
+    with pytest.raises(ArithmeticError):
+        imhof_cdf(0.0, [1.0, -1.0], acc=1e-15)
