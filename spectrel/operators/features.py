@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spectrel.functions.student import t_quantile
 from spectrel.operators.peaks import long_form
+from spectrel.runtime import settled
 
 
 def total(peaks: DataFrame, *by: str, value: str = "intensity", how: str | Callable = "sum") -> DataFrame:
@@ -46,10 +47,44 @@ def _tiles(coo: DataFrame, grid_size: int) -> tuple[int, DataFrame]:
     return u, pixels.agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Values of a group that may meet in one row, bins of a round of ``at_ranks``, and groups that may be sent to every task.
+LISTED, BINS, SENT = 10_000, 256, 50_000
+
+
+def at_ranks(values: DataFrame, keys: list[str], ranks: DataFrame, listed: int = LISTED) -> DataFrame:
+    """keys, rank, value: the values (keys, value) of each group at the 0-based ranks (keys, rank) that are asked for. Exact.
+
+    A group of up to ``listed`` values is sorted in one row. A larger one is searched by rounds: its values are counted in bins
+    between the least and the largest, combined before the shuffle, and the bin that holds the rank is searched in turn, until it is small
+    or all its values are equal. So however many values a group has, they do not meet.
+    """
+    all_ = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    todo, done = settled(ranks.join(all_, keys).withColumn("before", F.lit(0).cast("long"))), None
+    own = [*keys, "rank"]
+    while True:
+        large = (F.col("count") > listed) & (F.col("hi") > F.col("lo"))
+        ready = todo.where(~large)
+        done = ready if done is None else done.unionByName(ready)
+        todo = todo.where(large)
+        if not (n := todo.count()):
+            break
+        held = values.join(F.broadcast(todo) if n <= SENT else todo, keys).where(F.col("value").between(F.col("lo"), F.col("hi")))
+        place = F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1))
+        bins = held.groupBy(*own, "before", place.alias("bin")).agg(F.count(F.lit(1)).alias("count"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+        earlier = Window.partitionBy(*own).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+        bins = bins.withColumn("before", F.col("before") + F.coalesce(F.sum("count").over(earlier), F.lit(0)))
+        todo = settled(bins.where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("count"))).select(*own, "count", "lo", "hi", "before"))
+    equal = done.where("lo = hi").select(*own, F.col("lo").alias("value"))
+    few = settled(done.where("lo < hi"))
+    met = values.join(F.broadcast(few) if few.count() <= SENT else few, keys).where(F.col("value").between(F.col("lo"), F.col("hi")))
+    sorted_ = met.groupBy(*own, "before").agg(F.array_sort(F.collect_list("value")).alias("v"))
+    return equal.unionByName(sorted_.select(*own, F.get("v", (F.col("rank") - F.col("before")).cast("int")).alias("value")))
+
+
 def tile_median(coo: DataFrame, grid_size: int) -> DataFrame:
     """tile_x, tile_y, feature, value: exact medians in which pixels without the feature count as 0.
 
-    The matrix is not filled: a tile's median follows from its sorted positive values and its number of pixels.
+    The matrix is not filled: a tile's median follows from the ranks of its values and its number of pixels.
     Values must not be negative; pixels are those of ``coo``; features of a tile without a value are absent (median 0).
     """
     return tile_aggregate(coo, grid_size, "median")
@@ -70,17 +105,22 @@ def tile_aggregate(coo: DataFrame, grid_size: int, how: str | Callable | dict =
     return out
 
 
-def _tile_values(coo: DataFrame, u: int, pixels: DataFrame, how: str | Callable) -> DataFrame:
+def _tile_values(coo: DataFrame, u: int, pixels: DataFrame, how: str | Callable, listed: int = LISTED) -> DataFrame:
     if not callable(how) and how not in ("median", "sum", "mean", "min", "max"):
         raise ValueError(f"unknown aggregate {how}")
     cell = coo.groupBy("x", "y", "feature").agg(F.sum("value").alias("value")).withColumn("tile_x", F.floor(F.col("x") / u)).withColumn("tile_y", F.floor(F.col("y") / u))
     of_tile = cell.groupBy("tile_x", "tile_y", "feature")
     key = ["tile_x", "tile_y"]
     if how == "median":
-        own = of_tile.agg(F.array_sort(F.collect_list("value")).alias("v"))
-        zeros = F.col("n") - F.size("v")
-        at = lambda i: F.when(i < zeros, 0.0).otherwise(F.get("v", (i - zeros).cast("int")))
-        return own.join(pixels, key).select(*key, "feature", ((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias("value"))
+        whole = [*key, "feature"]
+        cell = settled(cell)
+        of = cell.groupBy(*whole).agg(F.count(F.lit(1)).alias("k")).join(pixels, key)
+        middle = F.explode(F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)))
+        asked = of.select(*whole, (F.col("n") - F.col("k")).alias("zeros"), middle.alias("rank"))
+        asked = settled(asked.select(*whole, (F.col("rank") - F.col("zeros")).alias("rank")))  # the zeros come first
+        found = at_ranks(cell.select(*whole, "value"), whole, asked.where("rank >= 0").distinct(), listed)
+        both = asked.join(found, [*whole, "rank"], "left")
+        return both.groupBy(*whole).agg((F.sum(F.coalesce("value", F.lit(0.0))) / 2).alias("value"))
     if callable(how):
         full = of_tile.agg(F.collect_list(F.col("value").cast("double")).alias("v")).join(pixels, key).select(*key, "feature", "v", "n")
 

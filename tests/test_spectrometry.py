@@ -688,3 +688,19 @@ def test_imhof_keeps_its_accuracy():
     assert imhof_cdf(0.5, [3.0, 1e-9, 0.0], dfs=[4, 1, 1]) == pytest.approx(even(0.5 / 3, 4), abs=2e-6)
     with pytest.raises(ArithmeticError):
         imhof_cdf(0.0, [1.0, -1.0], acc=1e-15)
+
+
+def test_ranks_without_lists(spark):
+    """Groups far larger than what may meet in a row, with ties, wide ranges and one value only; ranks against sorted values."""
+    rng = np.random.default_rng(3)
+    groups = {0: rng.normal(size=3000), 1: np.repeat([1.0, 2.0, 2.0, 5.0], 500), 2: np.exp(rng.normal(size=1000) * 20), 3: np.full(700, 4.5), 4: np.array([1.0, 7.0]), 5: np.array([3.0])}
+    df = spark.createDataFrame([(g, float(x)) for g, v in groups.items() for x in rng.permutation(v)], "g int, value double").repartition(4)
+    want = {(g, r): sorted(v)[r] for g, v in groups.items() for r in {0, len(v) // 3, len(v) // 2, len(v) - 1}}
+    asked = spark.createDataFrame(list(want), "g int, rank long")
+    for listed in (20, 10_000):
+        assert {(r.g, r["rank"]): r.value for r in features.at_ranks(df, ["g"], asked, listed).collect()} == want
+    one = spark.createDataFrame([(i % 30, i // 30, "f", float(rng.random())) for i in range(900) if i % 7], "x long, y long, feature string, value double").unionAll(spark.createDataFrame([(0, 0, "g", 1.0), (29, 29, "g", 1.0)], "x long, y long, feature string, value double"))
+    u, pixels = 40, one.select("x", "y").distinct().groupBy(F.floor(F.col("x") / 40).alias("tile_x"), F.floor(F.col("y") / 40).alias("tile_y")).agg(F.count(F.lit(1)).alias("n"))
+    small = {r.feature: r.value for r in features._tile_values(one, u, pixels, "median", 10).collect()}
+    cells = one.groupBy("x", "y").pivot("feature", ["f", "g"]).agg(F.sum("value")).na.fill(0).toPandas()
+    assert small == {"f": cells["f"].median(), "g": 0.0}
