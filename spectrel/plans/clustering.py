@@ -1,7 +1,4 @@
-"""Groups and maps of features: their components, communities, planar layout.
-
-There are hundreds of features, so what is made per feature is gathered, behind a check of its size.
-"""
+"""Groups of features: their components, k-means, communities, and maps of groups."""
 
 from __future__ import annotations
 
@@ -12,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spectrel.operators import blocks, graph
 from spectrel.plans.communities import communities
+from spectrel.plans.layout import planar_layout  # noqa: F401
 from spectrel.plans.spaco import Spaco
 from spectrel.runtime import settled
 
@@ -71,78 +69,3 @@ def groups(vectors: DataFrame, method: str = "kmeans", k: int | None = None, nei
     if method == "communities":
         return communities(similarity_graph(vectors, neighbours), resolution, seed)
     raise ValueError(f"unknown method {method}")
-
-
-def _gathered(df: DataFrame, max_rows: int, what: str):
-    got = df.limit(max_rows + 1).toPandas()
-    if len(got) > max_rows:
-        raise ValueError(f"more than {max_rows} {what}")
-    return got
-
-
-def _curve(min_dist: float) -> tuple[float, float]:
-    """a, b so that 1 / (1 + a x^2b) is near 1 below ``min_dist`` and near exp(min_dist - x) beyond: damped least squares."""
-    x = np.linspace(0, 3, 300)[1:]
-    y = np.where(x < min_dist, 1.0, np.exp(-(x - min_dist)))
-    f = lambda p: 1 / (1 + p[0] * x ** (2 * p[1]))
-    p, damp = np.array([1.0, 1.0]), 1e-2
-    for _ in range(200):
-        u = x ** (2 * p[1])
-        slope = np.stack([-u, -p[0] * u * 2 * np.log(x)], 1) * (f(p) ** 2)[:, None]
-        h = slope.T @ slope
-        step = np.linalg.solve(h + damp * np.diag(np.diag(h)), slope.T @ (y - f(p)))
-        better = (p + step > 0).all() and ((y - f(p + step)) ** 2).sum() < ((y - f(p)) ** 2).sum()
-        p, damp = (p + step, damp / 3) if better else (p, damp * 4)
-    return float(p[0]), float(p[1])
-
-
-def planar_layout(vectors: DataFrame, k: int = 10, min_dist: float = 0.3, seed: int = 42, epochs: int = 500, max_rows: int = 5000) -> DataFrame:
-    """id, x, y: a manifold layout. Fuzzy memberships of the k nearest (itself among them), a spectral start, sampled forces.
-
-    Positions depend on the seed and have no meaning by themselves, only neighbourhoods do. The neighbour search is distributed;
-    the layout takes at most ``max_rows`` rows on the driver, else an error. Fewer than three rows lie at the origin.
-    """
-    spark = vectors.sparkSession
-    ids = sorted(_gathered(vectors.select("id"), max_rows, "rows")["id"])
-    n = len(ids)
-    if n < 3:
-        return spark.createDataFrame([(int(i), 0.0, 0.0) for i in ids], "id long, x double, y double")
-    place = {v: i for i, v in enumerate(ids)}
-    e = graph.knn_vectors(vectors, min(k, n)).where("src <> dst").toPandas()
-    src, dst, d = e["src"].map(place).to_numpy(), e["dst"].map(place).to_numpy(), e["w"].to_numpy()
-    p = np.zeros((n, n))
-    for i in range(n):
-        own = d[src == i]
-        least = own[own > 0].min() if (own > 0).any() else 0.0
-        lo, hi = 1e-12, max(own.max(initial=0.0), 1e-6) * 1e3
-        for _ in range(80):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if np.exp(-np.maximum(own - least, 0) / mid).sum() < np.log2(min(k, n)) else (lo, mid)
-        p[i, dst[src == i]] = np.exp(-np.maximum(own - least, 0) / max(hi, 1e-3 * own.mean() if len(own) else 1e-3))
-    p = p + p.T - p * p.T
-    rng = np.random.default_rng(seed)
-    root = 1 / np.sqrt(np.maximum(p.sum(axis=1), 1e-12))
-    _, vectors_ = np.linalg.eigh(np.eye(n) - root[:, None] * p * root)
-    at = vectors_[:, 1:3]
-    at = at / max(np.abs(at).max(), 1e-12) * 10 + rng.normal(0, 1e-4, (n, 2))
-    a, b = _curve(min_dist)
-    i, j = np.nonzero(p > p.max() / epochs)
-    often = p[i, j] / p.max()
-    for t in range(epochs):
-        rate = 1 - t / epochs
-        on = np.floor((t + 1) * often) > np.floor(t * often)
-        u, v = i[on], j[on]
-        gap = at[u] - at[v]
-        q = (gap**2).sum(axis=1)
-        pull = np.where(q > 0, -2 * a * b * np.maximum(q, 1e-300) ** (b - 1) / (1 + a * q**b), 0)
-        step = np.clip(pull[:, None] * gap, -4, 4)
-        move = np.zeros_like(at)
-        np.add.at(move, u, step)
-        np.add.at(move, v, -step)
-        u = np.repeat(u, 5)
-        gap = at[u] - at[v := rng.integers(0, n, len(u))]
-        q = (gap**2).sum(axis=1)
-        push = np.where(u == v, 0, 2 * b / ((0.001 + q) * (1 + a * q**b)))
-        np.add.at(move, u, np.clip(push[:, None] * gap, -4, 4))
-        at = at + rate * np.clip(move, -4, 4)
-    return spark.createDataFrame([(int(c), float(x), float(y)) for c, (x, y) in zip(ids, at, strict=True)], "id long, x double, y double")

@@ -258,9 +258,9 @@ def test_communities_against_all_partitions(spark, least, share):
 
 
 def test_layout_keeps_groups_apart(spark):
-    from spectrel.plans.clustering import _curve, planar_layout
+    from spectrel.plans.layout import curve, planar_layout
 
-    assert _curve(0.1) == (pytest.approx(1.577, abs=0.01), pytest.approx(0.895, abs=0.01))
+    assert curve(0.1) == (pytest.approx(1.577, abs=0.01), pytest.approx(0.895, abs=0.01))
     rng = np.random.default_rng(1)
     rows = [(i, (rng.normal(size=5) + 30 * (i % 3)).tolist()) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, v array<double>")
@@ -268,8 +268,6 @@ def test_layout_keeps_groups_apart(spark):
     d = np.sqrt(((at[:, None] - at[None]) ** 2).sum(2)) + np.eye(60) * 1e9
     assert (d.argmin(1) % 3 == np.arange(60) % 3).mean() > 0.95
     assert [tuple(r) for r in planar_layout(df.limit(1)).collect()] == [(0, 0.0, 0.0)] and planar_layout(df.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        planar_layout(df, max_rows=10)
 
 
 def test_simplex_finds_the_valley():
@@ -704,3 +702,29 @@ def test_ranks_without_lists(spark):
     small = {r.feature: r.value for r in features._tile_values(one, u, pixels, "median", 10).collect()}
     cells = one.groupBy("x", "y").pivot("feature", ["f", "g"]).agg(F.sum("value")).na.fill(0).toPandas()
     assert small == {"f": cells["f"].median(), "g": 0.0}
+
+
+def test_layout_of_many_parts(spark):
+    """Groups stay apart when the rows are dealt into parts, and a dense version gives the same memberships."""
+    from spectrel.plans import layout
+
+    rng = np.random.default_rng(1)
+    n, k = 1500, 8
+    x = rng.normal(size=(n, 4)) + 25 * np.eye(4)[np.arange(n) % 3]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    at = np.array([[r.x, r.y] for r in layout.planar_layout(df, k, epochs=200, part=400).orderBy("id").collect()])
+    d = ((at[:, None] - at) ** 2).sum(2) + np.eye(n) * 1e9
+    assert at.shape == (n, 2) and (d.argmin(1) % 3 == np.arange(n) % 3).mean() > 0.97
+    p = np.zeros((n, n))
+    w = np.sqrt(((x[:, None] - x) ** 2).sum(2)) + np.eye(n) * 1e9
+    for i in range(n):
+        near = np.argsort(w[i])[: k - 1]
+        gap = w[i, near] - w[i, near].min()
+        lo, hi = 1e-12, w[i, near].max() * 1e3
+        for _ in range(80):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if np.exp(-gap / mid).sum() < np.log2(k) else (lo, mid)
+        p[i, near] = np.exp(-gap / hi)
+    p = p + p.T - p * p.T
+    made = layout.memberships(graph.knn_vectors(df, k).where("src <> dst"), k).collect()
+    assert len(made) == np.count_nonzero(np.triu(p)) and np.allclose([p[r.a, r.b] for r in made], [r.w for r in made], atol=1e-6)
