@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +12,9 @@ from spectrel.operators import features, geometry, graph, peaks
 from spectrel.plans import clustering, registration
 from spectrel.plans.analysis import Analysis
 from spectrel.plans.spaco import Spaco, significant
-from spectrel.runtime import ship
+from spectrel.runtime import shared_folder, ship
+from spectrel.sources.images import write_image
+from spectrel.sources.imzml import read_image
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -288,6 +292,15 @@ def image_bytes(spark, d):
     return registration.to_bytes(pixels(spark, d))
 
 
+@query(PX + "select cast(y as integer) as y, cast(x as integer) as x, cast(floor(value * 255) as integer) as value from p")
+def image_file(spark, d):
+    """The image as a file, read back."""
+    p = pixels(spark, d)
+    path = f"{shared_folder(spark).rstrip('/')}/spectrel/{spark.sparkContext.applicationId}/image-{uuid.uuid4().hex}.tif"
+    write_image(registration.to_bytes(p), path, height(p), 100)
+    return read_image(spark, path).select("y", F.col("x").cast("int").alias("x"), F.col("r").alias("value"))
+
+
 @query(PX + ", m as (select y, x, case when value > 0.5 then 1 else 0 end as value from p) select a.y, a.x, max(b.value) as value from m a join m b on (b.y = a.y and abs(b.x - a.x) <= 1) or (b.x = a.x and abs(b.y - a.y) = 1) group by 1, 2")
 def mask_dilate(spark, d):
     m = pixels(spark, d).withColumn("value", F.when(F.col("value") > 0.5, 1).otherwise(0))

@@ -1,7 +1,9 @@
 """Sources: imzML spectra (Python data source), images, synthetic samples; and sinks.
 
 The driver reads the XML once; each partition seeks to its own spectra in the binary file, which executors must reach by
-the same path.
+the same path (a mount; the file is opened by Python, not by Spark's file access). Conditions on pixel_id, x, y and z reach the source, so
+that other spectra are not read, and so does a range of masses: where a spectrum's masses ascend, only the intensities of those inside
+are read. Partitions have about the same number of bytes.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import xml.etree.ElementTree as ET
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from spectrel.operators import graph
 
@@ -49,27 +51,65 @@ def read_index(path: str) -> list[tuple]:
 
 
 class _Range(InputPartition):
-    def __init__(self, first: int, spectra: list[tuple]):
-        self.first, self.spectra = first, spectra
+    def __init__(self, spectra: list[tuple]):
+        self.spectra = spectra
+
+
+#: Whether a value meets a condition that Spark hands over.
+CONDITIONS = {EqualTo: lambda v, f: v == f.value, In: lambda v, f: v in f.value, GreaterThan: lambda v, f: v > f.value, GreaterThanOrEqual: lambda v, f: v >= f.value, LessThan: lambda v, f: v < f.value, LessThanOrEqual: lambda v, f: v <= f.value}
+PLACES = ("pixel_id", "x", "y", "z")
+
+
+def opened(path: str):
+    return open(path, "rb")
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options):
-        self.path, self.parts = options["path"], int(options.get("partitions", 8))
+        self.path, self.parts, self.held = options["path"], int(options.get("partitions", 8)), []
+        self.masses = (float(options["mz_min"]), float(options["mz_max"])) if "mz_min" in options else None
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if type(f) in CONDITIONS and len(f.attribute) == 1 and f.attribute[0] in PLACES and None not in (f.value if isinstance(f, In) else (f.value,)):
+                self.held.append((type(f), PLACES.index(f.attribute[0]), f))
+            else:
+                yield f
 
     def partitions(self):
-        index = read_index(self.path)
-        size = max(1, -(-len(index) // self.parts))
-        return [_Range(i, index[i : i + size]) for i in range(0, len(index), size)] or [_Range(0, [])]
+        index = [(i, *s) for i, s in enumerate(read_index(self.path))]
+        index = [s for s in index if all(CONDITIONS[kind](s[k], f) for kind, k, f in self.held)]
+        size = lambda s: sum(n * np.dtype(kind).itemsize for _, n, kind in s[4:])
+        total, out, held = sum(map(size, index)), [[]], 0
+        for s in index:
+            if held * self.parts >= total * len(out) and out[-1]:
+                out.append([])
+            out[-1].append(s)
+            held += size(s)
+        return [_Range(x) for x in out]
 
     def read(self, part):
-        with open(os.path.splitext(self.path)[0] + ".ibd", "rb") as f:
-            for i, (x, y, z, *arrays) in enumerate(part.spectra):
-                values = []
-                for offset, length, kind in arrays:
-                    f.seek(offset)
-                    values.append(np.frombuffer(f.read(length * np.dtype(kind).itemsize), kind).astype(float).tolist())
-                yield (part.first + i, x, y, z, *values)
+        if not part.spectra:
+            return
+        with opened(os.path.splitext(self.path)[0] + ".ibd") as f:
+
+            def values(at: tuple[int, int, str], first: int = 0, last: int | None = None) -> np.ndarray:
+                offset, length, kind = at
+                n, size = (length if last is None else last) - first, np.dtype(kind).itemsize
+                f.seek(offset + first * size)
+                return np.frombuffer(f.read(n * size), kind).astype(float)
+
+            for i, x, y, z, masses, intensities in part.spectra:
+                m = values(masses)
+                if self.masses is None:
+                    yield (i, x, y, z, m.tolist(), values(intensities).tolist())
+                    continue
+                on = (m >= self.masses[0]) & (m <= self.masses[1])
+                at = np.flatnonzero(on)
+                if len(at) and at[-1] - at[0] + 1 == len(at):
+                    yield (i, x, y, z, m[on].tolist(), values(intensities, int(at[0]), int(at[-1]) + 1).tolist())
+                elif len(at):
+                    yield (i, x, y, z, m[on].tolist(), values(intensities)[on].tolist())
 
 
 class ImzmlDataSource(DataSource):
@@ -84,12 +124,16 @@ class ImzmlDataSource(DataSource):
         return _Reader(self.options)
 
 
-def read_imzml(spark: SparkSession, path: str, partitions: int = 8) -> DataFrame:
+def read_imzml(spark: SparkSession, path: str, partitions: int = 8, masses: tuple[float, float] | None = None) -> DataFrame:
+    """The spectra; with ``masses`` only their peaks from the first to the second mass, and no spectra without one. Switches on the handing over
+    of conditions to sources in Python, which holds for the session."""
     from spectrel.runtime import ship
 
     ship(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ImzmlDataSource)
-    return spark.read.format("imzml").option("path", path).option("partitions", partitions).load()
+    reader = spark.read.format("imzml").option("path", path).option("partitions", partitions)
+    return (reader if masses is None else reader.option("mz_min", masses[0]).option("mz_max", masses[1])).load()
 
 
 def read_image(spark: SparkSession, path: str, swap: bool = True, alpha: bool = False) -> DataFrame:

@@ -161,8 +161,7 @@ def test_map_query_runs_all_rounds(spark, sf, monkeypatch):
     assert [s["rounds"] for s in seen] == [100]
 
 
-def test_imzml_round_trip(spark, tmp_path):
-    spectra = [(1, 1, [1.0, 2.0], [5.0, 6.0]), (2, 1, [3.0], [7.0])]
+def imzml_file(folder, spectra):
     data, items = b"\0" * 16, ""
     for x, y, m, i in spectra:
         arrays = ""
@@ -170,12 +169,67 @@ def test_imzml_round_trip(spark, tmp_path):
             arrays += f'<binaryDataArray><cvParam accession="{acc}"/><cvParam accession="MS:1000523"/><cvParam accession="IMS:1000102" value="{len(data)}"/><cvParam accession="IMS:1000103" value="{len(values)}"/></binaryDataArray>'
             data += struct.pack(f"<{len(values)}d", *values)
         items += f'<spectrum><cvParam accession="IMS:1000050" value="{x}"/><cvParam accession="IMS:1000051" value="{y}"/>{arrays}</spectrum>'
-    (tmp_path / "a.imzML").write_text(f"<mzML>{items}</mzML>")
-    (tmp_path / "a.ibd").write_bytes(data)
-    got = read_imzml(spark, str(tmp_path / "a.imzML"), 2).orderBy("pixel_id").collect()
+    (folder / "a.imzML").write_text(f"<mzML>{items}</mzML>")
+    (folder / "a.ibd").write_bytes(data)
+    return str(folder / "a.imzML")
+
+
+def test_imzml_round_trip(spark, tmp_path):
+    spectra = [(1, 1, [1.0, 2.0], [5.0, 6.0]), (2, 1, [3.0], [7.0])]
+    got = read_imzml(spark, imzml_file(tmp_path, spectra), 2).orderBy("pixel_id").collect()
     assert [(r.x, r.y, r.mzs, r.intensities) for r in got] == spectra
 
 
+def test_imzml_reads_what_is_asked_for(spark, tmp_path, monkeypatch):
+    """Conditions and masses against the same done afterwards, and the bytes that are read for them."""
+    from pyspark.sql.datasource import EqualTo, LessThan
+
+    from spectrel.sources import imzml
+
+    rng = np.random.default_rng(6)
+    spectra = [(x, y, m if (x + y) % 5 else m[::-1], rng.random(len(m)).tolist()) for x in range(6) for y in range(6) for m in [sorted(rng.uniform(0, 100, 50 + 20 * x).tolist())]]
+    path = imzml_file(tmp_path, spectra)
+    every = read_imzml(spark, path, 5)
+    key = lambda df: sorted((r.pixel_id, r.x, r.y, tuple(r.mzs), tuple(r.intensities)) for r in df.collect())
+    plan = read_imzml(spark, path, 5).where("x = 3 and y < 4 and z in (1, 2) and pixel_id >= 2 and size(mzs) > 3")
+    assert key(plan) == [r for r in key(every) if r[1] == 3 and r[2] < 4] and len(plan.collect()) == 4
+    assert key(read_imzml(spark, path, 3, (40.0, 45.0))) == key(peaks.trim(every, 40.0, 45.0)) and read_imzml(spark, path, 3, (200.0, 300.0)).count() == 0
+    seen = []
+
+    class Counted:
+        def __init__(self, at):
+            self.f = open(at, "rb")
+
+        def read(self, n):
+            seen.append(n)
+            return self.f.read(n)
+
+        def seek(self, at):
+            self.f.seek(at)
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.f.close()
+
+    monkeypatch.setattr(imzml, "opened", Counted)
+
+    def count(options, filters):
+        seen.clear()
+        reader = imzml._Reader({"path": path, **options})
+        left = list(reader.pushFilters(filters))
+        parts = reader.partitions()
+        sizes = [sum(1 for _ in reader.read(p)) for p in parts]
+        return sum(seen), sum(sizes), len(parts), left
+
+    whole, n, parts, _ = count({"partitions": 4}, [])
+    assert whole == sum(16 * len(s[2]) for s in spectra) and n == 36 and parts == 4
+    assert count({}, [EqualTo(("x",), 3)])[:2] == (6 * 16 * 110, 6)
+    assert count({}, [EqualTo(("x",), 3), LessThan(("y",), 2)])[:2] == (2 * 16 * 110, 2) and len(count({}, [EqualTo(("other",), 1)])[3]) == 1
+    assert count({"mz_min": "40", "mz_max": "45"}, [])[0] < 0.6 * whole
+
+
 def test_t_quantile():
     from spectrel.functions.student import t_quantile
 
@@ -728,3 +782,31 @@ def test_layout_of_many_parts(spark):
     p = p + p.T - p * p.T
     made = layout.memberships(graph.knn_vectors(df, k).where("src <> dst"), k).collect()
     assert len(made) == np.count_nonzero(np.triu(p)) and np.allclose([p[r.a, r.b] for r in made], [r.w for r in made], atol=1e-6)
+
+
+def test_written_images_are_read_back(spark, tmp_path):
+    """Gray and colour, several strips and one without pixels; what fails leaves no file and what was there before."""
+    from spectrel.sources.images import write_image
+
+    rng = np.random.default_rng(5)
+    h, w = 150, 40
+    image = rng.integers(0, 256, (h, w, 3))
+    at = [(y, x, *map(int, image[y, x])) for y in range(h) for x in range(w) if not 64 <= y < 128]
+    df = spark.createDataFrame(at, "y int, x int, r int, g int, b int").repartition(5)
+    image[64:128] = 0
+    for columns, name in ((("r", "g", "b"), "colour.tif"), (("g",), "gray.tif")):
+        path = str(tmp_path / name)
+        write_image(df, path, h, w, columns)
+        got = np.zeros((h, w, 3), int)
+        for p in read_image(spark, path).collect():
+            got[p.y, p.x] = p.r, p.g, p.b
+        assert np.array_equal(got, image if len(columns) == 3 else np.repeat(image[:, :, 1:2], 3, axis=2))
+    before = (tmp_path / "gray.tif").read_bytes()
+    wrong = [df.limit(0), df.withColumn("g", F.lit(300)), df.unionAll(df), df.withColumn("y", F.col("y") + 100), df.withColumn("x", F.col("x") - 1)]
+    for bad in wrong:
+        for name in ("gray.tif", "new.tif"):
+            with pytest.raises(Exception, match="no image|from 0 to 255|twice|outside"):
+                write_image(bad, str(tmp_path / name), h, w, ("g",))
+    assert (tmp_path / "gray.tif").read_bytes() == before and not (tmp_path / "new.tif").exists() and not list(tmp_path.glob("*.writing"))
+    write_image(df.withColumn("g", F.lit(7)), str(tmp_path / "gray.tif"), h, w, ("g",))
+    assert (tmp_path / "gray.tif").read_bytes() != before
