@@ -124,6 +124,7 @@ class BlockedGraph:
     def __init__(self, edges: DataFrame, nodes: DataFrame, order: Column | None = None, rows: int = ROWS):
         ship(nodes.sparkSession)
         self.edges = settled(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("w").cast("double").alias("w")))
+        self.rows = rows
         by = F.col("id") if order is None else order
         placed = numbered(nodes.withColumn("_by", by).select(F.col("id").cast("long").alias("id"), "_by"), [F.col("_by"), F.col("id")])
         self.nodes = settled(placed.select("id", F.floor(F.col("rn") / rows).cast("int").alias("block")))

@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,79 +16,69 @@ from spectrel.functions.imhof import imhof_cdf
 from spectrel.functions.student import t_quantile
 from spectrel.operators import blocks
 from spectrel.operators.blocks import BlockedGraph
-from spectrel.operators.peaks import numbered
 from spectrel.runtime import settled, ship
 
-
-def _matrix(column) -> np.ndarray:
-    return np.array(column.to_pylist(), float)
-
-
-def _summed(parts: DataFrame, *keys: str) -> DataFrame:
-    """Element-wise sums of arrays ``m`` by integer keys: one shuffle of what the tasks made, summed where it arrives."""
-    def run(batches):
-        total: dict[tuple, np.ndarray] = {}
-        for batch in batches:
-            for k, m in zip(zip(*(batch.column(i).to_pylist() for i in range(len(keys))), strict=True), _matrix(batch.column(len(keys))) if len(batch) else [], strict=True):
-                total[k] = total[k] + m if k in total else m
-        if total:
-            columns = [pa.array(list(c), pa.int32()) for c in zip(*total, strict=True)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(list(total.values()), pa.list_(pa.float64()))], names=[*keys, "m"])
-
-    return parts.repartition(*keys).mapInArrow(run, ", ".join([*(f"{k} int" for k in keys), "m array<double>"]))
-
-
-def gram(pairs: DataFrame, a: str = "a", b: str = "b") -> np.ndarray:
-    """Sum of outer products of two array columns. Tasks make one p-by-q matrix each; its rows are added up by number on the
-    executors, so the driver gets p rows however many tasks there are."""
-    def run(batches):
-        total = None
-        for batch in batches:
-            if len(batch):
-                part = _matrix(batch.column(0)).T @ _matrix(batch.column(1))
-                total = part if total is None else total + part
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "m"])
-
-    got = _summed(pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).mapInArrow(run, "i int, m array<double>"), "i").collect()
-    if not got:
-        raise ValueError("no rows")
-    return np.array([r.m for r in sorted(got, key=lambda r: r.i)])
+#: Of the size of an eigenvalue of the permutation null.
+NULL_TOLERANCE = 1e-7
 
 
-def permuted(k: np.ndarray, n: int, *key: int) -> np.ndarray:
-    """A keyed bijection of 0 to n - 1 applied to ``k``: a Feistel network on the next power of four, walked until inside.
+def permuted(k: np.ndarray, n: int, *key: int, inverse: bool = False) -> np.ndarray:
+    """A keyed bijection of 0 to n - 1 applied to ``k``, or its inverse: a Feistel network on the next power of four, walked until inside.
 
     Any task can permute any row by itself, so no replicate needs a shuffle or a table of n numbers.
     """
     half = np.uint64((max(n - 1, 1).bit_length() + 1) // 2)
     mask = np.uint64((1 << int(half)) - 1)
     keys = np.random.default_rng(list(key)).integers(0, 2**63, 8, dtype=np.uint64)
+
+    def mix(x: np.ndarray, salt: np.uint64) -> np.ndarray:
+        x = (x + salt) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (x >> np.uint64(31)) & mask
+
     out = np.asarray(k).astype(np.uint64)
     todo = np.arange(len(out))
     while len(todo):
         left, right = out[todo] >> half, out[todo] & mask
-        for salt in keys:
-            x = (right + salt) * np.uint64(0x9E3779B97F4A7C15)
-            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            left, right = right, left ^ ((x >> np.uint64(31)) & mask)
+        for salt in keys[::-1] if inverse else keys:
+            left, right = (right ^ mix(left, salt), left) if inverse else (right, left ^ mix(right, salt))
         out[todo] = left << half | right
         todo = todo[out[todo] >= n]
     return out.astype(np.int64)
 
 
-def times(rows: DataFrame, m: np.ndarray, shift: np.ndarray | None = None, column: str = "v") -> DataFrame:
-    """(id, v m) or (id, (v - shift) m)."""
-    ship(rows.sparkSession)
-    c = np.zeros(m.shape[0]) if shift is None else shift
+def largest(apply: Callable[[np.ndarray], np.ndarray], r: int, count: int, seed: int, tol: float = NULL_TOLERANCE) -> np.ndarray:
+    """The largest real part of the eigenvalues of ``count`` r-by-r matrices, which ``apply`` multiplies with the columns of an r-by-count matrix.
 
-    def run(batches):
-        for batch in batches:
-            if len(batch):
-                out = (_matrix(batch.column(1)) - c) @ m
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(out), pa.list_(pa.float64()))], names=["id", "v"])
-
-    return rows.select("id", F.col(column).alias("v")).mapInArrow(run, "id long, v array<double>")
+    Arnoldi's process from a drawn start, all matrices in step, with full orthogonalisation. A matrix is done when the residual of the Ritz pair
+    and its change since the step before are within ``tol`` of its size; after r steps it is exact.
+    """
+    rng = np.random.default_rng([seed, r, count])
+    basis = np.zeros((r + 1, r, count))
+    basis[0] = rng.normal(size=(r, count))
+    basis[0] /= np.sqrt((basis[0] ** 2).sum(axis=0))
+    h = np.zeros((count, r + 1, r))
+    value, done = np.full(count, np.inf), np.zeros(count, bool)
+    for m in range(r):
+        new = apply(basis[m])
+        size = np.sqrt((new**2).sum(axis=0))
+        for _ in range(2):  # twice is enough
+            for j in range(m + 1):
+                part = (basis[j] * new).sum(axis=0)
+                h[:, j, m] += part
+                new = new - basis[j] * part
+        norm = np.sqrt((new**2).sum(axis=0))
+        h[:, m + 1, m] = norm
+        basis[m + 1] = np.divide(new, norm, out=np.zeros_like(new), where=norm > 1e-14 * np.maximum(size, 1e-300))
+        for i in np.flatnonzero(~done):
+            found, vectors = np.linalg.eig(h[i, : m + 1, : m + 1])
+            top = int(found.real.argmax())
+            old, value[i] = value[i], found[top].real
+            near = tol * max(abs(found[top]), 1e-300)
+            done[i] = norm[i] <= 1e-14 * max(size[i], 1e-300) or m + 1 >= min(r, 8) and norm[i] * abs(vectors[-1, top]) <= near and abs(value[i] - old) <= near
+        if done.all():
+            break
+    return value
 
 
 def apply_l(rows: DataFrame, edges: DataFrame | BlockedGraph) -> DataFrame:
@@ -103,7 +95,7 @@ class Spaco:
 
     def __init__(self, rows: DataFrame, edges: DataFrame, keep: float = 0.95, cut: float | None = None, order: Column | None = None):
         ship(rows.sparkSession)
-        self._ranked = self._back = None
+        self._back = None
         self.graph = BlockedGraph(edges, rows, order)
         self.edges, self.n = self.graph.edges, self.graph.n
         given = settled(self.graph.pack(rows))
@@ -132,21 +124,26 @@ class Spaco:
         k = int((self.all_values >= cut).sum())
         self.values, self.loadings = self.all_values[:k], self.all_vectors[:, :k] / np.sqrt(np.maximum(self.all_values[:k], 1e-300))
 
-    def null_values(self, replicates: int, seed: int = 0, max_bytes: int = 256 << 20, block: int = 10) -> np.ndarray:
-        """Largest eigenvalues after the rows of the whitened table are permuted.
+    def null_values(self, replicates: int, seed: int = 0, max_bytes: int = 256 << 20, block: int = 50) -> np.ndarray:
+        """Largest eigenvalues after the rows of the whitened table are permuted, to ``NULL_TOLERANCE`` of their size.
 
-        Table and edges are sent to the tasks if both fit in ``max_bytes``. Beyond that nothing is gathered: edges take permuted
-        row numbers, ``block`` replicates at a time, and meet the rows in two joins. The permutations are the same either way.
+        They take products of the permuted forms with vectors alone, no form is made. Table and edges are sent to the tasks if both fit in
+        ``max_bytes`` (on the driver they are held packed and once as arrays). Beyond that nothing is gathered: the vectors of ``block`` replicates go through the table and the graph
+        together, their entries dealt to where the permutation of each replicate puts them. The permutations, and so the values, are the same either way.
         """
         r, m = self.whitener.shape[1], self.graph.n_edges
         if 8 * (self.n * r + 3 * m) <= max_bytes:
             return self._null_sent(replicates, seed)
-        return np.sort(np.concatenate([self._null_joined(range(i, min(i + block, replicates)), seed) for i in range(0, replicates, block)]))
+        return np.sort(np.concatenate([self._null_dealt(range(i, min(i + block, replicates)), seed) for i in range(0, replicates, block)]))
 
     def _null_sent(self, replicates: int, seed: int) -> np.ndarray:
         # Packed rows: a block or a cell each, so nothing larger than the numbers themselves is made of them.
-        ids, w = self._gathered(self.white_packed.select("n", "ids", "m"))
-        a, b, x = self._gathered_edges(ids)
+        got = sorted(self.white_packed.select("block", "n", "m").collect(), key=lambda r: r.block)
+        w = np.concatenate([blocks.floats(r.m, r.n) for r in got])
+        rows, cells = self.graph.rows, self.graph.cells.collect()
+        joined = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
+        a, b = (joined([getattr(c, end) * rows + np.frombuffer(getattr(c, at), "<i4") for c in cells], np.int64) for end, at in (("s", "a"), ("t", "b")))
+        x = joined([np.frombuffer(c.w, "<f8") for c in cells], float) / (self.graph.total or 1.0)
         n, spark = self.n, self.white.sparkSession
         sent = spark.sparkContext.broadcast((w, a, b, x))
 
@@ -157,63 +154,63 @@ class Spaco:
             for pdf in batches:
                 out = []
                 for i in pdf["id"]:
-                    p = w[permuted(np.arange(n), n, seed, int(i))]
-                    out.append(float(np.linalg.eigvals(p.T @ p / n + p[a].T @ (p[b] * x[:, None])).real.max()))
+                    at = permuted(np.arange(n), n, seed, int(i))
+
+                    def apply(z):
+                        u = (w @ z[:, 0])[at]
+                        y = np.zeros(n)
+                        y[at] = u / n + np.bincount(a, x * u[b], n)
+                        return (w.T @ y)[:, None]
+
+                    out.append(float(largest(apply, w.shape[1], 1, seed)[0]))
                 yield pd.DataFrame({"value": out})
 
         return np.array(sorted(row.value for row in spark.range(replicates).mapInPandas(run, "value double").collect()))
 
-    def _gathered(self, packed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """Ids in order and their rows."""
-        got = packed.collect()
-        ids = np.concatenate([np.frombuffer(r.ids, "<i8") for r in got])
-        by = np.argsort(ids)
-        return ids[by], np.concatenate([blocks.floats(r.m, r.n) for r in got])[by]
-
-    def _gathered_edges(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row numbers of the ends and weights over their sum."""
-        ends = {r.block: np.frombuffer(r.ids, "<i8") for r in self.white_packed.select("block", "ids").collect()}
-        got = self.graph.cells.collect()
-        at = lambda block, slots: np.searchsorted(ids, ends[block][np.frombuffer(slots, "<i4")])
-        parts = [(at(r.s, r.a), at(r.t, r.b), np.frombuffer(r.w, "<f8")) for r in got]
-        a, b, x = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-        return a, b, x / (self.graph.total or 1.0)
-
-    def _null_joined(self, numbers: range, seed: int) -> np.ndarray:
-        n, first, count = self.n, numbers.start, len(numbers)
-        if self._ranked is None:
-            rows = settled(numbered(self.white.select("id", "v"), [F.col("id")]))
-            at = lambda c: rows.select(F.col("id").alias(c), F.col("rn").alias(f"{c}_rn"))
-            edges = settled(self.edges.join(at("src"), "src").join(at("dst"), "dst").select("src_rn", "dst_rn", "w"))
-            self._ranked = rows.select("rn", "v"), edges, gram(rows, "v", "v") / n, edges.agg(F.sum(F.abs("w"))).first()[0]
-        rows, edges, own, s = self._ranked
+    def _moved(self, given: DataFrame, numbers: range, seed: int, inverse: bool) -> DataFrame:
+        """Blocks of one column a replicate, each entry where the replicate's permutation, or its inverse, puts its row."""
+        n, rows, first = self.n, self.graph.rows, numbers.start
 
         def deal(batches):
             for batch in batches:
-                a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-                for k in numbers:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), k - first, np.int32)), pa.array(permuted(a, n, seed, k)), pa.array(permuted(b, n, seed, k)), batch.column(2)], names=["rep", "a", "b", "w"])
-
-        def outer(batches):
-            total: dict[int, np.ndarray] = {}
+                for row in batch.to_pylist():
+                    m = blocks.floats(row["m"], row["n"])
+                    own = row["block"] * rows + np.arange(row["n"])
+                    to = np.stack([permuted(own, n, seed, k, inverse=inverse) for k in numbers], axis=1)
+                    by = np.argsort(to // rows, axis=None, kind="stable")
+                    flat, k, value = to.ravel()[by], np.broadcast_to(np.arange(len(numbers)), to.shape).ravel()[by], m.ravel()[by]
+                    cut = np.flatnonzero(np.diff(flat // rows, prepend=-1))
+                    for i, j in zip(cut, np.append(cut[1:], len(flat)), strict=True):
+                        yield pa.RecordBatch.from_pylist([{"block": int(flat[i] // rows), "at": blocks.packed(flat[i:j] % rows, "<i4"), "k": blocks.packed(k[i:j], "<i4"), "m": blocks.packed(value[i:j])}], schema=pa.schema([("block", pa.int32()), ("at", pa.binary()), ("k", pa.binary()), ("m", pa.binary())]))
+
+        def gather(batches):
+            held = None
             for batch in batches:
-                if not len(batch):
-                    continue
-                rep, left = batch.column(0).to_numpy(), _matrix(batch.column(1)) * batch.column(3).to_numpy()[:, None]
-                right = _matrix(batch.column(2))
-                for k in np.unique(rep).tolist():
-                    part = left[rep == k].T @ right[rep == k]
-                    total[k] = total[k] + part if k in total else part
-            for k, m in total.items():
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(m), pa.int32()), pa.array(range(len(m)), pa.int32()), pa.array(list(m), pa.list_(pa.float64()))], names=["rep", "i", "m"])
-
-        pairs = edges.mapInArrow(deal, "rep int, a long, b long, w double")
-        met = pairs.join(rows.select(F.col("rn").alias("a"), F.col("v").alias("va")), "a").join(rows.select(F.col("rn").alias("b"), F.col("v").alias("vb")), "b")
-        got = _summed(met.select("rep", "va", "vb", "w").mapInArrow(outer, "rep int, i int, m array<double>"), "rep", "i").collect()
-        sums = np.zeros((count, *own.shape))
-        for row in got:
-            sums[row.rep, row.i] = row.m
-        return np.array([np.linalg.eigvals(own + m / s).real.max() for m in sums])
+                for row in batch.to_pylist():
+                    if held is None or held[0] != row["block"]:
+                        if held:
+                            yield done(*held)
+                        held = row["block"], np.zeros((min(rows, n - row["block"] * rows), len(numbers)))
+                    held[1][np.frombuffer(row["at"], "<i4"), np.frombuffer(row["k"], "<i4")] = np.frombuffer(row["m"], "<f8")
+            if held:
+                yield done(*held)
+
+        def done(block: int, m: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{"block": block, "n": len(m), "ids": b"", "m": blocks.packed(m)}], schema=pa.schema([("block", pa.int32()), ("n", pa.int32()), ("ids", pa.binary()), ("m", pa.binary())]))
+
+        dealt = given.select("block", "n", "m").mapInArrow(deal, "block int, at binary, k binary, m binary")
+        return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(gather, blocks.SCHEMA)
+
+    def _null_dealt(self, numbers: range, seed: int) -> np.ndarray:
+        white = self.white_packed.select("block", "n", "ids", "m")
+
+        def apply(z: np.ndarray) -> np.ndarray:
+            at_nodes = self._moved(blocks.mapped(white, lambda m: m @ z), numbers, seed, inverse=True)
+            product = self.graph.product(at_nodes).select("block", "n", F.col("lm").alias("m"))
+            back = self._moved(product, numbers, seed, inverse=False).select("block", F.col("m").alias("y"))
+            return blocks.summed(white.join(back, "block"), ["m", "y"], lambda m, y: m.T @ y)
+
+        return largest(apply, self.whitener.shape[1], len(numbers), seed)
 
     def adaptive_cut(self, batch: int = 50, replicates: int = 100, rounds: int = 1000, seed: int = 0) -> float:
         """The cut from a confidence interval of the null's mean; batches are added while more than one eigenvalue lies in it."""

@@ -70,11 +70,11 @@ def test_spline_meets_landmarks():
 
 
 def test_spaco_is_l_orthonormal(spark, sf):
-    from spectrel.plans.spaco import apply_l, gram
+    from spectrel.plans.spaco import apply_l
 
     s = queries.spaco(spark, sf)
-    scores = apply_l(s.projection(), s.graph)
-    assert np.allclose(gram(scores, "v", "lv"), np.eye(len(s.values)), atol=1e-6)
+    v, lv = (np.array(x) for x in zip(*((r.v, r.lv) for r in apply_l(s.projection(), s.graph).collect()), strict=True))
+    assert np.allclose(v.T @ lv, np.eye(len(s.values)), atol=1e-6)
     few = len(s.values)
     s.set_cut(float(s.values[0]))
     assert len(s.values) <= few
@@ -244,6 +244,7 @@ def test_permuted_is_a_bijection(n):
 
     a, b = (permuted(np.arange(n), n, 0, k) for k in (1, 2))
     assert sorted(a) == sorted(b) == list(range(n)) and (n < 6 or (a != b).any())
+    assert (permuted(a, n, 0, 1, inverse=True) == np.arange(n)).all()
     if n == 80:  # every number comes to every place about equally often
         seen = np.zeros((n, n))
         for k in range(2000):
@@ -810,3 +811,27 @@ def test_written_images_are_read_back(spark, tmp_path):
     assert (tmp_path / "gray.tif").read_bytes() == before and not (tmp_path / "new.tif").exists() and not list(tmp_path.glob("*.writing"))
     write_image(df.withColumn("g", F.lit(7)), str(tmp_path / "gray.tif"), h, w, ("g",))
     assert (tmp_path / "gray.tif").read_bytes() != before
+
+
+def test_null_of_a_directed_graph_over_blocks(spark):
+    """Both ways over several blocks, and dense eigenvalues of the permuted forms; the largest of matrices with complex pairs."""
+    from spectrel.plans import spaco
+
+    rng = np.random.default_rng(8)
+    n, p = 130, 14
+    v = rng.normal(size=(n, p)) + 0.05 * np.arange(n)[:, None] * rng.normal(size=p)
+    made = spark.createDataFrame([(3 * i, float(i % 13), float(i // 13), v[i].tolist()) for i in range(n)], "id long, x double, y double, v array<double>")
+    edges = graph.knn(made.select("id", "x", "y"), 6)
+    s = spaco.Spaco(made.select("id", "v"), edges, keep=0.99)
+    s.graph = spaco.BlockedGraph(edges, made.select("id"), rows=40)
+    s.white_packed = s.graph.product(s.graph.pack(s.white.select("id", "v")))
+    w = np.stack([r.v for r in s.white.orderBy("id").collect()])
+    a = np.zeros((n, n))
+    for e in edges.collect():
+        a[e.src // 3, e.dst // 3] = e.w
+    lap = np.eye(n) / n + a / np.abs(a).sum()
+    dense = sorted(np.linalg.eigvals(m.T @ lap @ m).real.max() for m in (w[spaco.permuted(np.arange(n), n, 2, k)] for k in range(3)))
+    assert w.shape[1] > 8 and np.allclose(s.null_values(3, seed=2), dense, rtol=1e-5) and np.allclose(s.null_values(3, seed=2, max_bytes=0, block=2), dense, rtol=1e-5)
+    matrices = rng.normal(size=(20, 60, 60))
+    found = spaco.largest(lambda z: np.stack([m @ z[:, i] for i, m in enumerate(matrices)], axis=1), 60, 20, 0)
+    assert np.allclose(found, [np.linalg.eigvals(m).real.max() for m in matrices], rtol=1e-5)
