@@ -1,4 +1,4 @@
-"""Spatially structured components without n-by-n matrices: rows stay distributed, p-by-p matrices are made on the driver.
+"""Spatially structured components without n-by-n matrices: rows stay distributed; the driver makes matrices of the kept directions.
 
 ``rows``: (id, v) with v an array of p numbers; ``edges``: (src, dst, w). L = I / n + A / sum |A| is only ever applied.
 """
@@ -18,6 +18,8 @@ from spectrel.operators import blocks
 from spectrel.operators.blocks import BlockedGraph
 from spectrel.runtime import settled, ship
 
+#: Up to so many columns their products with each other are gathered (32 MB); beyond, only products with a few columns at a time.
+WIDE = 2048
 #: Of the size of an eigenvalue of the permutation null.
 NULL_TOLERANCE = 1e-7
 
@@ -81,6 +83,38 @@ def largest(apply: Callable[[np.ndarray], np.ndarray], r: int, count: int, seed:
     return value
 
 
+def leading(apply: Callable[[np.ndarray], np.ndarray], p: int, trace: float, keep: float, block: int = 32, tol: float = 1e-10, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The largest eigenvalues, as many as have the share ``keep`` of the trace, and their vectors, of a p-by-p matrix that has no negative ones.
+
+    ``apply`` multiplies it with a few columns; the matrix itself is never made. Block Lanczos with full orthogonalisation, until the pairs that are
+    asked for have residuals within ``tol`` of the largest value, or the space is exhausted, where they are exact. Held: twice p times the
+    size of the space, which is a little more than the number of pairs.
+    """
+    rng = np.random.default_rng(seed)
+    basis, images = np.zeros((p, 0)), np.zeros((p, 0))
+    new = np.linalg.qr(rng.normal(size=(p, min(block, p))))[0]
+    while True:
+        basis, images = np.hstack([basis, new]), np.hstack([images, apply(new)])
+        h = basis.T @ images
+        values, vectors = np.linalg.eigh((h + h.T) / 2)
+        values, vectors = values[::-1], vectors[:, ::-1]
+        rest = images[:, -new.shape[1] :]
+        for _ in range(2):  # twice is enough
+            rest = rest - basis @ (basis.T @ rest)
+        u, size, _ = np.linalg.svd(rest, full_matrices=False)
+        new = u[:, size > 1e-13 * max(values[0], 1e-300)][:, : p - basis.shape[1]]
+        share = np.cumsum(values) / trace
+        r = int(np.searchsorted(share, keep)) + 1
+        if r <= len(values) and new.shape[1]:
+            pairs = vectors[:, :r]
+            off = np.sqrt(((images @ pairs - basis @ pairs * values[:r]) ** 2).sum(axis=0))
+            if (off <= tol * values[0]).all():
+                return values[:r], basis @ pairs
+        if not new.shape[1]:
+            r = min(r, len(values))
+            return values[:r], basis @ vectors[:, :r]
+
+
 def apply_l(rows: DataFrame, edges: DataFrame | BlockedGraph) -> DataFrame:
     """(id, v, lv): each row with its row of L V, by one product of blocks."""
     graph = edges if isinstance(edges, BlockedGraph) else BlockedGraph(edges, rows.select("id"))
@@ -109,10 +143,15 @@ class Spaco:
         columns, mean, deviation = self.columns, mean[self.columns], deviation[self.columns]
         self.packed = blocks.mapped(given, lambda m: (m[:, columns] - mean) / deviation)
         self.features = blocks.unpack(self.packed)
-        values, vectors = np.linalg.eigh(blocks.summed(self.packed, ["m"], lambda m: m.T @ m) / (self.n - 1))
-        values, vectors = values[::-1], vectors[:, ::-1]
-        r = int(np.searchsorted(np.cumsum(values) / values.sum(), keep)) + 1
-        self.whitener = whitener = vectors[:, :r] / np.sqrt(values[:r])
+        if len(columns) <= WIDE:
+            values, vectors = np.linalg.eigh(blocks.summed(self.packed, ["m"], lambda m: m.T @ m) / (self.n - 1))
+            values, vectors = values[::-1], vectors[:, ::-1]
+            r = int(np.searchsorted(np.cumsum(values) / values.sum(), keep)) + 1
+            values, vectors = values[:r], vectors[:, :r]
+        else:
+            trace = len(columns) * self.n / (self.n - 1)  # of standardised columns
+            values, vectors = leading(lambda q: blocks.summed(self.packed, ["m"], lambda m: m.T @ (m @ q)) / (self.n - 1), len(columns), trace, keep)
+        self.whitener = whitener = vectors / np.sqrt(values)
         self.white_packed = settled(self.graph.product(blocks.mapped(self.packed, lambda m: m @ whitener)))
         self.white = blocks.unpack(self.white_packed, v="m", lv="lm")
         self.form = blocks.summed(self.white_packed, ["m", "lm"], lambda a, b: a.T @ b)

@@ -835,3 +835,29 @@ def test_null_of_a_directed_graph_over_blocks(spark):
     matrices = rng.normal(size=(20, 60, 60))
     found = spaco.largest(lambda z: np.stack([m @ z[:, i] for i, m in enumerate(matrices)], axis=1), 60, 20, 0)
     assert np.allclose(found, [np.linalg.eigvals(m).real.max() for m in matrices], rtol=1e-5)
+
+
+def test_leading_pairs_without_the_matrix(spark, monkeypatch):
+    """Against all eigenvalues of the matrix, and components of a table whose columns are far more than its rows."""
+    from spectrel.plans import spaco
+
+    rng = np.random.default_rng(9)
+    for rows, p, keep in ((500, 120, 0.6), (40, 300, 0.9), (40, 300, 0.9999), (30, 7, 1 - 1e-9)):
+        x = rng.normal(size=(rows, p)) * np.exp(-np.arange(p) / 20)
+        c = x.T @ x
+        values, vectors = np.linalg.eigh(c)
+        r = int(np.searchsorted(np.cumsum(values[::-1]) / np.trace(c), keep)) + 1
+        got, basis = spaco.leading(lambda q: x.T @ (x @ q), p, np.trace(c), keep, block=8)
+        assert len(got) == r and np.allclose(got, values[::-1][:r], rtol=1e-8) and np.allclose(np.abs((basis * vectors[:, ::-1][:, :r]).sum(axis=0)), 1, atol=1e-8)
+    n, p = 50, 20_000
+    v = rng.normal(size=(n, 3)) @ rng.normal(size=(3, p)) + 0.05 * rng.normal(size=(n, p))
+    made = spark.createDataFrame([(i, float(i % 10), float(i // 10), v[i].tolist()) for i in range(n)], "id long, x double, y double, v array<double>")
+    edges = graph.symmetric(graph.knn(made.select("id", "x", "y"), 4))
+    s = spaco.Spaco(made.select("id", "v"), edges, keep=0.9)
+    assert s.whitener.shape == (p, 3) and s.projection().count() == n and len(s.columns) == p
+    z = (v - v.mean(0)) / v.std(0)
+    assert np.allclose(np.linalg.svd(z, compute_uv=False)[:3] ** 2 / (n - 1), 1 / (s.whitener**2).sum(axis=0), rtol=1e-8)
+    few = made.select("id", F.slice("v", 1, 12).alias("v"))
+    want = spaco.Spaco(few, edges, keep=0.99).all_values
+    monkeypatch.setattr(spaco, "WIDE", 5)
+    assert np.allclose(spaco.Spaco(few, edges, keep=0.99).all_values, want, rtol=1e-8)
