@@ -107,39 +107,40 @@ def likeness(a: bytes, b: bytes) -> float:
     return min(1.0, max(0.0, float(x @ y) / norm)) if norm else 0.0
 
 
-def _extended(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    if name in df.columns:
-        raise ValueError(f"column {name} exists")
-    return T.StructType([*df.schema.fields, T.StructField(name, kind)])
+def _extended(schema: T.StructType, *new: tuple[str, T.DataType]) -> T.StructType:
+    for name, _ in new:
+        if name in schema.names:
+            raise ValueError(f"column {name} exists")
+    return T.StructType([*schema.fields, *[T.StructField(name, kind) for name, kind in new]])
 
 
-def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
-    """Adds the fingerprint's bytes. Narrow."""
+def _likenesses(columns: dict[str, list], pairs: tuple[tuple[str, str, str], ...]) -> list[pa.Array]:
+    return [pa.array([None if x is None or y is None else likeness(x, y) for x, y in zip(columns[a], columns[b], strict=True)], pa.float64()) for a, b, _ in pairs]
+
+
+def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint", *pairs: tuple[str, str, str]) -> DataFrame:
+    """Adds the fingerprint's bytes, and for each of ``pairs`` what ``compare`` adds, which may name the new column. Narrow."""
     small_batches(df.sparkSession)
+    schema = _extended(df.schema, (out, T.BinaryType()), *[(name, T.DoubleType()) for *_, name in pairs])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([fingerprint_text(t) for t in texts_of(b.column(text))], pa.binary())], names=[*b.schema.names, out])
+            made = [fingerprint_text(t) for t in texts_of(b.column(text))]
+            told = {c: made if c == out else b.column(c).to_pylist() for *both, _ in pairs for c in both}
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.binary()), *_likenesses(told, pairs)], names=schema.names)
 
-    return df.mapInArrow(run, _extended(df, out, T.BinaryType()))
+    return df.mapInArrow(run, schema)
 
 
 def compare(df: DataFrame, *pairs: tuple[str, str, str]) -> DataFrame:
     """Adds the likeness of two fingerprint columns, null if one is null, for each (a, b, name of the new column), in one go. Narrow."""
     small_batches(df.sparkSession)
-    schema = T.StructType([*df.schema.fields])
-    for _, _, out in pairs:
-        if out in schema.names:
-            raise ValueError(f"column {out} exists")
-        schema = schema.add(out, T.DoubleType())
+    schema = _extended(df.schema, *[(name, T.DoubleType()) for *_, name in pairs])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = []
-            for a, b, _ in pairs:
-                both = zip(batch.column(a).to_pylist(), batch.column(b).to_pylist(), strict=True)
-                new.append(pa.array([None if x is None or y is None else likeness(x, y) for x, y in both], pa.float64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[f.name for f in schema.fields])
+            told = {c: batch.column(c).to_pylist() for *both, _ in pairs for c in both}
+            yield pa.RecordBatch.from_arrays([*batch.columns, *_likenesses(told, pairs)], names=schema.names)
 
     return df.mapInArrow(run, schema)
 

@@ -88,8 +88,8 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = F.floor(chars / 2).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), chars - half), F.col("next_text").substr(F.lit(1), half))
     rows = rows.select("doc_id", chars.cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", "next_fingerprint")
-    rows = fingerprint.fingerprint(rows, "edited", "edited_fingerprint").withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
-    rows = fingerprint.compare(rows, ("fingerprint", "edited_fingerprint", "near_edited"), ("fingerprint", "next_fingerprint", "near_next"))
+    near = ("fingerprint", "edited_fingerprint", "near_edited"), ("fingerprint", "next_fingerprint", "near_next")
+    rows = fingerprint.fingerprint(rows, "edited", "edited_fingerprint", *near).withColumn("edited_sha256", F.sha2("edited", 256))
     return rows.select("doc_id", "n_chars", "edited_sha256", F.hex("fingerprint").alias("fingerprint"), F.hex("edited_fingerprint").alias("edited_fingerprint"), "near_edited", "near_next")
 
 

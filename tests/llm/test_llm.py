@@ -352,6 +352,15 @@ def test_strong_lanes_are_sums_of_extendable_hashes():
     assert [int.from_bytes(made[8 * i : 8 * i + 8], "little") for i in range(fingerprint.STRONG)] == lanes
 
 
+def test_compare_and_clashing_names(spark, docs):
+    both = fingerprint.fingerprint(docs.select("doc_id", "text"), "text", "fingerprint", ("fingerprint", "fingerprint", "own"))
+    got = fingerprint.compare(both.withColumn("none", F.lit(None).cast("binary")), ("fingerprint", "fingerprint", "again"), ("none", "fingerprint", "nothing")).collect()
+    assert all(r.own == r.again == 1 and r.nothing is None for r in got) and len(got) == len(TEXTS) + 2
+    for wrong in (lambda: fingerprint.compare(both, ("fingerprint", "fingerprint", "own")), lambda: fingerprint.fingerprint(both), lambda: fingerprint.fingerprint(docs, "text", "f", ("f", "f", "kept"))):
+        with pytest.raises(ValueError):
+            wrong()
+
+
 def test_next_of_hot_keys(spark):
     """Most rows share an id or have none: they take several ranges, and each row still has one after it, in one ring."""
     rows = [(7, f"t{i}") for i in range(5000)] + [(None, f"n{i}") for i in range(3000)] + [(i, "x") for i in range(100, 600)] + [(7, "t1")] * 300
