@@ -109,3 +109,37 @@ def test_command_line(spark, sf, tmp_path):
     assert "read 10 new samples" in done.stderr and read(spark, f"{tmp_path}/out") == catalogue_of(docs, 5)
     with pytest.raises(ValueError):
         base.settings(spark, f"{tmp_path}/own.json", {"most": 1})
+
+
+def test_terms_after_a_failure(spark, tmp_path, monkeypatch):
+    """A batch fails after its counts were written and before the catalogue was: the next run takes it again, and nothing counts twice."""
+    docs = [[("a a b", "s"), ("b", "t")], [("a c c", "s"), ("c", "s")]]
+    at = [str(tmp_path / x) for x in ("in", "out", "mark")]
+    write = lambda rows: spark.createDataFrame(rows, "text string, source string").coalesce(1).write.mode("append").parquet(at[0])
+    write(docs[0])
+    assert terms.run(spark, *at, {"least": 1, "files": 10}) == 2
+    write(docs[1])
+    real = terms.catalogue
+
+    def fails(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(terms, "catalogue", fails)
+    with pytest.raises(Exception, match="lost"):
+        terms.run(spark, *at, {"least": 1, "files": 10})
+    assert read(spark, at[1]) == catalogue_of(docs[0], 1)
+    monkeypatch.setattr(terms, "catalogue", real)
+    assert terms.run(spark, *at, {"least": 1, "files": 10}) == 2
+    assert read(spark, at[1]) == catalogue_of(docs[0] + docs[1], 1) and not spark.streams.active
+
+
+def test_tiles_after_a_failure(spark, sf, tmp_path, monkeypatch):
+    rows, out, config = peak_table(spark, sf.replace("0.001", "0.01")), str(tmp_path / "out"), base.defaults_of("tiles")
+    tiles.run_on(spark, rows, out, config)
+    want = sorted(tiles.result(spark, out).collect())
+    monkeypatch.setattr(tiles.features, "tile_median", lambda *_: rows.select("mz").where("raise_error('lost') is null"))
+    with pytest.raises(Exception):  # noqa: B017
+        tiles.run_on(spark, rows.where("mz < 50000"), out, config)
+    monkeypatch.undo()
+    tiles.run_on(spark, rows, out, config)
+    assert sorted(tiles.result(spark, out).collect()) == want
