@@ -397,11 +397,11 @@ def landmark_errors(spark, d):
     return registration.landmark_errors(marks, AFFINE, MOVED, SPLINE).select("landmark_id", F.round("error", 5).alias("error"))
 
 
-@query("select maldi_x, maldi_y, round(dx, 4) as dx, round(dy, 4) as dy, sqrt(dx * dx + dy * dy) > 1 as drawn from " + _forward_sql("(select event_id % 100 * 1.0::double as maldi_x, event_id // 100 * 1.0::double as maldi_y from events)"))
+@query("select maldi_x, maldi_y, round(dx, 4) + 0.0 as dx, round(dy, 4) + 0.0 as dy, sqrt(dx * dx + dy * dy) > 1 as drawn from " + _forward_sql("(select event_id % 100 * 1.0::double as maldi_x, event_id // 100 * 1.0::double as maldi_y from events)"))
 def vector_field(spark, d):
     """At all pixels of the image."""
     rows = pixels(spark, d).select(F.col("x").cast("double").alias("maldi_x"), F.col("y").cast("double").alias("maldi_y"))
-    return registration.displacements(rows, AFFINE, MOVED, SPLINE).select("maldi_x", "maldi_y", F.round("dx", 4).alias("dx"), F.round("dy", 4).alias("dy"), "drawn")
+    return registration.displacements(rows, AFFINE, MOVED, SPLINE).select("maldi_x", "maldi_y", (F.round("dx", 4) + 0.0).alias("dx"), (F.round("dy", 4) + 0.0).alias("dy"), "drawn")  # no negative zeros
 
 
 def _warp_sql(sx: str, sy: str) -> str:
