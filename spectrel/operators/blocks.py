@@ -22,6 +22,14 @@ HELD = 64 << 20
 SCHEMA = "block int, n int, ids binary, m binary"
 
 
+def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows of batches, one at a time; binary values are views of the batch."""
+    for batch in batches:
+        columns = {name: (c, pa.types.is_binary(c.type)) for name, c in zip(batch.schema.names, batch.columns, strict=True)}
+        for i in range(len(batch)):
+            yield {name: c[i].as_buffer() if binary else c[i].as_py() for name, (c, binary) in columns.items()}
+
+
 def floats(data: bytes, rows: int) -> np.ndarray:
     return np.frombuffer(data, "<f8").reshape(rows, -1)
 

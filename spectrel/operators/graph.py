@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -66,8 +68,8 @@ def check_nodes(edges: DataFrame, nodes: DataFrame) -> None:
         raise ValueError(f"edges to nodes that are not there: {', '.join(str(r.id) for r in lost)}")
 
 
-#: Rows of a block of vectors, pivots at most, blocks that one task meets in a row, and candidates beside the k nearest.
-VECTOR_ROWS, PIVOTS, CHUNK, SPARE = 1024, 256, 64, 6
+#: Rows of a block of vectors, pivots at most, rows of the blocks that a task searches together, and candidates whose distance it takes at once.
+VECTOR_ROWS, PIVOTS, GROUP, AT_ONCE = 1024, 256, 1 << 17, 1 << 16
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -96,28 +98,43 @@ class _Nearest:
         return float(self.w[:, -1].max()) + 2e-9
 
     def meet(self, ids: np.ndarray, y: np.ndarray) -> None:
-        rough = -(self.x @ y.T) if self.metric == "cosine" else self.squares[:, None] + (y * y).sum(axis=1) - 2 * (self.x @ y.T)
+        """Rows of one block that was not met before. A product of matrices tells which may be near enough, as equal vectors can be at the
+        last place, too; only these get their distance from differences."""
+        squares = (y * y).sum(axis=1)
+        rough = self.x @ y.T
+        rough *= -1 if self.metric == "cosine" else -2
         if self.metric == "cosine":
             rough[self.ids[:, None] == ids] = np.inf
-        m = min(len(ids), self.k + SPARE)
-        near = np.argpartition(rough, m - 1, axis=1)[:, :m] if m < len(ids) else np.broadcast_to(np.arange(m), (len(self.x), m))
-        self._take(slice(None), ids, y, near)
-        if m < len(ids):
-            # Rows for which one that was left out may be as near as the last that is kept, as equal vectors can be.
-            cut = np.take_along_axis(rough, near, 1).max(axis=1)
-            last = self.w[:, -1] - 1 if self.metric == "cosine" else self.w[:, -1] ** 2
-            slack = 1e-8 * (1 + self.squares + (y * y).sum(axis=1).max())
-            for i in np.flatnonzero(cut <= last + slack):
-                self._take(slice(i, i + 1), ids, y, np.flatnonzero(rough[i] <= last[i] + slack[i])[None])
-
-    def _take(self, rows: slice, ids: np.ndarray, y: np.ndarray, near: np.ndarray) -> None:
-        w, dst = _apart(self.x[rows][:, None], y[near], self.metric), ids[near]
+        else:
+            rough += squares
+        slack = 1e-8 * (1 + self.squares + squares.max())
+        cut = (self.w[:, -1] - 1 if self.metric == "cosine" else self.w[:, -1] ** 2 - self.squares) + slack
+        if self.k < len(ids) and (few := np.flatnonzero(np.isinf(cut))).size:
+            cut[few] = np.partition(rough[few], self.k - 1, axis=1)[:, self.k - 1] + 2 * slack[few]
+        row, at = np.nonzero(rough <= cut[:, None])
+        for i in range(0, len(row), AT_ONCE):
+            self._take(row[i : i + AT_ONCE], ids, y, at[i : i + AT_ONCE])
+
+    def _take(self, row: np.ndarray, ids: np.ndarray, y: np.ndarray, at: np.ndarray) -> None:
+        w, dst = _apart(self.x[row], y[at], self.metric), ids[at]
         if self.metric == "cosine":
-            w = np.where(dst == self.ids[rows][:, None], np.inf, w)
-        known = (dst[:, :, None] == self.dst[rows][:, None]).any(axis=2)  # by the same block, met once more
-        w, dst = np.concatenate([self.w[rows], np.where(known, np.inf, w)], axis=1), np.concatenate([self.dst[rows], dst], axis=1)
-        by = np.lexsort((dst, np.round(w, 9)), axis=1)[:, : self.k]
-        self.w[rows], self.dst[rows] = np.take_along_axis(w, by, 1), np.take_along_axis(dst, by, 1)
+            other = dst != self.ids[row]
+            row, w, dst = row[other], w[other], dst[other]
+        rows = np.unique(row)
+        row, w, dst = np.concatenate([np.repeat(rows, self.k), row]), np.concatenate([self.w[rows].ravel(), w]), np.concatenate([self.dst[rows].ravel(), dst])
+        by = np.lexsort((dst, np.round(w, 9), row))
+        row, w, dst = row[by], w[by], dst[by]
+        first = np.searchsorted(row, rows)[:, None] + np.arange(self.k)
+        self.w[rows], self.dst[rows] = w[first], dst[first]
+
+
+def _targets(ids: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows that are equal only the k + 1 of least id, as no list of k neighbours can have more of them. ``ids`` ascend."""
+    same = np.unique(np.ascontiguousarray(y + 0.0).view(f"V{8 * y.shape[1]}").ravel(), return_inverse=True)[1] if y.size else np.arange(len(y))
+    by = np.argsort(same, kind="stable")
+    rank = np.arange(len(by)) - np.searchsorted(same[by], same[by])
+    kept = np.sort(by[rank <= k])
+    return (ids, y) if len(kept) == len(ids) else (ids[kept], y[kept])
 
 
 def vector_blocks(vectors: DataFrame, k: int, metric: str, rows: int = VECTOR_ROWS) -> DataFrame:
@@ -174,42 +191,58 @@ def block_pairs(made: DataFrame) -> DataFrame:
     return side("a").crossJoin(side("b")).withColumn("least", least).where(F.col("least") <= F.col("a_reach")).select("a", "b", "least")
 
 
+def dealt(made: DataFrame, groups: int, many: int) -> DataFrame:
+    """group, least, and a block that the group's blocks, of ``many`` in all, may have neighbours in; its own have -1. A block goes to a group once at most."""
+    group = lambda c: F.floor(F.col(c).cast("long") * groups / max(many, 1)).cast("int")
+    pairs = block_pairs(made).groupBy(group("a").alias("group"), "b").agg(F.min("least").alias("least"))
+    asked = pairs.withColumn("least", F.when(group("b") == F.col("group"), -1.0).otherwise(F.col("least")))
+    return asked.join(made.withColumnRenamed("block", "b"), "b").select("group", "least", "b", "n", "ids", "m", "centre", "radius")
+
+
 def knn_vectors(vectors: DataFrame, k: int, metric: str = "euclid", rows: int = VECTOR_ROWS) -> DataFrame:
     """src, dst, w of (id, v): exact k nearest by Euclidean (itself included) or cosine distance (itself not), ties by id.
 
-    Vectors are packed into blocks; a task takes a block and meets other blocks one by one, nearest first, by matrix products, holding the
-    k best of each row. Pairs of blocks are left out where centres and radii tell that nothing in them can be near enough. Candidates of
-    a product get their distance again from differences. A block's others are dealt in runs of ``CHUNK``, merged at the end. The
+    Vectors are packed into blocks. A task holds a group of blocks with the k best of each row, and other blocks come by one by one, nearest first,
+    each once; it meets those of the group's blocks for which centres and radii don't tell that nothing in it can be near enough. There are two
+    groups a core, more only beyond ``GROUP`` rows each, so the bytes that are shuffled grow with the table and not with its square. The
     result is settled, so that it is made once. Vectors of unequal lengths are an error; a zero vector has cosine distance 1 to all.
     """
     made = vector_blocks(vectors, k, metric, rows)
-    pairs = settled(block_pairs(made).withColumn("run", F.floor(F.row_number().over(Window.partitionBy("a").orderBy("least", "b")) / (CHUNK + 1)).cast("int")))
-    heads = pairs.select("a", F.col("a").alias("b"), F.lit(-1.0).alias("least"), "run").distinct()
-    met = pairs.unionByName(heads).join(made.select(F.col("block").alias("b"), "n", "ids", "m"), "b")
-    met = met.repartition("a", "run").sortWithinPartitions("a", "run", "least", "b").select("least", "n", "ids", "m")
+    many, n = made.agg(F.coalesce(F.max("block"), F.lit(-1)) + 1, F.coalesce(F.sum("n"), F.lit(0))).first()
+    groups = max(1, min(many, max(2 * vectors.sparkSession.sparkContext.defaultParallelism, -(-n // GROUP))))
+    met = dealt(made, groups, many)
+    met = met.repartitionById(groups, "group").sortWithinPartitions("group", "least", "b")
 
     def run(batches):
-        best = None
-
-        def give():
+        own, centres, radii = [], [], []
+
+        def near(centre: np.ndarray, radius: float) -> Iterator[_Nearest]:
+            gap = np.sqrt(((np.array(centres) - centre) ** 2).sum(axis=1))
+            least = np.maximum(gap - np.array(radii) - radius - 1e-9 * (1 + gap), 0)
+            return (best for best, x in zip(own, least.tolist(), strict=True) if (x * x / 2 if metric == "cosine" else x) <= best.reach())
+
+        for row in blocks.each(batches):
+            ids, x = np.frombuffer(row["ids"], "<i8"), blocks.floats(row["m"], row["n"])
+            centre, radius = np.array(row["centre"]), row["radius"]
+            to = _targets(ids, x, k)
+            if row["least"] < 0:  # the group's blocks come first; each meets itself, then those before it meet it, and it meets them
+                mine = _Nearest(ids.copy(), x.copy(), k, metric)
+                mine.meet(*to)
+                for other in near(centre, radius) if own else ():
+                    other.meet(*to)
+                for other in own:
+                    mine.meet(*_targets(other.ids, other.x, k))
+                own.append(mine)
+                centres.append(centre)
+                radii.append(radius)
+            else:
+                for best in near(centre, radius):
+                    best.meet(*to)
+        for best in own:
             src, on = np.repeat(best.ids, k), np.isfinite(best.w).ravel()
-            return pa.RecordBatch.from_arrays([pa.array(src[on]), pa.array(best.dst.ravel()[on]), pa.array(best.w.ravel()[on])], names=["src", "dst", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array(src[on]), pa.array(best.dst.ravel()[on]), pa.array(best.w.ravel()[on])], names=["src", "dst", "w"])
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, x = np.frombuffer(row["ids"], "<i8"), blocks.floats(row["m"], row["n"])
-                if row["least"] < 0:
-                    if best:
-                        yield give()
-                    best = _Nearest(ids, x, k, metric)
-                elif (row["least"] ** 2 / 2 if metric == "cosine" else row["least"]) <= best.reach():
-                    best.meet(ids, x)
-        if best:
-            yield give()
-
-    found = met.mapInArrow(run, "src long, dst long, w double")
-    last = Window.partitionBy("src").orderBy(F.round("w", 9), "dst")
-    return settled(found.withColumn("_r", F.row_number().over(last)).where(F.col("_r") <= k).drop("_r"))
+    return settled(met.mapInArrow(run, "src long, dst long, w double"))
 
 
 def symmetric(edges: DataFrame) -> DataFrame:

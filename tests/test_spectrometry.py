@@ -625,6 +625,19 @@ def test_vector_neighbours_equal_brute_force(spark, metric, case):
         assert graph.block_pairs(made).count() < 0.6 * made.count() ** 2  # pairs of far groups are left out
 
 
+def test_vector_blocks_are_sent_to_groups_and_not_to_blocks(spark):
+    """No pruning helps here, yet what is sent grows with the blocks times a few groups; and of equal rows a few are met."""
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 9)))], "id long, v array<double>")
+    made = graph.vector_blocks(df, 3, "euclid", 8)
+    many = made.count()
+    sent = graph.dealt(made, 4, made.agg(F.max("block")).first()[0] + 1).select("group", "b", "least").collect()
+    assert graph.block_pairs(made).count() > 0.9 * many**2 and len(sent) <= 4 * many and len({(r.group, r.b) for r in sent}) == len(sent)
+    assert len({r.b for r in sent if r.least < 0}) == many == sum(r.least < 0 for r in sent)
+    y = np.repeat(rng.normal(size=(3, 2)), 50, axis=0)
+    assert graph._targets(np.arange(150), y, 2)[0].tolist() == [0, 1, 2, 50, 51, 52, 100, 101, 102]
+
+
 def test_vector_neighbours_are_searched_once(spark, sf, monkeypatch):
     seen = given_to(monkeypatch, graph, "vector_blocks")
     s = queries.spaco(spark, sf)
