@@ -14,48 +14,103 @@ from spectrel.runtime import settled, ship
 
 #: Cells are halved, so often at most, while one has more than so many times the neighbours that are wanted.
 HALVINGS, CROWD = 24, 8
+#: Cells along a tile, points that one task asks for, and pairs of points that it measures at once.
+TILE, ASKED, PAIRS = 16, 20_000, 1 << 20
+
+
+def _near(table: pa.Table, k: int, with_self: bool, side: float, x0: float, y0: float, all_: bool) -> pa.Table:
+    """src, dst, w of a tile's points that ask, among all it was given: those with k neighbours nearer than ``side``, or all of them."""
+    ids, x, y, gives, asks = (table[c].to_numpy(zero_copy_only=False) for c in ("id", "x", "y", "gives", "asks"))
+    cells = lambda on: (np.floor((y[on] - y0) / side).astype(np.int64), np.floor((x[on] - x0) / side).astype(np.int64))
+    to, of = np.flatnonzero(gives), np.flatnonzero(asks)
+    if not len(to) or not len(of):
+        return pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64()), "w": pa.array([], pa.float64())})
+    (ty, tx), (oy, ox) = cells(to), cells(of)
+    low = min(tx.min(), ox.min()) - 1
+    wide, base = max(tx.max(), ox.max()) - low + 2, min(ty.min(), oy.min()) - 1
+    key = (ty - base) * wide + tx - low
+    by = np.argsort(key, kind="stable")
+    key, to = key[by], to[by]
+    mid = (oy - base) * wide + ox - low
+    lo = np.stack([np.searchsorted(key, mid + d * wide - 1) for d in (-1, 0, 1)], axis=1)  # three runs of three cells
+    many = np.stack([np.searchsorted(key, mid + d * wide + 1, side="right") for d in (-1, 0, 1)], axis=1) - lo
+    ends = np.cumsum(many.sum(axis=1))
+    out, start = [], 0
+    while start < len(of):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS, side="right")))
+        size = many[start:stop].ravel()
+        at = np.repeat(lo[start:stop].ravel() - np.cumsum(size) + size, size) + np.arange(size.sum())
+        src, dst = np.repeat(of[start:stop], many[start:stop].sum(axis=1)), to[at]
+        dx, dy = x[src] - x[dst], y[src] - y[dst]
+        w = np.sqrt(dx * dx + dy * dy)
+        on = np.ones(len(w), bool) if all_ else w < side
+        if not with_self:
+            on &= ids[src] != ids[dst]
+        src, dst, w = src[on], ids[dst[on]], w[on]
+        order = np.lexsort((dst, w, src))
+        src, dst, w = src[order], dst[order], w[order]
+        first = np.flatnonzero(np.diff(src, prepend=-1))
+        found = np.diff(np.append(first, len(src)))
+        rank = np.arange(len(src)) - np.repeat(first, found)
+        kept = (rank < k) & (True if all_ else np.repeat(found >= k, found))
+        out.append((ids[src[kept]], dst[kept], w[kept]))
+        start = stop
+    src, dst, w = (np.concatenate(c) for c in zip(*out, strict=True))
+    return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64()), "w": pa.array(w, pa.float64())})
 
 
 def knn(points: DataFrame, k: int, with_self: bool = True) -> DataFrame:
     """src, dst, w: the k nearest points in the plane (id, x, y), ties by id. Exact.
 
-    Points fall into square cells so small that none has many; each meets the points of the cells around its own, and is done when
-    its k-th distance is no more than the side, which these cells surely cover. The others, in sparse parts, try again with cells
-    twice as wide. So a dense spot is searched in small cells, whatever the rest looks like.
+    Points fall into square cells so small that none has many, and cells into tiles. A task takes a tile with the cells around it; a point is done
+    when it has k neighbours nearer than a cell's side, which the cells around its own surely cover. The others, in sparse parts, try again
+    with cells twice as wide. So a dense spot is searched in small cells, whatever the rest looks like. Of points at one place only the
+    k + 1 of least id are met, as no list can have more of them, and a tile with many points to ask for is dealt to several tasks.
     """
-    box = points.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+    ship(points.sparkSession)
+    at = points.select(F.col("id").cast("long").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x is not null and y is not null")
+    place = Window.partitionBy("x", "y").orderBy("id")
+    gives = at.withColumn("_r", F.row_number().over(place)).where(F.col("_r") <= k + 1).drop("_r")
+    at, gives = settled(at), settled(gives)
+    box = at.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
     if not box.n:
-        return points.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("w"))
-    span = max(box.x1 - box.x0, box.y1 - box.y0) or 1.0
+        return points.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("w")).limit(0)
+    x0, y0, span = box.x0, box.y0, max(box.x1 - box.x0, box.y1 - box.y0) or 1.0
     wanted = k if with_self else k + 1
-    at = settled(points.select("id", F.col("x").cast("double"), F.col("y").cast("double")))
     cell = lambda c, least, side: F.floor((F.col(c) - least) / side).cast("long")
-    placed = lambda df, side: df.withColumn("cx", cell("x", box.x0, side)).withColumn("cy", cell("y", box.y0, side))
+    placed = lambda df, side: df.withColumn("cx", cell("x", x0, side)).withColumn("cy", cell("y", y0, side))
     side = span / max(1.0, (box.n / wanted) ** 0.5)
     fullest = box.n + 1
     for _ in range(HALVINGS):
-        now = placed(at, side).groupBy("cx", "cy").count().agg(F.max("count")).first()[0]
-        if now <= CROWD * wanted or now >= fullest:  # few enough, or equal points that no side tells apart
+        now = placed(gives, side).groupBy("cx", "cy").count().agg(F.max("count")).first()[0]
+        if now <= CROWD * wanted or now >= fullest:  # few enough, or points that no side tells apart
             break
         fullest, side = now, side / 2
+    tile = lambda c, o=0: F.floor((F.col(c) + o) / TILE).cast("long")
+    tiles = lambda c: F.explode(F.array_distinct(F.array(*[tile(c, o) for o in (-1, 0, 1)])))
     todo, done = at, None
-    around = F.sequence(F.lit(-1).cast("long"), F.lit(1).cast("long"))
     while True:
-        there = placed(at, side).select(F.col("id").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2"), "cx", "cy")
-        asked = placed(todo, side).withColumn("ox", F.explode(around)).withColumn("oy", F.explode(around)).select("id", "x", "y", (F.col("cx") + F.col("ox")).alias("cx"), (F.col("cy") + F.col("oy")).alias("cy"))
-        near = asked.join(there, ["cx", "cy"]).withColumn("w", F.sqrt((F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")) + (F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2"))))
-        if not with_self:
-            near = near.where("id <> dst")
-        ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("w", "dst"))).where(F.col("r") <= k)
-        ranked = settled(ranked.select(F.col("id").alias("src"), "dst", "w", "r"))
-        reach = ranked.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("far"))
         last = side > span  # all points lie in two by two cells
-        sure = reach if last else reach.where((F.col("n") >= k) & (F.col("far") < side))
-        found = ranked.join(sure.select("src"), "src", "left_semi").select("src", "dst", "w")
+        asked = placed(todo, side)
+        there = placed(gives, side)
+        if done is not None:  # few ask: only what is around them
+            around = F.explode(F.array(*[F.lit(o).cast("long") for o in (-1, 0, 1)]))
+            beside = asked.select("cx", "cy").distinct().withColumn("ox", around).withColumn("oy", around)
+            there = there.join(beside.select((F.col("cx") + F.col("ox")).alias("cx"), (F.col("cy") + F.col("oy")).alias("cy")).distinct(), ["cx", "cy"], "left_semi")
+        asked = asked.select("id", "x", "y", tile("cx").alias("tx"), tile("cy").alias("ty"))
+        shares = settled(asked.groupBy("tx", "ty").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("shares")))
+        asked = asked.join(shares, ["tx", "ty"]).select("tx", "ty", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int").alias("share"), "id", "x", "y", F.lit(False).alias("gives"), F.lit(True).alias("asks"))
+        there = there.select("id", "x", "y", tiles("cx").alias("tx"), "cy").select("id", "x", "y", "tx", tiles("cy").alias("ty")).join(shares, ["tx", "ty"])
+        there = there.select("tx", "ty", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "id", "x", "y", F.lit(True).alias("gives"), F.lit(False).alias("asks"))
+
+        def run(table: pa.Table) -> pa.Table:  # it is sent within the round
+            return _near(table, k, with_self, side, x0, y0, last)
+
+        found = settled(asked.unionByName(there).groupBy("tx", "ty", "share").applyInArrow(run, "src long, dst long, w double"))
         done = found if done is None else done.unionByName(found)
         if last:
             return done
-        todo = settled(todo.join(sure.select(F.col("src").alias("id")), "id", "left_anti"))
+        todo = settled(todo.join(found.select(F.col("src").alias("id")).distinct(), "id", "left_anti"))
         if todo.isEmpty():
             return done
         side *= 2

@@ -486,6 +486,23 @@ def test_neighbours_of_a_dense_spot_and_of_equal_points(spark):
         assert {(r.src, r.dst) for r in graph.knn(df, 5, with_self=own).collect()} == want
 
 
+def test_points_at_one_place_are_few_pairs(spark, monkeypatch):
+    """Thousands of points at one place and tiles dealt to several tasks: as brute force says, with no task measuring all pairs."""
+    n = 6000
+    monkeypatch.setattr(graph, "ASKED", 1000)
+    at = np.vstack([np.full((n, 2), 3.0), np.random.default_rng(2).random((50, 2)) * 9])
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(at)], "id long, x double, y double")
+    for own in (True, False):
+        got = {}
+        for r in graph.knn(df, 3, with_self=own).collect():
+            got.setdefault(r.src, []).append((r.w, r.dst))
+        assert len(got) == len(at)
+        for i in (0, 1, 2, 3, 500, n - 1, *range(n, len(at))):
+            d = np.sqrt(((at - at[i]) ** 2).sum(1))
+            order = [int(j) for j in np.lexsort((np.arange(len(at)), d))[:4] if own or j != i][:3]
+            assert [j for _, j in sorted(got[i])] == order
+
+
 def test_edges_need_their_nodes(spark):
     made = sample_data(spark, 30, 3).persist()
     edges = sample_edges(made, 4).persist()
