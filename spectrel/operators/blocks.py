@@ -17,8 +17,8 @@ from spectrel.operators.peaks import numbered
 from spectrel.runtime import settled, ship
 
 ROWS = 1024
-#: Bytes of partial sums that a task holds before it passes them on.
-HELD = 64 << 20
+#: Bytes of partial sums that a task holds before it passes them on, and edges of a pack.
+HELD, PACK = 16 << 20, 1 << 16
 SCHEMA = "block int, n int, ids binary, m binary"
 
 
@@ -62,23 +62,27 @@ def unpack(blocks: DataFrame, **columns: str) -> DataFrame:
     names = columns or {"v": "m"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                out = [pa.array(np.frombuffer(row["ids"], "<i8"))]
-                for c in names.values():
-                    x = floats(row[c], row["n"])
-                    out.append(pa.ListArray.from_arrays(pa.array(np.arange(row["n"] + 1) * x.shape[1], pa.int32()), pa.array(x.ravel())))
-                yield pa.RecordBatch.from_arrays(out, names=["id", *names])
+        for row in each(batches):
+            out = [pa.array(np.frombuffer(row["ids"], "<i8"))]
+            for c in names.values():
+                x = floats(row[c], row["n"])
+                out.append(pa.ListArray.from_arrays(pa.array(np.arange(row["n"] + 1) * x.shape[1], pa.int32()), pa.array(x.ravel())))
+            yield pa.RecordBatch.from_arrays(out, names=["id", *names])
 
     return blocks.select("n", "ids", *dict.fromkeys(names.values())).mapInArrow(run, "id long, " + ", ".join(f"{c} array<double>" for c in names))
 
 
+def _one(block: int, n: int, ids: bytes | pa.Buffer, **columns: np.ndarray) -> pa.RecordBatch:
+    """A block with its packed columns."""
+    binary = [pa.array([bytes(ids)], pa.binary()), *(pa.array([packed(x)], pa.binary()) for x in columns.values())]
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([n], pa.int32()), *binary], names=["block", "n", "ids", *columns])
+
+
 def mapped(blocks: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """Each block with ``f`` of its matrix, row by row."""
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield pa.RecordBatch.from_pylist([row | {"m": packed(f(floats(row["m"], row["n"])))}], schema=batch.schema)
+        for row in each(batches):
+            yield _one(row["block"], row["n"], row["ids"], m=f(floats(row["m"], row["n"])))
 
     return blocks.select("block", "n", "ids", "m").mapInArrow(run, SCHEMA)
 
@@ -88,10 +92,9 @@ def summed(blocks: DataFrame, columns: list[str], f: Callable[..., np.ndarray])
     on the executors, so the driver gets as many rows as the matrix has, however many tasks there are."""
     def run(batches):
         total = None
-        for batch in batches:
-            for row in batch.to_pylist():
-                part = f(*[floats(row[c], row["n"]) for c in columns])
-                total = part if total is None else total + part
+        for row in each(batches):
+            part = f(*[floats(row[c], row["n"]) for c in columns])
+            total = part if total is None else total + part
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array([packed(r) for r in total], pa.binary())], names=["i", "m"])
 
@@ -122,11 +125,11 @@ def interleaved(x: str, y: str, bits: int = 24) -> Column:
 
 
 class BlockedGraph:
-    """A sparse matrix A, stored once as cells of (source block, target block), to be applied to blocks of rows again and again.
+    """A sparse matrix A, stored once as packs of the edges to a block of nodes, to be applied to blocks of rows again and again.
 
     Nodes are numbered in ``order`` (their id unless given); a space-filling order makes the edges of a block end in few blocks. A
-    product sends each block to its cells once, and what comes back is one partial sum a task and block, so the rows that are shuffled are
-    as many as the cells, whatever the number of features. An edge to a node that is not there is an error.
+    product sends each block to its packs, one unless it has more than ``PACK`` edges; what comes back is one partial sum a task and source row, so the
+    rows of sums are no more than the edges, however many pairs of blocks these connect. An edge to a node that is not there is an error.
     """
 
     def __init__(self, edges: DataFrame, nodes: DataFrame, order: Column | None = None, rows: int = ROWS):
@@ -139,80 +142,108 @@ class BlockedGraph:
         self.n = self.nodes.count()
         found = self.edges.agg(F.count(F.lit(1)).alias("m"), F.coalesce(F.sum(F.abs("w")), F.lit(0.0)).alias("s")).first()
         self.n_edges, self.total = found.m, found.s
-        slot = self.nodes.select("id", "block", (F.row_number().over(Window.partitionBy("block").orderBy("id")) - 1).cast("int").alias("slot"))
-        end = lambda c: slot.select(F.col("id").alias(c), F.col("block").alias(f"{c}_block"), F.col("slot").alias(f"{c}_slot"))
-        both = self.edges.join(end("src"), "src").join(end("dst"), "dst")
-        self.cells = settled(both.groupBy("src_block", "dst_block").applyInArrow(_cell, "s int, t int, k int, a binary, b binary, w binary"))
-        if (self.cells.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]) != self.n_edges:
+        slot = self.nodes.select("id", (F.col("block").cast("long") * rows + F.row_number().over(Window.partitionBy("block").orderBy("id")) - 1).alias("number"))
+        end = lambda c, to: slot.select(F.col("id").alias(c), F.col("number").alias(to))
+        self.packs = self._packs(self.edges.join(end("src", "i"), "src").join(end("dst", "j"), "dst").select("i", "j", "w"))
+        self._turned: DataFrame | None = None
+        if (self.packs.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]) != self.n_edges:
             ends = self.edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
             lost = ends.join(self.nodes, "id", "left_anti").limit(3).collect()
             raise ValueError(f"edges to nodes that are not there: {', '.join(str(r.id) for r in lost)}")
 
+    def _packs(self, entries: DataFrame) -> DataFrame:
+        """Entries (i, j, w) by blocks of j: i, j inside the block, w, in order of i. A source block's edges to a block are in one pack."""
+        rows = self.rows
+        entries = entries.withColumn("block", F.floor(F.col("j") / rows).cast("int"))
+        many = entries.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / PACK).alias("packs"))
+
+        def run(table: pa.Table) -> pa.Table:
+            table = table.sort_by([("i", "ascending"), ("j", "ascending")])
+            i, j, w = (table[c].to_numpy() for c in "ijw")
+            binary = lambda x, kind: pa.array([packed(x, kind)], pa.binary())
+            return pa.table({"block": table["block"].slice(0, 1), "k": pa.array([len(i)], pa.int32()), "i": binary(i, "<i8"), "j": binary(j % rows, "<i4"), "w": binary(w, "<f8")})
+
+        dealt = entries.join(many, "block").withColumn("_pack", F.pmod(F.xxhash64(F.floor(F.col("i") / rows)), F.col("packs")))
+        return settled(dealt.select("block", "_pack", "i", "j", "w").groupBy("block", "_pack").applyInArrow(run, "block int, k int, i binary, j binary, w binary"))
+
+    @property
+    def turned(self) -> DataFrame:
+        """The packs of A transposed."""
+        if self._turned is None:
+            rows = self.rows
+
+            def run(batches):
+                for row in each(batches):
+                    i, j = np.frombuffer(row["i"], "<i8"), np.frombuffer(row["j"], "<i4") + np.int64(row["block"]) * rows
+                    yield pa.RecordBatch.from_arrays([pa.array(j), pa.array(i), pa.array(np.frombuffer(row["w"], "<f8"))], names=["i", "j", "w"])
+
+            self._turned = self._packs(self.packs.mapInArrow(run, "i long, j long, w double"))
+        return self._turned
+
+    @property
+    def cells(self) -> DataFrame:
+        """Edges by (source block, target block): s, t, k (their number), a, b (places inside these), w."""
+        rows = self.rows
+
+        def run(batches):
+            for row in each(batches):
+                i, j, w = (np.frombuffer(row[c], kind) for c, kind in (("i", "<i8"), ("j", "<i4"), ("w", "<f8")))
+                cut = np.flatnonzero(np.diff(i // rows, prepend=-1))
+                parts = [slice(x, y) for x, y in zip(cut, [*cut[1:], len(i)], strict=True)]
+                binary = lambda x, kind: pa.array([packed(x[p], kind) for p in parts], pa.binary())  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(i[cut] // rows, pa.int32()), pa.array([row["block"]] * len(cut), pa.int32()), pa.array([p.stop - p.start for p in parts], pa.int32()), binary(i % rows, "<i4"), binary(j, "<i4"), binary(w, "<f8")], names=["s", "t", "k", "a", "b", "w"])
+
+        return self.packs.mapInArrow(run, "s int, t int, k int, a binary, b binary, w binary")
+
     def pack(self, rows: DataFrame) -> DataFrame:
         """Blocks of (id, v), a row for each node."""
         return pack(rows.select("id", "v").join(self.nodes, "id"))
 
     def product(self, blocks: DataFrame, transpose: bool = False) -> DataFrame:
         """Adds ``lm``: L m with L = I / n + A / sum |A|, or with A transposed."""
-        n, total = self.n, self.total or 1.0
-        s, t, a, b = ("t", "s", "b", "a") if transpose else ("s", "t", "a", "b")
-        cells = self.cells.select(F.col(s).alias("s"), F.col(t).alias("block"), F.col(a).alias("a"), F.col(b).alias("b"), "w")
-        met = cells.join(blocks.select("block", "n", "m"), "block").select("s", "a", "b", "w", "n", "m")
+        n, total, rows = self.n, self.total or 1.0, self.rows
+        met = (self.turned if transpose else self.packs).join(blocks.select("block", "n", "m"), "block").select("i", "j", "w", "n", "m")
 
         def partial(batches):
-            held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            held: list[tuple[np.ndarray, np.ndarray]] = []
 
             def give():
-                for k, (rows, x) in held.items():
-                    on = np.flatnonzero(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([False]), pa.array([len(on)], pa.int32()), pa.array([packed(on, "<i4")], pa.binary()), pa.array([packed(x[on])], pa.binary())], names=["block", "own", "n", "ids", "m"])
+                number, x = (np.concatenate(part) for part in zip(*held, strict=True))
+                by = np.argsort(number, kind="stable")
+                first = np.flatnonzero(np.diff(number[by], prepend=-1))
+                number, x = number[by][first], np.add.reduceat(x[by], first)
+                cut = np.flatnonzero(np.diff(number // rows, prepend=-1))
+                parts = [slice(i, j) for i, j in zip(cut, [*cut[1:], len(number)], strict=True)]
                 held.clear()
-
-            for batch in batches:
-                for row in batch.to_pylist():
-                    m = floats(row["m"], row["n"])
-                    src, dst, w = np.frombuffer(row["a"], "<i4"), np.frombuffer(row["b"], "<i4"), np.frombuffer(row["w"], "<f8") / total
-                    size = int(src.max()) + 1
-                    rows, x = held.get(row["s"], (np.zeros(0, bool), np.zeros((0, m.shape[1]))))
-                    if len(rows) < size:
-                        rows, x = np.pad(rows, (0, size - len(rows))), np.pad(x, ((0, size - len(x)), (0, 0)))
-                    by = np.argsort(src, kind="stable")
-                    src, dst, w = src[by], dst[by], w[by]
-                    first = np.flatnonzero(np.diff(src, prepend=-1))
-                    for c in range(0, m.shape[1], 64):
-                        x[src[first], c : c + 64] += np.add.reduceat(w[:, None] * m[dst, c : c + 64], first)
-                    rows[src] = True
-                    held[row["s"]] = rows, x
-                    if sum(x.nbytes for _, x in held.values()) > HELD:
-                        yield from give()
-            yield from give()
+                return pa.RecordBatch.from_arrays([pa.array(number[cut] // rows, pa.int32()), pa.array([False] * len(cut)), pa.array([p.stop - p.start for p in parts], pa.int32()), pa.array([packed(number[p] % rows, "<i4") for p in parts], pa.binary()), pa.array([packed(x[p]) for p in parts], pa.binary())], names=["block", "own", "n", "ids", "m"])
+
+            for row in each(batches):
+                m = floats(row["m"], row["n"])
+                number, dst, w = np.frombuffer(row["i"], "<i8"), np.frombuffer(row["j"], "<i4"), np.frombuffer(row["w"], "<f8") / total
+                step = max(1, HELD // (2 * 8 * max(1, m.shape[1])))
+                for c in range(0, len(dst), step):
+                    some = slice(c, c + step)
+                    first = np.flatnonzero(np.diff(number[some], prepend=-1))
+                    held.append((number[some][first], np.add.reduceat(w[some, None] * m[dst[some]], first)))
+                    if sum(x.nbytes for _, x in held) > HELD:
+                        yield give()
+            if held:
+                yield give()
 
         def added(batches):
             kept = None
-            for batch in batches:
-                for row in batch.to_pylist():
-                    m = floats(row["m"], row["n"])
-                    if row["own"]:
-                        if kept:
-                            yield _done(kept)
-                        kept = row, m / n
-                    else:
-                        kept[1][np.frombuffer(row["ids"], "<i4")] += m
+            for row in each(batches):
+                m = floats(row["m"], row["n"])
+                if row["own"]:
+                    if kept:
+                        yield _one(*kept[:3], m=kept[3], lm=kept[4])
+                    kept = row["block"], row["n"], row["ids"], m, m / n
+                else:
+                    kept[4][np.frombuffer(row["ids"], "<i4")] += m
             if kept:
-                yield _done(kept)
-
-        def _done(kept):
-            row, lm = kept
-            return pa.RecordBatch.from_pylist([{"block": row["block"], "n": row["n"], "ids": row["ids"], "m": row["m"], "lm": packed(lm)}], schema=schema)
+                yield _one(*kept[:3], m=kept[3], lm=kept[4])
 
-        schema = pa.schema([("block", pa.int32()), ("n", pa.int32()), ("ids", pa.binary()), ("m", pa.binary()), ("lm", pa.binary())])
         parts = met.mapInArrow(partial, "block int, own boolean, n int, ids binary, m binary")
         every = blocks.select("block", F.lit(True).alias("own"), "n", "ids", "m").unionByName(parts)
         # A block comes before its partial sums, which are added as they come.
         return every.repartition("block").sortWithinPartitions("block", F.desc("own")).mapInArrow(added, SCHEMA + ", lm binary")
-
-
-def _cell(table: pa.Table) -> pa.Table:
-    col = lambda c: table[c].to_numpy()
-    binary = lambda x, kind: pa.array([packed(x, kind)], pa.binary())
-    return pa.table({"s": table["src_block"].slice(0, 1), "t": table["dst_block"].slice(0, 1), "k": pa.array([len(table)], pa.int32()), "a": binary(col("src_slot"), "<i4"), "b": binary(col("dst_slot"), "<i4"), "w": binary(col("w"), "<f8")})

@@ -124,7 +124,7 @@ def apply_l(rows: DataFrame, edges: DataFrame | BlockedGraph) -> DataFrame:
 class Spaco:
     """Whitening, spectral filter, projection and test. ``keep`` is the share of variance, ``cut`` the smallest eigenvalue.
 
-    Edges are stored once as cells of a blocked graph and rows as blocks; ``order`` places nodes whose edges are near each other in one block.
+    Edges are stored once as packs of a blocked graph and rows as blocks; ``order`` places nodes whose edges are near each other in one block.
     """
 
     def __init__(self, rows: DataFrame, edges: DataFrame, keep: float = 0.95, cut: float | None = None, order: Column | None = None):
@@ -176,13 +176,13 @@ class Spaco:
         return np.sort(np.concatenate([self._null_dealt(range(i, min(i + block, replicates)), seed) for i in range(0, replicates, block)]))
 
     def _null_sent(self, replicates: int, seed: int) -> np.ndarray:
-        # Packed rows: a block or a cell each, so nothing larger than the numbers themselves is made of them.
+        # Packed rows: a block or a pack each, so nothing larger than the numbers themselves is made of them.
         got = sorted(self.white_packed.select("block", "n", "m").collect(), key=lambda r: r.block)
         w = np.concatenate([blocks.floats(r.m, r.n) for r in got])
-        rows, cells = self.graph.rows, self.graph.cells.collect()
+        rows, packs = self.graph.rows, self.graph.packs.collect()
         joined = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
-        a, b = (joined([getattr(c, end) * rows + np.frombuffer(getattr(c, at), "<i4") for c in cells], np.int64) for end, at in (("s", "a"), ("t", "b")))
-        x = joined([np.frombuffer(c.w, "<f8") for c in cells], float) / (self.graph.total or 1.0)
+        a, b = joined([np.frombuffer(p.i, "<i8") for p in packs], np.int64), joined([np.int64(p.block) * rows + np.frombuffer(p.j, "<i4") for p in packs], np.int64)
+        x = joined([np.frombuffer(p.w, "<f8") for p in packs], float) / (self.graph.total or 1.0)
         n, spark = self.n, self.white.sparkSession
         sent = spark.sparkContext.broadcast((w, a, b, x))
 

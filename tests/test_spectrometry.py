@@ -613,6 +613,27 @@ def test_blocked_product_of_a_directed_graph(spark):
     assert sorted(r.z for r in order) == list(range(64)) and all(r.z == sum((r.x >> b & 1) << 2 * b | (r.y >> b & 1) << 2 * b + 1 for b in range(3)) for r in order)
 
 
+def test_a_block_is_sent_once_whatever_its_cells(spark, monkeypatch):
+    """A graph whose edges connect nearly all pairs of blocks is applied by as many packs as blocks, more only where edges fill several."""
+    from spectrel.operators import blocks
+
+    rng = np.random.default_rng(3)
+    n = 200
+    a = np.where(rng.random((n, n)) < 0.05, rng.normal(size=(n, n)), 0)
+    a[:, 7] = 1.0
+    edges = spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a), strict=True)], "src long, dst long, w double")
+    x = rng.normal(size=(n, 3))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    for pack, held in ((1 << 16, 16 << 20), (40, 100)):
+        monkeypatch.setattr(blocks, "PACK", pack)
+        monkeypatch.setattr(blocks, "HELD", held)
+        g = blocks.BlockedGraph(edges, rows, rows=10)
+        assert g.cells.count() > 300 and (g.packs.count() == 20 if pack > 40 else g.packs.count() > 20)
+        for transpose, m in ((False, a), (True, a.T)):
+            got = {r.id: r.lv for r in blocks.unpack(g.product(g.pack(rows), transpose), lv="lm").collect()}
+            assert np.allclose([got[i] for i in range(n)], (np.eye(n) / n + m / np.abs(a).sum()) @ x)
+
+
 def brute_neighbours(ids, x, k, metric):
     if metric == "cosine":
         norm = np.sqrt((x * x).sum(1, keepdims=True))
