@@ -576,6 +576,28 @@ def test_communities_of_many_parts(spark):
     assert moved and level.quality(nodes) > level.quality(level.nodes)
 
 
+def test_a_round_of_moves_is_one_table_and_one_sum(spark, monkeypatch):
+    """However many rounds a level takes, each costs one table and one quality (and those of moves that are taken back)."""
+    from spectrel.plans import communities as c
+
+    pairs = [(int(i), int(j)) for i, j in np.random.default_rng(3).integers(0, 90, (600, 2)) if i != j and (i // 30 == j // 30 or (i + j) % 5 == 0)]
+    edges = spark.createDataFrame([(i, j, 1.0) for i, j in {(min(p), max(p)) for p in pairs}], "src long, dst long, w double")
+    both = edges.union(edges.selectExpr("dst", "src", "w"))
+    level = c._Level(both.groupBy("src").agg(F.sum("w").alias("k")).selectExpr("src as id", "k", "2 * src as label"), both, 2.0 * edges.count(), 1.0, 300)
+    seen = {"tables": 0, "sums": [], "rounds": 0}
+    table, quality, by_part = c.written, c._Level.quality, c._Level._by_part
+    monkeypatch.setattr(c, "written", lambda df: (seen.update(tables=seen["tables"] + 1), table(df))[1])
+    monkeypatch.setattr(c._Level, "quality", lambda self, nodes: (seen["sums"].append(q := quality(self, nodes)), q)[1])
+    monkeypatch.setattr(c._Level, "_by_part", lambda self, *a: (seen.update(rounds=seen["rounds"] + 1), by_part(self, *a))[1])
+    nodes, moved = level.moved(1)
+    back = sum(b < max(seen["sums"][: i + 1]) - 1e-9 for i, b in enumerate(seen["sums"][1:]))
+    assert level.parts > 1 and moved and seen["rounds"] > 1
+    assert seen["tables"] <= seen["rounds"] + 1 and len(seen["sums"]) <= seen["rounds"] + 1 + back
+    assert quality(level, nodes) == pytest.approx(max(seen["sums"]))
+    named = {r.label: r.least for r in nodes.groupBy("label").agg(F.min("id").alias("least")).collect()}
+    assert all(label == 2 * least for label, least in named.items())
+
+
 def test_refinement_without_gathering(spark):
     from spectrel.plans import registration
 
