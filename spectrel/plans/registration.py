@@ -1,7 +1,8 @@
 """Registration of one image to another: masks, refinement of the affine map, spline warp, and what its plots show.
 
 Images are tables (y, x, value). The refinement alone gathers two of them, at most ``max_pixels`` each, since a hundred dependent
-small steps gain nothing from a cluster; all else stays distributed.
+small steps gain nothing from a cluster; of larger ones it gathers a mask of one bit a pixel, at most ``max_sent`` of these; all else
+stays distributed.
 """
 
 from __future__ import annotations
@@ -127,13 +128,34 @@ def _correlation_gathered(fixed: DataFrame, moving: DataFrame, fixed_size: tuple
     return correlation
 
 
-def _correlation_distributed(fixed: DataFrame, moving: DataFrame, fixed_size: tuple[int, int]):
-    """The same figure by one Spark job for each map, so that no image is gathered. Pixels that are not there count 0."""
+def _edges_there(fixed: DataFrame, fixed_size: tuple[int, int]) -> DataFrame:
+    """Tiles of the edges of ``fixed`` within its mask. Pixels that are not there count 0."""
     height, width = fixed_size
     r, f = raster.shapes(CLOSE_AND_OPEN)
     inside = raster.around(fixed, r, lambda wide, y0, x0: wide[r:-r, r:-r] * f(np.where(np.isnan(wide), np.nan, wide > 0.1), y0, x0))
     whole = raster.sampled(inside, lambda x, y: (x, y), height, width)
-    there = settled(raster.around(whole, 1, raster.edges(height, width)))
+    return raster.around(whole, 1, raster.edges(height, width))
+
+
+def _correlation_sent(fixed: DataFrame, moving: DataFrame, fixed_size: tuple[int, int], moving_size: tuple[int, int]):
+    """The same figure by one Spark job for each map, in which nothing is shuffled: the mask of ``moving`` is sent to every task once, a bit
+    a pixel, and the edges of ``fixed`` lie in memory, cut to the image. Returns it and what frees both."""
+    spark = fixed.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    there = raster.cut(_edges_there(fixed, fixed_size), *fixed_size).repartition(parts, "y0", "x0").persist()
+    n, mean = there.count(), raster.cut_mean(there)
+    bits = spark.sparkContext.broadcast(raster.gathered_bits(mask_tiles(moving), *moving_size))
+
+    def correlation(m: np.ndarray) -> float:
+        return raster.correlation_with_bits(there, bits, m, fixed_size, moving_size, mean) if n else 0.0
+
+    return correlation, lambda: (there.unpersist(), bits.destroy())
+
+
+def _correlation_distributed(fixed: DataFrame, moving: DataFrame, fixed_size: tuple[int, int]):
+    """The same figure by one Spark job for each map, so that no image is gathered. Pixels that are not there count 0."""
+    height, width = fixed_size
+    there = settled(_edges_there(fixed, fixed_size))
     other = settled(mask_tiles(moving))
 
     def correlation(m: np.ndarray) -> float:
@@ -142,15 +164,19 @@ def _correlation_distributed(fixed: DataFrame, moving: DataFrame, fixed_size: tu
     return correlation
 
 
-def refine(fixed: DataFrame, moving: DataFrame, m: np.ndarray, fixed_size: tuple[int, int], moving_size: tuple[int, int], rounds: int = 100, max_pixels: int = 16_000_000) -> tuple[np.ndarray, float]:
+def refine(fixed: DataFrame, moving: DataFrame, m: np.ndarray, fixed_size: tuple[int, int], moving_size: tuple[int, int], rounds: int = 100, max_pixels: int = 1_000_000, max_sent: int = 1_000_000_000) -> tuple[np.ndarray, float]:
     """The affine map (3 x 3) whose warped mask of ``moving`` has edges that correlate best with those of ``fixed``, and that correlation.
 
     The edges of ``fixed`` are those of its gray values within its mask. Without edges on either side the map stays, with correlation 0.
-    Images of up to ``max_pixels`` are gathered; for larger ones each map that the search tries is a Spark job, with the same figures.
+    Images of up to ``max_pixels`` are gathered; for larger ones each map that the search tries is a Spark job, with the same figures: up
+    to ``max_sent`` pixels of ``moving`` one pass over ``fixed``, beyond that with shuffles of both.
     """
     fixed, moving = (settled(raster.to_tiles(image)) for image in (fixed, moving))
+    free = lambda: None
     if max(a * b for a, b in (fixed_size, moving_size)) <= max_pixels:
         correlation = _correlation_gathered(fixed, moving, fixed_size, moving_size)
+    elif moving_size[0] * moving_size[1] <= max_sent:
+        correlation, free = _correlation_sent(fixed, moving, fixed_size, moving_size)
     else:
         correlation = _correlation_distributed(fixed, moving, fixed_size)
 
@@ -160,7 +186,10 @@ def refine(fixed: DataFrame, moving: DataFrame, m: np.ndarray, fixed_size: tuple
     def cost(p: np.ndarray) -> float:
         return 0.0 if abs(np.linalg.det(full(p))) < 1e-12 else -correlation(full(p))
 
-    p, value = simplex_search(cost, np.array([m[0, 0], m[0, 1], m[1, 0], m[1, 1], m[0, 2], m[1, 2]]), rounds)
+    try:
+        p, value = simplex_search(cost, np.array([m[0, 0], m[0, 1], m[1, 0], m[1, 1], m[0, 2], m[1, 2]]), rounds)
+    finally:
+        free()
     return full(p), -value
 
 

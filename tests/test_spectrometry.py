@@ -609,6 +609,35 @@ def test_refinement_without_gathering(spark):
     assert np.allclose(gathered[0], apart[0], atol=1e-6) and gathered[1] == pytest.approx(apart[1], abs=1e-9)
 
 
+def test_refinement_by_a_sent_mask(spark):
+    """A mask of bits, sent, gives the figures of the images at the driver and of the shuffled ones, at sizes that fill no tile or byte."""
+    from spectrel.operators import raster
+    from spectrel.plans import registration
+
+    rng = np.random.default_rng(2)
+    h, w = 270, 261
+    y, x = np.mgrid[:h, :w]
+    image = np.where((y > 40) & (y < 266) & (x > 30) & (x < 259) & ((y - 150) ** 2 + (x - 130) ** 2 > 900), rng.uniform(0.2, 1, (h, w)), 0.0)
+    at = spark.createDataFrame([(int(i), int(j), float(image[i, j])) for i in range(h) for j in range(w) if (i + j) % 97], "y long, x long, value double").persist()
+    tiles = registration.settled(raster.to_tiles(at))
+    size = (h, w)
+    whole = registration._correlation_gathered(tiles, tiles, size, size)
+    sent, free = registration._correlation_sent(tiles, tiles, size, size)
+    apart = registration._correlation_distributed(tiles, tiles, size)
+    for m in ([[1, 0, 0], [0, 1, 0]], [[1.05, 0.02, 3.3], [-0.01, 0.97, -7.2]], [[0.5, 0, -60], [0, 2, 90.5]], [[1, 0, 1e12], [0, 1, 0]]):
+        m = np.array([*m, [0, 0, 1]], float)
+        assert sent(m) == pytest.approx(whole(m), abs=1e-9) and sent(m) == pytest.approx(apart(m), abs=1e-9)
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("sent"))
+    spark.sparkContext.setJobGroup("sent", "one map")
+    sent(np.eye(3))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs() <= 2  # the pass and its sum, no shuffle of tiles
+    free()
+    start = np.array([[1.0, 0.0, 1.0], [0.0, 1.0, -1.0], [0, 0, 1]])
+    found = [registration.refine(at, at, start, size, size, rounds=2, **k) for k in ({}, {"max_pixels": 100}, {"max_pixels": 100, "max_sent": 100})]
+    assert all(np.allclose(f[0], found[0][0], atol=1e-6) and f[1] == pytest.approx(found[0][1], abs=1e-9) for f in found)
+
+
 def test_blocked_product_of_a_directed_graph(spark):
     """Against dense matrices, both ways, over several blocks; as many rows are shuffled as cells, whatever the number of features."""
     from spectrel.operators import blocks
