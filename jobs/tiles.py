@@ -35,12 +35,14 @@ def run_on(spark: SparkSession, rows: DataFrame, output: str, config: dict) -> N
         tolerance = (all_.hi - all_.lo) / all_.n * config["min_count"] * config["look_ahead"] if all_.n else 0.0
         LOG.info("the tolerance is %g", tolerance)
     clustered = peaks.cluster(rows, config["min_intensity"], config["min_count"], tolerance, ["pixel_id", "peak_idx", "intensity"])
-    found = settled(clustered.withColumnRenamed("cluster_label", "feature"))
-    LOG.info("found %d peaks of features", found.count())
-    masses = found.groupBy("feature").agg(F.min("mz").alias("mz_low"), F.max("mz").alias("mz_high"), F.count(F.lit(1)).alias("n_peaks"))
-    there = features.sparsity(found, "feature").select("feature", F.col("count").alias("n_pixels"), "occupancy")
-    catalogue = settled(masses.join(there, "feature").withColumn("band", F.floor(F.col("mz_low") / config["band"]).cast("int")))
-    tiles = features.tile_median(found.select("x", "y", "feature", F.col("intensity").alias("value")), config["grid_size"])
+    # One row for a pixel and feature, from which all else follows.
+    cells = clustered.groupBy("x", "y", F.col("cluster_label").alias("feature")).agg(F.sum("intensity").alias("value"), F.min("mz").alias("low"), F.max("mz").alias("high"), F.count(F.lit(1)).alias("n"))
+    cells = settled(cells)
+    LOG.info("found %d peaks of features", cells.agg(F.sum("n")).first()[0] or 0)
+    spots = cells.select("x", "y").distinct().count()
+    masses = cells.groupBy("feature").agg(F.min("low").alias("mz_low"), F.max("high").alias("mz_high"), F.sum("n").alias("n_peaks"), F.count(F.lit(1)).alias("n_pixels"))
+    catalogue = settled(masses.select("*", (F.col("n_pixels") / spots).alias("occupancy"), F.floor(F.col("mz_low") / config["band"]).cast("int").alias("band")))
+    tiles = features.tile_median(cells.select("x", "y", "feature", "value"), config["grid_size"], summed=True)
     for name, table in (("catalogue", catalogue), ("tiles", tiles.join(catalogue.select("feature", "band"), "feature"))):
         # A band's features are spread over files, so that a band with most of them is no single task.
         dealt = table.repartition("band", F.pmod(F.xxhash64("feature"), F.lit(8)))

@@ -81,13 +81,15 @@ def at_ranks(values: DataFrame, keys: list[str], ranks: DataFrame, listed: int =
     return equal.unionByName(sorted_.select(*own, F.get("v", (F.col("rank") - F.col("before")).cast("int")).alias("value")))
 
 
-def tile_median(coo: DataFrame, grid_size: int) -> DataFrame:
+def tile_median(coo: DataFrame, grid_size: int, summed: bool = False) -> DataFrame:
     """tile_x, tile_y, feature, value: exact medians in which pixels without the feature count as 0.
 
     The matrix is not filled: a tile's median follows from the ranks of its values and its number of pixels.
     Values must not be negative; pixels are those of ``coo``; features of a tile without a value are absent (median 0).
+    ``summed``: ``coo`` is a settled table with one row for a pixel and feature, and is taken as it is.
     """
-    return tile_aggregate(coo, grid_size, "median")
+    u, pixels = _tiles(coo, grid_size)
+    return _tile_values(coo, u, pixels, "median", summed=summed)
 
 
 def tile_aggregate(coo: DataFrame, grid_size: int, how: str | Callable | dict = "median") -> DataFrame:
@@ -105,15 +107,16 @@ def tile_aggregate(coo: DataFrame, grid_size: int, how: str | Callable | dict =
     return out
 
 
-def _tile_values(coo: DataFrame, u: int, pixels: DataFrame, how: str | Callable, listed: int = LISTED) -> DataFrame:
+def _tile_values(coo: DataFrame, u: int, pixels: DataFrame, how: str | Callable, listed: int = LISTED, summed: bool = False) -> DataFrame:
     if not callable(how) and how not in ("median", "sum", "mean", "min", "max"):
         raise ValueError(f"unknown aggregate {how}")
-    cell = coo.groupBy("x", "y", "feature").agg(F.sum("value").alias("value")).withColumn("tile_x", F.floor(F.col("x") / u)).withColumn("tile_y", F.floor(F.col("y") / u))
+    cell = coo if summed else coo.groupBy("x", "y", "feature").agg(F.sum("value").alias("value"))
+    cell = cell.withColumn("tile_x", F.floor(F.col("x") / u)).withColumn("tile_y", F.floor(F.col("y") / u))
     of_tile = cell.groupBy("tile_x", "tile_y", "feature")
     key = ["tile_x", "tile_y"]
     if how == "median":
         whole = [*key, "feature"]
-        cell = settled(cell)
+        cell = cell if summed else settled(cell)
         of = cell.groupBy(*whole).agg(F.count(F.lit(1)).alias("k")).join(pixels, key)
         middle = F.explode(F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)))
         asked = of.select(*whole, (F.col("n") - F.col("k")).alias("zeros"), middle.alias("rank"))

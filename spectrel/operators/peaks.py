@@ -59,13 +59,15 @@ def by_size(df: DataFrame, least: int, *keys: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list[Column], parts: int | None = None) -> DataFrame:
-    """Adds ``rn``, the 0-based rank in the order, without a single-partition sort: ranges, settled, plus offsets (one number a range)."""
+    """Adds ``rn``, the 0-based rank in the order, without a single-partition sort: ranges, settled with each row's place in its range, plus offsets (one number a range)."""
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = settled(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()))
-    counts = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
+    # The id is the range's number and, in its low 33 bits, the row's place in the range, which is sorted by then.
+    dealt = settled(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
+    own = F.shiftright("_m", 33).alias("_p")
+    counts = dealt.groupBy(own).agg(F.count(F.lit(1)).alias("_c"))
     offsets = counts.withColumn("_o", F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).select("_p", F.coalesce("_o", F.lit(0)).alias("_o"))
-    local = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
-    return dealt.withColumn("_l", local).join(F.broadcast(offsets), "_p").withColumn("rn", F.col("_o") + F.col("_l")).drop("_p", "_l", "_o")  # one row a range
+    placed = dealt.select(*df.columns, own, F.col("_m").bitwiseAND((1 << 33) - 1).alias("_l"))
+    return placed.join(F.broadcast(offsets), "_p").withColumn("rn", F.col("_o") + F.col("_l")).drop("_p", "_l", "_o")  # one row a range
 
 
 def cluster(peaks: DataFrame, min_intensity: float, min_count: int, tol: float, tiebreak: list[str], chunk: int = 200_000) -> DataFrame:

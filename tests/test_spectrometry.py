@@ -609,6 +609,33 @@ def test_refinement_without_gathering(spark):
     assert np.allclose(gathered[0], apart[0], atol=1e-6) and gathered[1] == pytest.approx(apart[1], abs=1e-9)
 
 
+def test_ranking_moves_each_row_once(spark):
+    """After the ranges nothing but one number a range is shuffled; ranks are those of a sort, ties and empty ranges included."""
+    from spectrel.operators.peaks import numbered
+
+    rows = [(i, (i * 7919) % 13) for i in range(500)]
+    for part, n in ((rows, 7), (rows[:3], 7), ([], 3)):
+        got = numbered(spark.createDataFrame(part, "id long, v long"), [F.col("v"), F.desc("id")], n)
+        assert got.columns == ["id", "v", "rn"]
+        assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1  # of the counts
+        assert [(r.id, r.v) for r in sorted(got.collect(), key=lambda r: r.rn)] == sorted(part, key=lambda r: (r[1], -r[0]))
+        assert sorted(r.rn for r in got.collect()) == list(range(len(part)))
+
+
+def test_tile_median_of_summed_cells(spark):
+    """A table with one row for a pixel and feature gives the same medians and is neither grouped nor settled again."""
+    from spectrel.operators import features
+    from spectrel.runtime import settled
+
+    rng = np.random.default_rng(4)
+    rows = [(int(x), int(y), int(f), float(v)) for x, y, f, v in zip(*rng.integers(0, 12, (2, 900)), rng.integers(0, 3, 900), rng.integers(1, 50, 900), strict=True)]
+    coo = spark.createDataFrame(rows, "x long, y long, feature long, value double")
+    cells = settled(coo.groupBy("x", "y", "feature").agg(F.sum("value").alias("value")))
+    assert cells.count() < len(rows)
+    sort = lambda df: sorted(tuple(r) for r in df.collect())
+    assert sort(features.tile_median(cells, 9, summed=True)) == sort(features.tile_median(coo, 9))
+
+
 def test_refinement_by_a_sent_mask(spark):
     """A mask of bits, sent, gives the figures of the images at the driver and of the shuffled ones, at sizes that fill no tile or byte."""
     from spectrel.operators import raster
