@@ -598,6 +598,45 @@ def test_a_round_of_moves_is_one_table_and_one_sum(spark, monkeypatch):
     assert all(label == 2 * least for label, least in named.items())
 
 
+def test_a_levels_edges_are_packed_once(spark, monkeypatch):
+    """Steps read a row per home instead of edges, measure what they begin with, and fold to the sums between groups; rounds end when they add little."""
+    from spectrel.plans import communities as c
+
+    rng = np.random.default_rng(5)
+    a = np.triu(np.where(rng.random((120, 120)) < np.where(np.equal.outer(np.arange(120) // 30, np.arange(120) // 30), 0.5, 0.02), rng.uniform(0.5, 1, (120, 120)), 0), 1)
+    a = a + a.T
+    a[119] = a[:, 119] = 0  # a node without edges
+    both = spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a), strict=True)], "src long, dst long, w double")
+    nodes = spark.createDataFrame([(i, float(a[i].sum()) + (i == 119), 2 * i) for i in range(120)], "id long, k double, label long")
+    total = float(a.sum()) + 1
+    level = c._Level(nodes, both, total, 1.0, 300)
+    packs = level.packs.collect()
+    assert level.parts > 3 and len(packs) <= level.homes and sum(r.edges for r in packs) == both.count() and level.n == sum(r.nodes for r in packs) == 120
+    k = a.sum(1) + (np.arange(120) == 119)
+    quality = lambda label: (a * np.equal.outer(label, label)).sum() - sum(k[label == x].sum() ** 2 for x in set(label.tolist())) / total
+    step = level._by_part(level.nodes, "move", 1, 0)
+    assert "src" not in step._jdf.queryExecution().optimizedPlan().toString()
+    assert level.quality(step) == pytest.approx(quality(2 * np.arange(120)))
+    nodes, moved = level.moved(1)
+    label = np.array([r.label for r in nodes.orderBy("id").collect()])
+    assert moved and level.quality(nodes) == pytest.approx(quality(label)) and label[119] == 238
+    rows = level.refined(nodes, 1).orderBy("id")
+    fine = np.array([r.fine for r in rows.collect()])
+    assert all(len(set(label[fine == x].tolist())) == 1 for x in set(fine.tolist())) and len(set(fine.tolist())) < 60
+    made = level.folded(rows, 10)
+    apart = ~np.equal.outer(fine, fine)
+    got = {(int(u), int(e[d])): w for r in made.packs.collect() for e, d_, w_, u_ in [(np.frombuffer(r.ends, "<i8"), np.frombuffer(r.dst, "<i4"), np.frombuffer(r.w, "<f8"), np.repeat(np.frombuffer(r.ids, "<i8"), np.frombuffer(r.degree, "<i4")))] for u, d, w in zip(u_, d_, w_, strict=True)}
+    want = {}
+    for i, j in zip(*np.nonzero(a * apart), strict=True):
+        want[int(fine[i]), int(fine[j])] = want.get((int(fine[i]), int(fine[j])), 0.0) + a[i, j]
+    assert got == pytest.approx(want) and made.nodes.agg(F.sum("k")).first()[0] == pytest.approx(total)
+    seen, by_part = [], c._Level._by_part
+    monkeypatch.setattr(c, "LEAST", 2.0)
+    monkeypatch.setattr(c._Level, "_by_part", lambda self, *x: (seen.append(x[1]), by_part(self, *x))[1])
+    level.moved(1)
+    assert seen == ["move", "move"]
+
+
 def test_refinement_without_gathering(spark):
     from spectrel.plans import registration
 
